@@ -301,38 +301,44 @@ def marker_layout(spark) -> DataFrame:
     return spark.createDataFrame(rows, "marker_id int, corner int, bx double, by double")
 
 
-def fit_homography(points: DataFrame, keys=("session", "frame"), min_markers: int = 4) -> DataFrame:
+def fit_homography(points: DataFrame, keys=("session", "frame"), min_markers: int = 4,
+                   sheet: float = 50.0) -> DataFrame:
     """Least-squares planar fit image -> board per frame.
 
     ``points``: keys, marker_id, x, y, bx, by. The normal equations are sums, so frames are
     reduced by partial aggregation; only the 8 x 8 solve runs in Python, on one row per frame.
+    Coordinates are scaled to about 1 before summing, which keeps the equations well conditioned.
     """
-    x, y, u, v = F.col("x"), F.col("y"), F.col("bx"), F.col("by")
+    x, y = F.col("x") / S.lit(C.WORLD_W), F.col("y") / S.lit(C.WORLD_W)
+    u, v = F.col("bx") / S.lit(sheet), F.col("by") / S.lit(sheet)
     one, zero = S.lit(1), S.lit(0)
     first = [x, y, one, zero, zero, zero, -u * x, -u * y]
     second = [zero, zero, zero, x, y, one, -v * x, -v * y]
-    terms = []
+    names, terms = [], []
     for i in range(8):
         for j in range(i, 8):
-            terms.append(F.sum(first[i] * first[j] + second[i] * second[j]).alias(f"a{i}{j}"))
-        terms.append(F.sum(first[i] * u + second[i] * v).alias(f"b{i}"))
+            names.append(f"a{i}{j}")
+            terms.append(F.sum(first[i] * first[j] + second[i] * second[j]).alias(names[-1]))
+        names.append(f"b{i}")
+        terms.append(F.sum(first[i] * u + second[i] * v).alias(names[-1]))
     sums = points.groupBy(*keys).agg(F.count_distinct("marker_id").alias("markers"), *terms)
-    sums = sums.where(F.col("markers") >= min_markers)
-    names = [f"a{i}{j}" for i in range(8) for j in range(i, 8)]
+    scale_in = [1.0 / C.WORLD_W, 1.0 / C.WORLD_W, 1.0]
+    scale_out = [sheet, sheet, 1.0]
 
     @F.pandas_udf("array<double>")
     def solve(rows: pd.DataFrame) -> pd.Series:
         import numpy as np
-        a = np.zeros((len(rows), 8, 8))
-        b = np.zeros((len(rows), 8, 1))
+        a, b = np.zeros((len(rows), 8, 8)), np.zeros((len(rows), 8, 1))
         for i in range(8):
             b[:, i, 0] = rows[f"b{i}"]
             for j in range(i, 8):
                 a[:, i, j] = a[:, j, i] = rows[f"a{i}{j}"]
-        h = (np.linalg.pinv(a) @ b)[:, :, 0]
-        return pd.Series(list(np.concatenate([h, np.ones((len(rows), 1))], axis=1)))
+        h = np.concatenate([(np.linalg.pinv(a) @ b)[:, :, 0], np.ones((len(rows), 1))], axis=1)
+        h = h.reshape(-1, 3, 3) * np.outer(scale_out, scale_in)
+        return pd.Series(list(h.reshape(-1, 9)))
 
-    return sums.select(*keys, "markers", solve(F.struct(*names, *[f"b{i}" for i in range(8)])).alias("h"))
+    return (sums.where(F.col("markers") >= min_markers)
+            .select(*keys, "markers", solve(F.struct(*names)).alias("h")))
 
 
 # ---- sampling ---------------------------------------------------------------------

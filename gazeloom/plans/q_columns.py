@@ -224,10 +224,10 @@ def _(spark, sf):
 
 
 @query("p18_denormalise_to_canvas", V.with_(V.GZ, body="""
-SELECT session, n, round(0.0348e0 * 1000.0e0 + x * ((0.9645e0 - 0.0348e0) * 1000.0e0), 4) AS cx, round(0.054e0 * 625.0e0 + y * ((0.9449e0 - 0.054e0) * 625.0e0), 4) AS cy FROM gz"""))
+SELECT session, n, round(0.0348e0 * 1000.0e0 + x * ((0.9645e0 - 0.0348e0) * 1000.0e0), 9) AS cx, round(0.054e0 * 625.0e0 + y * ((0.9449e0 - 0.054e0) * 625.0e0), 9) AS cy FROM gz"""))
 def _(spark, sf):
     cx, cy = S.to_canvas(F.col("x"), F.col("y"), 1000.0, 625.0)
-    return V.gz(spark, sf).select("session", "n", F.round(cx, 4).alias("cx"), F.round(cy, 4).alias("cy"))
+    return V.gz(spark, sf).select("session", "n", F.round(cx, 9).alias("cx"), F.round(cy, 9).alias("cy"))
 
 
 @query("p19_subsample", V.with_(V.FS, body="""
