@@ -72,21 +72,15 @@ def undistort(df: DataFrame, px: str, py: str, out_x: str, out_y: str,
           .withColumn("_y0", (F.col(py) - lit(c["cy"])) / lit(c["fy"]))
           .withColumns({"_x": F.col("_x0"), "_y": F.col("_y0")}))
     x, y = F.col("_x"), F.col("_y")
+    r2 = x * x + y * y
+    k = lit(1) / (lit(1) + ((lit(c["k3"]) * r2 + lit(c["k2"])) * r2 + lit(c["k1"])) * r2)
+    dx = lit(2 * c["p1"]) * x * y + lit(c["p2"]) * (r2 + lit(2) * x * x)
+    dy = lit(c["p1"]) * (r2 + lit(2) * y * y) + lit(2 * c["p2"]) * x * y
     for _ in range(iterations):
-        df = df.withColumn("_r2", x * x + y * y)
-        r2 = F.col("_r2")
-        df = df.withColumns({
-            "_k": lit(1) / (lit(1) + ((lit(c["k3"]) * r2 + lit(c["k2"])) * r2 + lit(c["k1"])) * r2),
-            "_dx": lit(2 * c["p1"]) * x * y + lit(c["p2"]) * (r2 + lit(2) * x * x),
-            "_dy": lit(c["p1"]) * (r2 + lit(2) * y * y) + lit(2 * c["p2"]) * x * y,
-        })
-        df = df.withColumns({
-            "_x": (F.col("_x0") - F.col("_dx")) * F.col("_k"),
-            "_y": (F.col("_y0") - F.col("_dy")) * F.col("_k"),
-        })
+        df = df.withColumns({"_x": (F.col("_x0") - dx) * k, "_y": (F.col("_y0") - dy) * k})
     return (df.withColumn(out_x, x * lit(c["fx"]) + lit(c["cx"]))
             .withColumn(out_y, y * lit(c["fy"]) + lit(c["cy"]))
-            .drop("_x0", "_y0", "_x", "_y", "_r2", "_k", "_dx", "_dy"))
+            .drop("_x0", "_y0", "_x", "_y"))
 
 
 def apply_homography(x: Column, y: Column, h: Column) -> tuple[Column, Column]:

@@ -92,45 +92,36 @@ def _window_covariance(b: DataFrame, near, usable: Column) -> DataFrame:
     b = b.withColumns({
         "_n": F.count(F.lit(1)).over(near), "_w2": F.sum(w * w).over(near),
         "_qxx": F.sum(w * x * x).over(near), "_qyy": F.sum(w * y * y).over(near),
-        "_qxy": F.sum(w * x * y).over(near)})
+        "_qxy": F.sum(w * x * y).over(near)}).where("_home")
     ox, oy, sw = F.col("sx") - S.lit(0.5), F.col("sy") - S.lit(0.5), F.col("_sw")
     b = b.withColumn("_neff", F.greatest(S.lit(1), sw * sw / F.col("_w2")))
     b = b.withColumns({
         "_exx": F.greatest(S.lit(0), F.col("_qxx") / sw - ox * ox) / F.col("_neff"),
         "_eyy": F.greatest(S.lit(0), F.col("_qyy") / sw - oy * oy) / F.col("_neff"),
         "_exy": (F.col("_qxy") / sw - ox * oy) / F.col("_neff"),
-        "_jxx": F.col("base_xx") / sw, "_jxy": F.col("base_xy") / sw, "_jyy": F.col("base_yy") / sw})
-    l11, l21, l22 = S.cholesky(F.col("_jxx") + S.lit(1e-15), F.col("_jxy"), F.col("_jyy") + S.lit(1e-15))
-    b = b.withColumns({"_l11": l11, "_l21": l21, "_l22": l22})
-    l11, l21, l22 = F.col("_l11"), F.col("_l21"), F.col("_l22")
-    # Whitened scatter: L^-1 E L^-T.
-    b = b.withColumn("_a", F.col("_exx") / (l11 * l11))
-    b = b.withColumn("_b", (F.col("_exy") / l11 - l21 * F.col("_a")) / l22)
-    b = b.withColumn("_d", (F.col("_eyy") - S.lit(2) * l21 * F.col("_exy") / l11
-                            + l21 * l21 * F.col("_a")) / (l22 * l22))
-    big, small = S.eigenvalues(F.col("_a"), F.col("_b"), F.col("_d"))
-    b = b.withColumns({"_big": big, "_small": small,
-                       "_ang": S.major_angle(F.col("_a"), F.col("_b"), F.col("_d"))})
-    c, s = F.cos("_ang"), F.sin("_ang")
-    hi, lo = F.greatest(F.col("_big"), S.lit(1)), F.greatest(F.col("_small"), S.lit(1))
-    b = b.withColumns({"_fxx": hi * c * c + lo * s * s, "_fyy": hi * s * s + lo * c * c,
-                       "_fxy": (hi - lo) * c * s})
-    fxx, fxy, fyy = F.col("_fxx"), F.col("_fxy"), F.col("_fyy")
-    raised = {
-        "xx": l11 * l11 * fxx,
-        "xy": l11 * (l21 * fxx + l22 * fxy),
-        "yy": l21 * l21 * fxx + S.lit(2) * l21 * l22 * fxy + l22 * l22 * fyy,
-    }
-    singular = F.isnan(l22) | l22.isNull() | (l22 <= 0)
+        "_jxx": F.col("base_xx") / sw + S.lit(1e-15), "_jxy": F.col("base_xy") / sw,
+        "_jyy": F.col("base_yy") / sw + S.lit(1e-15)})
+    # Scatter relative to the formal covariance: eigenvalues of J^-1 E from its trace and determinant.
+    # Raising those below 1 to 1 leaves a combination of E and J, so no factor is ever formed.
+    e, j = [F.col(f"_e{k}") for k in ("xx", "xy", "yy")], [F.col(f"_j{k}") for k in ("xx", "xy", "yy")]
+    b = b.withColumn("_det", j[0] * j[2] - j[1] * j[1])
+    b = b.withColumn("_half", (j[2] * e[0] + j[0] * e[2] - S.lit(2) * j[1] * e[1]) / F.col("_det") / S.lit(2))
+    spread = F.sqrt(F.greatest(S.lit(0), F.col("_half") * F.col("_half")
+                               - (e[0] * e[2] - e[1] * e[1]) / F.col("_det")))
+    b = b.withColumn("_spread", spread)
+    small = F.col("_half") - F.col("_spread")
+    part = (F.when(small >= 1, S.lit(1))
+            .otherwise((F.col("_half") + F.col("_spread") - S.lit(1)) / (S.lit(2) * F.col("_spread"))))
     floor = (F.col("_n") >= 3) & (sw > 0)
-    cov = {}
-    for k, up in raised.items():
-        j = F.col(f"_j{k}")
-        chosen = (F.when(~floor, j).when(singular, j + F.col(f"_e{k}"))
-                  .when(F.col("_big") > 1, up).otherwise(j))
-        cov[f"cov_{k}"] = F.when(usable & F.col("factor").isNotNull(), chosen + F.col(f"bias_{k}"))
+    b = b.withColumn("_a", F.when(~floor, S.lit(0)).when(F.col("_det") <= 0, S.lit(1))
+                     .when(F.col("_half") + F.col("_spread") > 1, part).otherwise(S.lit(0)))
+    b = b.withColumn("_b", F.when((F.col("_det") <= 0) | (F.col("_a") == 0), S.lit(1)).when(small >= 1, S.lit(0))
+                     .otherwise(S.lit(1) - small * F.col("_a")))
+    cov = {f"cov_{k}": F.when(usable & F.col("factor").isNotNull(),
+                              F.col("_a") * F.col(f"_e{k}") + F.col("_b") * F.col(f"_j{k}") + F.col(f"bias_{k}"))
+           for k in ("xx", "xy", "yy")}
     temp = ["_n", "_w2", "_qxx", "_qyy", "_qxy", "_neff", "_exx", "_eyy", "_exy", "_jxx", "_jxy", "_jyy",
-            "_l11", "_l21", "_l22", "_a", "_b", "_d", "_big", "_small", "_ang", "_fxx", "_fxy", "_fyy"]
+            "_det", "_half", "_spread", "_a", "_b"]
     return b.withColumns(cov).drop(*temp)
 
 

@@ -85,14 +85,15 @@ fl AS (SELECT *, greatest(big, 1) * cos(ang) * cos(ang) + greatest(small, 1) * s
 SELECT session, n AS m, round(1e4 * (CASE WHEN wn >= 3 AND big > 1 THEN l11 * l11 * fxx ELSE jxx END + 1e-5), 5) AS cxx,
   round(1e4 * CASE WHEN wn >= 3 AND big > 1 THEN l11 * (l21 * fxx + l22 * fxy) ELSE jxy END, 5) AS cxy,
   round(1e4 * (CASE WHEN wn >= 3 AND big > 1 THEN l21 * l21 * fxx + 2 * l21 * l22 * fxy + l22 * l22 * fyy ELSE jyy END + 2e-5), 5) AS cyy
-FROM fl WHERE total >= 9"""))
+FROM (SELECT * REPLACE (CASE WHEN total >= 9 THEN jxx END AS jxx, CASE WHEN total >= 9 THEN jxy END AS jxy, CASE WHEN total >= 9 THEN jyy END AS jyy,
+  CASE WHEN total >= 9 THEN l11 END AS l11, CASE WHEN total >= 9 THEN l21 END AS l21) FROM fl)"""))
 def _(spark, sf):
     s = F.col("session")
     g = confident_samples(spark, sf).withColumns({
         "factor": lit(0.5) + F.col("k").cast("double") / lit(50),
         "base_xx": (s % 3 + 1).cast("double") * lit(1e-5), "base_xy": (s % 5 - 2).cast("double") * lit(1e-6),
         "base_yy": lit(2e-5), "bias_xx": lit(1e-5), "bias_xy": lit(0), "bias_yy": lit(2e-5)})
-    g = G.smooth(g, jump_px=JUMP, model=True).where(F.col("cov_xx").isNotNull())
+    g = G.smooth(g, jump_px=JUMP, model=True)
     r = lambda k, name: F.round(lit(1e4) * F.col(k), 5).alias(name)
     return g.select("session", "m", r("cov_xx", "cxx"), r("cov_xy", "cxy"), r("cov_yy", "cyy"))
 
