@@ -67,30 +67,10 @@ def cell_mass(mx: Column, my: Column, xx: Column, xy: Column, yy: Column, col: C
     return F.greatest(lit(0), phi2(x1, y1, rho) - phi2(x0, y1, rho) - phi2(x1, y0, rho) + phi2(x0, y0, rho))
 
 
-def corner_grid(mx: Column, my: Column, xx: Column, xy: Column, yy: Column) -> Column:
-    """Distribution function at the 9 x 6 cell corners, row by row; shared by the 40 cells."""
-    sx, sy, rho = _standard(xx, xy, yy)
-    stride = C.BOARD_COLS + 1
-
-    def at(i):
-        c = (i % stride).cast("double") / lit(C.BOARD_COLS)
-        r = F.floor(i / stride).cast("double") / lit(C.BOARD_ROWS)
-        return phi2((c - mx) / sx, (r - my) / sy, rho)
-
-    return F.transform(F.sequence(F.lit(0), F.lit(stride * (C.BOARD_ROWS + 1) - 1)), at)
-
-
-def cells_from_corners(corners: Column) -> Column:
-    """ARRAY<STRUCT<mass, col, row>> of all 40 cells from :func:`corner_grid`."""
-    stride = C.BOARD_COLS + 1
-
-    def cell(i):
-        col, row = i % C.BOARD_COLS, F.floor(i / C.BOARD_COLS).cast("int")
-        at = lambda dc, dr: F.element_at(corners, ((row + dr) * stride + col + dc + 1).cast("int"))
-        mass = F.greatest(lit(0), at(1, 1) - at(0, 1) - at(1, 0) + at(0, 0))
-        return F.struct(mass.alias("mass"), col.cast("int").alias("col"), row.alias("row"))
-
-    return F.transform(F.sequence(F.lit(0), F.lit(C.BOARD_COLS * C.BOARD_ROWS - 1)), cell)
+def cells_of(masses: Column) -> Column:
+    """ARRAY<STRUCT<mass, col, row>> from the 40 row-major masses of ``board_masses_udf``."""
+    return F.transform(masses, lambda m, i: F.struct(
+        m.alias("mass"), (i % C.BOARD_COLS).alias("col"), F.floor(i / C.BOARD_COLS).cast("int").alias("row")))
 
 
 def top_cells(cells: Column, k: int = 3, min_mass: float = 0.02) -> Column:

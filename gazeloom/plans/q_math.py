@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from gazeloom import config as C
 from gazeloom.functions import gauss
 from gazeloom.functions import scalar as S
+from gazeloom.functions.vectorised import board_masses_udf, cell_mass_udf
 from gazeloom.plans import views as V
 from gazeloom.plans.registry import query
 
@@ -41,14 +42,14 @@ def with_cov(df):
 
 def cell_masses(spark, sf):
     g = with_cov(V.gz(spark, sf))
-    g = g.withColumn("corners", gauss.corner_grid(*(F.col(c) for c in ("x", "y", "cxx", "cxy", "cyy"))))
-    return g.select("session", "n", "k", gauss.cells_from_corners(F.col("corners")).alias("cells"))
+    g = g.withColumn("masses", board_masses_udf("x", "y", "cxx", "cxy", "cyy"))
+    return g.select("session", "n", "k", gauss.cells_of(F.col("masses")).alias("cells"))
 
 
 COV = """cv AS (SELECT *, cxy / (sx * sy) AS rho FROM (SELECT *, sqrt(cxx) AS sx, sqrt(cyy) AS sy FROM (
   SELECT *, 0.0004e0 + k * 1e-5 AS cxx, (k % 7 - 3) * 6e-5 AS cxy, 0.0009e0 + k * 5e-6 AS cyy FROM gz)))"""
 # Distribution function at the 54 corners, then the 40 cells.
-CORNERS = f"""co AS (SELECT session, n, i, j, {phi2_sql('zh', 'zk', 'rho')} AS f FROM (
+CORNERS = f"""co AS MATERIALIZED (SELECT session, n, i, j, {phi2_sql('zh', 'zk', 'rho')} AS f FROM (
   SELECT session, n, i, j, rho, (i / 8.0e0 - x) / sx AS zh, (j / 5.0e0 - y) / sy AS zk FROM cv, range(9) a(i), range(6) b(j)))"""
 CELLS = """cm AS (SELECT a.session, a.n, a.i AS c, a.j AS r, greatest(0.0e0, d.f - b.f - e.f + a.f) AS mass FROM co a
   JOIN co b ON a.session = b.session AND a.n = b.n AND b.i = a.i AND b.j = a.j + 1
@@ -158,11 +159,11 @@ def _(spark, sf):
 
 
 @query("m15_touch_time", V.with_(V.TR_NEW, body="""
-SELECT session, block, trial, round((touch - init) / CAST(fin - init AS DOUBLE) * duration, 6) AS touch_s, round(fin + 0.24e0 * (hand_exit - fin), 6) AS guess FROM tr_new WHERE init IS NOT NULL"""))
+SELECT session, block, trial, round((touch - init) / CAST(fin - init AS DOUBLE) * duration, 9) AS touch_s, round(fin + 0.24e0 * (hand_exit - fin), 6) AS guess FROM tr_new WHERE init IS NOT NULL"""))
 def _(spark, sf):
     t = V.trials(spark, sf).where(F.col("init").isNotNull())
     return t.select("session", "block", "trial",
-                    r6(S.touch_time(F.col("init"), F.col("touch"), F.col("end"), F.col("duration")), "touch_s"),
+                    F.round(S.touch_time(F.col("init"), F.col("touch"), F.col("end"), F.col("duration")), 9).alias("touch_s"),
                     r6(S.interpolated_touch(F.col("end"), F.col("hand_exit"), lit(0.24)), "guess"))
 
 
@@ -196,7 +197,6 @@ def _(spark, sf):
 @query("u2_arrow_cell_mass", V.with_(V.GZ, COV, CORNERS, CELLS, body="""
 SELECT cm.session, cm.n, round(mass, 4) AS mass FROM cm JOIN gz USING (session, n) WHERE c = k % 8 AND r = k % 5"""))
 def _(spark, sf):
-    from gazeloom.functions.vectorised import cell_mass_udf
     g = with_cov(V.gz(spark, sf))
     m = cell_mass_udf(F.col("x"), F.col("y"), F.col("cxx"), F.col("cxy"), F.col("cyy"), F.col("k") % 8, F.col("k") % 5)
     return g.select("session", "n", F.round(m, 4).alias("mass"))
