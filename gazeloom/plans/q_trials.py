@@ -1 +1,343 @@
-"""Registered queries."""
+"""Fixations, segmentation, landmarks and outcomes."""
+from pyspark.sql import functions as F
+
+from gazeloom import config as C
+from gazeloom.functions import scalar as S
+from gazeloom.operators import aggregates as A
+from gazeloom.operators import fixations as X
+from gazeloom.operators import landmarks as L
+from gazeloom.operators import segmentation as G
+from gazeloom.operators import windows as W
+from gazeloom.plans import views as V
+from gazeloom.plans.q_columns import r6
+from gazeloom.plans.q_joins import FOC, OCC, occlusion
+from gazeloom.plans.q_math import CELLS, CORNERS, COV, with_cov
+from gazeloom.plans.q_sources import stored, trial_marks
+from gazeloom.plans.q_windows import BUMP, RUNS, TRIAL, cycles
+from gazeloom.plans.registry import query
+from gazeloom.sources import readers, writers
+
+lit = S.lit
+big = lambda c, name=None: (F.col(c) if isinstance(c, str) else c).cast("bigint").alias(name or c)
+SPREAD = 0.16
+
+
+def track(spark, sf):
+    """Samples numbered from 0, with cell, covariance and a frame for every four samples."""
+    g = with_cov(V.gaze_cells(spark, sf)).withColumn("n", F.col("n") - 1)
+    return g.withColumn("frame", F.floor(F.col("n") / 4).cast("int"))
+
+
+# End of the longest run from every start, then the chain of starts the scan visits.
+IDT = """sp AS (SELECT session, n - 1 AS n, x, y FROM gz),
+rn AS (SELECT a.session, a.n AS i, b.n AS j, (max(b.x) OVER w - min(b.x) OVER w) + (max(b.y) OVER w - min(b.y) OVER w) AS disp
+  FROM sp a JOIN sp b ON a.session = b.session AND b.n >= a.n WINDOW w AS (PARTITION BY a.session, a.n ORDER BY b.n)),
+en AS (SELECT session, i, coalesce(min(CASE WHEN disp > 0.16e0 THEN j END), max(j) + 1) AS e FROM rn GROUP BY session, i),
+ch(session, i, e) AS (SELECT session, i, e FROM en WHERE i = 0 UNION ALL
+  SELECT en.session, en.i, en.e FROM ch JOIN en ON en.session = ch.session AND en.i = CASE WHEN ch.e - ch.i >= 6 THEN ch.e ELSE ch.i + 1 END),
+fx AS (SELECT session, i AS start_n, e - 1 AS end_n, e - i AS samples FROM ch WHERE e - i >= 6)"""
+rec = lambda *ctes, body: V.with_(*ctes, body=body).replace("WITH gz", "WITH RECURSIVE gz", 1)
+
+
+@query("t1_idt_fixations", rec(V.GZ, IDT, body="""
+SELECT session, start_n, end_n, start_n // 4 AS start_frame, end_n // 4 AS end_frame, samples FROM fx"""))
+def _(spark, sf):
+    f = X.idt_fixations(track(spark, sf), ["session"], dispersion=SPREAD)
+    return f.select("session", "start_n", "end_n", big("start_frame"), big("end_frame"), "samples")
+
+
+@query("t2_centroid_fixations")
+def _(spark, sf):
+    p = track(spark, sf).withColumns({"x": F.col("x") * lit(C.WORLD_W), "y": F.col("y") * lit(C.WORLD_H)})
+    f = X.centroid_fixations(p, ["session"], radius=60.0, minimum=5)
+    return f.select("session", r6("t"), r6("x"), r6("y"), "samples")
+
+
+MEMBERS = """me AS (SELECT fx.session, fx.start_n, sp.n, sp.n + 1 AS m FROM fx JOIN sp ON sp.session = fx.session AND sp.n BETWEEN fx.start_n AND fx.end_n)"""
+
+
+@query("t3_target_found", rec(V.GZ, V.GC, COV, CORNERS, CELLS, IDT, MEMBERS, body="""
+SELECT session, min(CASE WHEN m >= 0.34e0 THEN start_n // 4 END) AS found, round(max(m), 3) AS confidence FROM (
+  SELECT me.session, start_n, avg(mass) AS m FROM me JOIN cm ON cm.session = me.session AND cm.n = me.m AND cm.c = me.session % 8 AND cm.r = me.session % 5
+  GROUP BY me.session, start_n) GROUP BY session"""))
+def _(spark, sf):
+    t = track(spark, sf)
+    f = X.idt_fixations(t, ["session"], dispersion=SPREAD)
+    s = t.withColumnsRenamed({"cxx": "cov_xx", "cxy": "cov_xy", "cyy": "cov_yy"}).withColumns(
+        {"target_col": F.col("session") % 8, "target_row": F.col("session") % 5})
+    found = X.target_found(X.in_fixations(s, f, ["session"]), ["session"])
+    return found.select("session", big("target_found", "found"), F.round("confidence", 3).alias("confidence"))
+
+
+PLAN_ROWS = C.plan_rows()
+
+
+def segmented(spark, sf):
+    return G.segment_trials(V.fs(spark, sf), PLAN_ROWS)
+
+
+# Closed form of a complete 40-frame cycle of the exercise signals.
+DONE = """done AS (SELECT session, cyc, CAST(block AS BIGINT) AS block, CAST(trial AS BIGINT) AS trial, name, 40 * cyc AS f0 FROM (SELECT session, cyc FROM fs GROUP BY session, cyc HAVING count(*) >= 37)
+  JOIN plan ON block * 10 + pos = cyc)"""
+
+
+@query("t4_segment_trials", V.with_(V.FS, V.PLAN, DONE, body="""
+SELECT session, block, trial, name, 'test_finish_execution' AS status, f0 + 14 AS init, f0 + 24 AS fin, f0 + 24 AS motor_onset, f0 + 26 AS touch_live,
+  f0 + 34 AS hand_exit_live, 'ft_return' AS source, f0 + 36 AS close_frame FROM done"""))
+def _(spark, sf):
+    t = segmented(spark, sf).where("status = 'test_finish_execution'")
+    return t.select("session", big("block"), big("trial"), "name", "status", big("init"), big("end", "fin"),
+                    big("motor_onset_live", "motor_onset"), big("touch_live"), big("hand_exit_live"),
+                    F.col("hand_exit_live_source").alias("source"), big("close_frame"))
+
+
+def with_gaps(spark, sf):
+    """Signals where every seventh cycle shows no panel and every fifth one shows a panel out of order."""
+    f = V.fs(spark, sf)
+    cyc = F.floor(F.col("frame") / 40)
+    hidden, odd = cyc % 7 == 3, cyc % 5 == 4
+    shown = F.col("panel_color").isNotNull() & ~hidden
+    return f.withColumns({
+        "panel_color": F.when(shown & odd, "blue").when(shown, F.col("panel_color")),
+        "panel_shape": F.when(shown & odd, "square").when(shown, F.col("panel_shape"))})
+
+
+@query("t5_match_sequence", V.with_(V.FS, V.PLAN, """done AS (SELECT session, cyc, max(frame) AS last_frame, count(*) AS frames FROM fs GROUP BY session, cyc)""",
+       """ok AS (SELECT session, cyc, frames FROM done WHERE frames >= 4 AND cyc < 60 AND cyc % 7 <> 3 AND cyc % 5 <> 4)""",
+       """top AS (SELECT session, max(cyc) AS top FROM ok GROUP BY session)""", body="""
+SELECT top.session, CAST(block AS BIGINT) AS block, CAST(trial AS BIGINT) AS trial, CASE WHEN ok.cyc IS NULL THEN 'missing_trial_error_' ELSE '' END || name AS name
+FROM top JOIN plan ON block * 10 + pos <= top LEFT JOIN ok ON ok.session = top.session AND ok.cyc = block * 10 + pos WHERE ok.cyc IS NULL OR ok.frames >= 20"""))
+def _(spark, sf):
+    t = G.segment_trials(with_gaps(spark, sf), PLAN_ROWS)
+    return t.where(~F.col("name").startswith("end_of_video")).select("session", big("block"), big("trial"), "name")
+
+
+@query("t6_resync_on_unexpected_panel")
+def _(spark, sf):
+    f = V.fs(spark, sf)
+    # A panel comes back before the board is clear on every third cycle.
+    early = (F.floor(F.col("frame") / 40) % 3 == 1) & (F.col("frame") % 40).between(10, 17)
+    f = f.withColumns({"panel_color": F.when(early, "green").otherwise(F.col("panel_color")),
+                       "panel_shape": F.when(early, "hexagon").otherwise(F.col("panel_shape")),
+                       "contour_raw": F.col("contour_raw") & ~early})
+    t = G.segment_trials(f, PLAN_ROWS)
+    return t.select("session", "block", "trial", "name", "status", "init", "end")
+
+
+@query("t7_track_touch", V.with_(V.FS, RUNS.format(cond="p >= 22 AND ft > 0.2e0 AND ft - fc > 0.1e0"), body="""
+SELECT session, cyc, min(rs) AS start, min(frame) AS confirmed FROM ru WHERE rl = 2 GROUP BY session, cyc"""))
+def _(spark, sf):
+    active = F.col("frame") % 40 >= 22
+    cond = active & (F.col("ft") > lit(0.2)) & (F.col("ft") - F.col("fc") > lit(C.TOUCH_SEPARATION))
+    s = W.first_streak(cycles(spark, sf), cond, C.TOUCH_CONFIRM, TRIAL)
+    return s.select("session", big("cyc"), big("start"), big("confirmed"))
+
+
+@query("t8_hand_exit", V.with_(V.FS, body="""
+, a AS (SELECT session, cyc, frame, p, ft, bocc, contour, max(ft) OVER w AS fm, max(bocc) OVER w AS bm FROM fs WINDOW w AS (PARTITION BY session, cyc ORDER BY frame)),
+f AS (SELECT session, cyc, frame - row_number() OVER (PARTITION BY session, cyc ORDER BY frame) AS isl, frame FROM a WHERE fm >= 0.2e0 AND ft <= 0.05e0),
+b AS (SELECT session, cyc, frame - row_number() OVER (PARTITION BY session, cyc ORDER BY frame) AS isl, frame FROM a WHERE bm >= 0.12e0 AND bocc <= 0.05e0),
+fe AS (SELECT session, cyc, min(s) AS ft_exit FROM (SELECT session, cyc, isl, min(frame) AS s FROM f GROUP BY ALL HAVING count(*) >= 3) GROUP BY session, cyc),
+be AS (SELECT session, cyc, min(s) AS board_exit FROM (SELECT session, cyc, isl, min(frame) AS s FROM b GROUP BY ALL HAVING count(*) >= 3) GROUP BY session, cyc)
+SELECT coalesce(fe.session, be.session) AS session, coalesce(fe.cyc, be.cyc) AS cyc, ft_exit, board_exit FROM fe FULL JOIN be ON fe.session = be.session AND fe.cyc = be.cyc""").replace("\n, a AS", ",\na AS"))
+def _(spark, sf):
+    c = cycles(spark, sf)
+    ft = W.hysteresis_return(c, F.col("ft"), C.FT_ENTER, C.FT_EXIT, C.FT_CONFIRM, TRIAL).select(*TRIAL, F.col("start").alias("ft_exit"))
+    bo = W.hysteresis_return(c, F.col("bocc"), C.BOARD_ENTER, C.BOARD_EXIT, C.BOARD_CONFIRM, TRIAL).select(*TRIAL, F.col("start").alias("board_exit"))
+    return ft.join(bo, list(TRIAL), "full").select("session", big("cyc"), big("ft_exit"), big("board_exit"))
+
+
+@query("t9_close_on_end_of_stream")
+def _(spark, sf):
+    t = segmented(spark, sf)
+    return t.where((F.col("status") == "test_finish_by_end_of_video") | F.col("name").startswith("end_of_video")).select(
+        "session", "block", "trial", "name", "init", "end")
+
+
+@query("t10_record_transitions", V.with_(V.FS, V.PLAN, DONE, body="""
+SELECT session, block, trial, f0 + o AS frame, a AS from_state, b AS to_state FROM done, (VALUES (3, 'init', 'get_test_name'), (8, 'get_test_name', 'test_start_execution'),
+  (19, 'test_start_execution', 'test_execution'), (31, 'test_execution', 'test_motor_recovery'), (36, 'test_motor_recovery', 'test_finish_execution'),
+  (36, 'test_finish_execution', 'init')) s(o, a, b)"""))
+def _(spark, sf):
+    t = G.transitions(segmented(spark, sf).where("status = 'test_finish_execution'"))
+    return t.select("session", big("block"), big("trial"), big("frame"), "from_state", "to_state")
+
+
+def traced(spark, sf):
+    """Finished trials and their trace, both stored once: several steps read them again."""
+    t = segmented(spark, sf).where("status = 'test_finish_execution'")
+    t = spark.read.parquet(stored(spark, t, "trials"))
+    return t, spark.read.parquet(stored(spark, G.trace(t, V.fs(spark, sf)), "trace"))
+
+
+@query("s14_read_signal_trace", V.with_(V.FS, V.PLAN, DONE, body="SELECT session, block, trial, 18 AS n, f0 + 19 AS first_frame, f0 + 35 AS last_frame FROM done"))
+def _(spark, sf):
+    _, trace = traced(spark, sf)
+    return trace.groupBy("session", big("block"), big("trial")).agg(
+        F.count(F.lit(1)).cast("int").alias("n"), big(F.min("frame"), "first_frame"), big(F.max("frame"), "last_frame"))
+
+
+@query("t11_posthoc_landmarks", V.with_(V.FS, V.PLAN, DONE, body="""
+SELECT session, block, trial, f0 + 29 AS touch, f0 + 34 AS hand_exit, 'curve_board' AS source, f0 + 24 AS motor_onset, f0 + 26 AS target_rise, f0 + 33 AS target_valley,
+  f0 + 27 AS board_rise, f0 + 30 AS board_peak, true AS congruent, 'finger_led' AS reach_style FROM done"""))
+def _(spark, sf):
+    t, trace = traced(spark, sf)
+    p = L.posthoc(t, trace)
+    return p.select("session", big("block"), big("trial"), big("touch"), big("hand_exit"), F.col("hand_exit_source").alias("source"),
+                    big("motor_onset"), big("target_rise"), big("target_valley"), big("board_rise"), big("board_peak"),
+                    "congruent", "reach_style")
+
+
+@query("t12_gaze_validation", rec(V.GZ, V.GC, IDT, MEMBERS, body="""
+SELECT session, start_n // 4 AS validation, CAST(c AS BIGINT) AS c, CAST(r AS BIGINT) AS r FROM (
+  SELECT me.session, start_n, c, r, count(*) AS cnt, min(me.n) AS first_n FROM me JOIN gc ON gc.session = me.session AND gc.n = me.m WHERE c IS NOT NULL GROUP BY me.session, start_n, c, r
+  QUALIFY row_number() OVER (PARTITION BY me.session, start_n ORDER BY count(*) DESC, min(me.n)) = 1)
+WHERE start_n // 4 <= 10 QUALIFY row_number() OVER (PARTITION BY session ORDER BY start_n DESC) = 1"""))
+def _(spark, sf):
+    t = track(spark, sf).withColumns({"block": F.lit(0), "trial": F.lit(0)})
+    f = X.idt_fixations(t, ["session"], dispersion=SPREAD)
+    cells = X.predominant_cell(X.in_fixations(t, f, ["session"]), ["session"])
+    cells = cells.withColumns({"block": F.lit(0), "trial": F.lit(0)})
+    trials = cells.select("session", "block", "trial").distinct().withColumns(
+        {"touch": F.lit(None).cast("int"), "end": F.lit(10)})
+    v = L.validation(cells, trials)
+    return v.select("session", big("validation"), big("gaze_col", "c"), big("gaze_row", "r"))
+
+
+@query("t13_error_type", V.with_(V.TR_NEW, body="""
+SELECT session, block, trial, CASE WHEN init IS NULL THEN NULL WHEN touch IS NOT NULL THEN 'correct'
+  WHEN motor_onset IS NOT NULL AND hand_exit IS NOT NULL AND seen % 8 <> session % 8 THEN 'off_target'
+  WHEN motor_onset IS NOT NULL AND hand_exit IS NOT NULL THEN 'no_touch' END AS verdict FROM tr_new"""))
+def _(spark, sf):
+    t = V.trials(spark, sf).drop("error_type").withColumns({
+        "target_col": F.col("session") % 8, "target_row": F.lit(1), "gaze_col": (F.col("seen") % 8).cast("bigint"), "gaze_row": F.lit(1)})
+    return L.outcome(t).select("session", "block", "trial", F.col("error_type").alias("verdict"))
+
+
+def exercise_sequence(spark, sf):
+    """One sample per frame signal with a phase, in the trial of its cycle."""
+    p = F.col("frame") % 40
+    s = cycles(spark, sf).withColumns({
+        "block": F.floor(F.col("cyc") / 10).cast("int"), "trial": F.col("cyc") % 10,
+        "phase": F.when(p < 16, "pre_start").when(p <= 26, "execution").otherwise("motor"),
+        "slot": p % 3 == 0, "color": F.get(F.array(*map(F.lit, C.COLORS)), (p % 4).cast("int")),
+        "shape": F.get(F.array(*map(F.lit, C.SHAPES)), (p % 5).cast("int"))})
+    return s.select("session", "block", "trial", "frame", "phase", "slot", "color", "shape", "cyc")
+
+
+def exercise_trials(spark, sf):
+    f0 = F.col("cyc") * 40
+    t = cycles(spark, sf).select("session", "cyc").distinct()
+    return t.select("session", F.floor(F.col("cyc") / 10).cast("int").alias("block"), (F.col("cyc") % 10).alias("trial"),
+                    (f0 + 14).alias("init"), (f0 + 24).alias("end"), (f0 + 26).alias("touch_live"))
+
+
+SEQ = """sq AS (SELECT session, cyc, p, frame, CASE WHEN p < 16 THEN 'pre_start' WHEN p <= 26 THEN 'execution' ELSE 'motor' END AS phase, p % 3 = 0 AS slot,
+  ['red', 'green', 'blue', 'yellow'][CAST(p % 4 AS BIGINT) + 1] AS color, ['circle', 'square', 'triangle', 'hexagon', 'trapezoid'][CAST(p % 5 AS BIGINT) + 1] AS shape FROM fs)"""
+
+
+@query("t14_relabel_pre_start", V.with_(V.FS, SEQ, body="""
+SELECT session, cyc // 10 AS block, cyc % 10 AS trial, CASE WHEN phase = 'pre_start' AND p >= 14 THEN 'execution' ELSE phase END AS phase, count(*) AS n FROM sq GROUP BY ALL"""))
+def _(spark, sf):
+    s = A.relabel_pre_start(exercise_sequence(spark, sf), exercise_trials(spark, sf))
+    return s.groupBy("session", big("block"), big("trial"), "phase").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("t15_trim_trial", V.with_(V.FS, SEQ, body="""
+SELECT session, cyc // 10 AS block, cyc % 10 AS trial, count(*) AS n, max(frame) AS last_frame FROM sq WHERE p <= 24 OR phase = 'motor' GROUP BY ALL"""))
+def _(spark, sf):
+    s = A.trim_trial(exercise_sequence(spark, sf), exercise_trials(spark, sf))
+    return s.groupBy("session", big("block"), big("trial")).agg(F.count(F.lit(1)).alias("n"), big(F.max("frame"), "last_frame"))
+
+
+# ---- aggregates over segmented trials ----------------------------------------------------
+
+@query("a5_trial_counts", V.with_(V.FS, SEQ, body="""
+SELECT session, cyc // 10 AS block, cyc % 10 AS trial, color, shape, CAST(sum(CASE WHEN slot THEN 1 ELSE 0 END) AS BIGINT) AS piece_n,
+  CAST(sum(CASE WHEN slot THEN 0 ELSE 1 END) AS BIGINT) AS slot_n FROM sq
+WHERE (p <= 24 OR phase = 'motor') AND (phase = 'execution' OR (phase = 'motor' AND p <= 26)) GROUP BY ALL"""))
+def _(spark, sf):
+    c = A.trial_counts(exercise_sequence(spark, sf), exercise_trials(spark, sf))
+    return c.select("session", big("block"), big("trial"), "color", "shape", "piece_n", "slot_n")
+
+
+@query("a8_anticipation", V.with_(V.FS, SEQ, body="""
+SELECT session, cyc // 10 AS block, cyc % 10 AS trial, count(CASE WHEN phase = 'pre_start' AND p > 4 THEN 1 END) AS anticipatory_gaze,
+  round(CASE WHEN count(CASE WHEN phase = 'pre_start' AND p > 4 THEN 1 END) = 0 THEN 0.0e0 ELSE greatest(0.0e0, (cyc * 40 + 14 - min(CASE WHEN phase = 'pre_start' AND p > 4 THEN frame END)) / 30.0e0) END, 6) AS lead_s
+FROM sq GROUP BY session, cyc"""))
+def _(spark, sf):
+    s = exercise_sequence(spark, sf).where((F.col("phase") != "pre_start") | (F.col("frame") % 40 > 4))
+    a = A.anticipation(s, exercise_trials(spark, sf))
+    return a.select("session", big("block"), big("trial"), big("anticipatory_gaze"), r6("anticipation_lead_s", "lead_s"))
+
+
+@query("a9_touch_diagnosis", V.with_(V.FS, body="""
+SELECT session, cyc, n_active, n_watched, round(max_ft, 6) AS max_ft, round(max_sep, 6) AS max_sep, CASE WHEN cyc % 3 = 0 THEN 'confirmed'
+  WHEN n_active = 0 AND miss > 0.5e0 THEN 'few_arucos' WHEN n_active = 0 THEN 'never_activated' WHEN max_ft <= 0.2e0 THEN 'fT_below' WHEN max_sep <= 0.1e0 THEN 'control_ge' ELSE 'unconfirmed' END AS reason
+FROM (SELECT session, cyc, count(CASE WHEN live THEN 1 END) AS n_active, count(*) AS n_watched, coalesce(max(CASE WHEN live THEN ft END), 0.0e0) AS max_ft,
+    coalesce(max(CASE WHEN live THEN ft - fcc END), 0.0e0) AS max_sep, avg(CASE WHEN p % 4 = 0 OR cyc % 7 = 1 THEN 1.0e0 ELSE 0.0e0 END) AS miss
+  FROM (SELECT *, cyc % 7 > 2 AND p > 20 AS live, CASE WHEN cyc % 2 = 0 THEN ft ELSE fc END AS fcc FROM fs) GROUP BY session, cyc)"""))
+def _(spark, sf):
+    p, cyc = F.col("frame") % 40, F.col("cyc")
+    w = cycles(spark, sf).withColumns({
+        "active": (cyc % 7 > 2) & (p > 20), "confirmed": cyc % 3 == 0, "thr": lit(0.2),
+        "has_grid": ~((p % 4 == 0) | (cyc % 7 == 1)), "fc": F.when(cyc % 2 == 0, F.col("ft")).otherwise(F.col("fc"))})
+    d = A.touch_diagnosis(w, ("session", "cyc"))
+    return d.select("session", big("cyc"), "n_active", "n_watched", r6("max_ft"), r6("max_sep"), "reason")
+
+
+@query("a10_frames_by_state", V.with_(V.FS, SEQ, body="""
+SELECT session, phase AS state, count(*) AS n, round(100.0e0 * count(*) / sum(count(*)) OVER (PARTITION BY session), 6) AS pct FROM sq GROUP BY session, phase"""))
+def _(spark, sf):
+    s = exercise_sequence(spark, sf).withColumnRenamed("phase", "state")
+    return A.by_state(s).select("session", "state", "n", r6("pct"))
+
+
+@query("a33_flicker_count", V.with_(V.FS, body="""
+SELECT session, cyc, CAST(coalesce(sum(CASE WHEN contour <> pc THEN 1 ELSE 0 END), 0) AS BIGINT) AS flips FROM (
+  SELECT *, lag(contour) OVER (PARTITION BY session, cyc ORDER BY frame) AS pc FROM fs WHERE p BETWEEN 8 AND 24) GROUP BY session, cyc"""))
+def _(spark, sf):
+    f = cycles(spark, sf).where((F.col("frame") % 40).between(8, 24))
+    return W.sticky_flips(f, F.col("contour_raw"), TRIAL).select("session", big("cyc"), "flips")
+
+
+@query("m7_focality", V.with_(V.FS, OCC, FOC, body="SELECT session, frame, c, r, round(foc, 6) AS foc FROM foc"))
+def _(spark, sf):
+    f = A.focality(occlusion(spark, sf))
+    return f.select("session", big("frame"), big("col", "c"), big("row", "r"), r6("foc"))
+
+
+@query("a38_touched_cell", V.with_(V.FS, OCC, FOC, body="""
+SELECT session, cyc, c, r, round(score, 6) AS score FROM (SELECT session, cyc, c, r, sum(foc) AS score FROM foc GROUP BY session, cyc, c, r
+  QUALIFY row_number() OVER (PARTITION BY session, cyc ORDER BY round(sum(foc), 9) DESC, r, c) = 1) WHERE score >= 0.5e0"""))
+def _(spark, sf):
+    f = A.focality(occlusion(spark, sf)).withColumn("foc", F.round(F.col("foc") * 2, 9))
+    t = A.touched_cell(f, ("session", "cyc"))
+    return t.select("session", big("cyc"), big("col", "c"), big("row", "r"), r6(F.col("score") / 2, "score"))
+
+
+@query("r13_reprocess", V.with_(V.FS, V.PLAN, DONE, body="""
+SELECT session, count(*) AS trials, CAST(count(*) AS BIGINT) AS touch, CAST(0 AS BIGINT) AS motor_onset, CAST(0 AS BIGINT) AS hand_exit FROM done GROUP BY session"""))
+def _(spark, sf):
+    t, trace = traced(spark, sf)
+    before = t.select(*L.KEYS, F.col("touch_live").alias("touch"), F.col("motor_onset_live").alias("motor_onset"),
+                      F.col("hand_exit_live").alias("hand_exit"))
+    return A.reprocess_diff(before, L.posthoc(t, trace))
+
+
+@query("r1_timeline", V.with_(V.FS, V.PLAN, DONE, body="""
+SELECT session, block, trial, name AS trial_name, f0 + o AS frame, round_even((f0 + o) / 30.0e0, 3) AS time_s, e AS event, a AS from_state, b AS to_state FROM done, (VALUES
+  (14, 'search_start', '', ''), (24, 'motor_onset', '', ''), (26, 'target_touch', '', ''), (34, 'hand_exit', '', ''), (24, 'trial_end', '', ''),
+  (3, 'state_change', 'init', 'get_test_name'), (8, 'state_change', 'get_test_name', 'test_start_execution'), (19, 'state_change', 'test_start_execution', 'test_execution'),
+  (31, 'state_change', 'test_execution', 'test_motor_recovery'), (36, 'state_change', 'test_motor_recovery', 'test_finish_execution'),
+  (36, 'state_change', 'test_finish_execution', 'init')) s(o, e, a, b)"""))
+def _(spark, sf):
+    t = segmented(spark, sf).where("status = 'test_finish_execution'")
+    t = spark.read.parquet(stored(spark, t, "trials"))
+    marks = trial_marks(t.select("session", "block", "trial", "name", "init", "end", F.col("touch_live").alias("touch"),
+                                 F.col("hand_exit_live").alias("hand_exit"), F.col("motor_onset_live").alias("motor_onset"),
+                                 F.lit(None).cast("int").alias("target_found"), F.lit(None).cast("int").alias("validation")))
+    names = t.select("session", "block", "trial", F.col("name").alias("trial_name"))
+    tl = writers.timeline(marks, G.transitions(t), names, 30.0)
+    return writers.timeline_order(tl).select("session", big("block"), big("trial"), "trial_name", big("frame"), "time_s",
+                                             "event", "from_state", "to_state")
