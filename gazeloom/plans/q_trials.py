@@ -309,11 +309,11 @@ def _(spark, sf):
 
 @query("a38_touched_cell", V.with_(V.FS, OCC, FOC, body="""
 SELECT session, cyc, c, r, round(score, 6) AS score FROM (SELECT session, cyc, c, r, sum(foc) AS score FROM foc GROUP BY session, cyc, c, r
-  QUALIFY row_number() OVER (PARTITION BY session, cyc ORDER BY round(sum(foc), 9) DESC, r, c) = 1) WHERE score >= 0.5e0"""))
+  QUALIFY row_number() OVER (PARTITION BY session, cyc ORDER BY round(sum(foc), 9) DESC, r, c) = 1) WHERE score >= 0.25e0"""))
 def _(spark, sf):
-    f = A.focality(occlusion(spark, sf)).withColumn("foc", F.round(F.col("foc") * 2, 9))
+    f = A.focality(occlusion(spark, sf)).withColumn("foc", F.round(F.col("foc") * 4, 9))
     t = A.touched_cell(f, ("session", "cyc"))
-    return t.select("session", big("cyc"), big("col", "c"), big("row", "r"), r6(F.col("score") / 2, "score"))
+    return t.select("session", big("cyc"), big("col", "c"), big("row", "r"), r6(F.col("score") / 4, "score"))
 
 
 @query("r13_reprocess", V.with_(V.FS, V.PLAN, DONE, body="""
