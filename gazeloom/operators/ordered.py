@@ -47,6 +47,7 @@ def with_row_index(df: DataFrame, keys: list[str], order: list[str], chunk: Colu
 def carry(df: DataFrame, keys: list[str], order: list[str], chunk: Column | str,
           last: dict[str, Column] | None = None, prev: dict[str, Column] | None = None,
           following: dict[str, Column] | None = None,
+          after: dict[str, Column] | None = None,
           running_max: dict[str, Column] | None = None,
           running_sum: dict[str, Column] | None = None) -> DataFrame:
     """Running values per key along ``order`` (which must identify rows), chunk by chunk.
@@ -55,9 +56,9 @@ def carry(df: DataFrame, keys: list[str], order: list[str], chunk: Column | str,
     calls on the same column then share one shuffle.
 
     last: last non-null value up to and with the row; prev: the same without the row;
-    following: next non-null value from the row on; running_max / running_sum: up to the row.
+    following: next non-null value from the row on; after: the same without the row; running_max / running_sum: up to the row.
     """
-    groups = {"last": last or {}, "prev": prev or {}, "next": following or {},
+    groups = {"last": last or {}, "prev": prev or {}, "next": following or {}, "after": after or {},
               "max": running_max or {}, "sum": running_sum or {}}
     own = not isinstance(chunk, str)
     name = CHUNK if own else chunk
@@ -88,8 +89,9 @@ def carry(df: DataFrame, keys: list[str], order: list[str], chunk: Column | str,
                 local = local.withColumn(f"_l_{out}", F.last(v, ignorenulls=True).over(before))
                 aggs.append(F.max_by(v, present).alias(f"_s_{out}"))
                 carried.append((out, F.last(f"_s_{out}", ignorenulls=True).over(sum_before)))
-            elif kind == "next":
-                local = local.withColumn(f"_l_{out}", F.last(v, ignorenulls=True).over(desc))
+            elif kind in ("next", "after"):
+                ahead = desc if kind == "next" else desc.rowsBetween(Window.unboundedPreceding, -1)
+                local = local.withColumn(f"_l_{out}", F.last(v, ignorenulls=True).over(ahead))
                 aggs.append(F.min_by(v, present).alias(f"_s_{out}"))
                 carried.append((out, F.last(f"_s_{out}", ignorenulls=True).over(sum_after)))
             elif kind == "max":
