@@ -1 +1,141 @@
-"""Registered queries."""
+"""Report tables over two versions of the trial table."""
+from pyspark.sql import functions as F
+
+from gazeloom import config as C
+from gazeloom.functions import scalar as S
+from gazeloom.operators import aggregates as A
+from gazeloom.operators import gaze as G
+from gazeloom.operators.ordered import BLOCK, carry, chunk_by, in_blocks
+from gazeloom.plans import views as V
+from gazeloom.plans.q_aggregates import BOTH, CMP, TTL, TV, UNEVEN, VALID, uneven, with_start
+from gazeloom.plans.q_columns import r6
+from gazeloom.plans.q_joins import PRESENCE, exception_plans, target_cells, versions
+from gazeloom.plans.registry import query
+
+lit = S.lit
+big = lambda c, name=None: (F.col(c) if isinstance(c, str) else c).cast("bigint").alias(name or c)
+
+
+@query("r2_detection_health", V.with_(*TV, body="""
+SELECT version, block, trial, count(CASE WHEN init IS NULL THEN 1 END) AS lost, count(CASE WHEN status = 'test_finish_execution' AND init IS NOT NULL THEN 1 END) AS border,
+  count(CASE WHEN status = 'test_finish_by_next_panel' AND init IS NOT NULL THEN 1 END) AS next_panel, round(avg(duration), 6) AS mean_s FROM tv GROUP BY version, block, trial"""))
+def _(spark, sf):
+    valid = S.is_valid_trial(F.col("name"))
+    return versions(spark, sf).groupBy("version", "block", "trial").agg(
+        A.count_if(~valid).alias("lost"), A.count_if(valid & (F.col("status") == "test_finish_execution")).alias("border"),
+        A.count_if(valid & (F.col("status") == "test_finish_by_next_panel")).alias("next_panel"),
+        F.round(F.avg(F.when(valid, F.col("duration"))), 6).alias("mean_s"))
+
+
+@query("r3_mark_coverage", V.with_(*TV, body="""
+SELECT version, mark, round(100.0e0 * count(v) / count(*), 6) AS pct FROM (SELECT version, unnest([{'m': 'target_found', 'v': target_found}, {'m': 'motor_onset', 'v': motor_onset},
+  {'m': 'touch', 'v': touch}, {'m': 'hand_exit', 'v': hand_exit}]) AS s, s.m AS mark, s.v AS v FROM va) GROUP BY version, mark"""))
+def _(spark, sf):
+    m = A.mark_coverage(versions(spark, sf)).where("session IS NULL")
+    return m.unpivot("version", ["target_found", "motor_onset", "touch", "hand_exit"], "mark", "v").select("version", "mark", r6("v", "pct"))
+
+
+@query("r4_outcome_and_confidence", V.with_(*TV, body="""
+SELECT version, coalesce(error_type, '') AS outcome, count(*) AS n, round(100.0e0 * count(*) / sum(count(*)) OVER (PARTITION BY version), 6) AS pct, round(median(confidence), 6) AS median_conf FROM va GROUP BY 1, 2"""))
+def _(spark, sf):
+    t = versions(spark, sf).withColumn("outcome", F.coalesce("error_type", F.lit("")))
+    o = A.outcome_summary(t).where("session IS NULL")
+    totals = o.where("outcome IS NULL").select("version", F.col("n").alias("total"))
+    o = o.where("outcome IS NOT NULL").select("version", "outcome", "n").join(totals, "version")
+    med = A.confidence_tiers(t, keys=("version", "outcome")).select("version", "outcome", r6("median", "median_conf"))
+    return o.join(med, ["version", "outcome"], "left").select(
+        "version", "outcome", "n", r6(F.lit(100.0) * F.col("n") / F.col("total"), "pct"), "median_conf")
+
+
+@query("r5_touch_table", V.with_(*TV, body="""
+SELECT session, block, trial, max(CASE WHEN version = 'v1.3' THEN round(duration, 6) END) AS old_s, max(CASE WHEN version = 'v1.4' THEN round(duration, 6) END) AS new_s,
+  max(CASE WHEN version = 'v1.4' THEN round((touch - init) / CAST(fin - init AS DOUBLE) * duration, 9) END) AS touch_s FROM va GROUP BY session, block, trial"""))
+def _(spark, sf):
+    t = versions(spark, sf).where(S.is_valid_trial(F.col("name")))
+    touch = S.touch_time(F.col("init"), F.col("touch"), F.col("end"), F.col("duration"))
+    of = lambda v, c: F.max(F.when(F.col("version") == v, c))
+    return t.groupBy("session", "block", "trial").agg(
+        of("v1.3", F.round("duration", 6)).alias("old_s"), of("v1.4", F.round("duration", 6)).alias("new_s"),
+        of("v1.4", F.round(touch, 9)).alias("touch_s"))
+
+
+@query("r6_frequencies", V.with_(V.GZ, UNEVEN, body="SELECT count(*) AS sessions, round(avg(rate), 4) AS mean_rate, round(min(cont), 6) AS worst FROM sr"))
+def _(spark, sf):
+    return G.sampling(uneven(spark, sf)).agg(F.count(F.lit(1)).alias("sessions"), F.round(F.avg("rate_hz"), 4).alias("mean_rate"),
+                                             F.round(F.min("continuity"), 6).alias("worst"))
+
+
+@query("r7_behaviour", V.with_(*TV, TTL, body="""
+SELECT CASE measure WHEN 'validation' THEN 'valid' WHEN 'target_found' THEN 'found' WHEN 'motor_onset' THEN 'motor' ELSE measure END AS measure, color, block, round(avg(s), 6) AS mean_s,
+  round(avg(avg(s)) OVER (PARTITION BY measure, color), 6) AS color_mean FROM ll GROUP BY measure, color, block"""))
+def _(spark, sf):
+    from pyspark.sql import Window
+    t = A.time_to_landmark(with_start(V.trials(spark, sf))).where("color IS NOT NULL")
+    return t.select("measure", "color", "block", r6("mean_s"),
+                    r6(F.avg("mean_s").over(Window.partitionBy("measure", "color")), "color_mean"))  # six blocks
+
+
+@query("r8_version_comparison", V.with_(V.TR_OLD, V.TR_NEW, CMP, body="""
+SELECT count(*) AS sessions, CAST(sum(valid_old) AS BIGINT) AS valid_old, CAST(sum(valid_new) AS BIGINT) AS valid_new, CAST(sum(rescued) AS BIGINT) AS rescued,
+  CAST(sum(lost) AS BIGINT) AS lost, round(avg(median_diff), 5) AS mean_shift FROM vs"""))
+def _(spark, sf):
+    s = A.version_summary(A.compare_versions(V.trials(spark, sf, "old"), V.trials(spark, sf)))
+    s = s.withColumn("median_diff", F.round("median_diff", 6))
+    return s.agg(F.count(F.lit(1)).alias("sessions"), *[F.sum(c).alias(c) for c in ("valid_old", "valid_new", "rescued", "lost")],
+                 F.round(F.avg("median_diff"), 5).alias("mean_shift"))
+
+
+@query("r9_presence_and_config", V.with_(V.PLAN, V.TR_NEW, PRESENCE, body="""
+SELECT session, count(CASE WHEN presence = 'Yes' THEN 1 END) AS ok, session % 7 = 0 AS own_plan, CASE WHEN session % 7 = 0 THEN session % 14 = 0 END AS documented FROM pres GROUP BY session"""))
+def _(spark, sf):
+    t = V.trials(spark, sf)
+    p = A.presence(V.plan(spark), t, t).groupBy("session").agg(A.count_if(F.col("presence") == "Yes").alias("ok"))
+    d = A.config_diff(V.plan(spark), exception_plans(spark, sf)).where(F.size("suspicious") > 0)
+    d = d.groupBy("session").agg(F.max("documented").alias("documented"))
+    return p.join(d, "session", "left").select("session", "ok", F.col("documented").isNotNull().alias("own_plan"), "documented")
+
+
+@query("r10_output_completeness", V.with_(V.TR_OLD, V.TR_NEW, body="""
+SELECT s.session, n.session IS NULL AS incomplete, coalesce(n.e, 0) > 2 AS high FROM (SELECT DISTINCT session FROM tr_old) s LEFT JOIN
+  (SELECT session, count(CASE WHEN name LIKE '%error%' THEN 1 END) AS e FROM tr_new WHERE session % 5 <> 0 GROUP BY session) n ON n.session = s.session"""))
+def _(spark, sf):
+    expected = V.trials(spark, sf, "old").select("session").distinct().withColumn("artefact", F.lit("trials"))
+    done = V.trials(spark, sf).where(F.col("session") % 5 != 0)
+    gone = A.incomplete(expected, done.select("session", F.lit("trials").alias("artefact")).distinct())
+    gone = gone.select("session", F.lit(True).alias("incomplete"))
+    tags = A.error_tags(done).select("session", "high")
+    return (expected.select("session").join(gone, "session", "left").join(tags, "session", "left")
+            .select("session", F.coalesce("incomplete", F.lit(False)).alias("incomplete"), F.coalesce("high", F.lit(False)).alias("high")))
+
+
+@query("r11_flagged_trials", V.with_(V.LAYOUT, V.TR_NEW, body="""
+SELECT session, block, trial, error_type, round(CASE WHEN block = 3 THEN 1.0e0 - (l.c + 0.5e0) / 8.0e0 ELSE (l.c + 0.5e0) / 8.0e0 END, 6) AS target_x,
+  round(CASE WHEN block = 3 THEN 1.0e0 - (l.r + 0.5e0) / 5.0e0 ELSE (l.r + 0.5e0) / 5.0e0 END, 6) AS target_y
+FROM tr_new JOIN (SELECT color || '_' || shape AS name, r, c FROM layout WHERE is_piece QUALIFY row_number() OVER (PARTITION BY color, shape ORDER BY r, c) = 1) l USING (name)
+WHERE coalesce(error_type IN ('off_target', 'no_touch'), false) OR coalesce(NOT congruent, false)"""))
+def _(spark, sf):
+    t = V.trials(spark, sf).where(S.is_flagged(F.col("error_type"), F.col("congruent")))
+    t = t.join(F.broadcast(target_cells(spark)), "name")
+    x, y = S.rotate_norm((F.col("col") + lit(0.5)) / lit(8), (F.col("row") + lit(0.5)) / lit(5), F.col("block") == 3)
+    return t.select("session", "block", "trial", "error_type", r6(x, "target_x"), r6(y, "target_y"))
+
+
+@query("r12_trajectories", V.with_(V.GZ, body="""
+SELECT session, n, round(sqrt((nx - x) * (nx - x) + (ny - y) * (ny - y)), 6) AS step, round((n - 1) / CAST(nullif(total - 1, 0) AS DOUBLE), 6) AS progress FROM (
+  SELECT *, lead(x) OVER (PARTITION BY session ORDER BY n) AS nx, lead(y) OVER (PARTITION BY session ORDER BY n) AS ny, count(*) OVER (PARTITION BY session) AS total FROM gz)"""))
+def _(spark, sf):
+    g = V.gz(spark, sf).select("session", (F.col("n") - 1).alias("n"), "x", "y")
+    g = trajectory(g)
+    return g.select("session", (F.col("n") + 1).alias("n"), r6("step"), r6("progress"))
+
+
+def trajectory(points):
+    """Segment to the next point and progress from 0 to 1 along a numbered track."""
+    from pyspark.sql import Window
+    b = in_blocks(points, "n", halo=1)
+    w = Window.partitionBy("session", BLOCK).orderBy("n")
+    b = b.withColumns({"_nx": F.lead("x").over(w), "_ny": F.lead("y").over(w)}).where("_home").drop("_home", BLOCK)
+    b = carry(b, ["session"], ["n"], chunk_by(F.col("n"), 65536), running_max={"_m": F.col("n")},
+              following={"_z": F.when(F.col("_nx").isNull(), F.col("n"))})
+    return b.withColumns({"step": S.hyp(F.col("_nx") - F.col("x"), F.col("_ny") - F.col("y")),
+                          "progress": F.when(F.col("_z") > 0, F.col("n").cast("double") / F.col("_z"))}).drop("_nx", "_ny", "_m", "_z")

@@ -1 +1,96 @@
-"""Registered queries."""
+"""Streaming queries: each processes what is available and returns the table it wrote."""
+from pyspark.sql import functions as F
+
+from gazeloom import config as C
+from gazeloom.functions import scalar as S
+from gazeloom.plans import views as V
+from gazeloom.plans.registry import query
+from gazeloom.sources.writers import scratch_dir
+from gazeloom.streaming import streams as T
+from gazeloom.streaming.segmentation import segment_stream
+
+big = lambda c, name=None: (F.col(c) if isinstance(c, str) else c).cast("bigint").alias(name or c)
+
+
+def event_stream(spark, sf):
+    """Events as a stream of samples."""
+    e = T.read_stream(spark, sf, "events")
+    k = F.regexp_extract("props", "([0-9]+)", 1).cast("int")
+    return e.select(F.col("user_id").alias("session"), F.col("ts").cast("timestamp").alias("ts"), "event_id",
+                    F.col("event_type").alias("kind"), k.alias("k"),
+                    F.least(S.lit(1), S.lit(0.5) + k.cast("double") / S.lit(160)).alias("confidence"))
+
+
+us = lambda c, name: F.unix_micros(F.col(c)).alias(name)
+WINDOW_SQL = """
+SELECT epoch_us(w) AS start_us, session, count(*) AS samples{extra} FROM ({src}) GROUP BY w, session HAVING w + INTERVAL {width} <= (SELECT max(ts) FROM events)"""
+
+
+@query("t16_stream_cleaning")
+def _(spark, sf):
+    e = event_stream(spark, sf)
+    blinks = event_stream(spark, sf).where("kind = 'error'").select(
+        "session", F.col("ts").alias("start"), (F.col("ts") + F.expr("INTERVAL 50 SECONDS")).alias("end"))
+    out, _ = T.run_to_table(T.clean(e.where("kind <> 'error'"), blinks), "clean")
+    return out.select("session", us("ts", "ts_us"), "event_id")
+
+
+@query("t17_stream_alignment")
+def _(spark, sf):
+    frames = event_stream(spark, sf).where("kind = 'view'").select(
+        "session", "event_id", F.col("ts").alias("start"), (F.col("ts") + F.expr("INTERVAL 12 HOURS")).alias("next")
+    ).withColumnRenamed("event_id", "frame")
+    g = event_stream(spark, sf).where("kind = 'click'").select("session", "ts", "event_id")
+    out, _ = T.run_to_table(T.align(g, frames, longest="12 HOURS"), "align")
+    return out.select("session", "event_id", "frame")
+
+
+@query("t18_stream_tumbling", WINDOW_SQL.format(
+    extra=", round(avg(CASE WHEN conf > 0.6e0 THEN 1.0e0 ELSE 0.0e0 END), 6) AS valid_ratio", width="1 DAY",
+    src="SELECT date_trunc('day', ts) AS w, user_id AS session, least(1.0e0, 0.5e0 + CAST(regexp_extract(props, '([0-9]+)', 1) AS DOUBLE) / 160.0e0) AS conf FROM events"))
+def _(spark, sf):
+    w = T.tumbling(event_stream(spark, sf), "1 day", valid=S.confident(F.col("confidence")))
+    out, _ = T.run_to_table(w, "tumbling")
+    return out.select(us("start", "start_us"), "session", "samples", F.round("valid_ratio", 6).alias("valid_ratio"))
+
+
+@query("t18_stream_sliding", WINDOW_SQL.format(
+    extra="", width="2 DAY", src="SELECT date_trunc('day', ts) - to_days(CAST(d AS INTEGER)) AS w, user_id AS session FROM events, range(2) t(d)"))
+def _(spark, sf):
+    out, _ = T.run_to_table(T.sliding(event_stream(spark, sf), "2 days", "1 day"), "sliding")
+    return out.select(us("start", "start_us"), "session", "samples")
+
+
+@query("t18_stream_bouts", """
+SELECT epoch_us(min(ts)) AS start_us, session, count(*) AS samples FROM (
+  SELECT *, sum(op) OVER (PARTITION BY session ORDER BY ts, event_id) AS bout FROM (SELECT user_id AS session, ts, event_id,
+    CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 12 HOUR THEN 0 ELSE 1 END AS op FROM events))
+GROUP BY session, bout HAVING max(ts) + INTERVAL 12 HOUR <= (SELECT max(ts) FROM events)""")
+def _(spark, sf):
+    out, _ = T.run_to_table(T.bouts(event_stream(spark, sf), "12 hours"), "bouts")
+    return out.select(us("start", "start_us"), "session", "samples")
+
+
+@query("t19_stream_late_data")
+def _(spark, sf):
+    """Two deliveries; the second repeats the first week, which the watermark has passed."""
+    e = V.table(spark, sf, "events").select(F.col("user_id").alias("session"), F.col("ts").cast("timestamp").alias("ts"))
+    root = scratch_dir(spark, "late")
+    e.coalesce(1).write.parquet(f"{root}/first")
+    e.where("ts < timestamp '2024-01-08'").coalesce(1).write.parquet(f"{root}/second")
+    stream = (spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True)
+              .parquet(root))
+    out, done = T.run_to_table(T.tumbling(stream, "1 day"), "late-out")
+    return out.agg(F.sum("samples").alias("kept"), F.lit(T.late_rows(done)).alias("dropped"))
+
+
+@query("t20_stream_trials")
+def _(spark, sf):
+    """Trials leave the stream when they close."""
+    f = V.fs(spark, sf)
+    path = scratch_dir(spark, "signals")
+    f.write.parquet(path)
+    s = spark.readStream.schema(f.schema).parquet(path)
+    s = s.withColumn("ts", F.timestamp_micros((F.col("frame").cast("double") / S.lit(30) * S.lit(1e6)).cast("bigint")))
+    out, _ = T.run_to_table(segment_stream(s, C.plan_rows()), "trials")
+    return out.select("session", "block", "trial", "name", "status", "init", "end")
