@@ -15,6 +15,16 @@ def hyp(x: Column, y: Column) -> Column:
     return F.sqrt(x * x + y * y)
 
 
+def epoch_us(ts: Column) -> Column:
+    """Microseconds since 1970 of a TIMESTAMP_NTZ, whatever the session time zone."""
+    return F.timestamp_diff("MICROSECOND", F.expr("timestamp_ntz'1970-01-01 00:00:00'"), ts)
+
+
+def as_instant(ts: Column) -> Column:
+    """A TIMESTAMP_NTZ read as UTC."""
+    return F.timestamp_micros(epoch_us(ts))
+
+
 # ---- filters and predicates -------------------------------------------------
 
 def confident(confidence: Column, threshold: float = C.CONFIDENCE_THRESHOLD) -> Column:

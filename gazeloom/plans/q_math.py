@@ -202,7 +202,7 @@ def _(spark, sf):
     return g.select("session", "n", F.round(m, 4).alias("mass"))
 
 
-@query("u7_cells_of_sample", V.with_(V.GZ, COV, CORNERS, CELLS, body="""
+@query("u6_cells_of_sample", V.with_(V.GZ, COV, CORNERS, CELLS, body="""
 SELECT c, r, count(*) AS samples, round(sum(mass), 3) AS mass FROM cm WHERE mass >= 0.02e0 GROUP BY c, r"""))
 def _(spark, sf):
     m = cell_masses(spark, sf).select("session", "n", F.explode("cells").alias("t")).where(F.col("t.mass") >= lit(0.02))

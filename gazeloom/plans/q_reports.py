@@ -27,9 +27,9 @@ def _(spark, sf):
         F.round(F.avg(F.when(valid, F.col("duration"))), 6).alias("mean_s"))
 
 
-@query("r3_mark_coverage", V.with_(*TV, body="""
-SELECT version, mark, round(100.0e0 * count(v) / count(*), 6) AS pct FROM (SELECT version, unnest([{'m': 'target_found', 'v': target_found}, {'m': 'motor_onset', 'v': motor_onset},
-  {'m': 'touch', 'v': touch}, {'m': 'hand_exit', 'v': hand_exit}]) AS s, s.m AS mark, s.v AS v FROM va) GROUP BY version, mark"""))
+@query("r3_mark_coverage", V.with_(*TV, body=" UNION ALL ".join(
+    f"SELECT version, '{m}' AS mark, round(100.0e0 * count({m}) / count(*), 6) AS pct FROM va GROUP BY version"
+    for m in ("target_found", "motor_onset", "touch", "hand_exit"))))
 def _(spark, sf):
     m = A.mark_coverage(versions(spark, sf)).where("session IS NULL")
     return m.unpivot("version", ["target_found", "motor_onset", "touch", "hand_exit"], "mark", "v").select("version", "mark", r6("v", "pct"))
@@ -48,14 +48,14 @@ def _(spark, sf):
 
 
 @query("r5_touch_table", V.with_(*TV, body="""
-SELECT session, block, trial, max(CASE WHEN version = 'v1.3' THEN round(duration, 6) END) AS old_s, max(CASE WHEN version = 'v1.4' THEN round(duration, 6) END) AS new_s,
+SELECT session, block, trial, max(CASE WHEN version = 'v1.3' THEN round(duration, 9) END) AS old_s, max(CASE WHEN version = 'v1.4' THEN round(duration, 9) END) AS new_s,
   max(CASE WHEN version = 'v1.4' THEN round((touch - init) / CAST(fin - init AS DOUBLE) * duration, 9) END) AS touch_s FROM va GROUP BY session, block, trial"""))
 def _(spark, sf):
     t = versions(spark, sf).where(S.is_valid_trial(F.col("name")))
     touch = S.touch_time(F.col("init"), F.col("touch"), F.col("end"), F.col("duration"))
     of = lambda v, c: F.max(F.when(F.col("version") == v, c))
     return t.groupBy("session", "block", "trial").agg(
-        of("v1.3", F.round("duration", 6)).alias("old_s"), of("v1.4", F.round("duration", 6)).alias("new_s"),
+        of("v1.3", F.round("duration", 9)).alias("old_s"), of("v1.4", F.round("duration", 9)).alias("new_s"),
         of("v1.4", F.round(touch, 9)).alias("touch_s"))
 
 

@@ -16,7 +16,7 @@ def event_stream(spark, sf):
     """Events as a stream of samples."""
     e = T.read_stream(spark, sf, "events")
     k = F.regexp_extract("props", "([0-9]+)", 1).cast("int")
-    return e.select(F.col("user_id").alias("session"), F.col("ts").cast("timestamp").alias("ts"), "event_id",
+    return e.select(F.col("user_id").alias("session"), S.as_instant(F.col("ts")).alias("ts"), "event_id",
                     F.col("event_type").alias("kind"), k.alias("k"),
                     F.least(S.lit(1), S.lit(0.5) + k.cast("double") / S.lit(160)).alias("confidence"))
 
@@ -74,10 +74,10 @@ def _(spark, sf):
 @query("t19_stream_late_data")
 def _(spark, sf):
     """Two deliveries; the second repeats the first week, which the watermark has passed."""
-    e = V.table(spark, sf, "events").select(F.col("user_id").alias("session"), F.col("ts").cast("timestamp").alias("ts"))
+    e = V.table(spark, sf, "events").select(F.col("user_id").alias("session"), S.as_instant(F.col("ts")).alias("ts"))
     root = scratch_dir(spark, "late")
     e.coalesce(1).write.parquet(f"{root}/first")
-    e.where("ts < timestamp '2024-01-08'").coalesce(1).write.parquet(f"{root}/second")
+    e.where(F.unix_micros("ts") < 1704672000000000).coalesce(1).write.parquet(f"{root}/second")
     stream = (spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True)
               .parquet(root))
     out, done = T.run_to_table(T.tumbling(stream, "1 day"), "late-out")

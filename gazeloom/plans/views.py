@@ -26,7 +26,7 @@ def gz(spark, sf_dir) -> DataFrame:
     e = table(spark, sf_dir, "events").select(
         F.col("user_id").alias("session"), "ts", "event_id", F.col("event_type").alias("kind"), "props")
     # 60 s slices of the event clock; ts is compared as a number of microseconds.
-    e = e.withColumn("_us", F.unix_micros(F.col("ts").cast("timestamp")))
+    e = e.withColumn("_us", S.epoch_us(F.col("ts")))
     e = with_row_index(e, ["session"], ["ts", "event_id"], chunk_by(F.col("_us"), 60e6), "n", start=1)
     e = e.withColumn("k", F.regexp_extract("props", "([0-9]+)", 1).cast("int"))
     u, n, k = F.col("session"), F.col("n"), F.col("k")

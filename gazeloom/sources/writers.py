@@ -24,14 +24,20 @@ SEQUENCE_COLUMNS = [
 TIMELINE_COLUMNS = ["block_index", "trial_index", "trial_name", "frame", "time_s", "event", "from_state", "to_state"]
 
 
+_own_root: str | None = None
+
+
 def scratch_dir(spark: SparkSession, purpose: str) -> str:
-    """A new folder below the session's shared checkpoint folder."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if root is None:
-        root = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if root is None:
-        root = tempfile.mkdtemp(prefix="gazeloom-")
-        spark.conf.set("spark.checkpoint.dir", root)
+    """A new folder below the shared folder named by ``spark.checkpoint.dir``.
+
+    Only where that setting is absent, as in local tests, a temporary folder of this process serves.
+    """
+    global _own_root
+    root = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not root:
+        if _own_root is None:
+            _own_root = tempfile.mkdtemp(prefix="gazeloom-")
+        root = _own_root
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 
