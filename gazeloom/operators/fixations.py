@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from gazeloom import config as C
 from gazeloom.functions import scalar as S
 from gazeloom.functions.vectorised import cell_mass_udf
-from gazeloom.operators.ordered import BLOCK, BLOCK_ROWS, carry, chunk_by, in_blocks
+from gazeloom.operators.ordered import BLOCK, BLOCK_ROWS, carry, chunk_by, in_blocks, spread
 
 PIECE = "_piece"
 
@@ -93,7 +93,7 @@ def idt_fixations(df: DataFrame, keys: list[str], idx: str = "n", frame: str = "
     far = lambda w: (F.abs(F.col("x") - F.lag("x").over(w)) + F.abs(F.col("y") - F.lag("y").over(w))
                      > S.lit(dispersion))
     p = pieces(df.select(*keys, idx, frame, "x", "y"), keys, idx, far, block)
-    p = p.repartition(*keys, PIECE).sortWithinPartitions(*keys, PIECE, idx)
+    p = spread(p, *keys, PIECE).sortWithinPartitions(*keys, PIECE, idx)
     types = dict(p.dtypes)
     schema = ", ".join(f"{k} {types[k]}" for k in keys) + (
         f", start_n bigint, end_n bigint, start_frame {types[frame]}, end_frame {types[frame]}, samples bigint")
@@ -173,7 +173,7 @@ def centroid_fixations(df: DataFrame, keys: list[str], idx: str = "n", ts: str =
     """
     apart = lambda w: F.col(ts) - F.lag(ts).over(w) >= S.lit(gap)
     p = pieces(df.select(*keys, idx, ts, "x", "y"), keys, idx, apart, block)
-    p = p.repartition(*keys, PIECE).sortWithinPartitions(*keys, PIECE, idx)
+    p = spread(p, *keys, PIECE).sortWithinPartitions(*keys, PIECE, idx)
     types = dict(p.dtypes)
     schema = ", ".join(f"{k} {types[k]}" for k in keys) + ", t double, x double, y double, samples bigint"
 

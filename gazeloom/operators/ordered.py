@@ -25,6 +25,16 @@ def chunk_by(value: Column, width: float) -> Column:
     return F.floor(value / F.lit(float(width))).cast("bigint")
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash-partitions by ``keys`` into the session's number of shuffle partitions.
+
+    Ahead of Python work: adaptive execution sizes partitions by bytes and would put little data
+    with much work per row into one task.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(n, *keys)
+
+
 def _order_key(order: list[str]) -> Column:
     return F.col(order[0]) if len(order) == 1 else F.struct(*order)
 

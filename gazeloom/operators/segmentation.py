@@ -12,13 +12,14 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gazeloom import config as C
 from gazeloom.functions import scalar as S
-from gazeloom.operators.ordered import carry, chunk_by
-from gazeloom.operators.windows import FRAME_CHUNK, panel_confirmed
+from gazeloom.operators.ordered import BLOCK, carry, chunk_by, in_blocks, spread
+from gazeloom.operators.windows import FRAME_CHUNK
+from gazeloom.sources.writers import materialise
 
 INIT, NAME, START, RUN, RECOVER, FINISH = (
     "init", "get_test_name", "test_start_execution", "test_execution", "test_motor_recovery", "test_finish_execution")
@@ -239,16 +240,26 @@ def stretches(signals: DataFrame, chunk: int = FRAME_CHUNK) -> DataFrame:
     """Frames from the first confirmed panel on, in stretches of one panel each.
 
     Adds ``grp`` (frame the stretch begins at), ``target`` and ``panel`` (same / other). The first
-    frame of a stretch also closes the one before it.
+    frame of a stretch also closes the one before it. Frames are numbered without gaps.
     """
     panel = F.when(F.col("panel_color").isNotNull() & F.col("panel_shape").isNotNull(),
                    S.trial_name(F.col("panel_color"), F.col("panel_shape")))
-    f = panel_confirmed(signals.select("session", "frame", *SIGNALS, "panel_color", "panel_shape"),
-                        panel, C.PANEL_CONFIRM, chunk=chunk).drop("panel_color", "panel_shape", "panel_run", "panel_since")
+    halo = C.PANEL_CONFIRM - 1
+    f = in_blocks(signals.withColumn("_p", panel), "frame", halo, max(chunk, halo))
+    w = Window.partitionBy("session", BLOCK).orderBy("frame")
+    held = F.lit(True)
+    for i in range(1, halo + 1):
+        held = held & F.coalesce(F.lag("_p", i).over(w) == F.col("_p"), F.lit(False))
+    f = f.withColumn("confirmed", F.when(held, F.col("_p"))).where("_home")
+
+    # One row per change of panel; every frame below looks these up, so they are stored once.
     slices = chunk_by(F.col("frame"), chunk)
-    f = carry(f, ["session"], ["frame"], slices, prev={"_was": F.col("confirmed")})
-    opens = F.col("confirmed").isNotNull() & ~F.col("confirmed").eqNullSafe(F.col("_was"))
-    f = f.withColumn("_mark", F.when(opens, F.struct(F.col("frame").alias("grp"), F.col("confirmed").alias("target"))))
+    seen = f.where(F.col("confirmed").isNotNull()).select("session", "frame", "confirmed")
+    seen = carry(seen, ["session"], ["frame"], slices, prev={"_was": F.col("confirmed")})
+    marks = materialise(seen.where(~F.col("confirmed").eqNullSafe(F.col("_was"))).select(
+        "session", "frame", F.struct(F.col("frame").alias("grp"), F.col("confirmed").alias("target")).alias("_mark")), "panels")
+
+    f = f.select("session", "frame", "confirmed", *SIGNALS).join(marks, ["session", "frame"], "left")
     f = carry(f, ["session"], ["frame"], slices, last={"_own": F.col("_mark")}, prev={"_last": F.col("_mark")})
     own = F.struct(F.col("_own.grp").alias("grp"), F.col("_own.target").alias("target"),
                    F.when(F.col("confirmed").isNotNull(), "same").alias("panel"))
@@ -264,7 +275,7 @@ def would_be_trials(signals: DataFrame, chunk: int = FRAME_CHUNK) -> DataFrame:
     """One row per showing of a panel that would open a trial, with everything the frames decide."""
     s = stretches(signals, chunk).withColumn("grp", F.col("grp").cast("bigint"))
     key_type = dict(s.dtypes)["session"]
-    s = s.repartition("session", "grp").sortWithinPartitions("session", "grp", "frame")
+    s = spread(s, "session", "grp").sortWithinPartitions("session", "grp", "frame")
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         current = trial = None

@@ -12,10 +12,10 @@ from gazeloom.plans import views as V
 from gazeloom.plans.q_columns import r6
 from gazeloom.plans.q_joins import FOC, OCC, occlusion
 from gazeloom.plans.q_math import CELLS, CORNERS, COV, with_cov
-from gazeloom.plans.q_sources import stored, trial_marks
+from gazeloom.plans.q_sources import trial_marks
 from gazeloom.plans.q_windows import BUMP, RUNS, TRIAL, cycles
 from gazeloom.plans.registry import query
-from gazeloom.sources import readers, writers
+from gazeloom.sources import writers
 
 lit = S.lit
 big = lambda c, name=None: (F.col(c) if isinstance(c, str) else c).cast("bigint").alias(name or c)
@@ -166,8 +166,8 @@ def _(spark, sf):
 def traced(spark, sf):
     """Finished trials and their trace, both stored once: several steps read them again."""
     t = segmented(spark, sf).where("status = 'test_finish_execution'")
-    t = spark.read.parquet(stored(spark, t, "trials"))
-    return t, spark.read.parquet(stored(spark, G.trace(t, V.fs(spark, sf)), "trace"))
+    t = writers.materialise(t, "trials")
+    return t, writers.materialise(G.trace(t, V.fs(spark, sf)), "trace")
 
 
 @query("s14_read_signal_trace", V.with_(V.FS, V.PLAN, DONE, body="SELECT session, block, trial, 18 AS n, f0 + 19 AS first_frame, f0 + 35 AS last_frame FROM done"))
@@ -333,7 +333,7 @@ SELECT session, block, trial, name AS trial_name, f0 + o AS frame, round_even((f
   (36, 'state_change', 'test_finish_execution', 'init')) s(o, e, a, b)"""))
 def _(spark, sf):
     t = segmented(spark, sf).where("status = 'test_finish_execution'")
-    t = spark.read.parquet(stored(spark, t, "trials"))
+    t = writers.materialise(t, "trials")
     marks = trial_marks(t.select("session", "block", "trial", "name", "init", "end", F.col("touch_live").alias("touch"),
                                  F.col("hand_exit_live").alias("hand_exit"), F.col("motor_onset_live").alias("motor_onset"),
                                  F.lit(None).cast("int").alias("target_found"), F.lit(None).cast("int").alias("validation")))

@@ -5,12 +5,15 @@ whole session, so one very long session does not end up in one task.
 """
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gazeloom import config as C
 from gazeloom.functions import scalar as S
 from gazeloom.operators.ordered import chunk_by, with_row_index
+from gazeloom.sources.writers import scratch_dir
 
 lit = S.lit
 
@@ -19,8 +22,33 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_stored: dict = {}
+
+
+def stored_view(*order):
+    """Derives a view once per application and scale, as a table in the shared folder, in ``order``.
+
+    Numbering the rows of every session takes two passes over the source; the queries then
+    scan the numbered table like any recording, with column pruning and filter pushdown.
+    """
+    def wrap(build):
+        @functools.wraps(build)
+        def view(spark, sf_dir, *args):
+            key = (spark.sparkContext.applicationId, str(sf_dir), build.__name__, args)
+            if key not in _stored:
+                path = scratch_dir(spark, build.__name__)
+                n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+                # Ranges of (session, position): files hold neighbouring rows, a long session spans many files.
+                build(spark, sf_dir, *args).repartitionByRange(n, *order).write.parquet(path)
+                _stored[key] = path
+            return spark.read.parquet(_stored[key])
+        return view
+    return wrap
+
+
 # ---- gaze samples from events --------------------------------------------------
 
+@stored_view("session", "n")
 def gz(spark, sf_dir) -> DataFrame:
     """session, n, t, conf, x, y, kind, k."""
     e = table(spark, sf_dir, "events").select(
@@ -126,6 +154,7 @@ CYCLE = 40
 FS_ORDER = ["l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice"]
 
 
+@stored_view("session", "frame")
 def fs(spark, sf_dir) -> DataFrame:
     """One synthetic trial per 40 frames; see the README for its shape."""
     li = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("session"), *FS_ORDER, "l_discount")
@@ -157,6 +186,7 @@ FS = """fs AS (SELECT session, frame, p, cyc, p BETWEEN 10 AND 24 AND p <> 13 AS
 
 # ---- trial tables from orders ---------------------------------------------------------
 
+@stored_view("session", "block", "trial")
 def trials(spark, sf_dir, version: str = "new") -> DataFrame:
     """A trial table per software version, keyed by (session, block, trial)."""
     o = table(spark, sf_dir, "orders")

@@ -41,6 +41,13 @@ def scratch_dir(spark: SparkSession, purpose: str) -> str:
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 
+def materialise(df: DataFrame, name: str) -> DataFrame:
+    """Writes ``df`` to the shared folder and reads it back: computed once, lineage cut, safe when executors go."""
+    path = scratch_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def write_outputs(df: DataFrame, root: str, table: str, partitions=("sw_version", "topic", "session")) -> str:
     """Replaces only the partitions present in ``df``. Rows of one session are spread over
     several files by trial, so a long session is not written by one task."""
