@@ -15,6 +15,11 @@ def hyp(x: Column, y: Column) -> Column:
     return F.sqrt(x * x + y * y)
 
 
+def ratio(a: Column, b: Column) -> Column:
+    """a / b, NULL where b is 0 (ANSI mode would fail the query)."""
+    return a / F.nullif(b, lit(0))
+
+
 def epoch_us(ts: Column) -> Column:
     """Microseconds since 1970 of a TIMESTAMP_NTZ, whatever the session time zone."""
     return F.timestamp_diff("MICROSECOND", F.expr("timestamp_ntz'1970-01-01 00:00:00'"), ts)
@@ -95,7 +100,7 @@ def undistort(df: DataFrame, px: str, py: str, out_x: str, out_y: str,
 
 def apply_homography(x: Column, y: Column, h: Column) -> tuple[Column, Column]:
     w = h[6] * x + h[7] * y + h[8]
-    return (h[0] * x + h[1] * y + h[2]) / w, (h[3] * x + h[4] * y + h[5]) / w
+    return ratio(h[0] * x + h[1] * y + h[2], w), ratio(h[3] * x + h[4] * y + h[5], w)
 
 
 def grid_box(warp_w: Column, warp_h: Column, frac=C.GRID_FRAC):
@@ -302,13 +307,13 @@ def major_angle(xx: Column, xy: Column, yy: Column) -> Column:
 
 def cholesky(xx: Column, xy: Column, yy: Column) -> tuple[Column, Column, Column]:
     l11 = F.sqrt(xx)
-    l21 = xy / l11
+    l21 = ratio(xy, l11)
     return l11, l21, F.sqrt(yy - l21 * l21)
 
 
 def inverse(xx: Column, xy: Column, yy: Column) -> tuple[Column, Column, Column]:
     det = xx * yy - xy * xy
-    return yy / det, -xy / det, xx / det
+    return ratio(yy, det), ratio(-xy, det), ratio(xx, det)
 
 
 def ellipse(xx: Column, xy: Column, yy: Column, scale: float = 1.0):

@@ -93,32 +93,33 @@ def _window_covariance(b: DataFrame, near, usable: Column) -> DataFrame:
         "_n": F.count(F.lit(1)).over(near), "_w2": F.sum(w * w).over(near),
         "_qxx": F.sum(w * x * x).over(near), "_qyy": F.sum(w * y * y).over(near),
         "_qxy": F.sum(w * x * y).over(near)}).where("_home")
-    ox, oy, sw = F.col("sx") - S.lit(0.5), F.col("sy") - S.lit(0.5), F.col("_sw")
-    b = b.withColumn("_neff", F.greatest(S.lit(1), sw * sw / F.col("_w2")))
+    ox, oy, sw = F.col("sx") - S.lit(0.5), F.col("sy") - S.lit(0.5), F.nullif(F.col("_sw"), S.lit(0))
+    b = b.withColumn("_neff", F.greatest(S.lit(1), S.ratio(sw * sw, F.col("_w2"))))
     b = b.withColumns({
         "_exx": F.greatest(S.lit(0), F.col("_qxx") / sw - ox * ox) / F.col("_neff"),
         "_eyy": F.greatest(S.lit(0), F.col("_qyy") / sw - oy * oy) / F.col("_neff"),
         "_exy": (F.col("_qxy") / sw - ox * oy) / F.col("_neff"),
-        "_jxx": F.col("base_xx") / sw + S.lit(1e-15), "_jxy": F.col("base_xy") / sw,
-        "_jyy": F.col("base_yy") / sw + S.lit(1e-15)})
+        "_jxx": F.coalesce(F.col("base_xx") / sw, F.col("base_xx")) + S.lit(1e-15),
+        "_jxy": F.coalesce(F.col("base_xy") / sw, F.col("base_xy")),
+        "_jyy": F.coalesce(F.col("base_yy") / sw, F.col("base_yy")) + S.lit(1e-15)})
     # Scatter relative to the formal covariance: eigenvalues of J^-1 E from its trace and determinant.
     # Raising those below 1 to 1 leaves a combination of E and J, so no factor is ever formed.
     e, j = [F.col(f"_e{k}") for k in ("xx", "xy", "yy")], [F.col(f"_j{k}") for k in ("xx", "xy", "yy")]
     b = b.withColumn("_det", j[0] * j[2] - j[1] * j[1])
-    b = b.withColumn("_half", (j[2] * e[0] + j[0] * e[2] - S.lit(2) * j[1] * e[1]) / F.col("_det") / S.lit(2))
+    b = b.withColumn("_half", S.ratio(j[2] * e[0] + j[0] * e[2] - S.lit(2) * j[1] * e[1], S.lit(2) * F.col("_det")))
     spread = F.sqrt(F.greatest(S.lit(0), F.col("_half") * F.col("_half")
-                               - (e[0] * e[2] - e[1] * e[1]) / F.col("_det")))
+                               - S.ratio(e[0] * e[2] - e[1] * e[1], F.col("_det"))))
     b = b.withColumn("_spread", spread)
     small = F.col("_half") - F.col("_spread")
     part = (F.when(small >= 1, S.lit(1))
-            .otherwise((F.col("_half") + F.col("_spread") - S.lit(1)) / (S.lit(2) * F.col("_spread"))))
-    floor = (F.col("_n") >= 3) & (sw > 0)
+            .otherwise(S.ratio(F.col("_half") + F.col("_spread") - S.lit(1), S.lit(2) * F.col("_spread"))))
+    floor = (F.col("_n") >= 3) & (F.col("_sw") > 0)
     b = b.withColumn("_a", F.when(~floor, S.lit(0)).when(F.col("_det") <= 0, S.lit(1))
                      .when(F.col("_half") + F.col("_spread") > 1, part).otherwise(S.lit(0)))
     b = b.withColumn("_b", F.when((F.col("_det") <= 0) | (F.col("_a") == 0), S.lit(1)).when(small >= 1, S.lit(0))
                      .otherwise(S.lit(1) - small * F.col("_a")))
     cov = {f"cov_{k}": F.when(usable & F.col("factor").isNotNull(),
-                              F.col("_a") * F.col(f"_e{k}") + F.col("_b") * F.col(f"_j{k}") + F.col(f"bias_{k}"))
+                              F.col("_a") * F.coalesce(F.col(f"_e{k}"), S.lit(0)) + F.col("_b") * F.col(f"_j{k}") + F.col(f"bias_{k}"))
            for k in ("xx", "xy", "yy")}
     temp = ["_n", "_w2", "_qxx", "_qyy", "_qxy", "_neff", "_exx", "_eyy", "_exy", "_jxx", "_jxy", "_jyy",
             "_det", "_half", "_spread", "_a", "_b"]
