@@ -127,14 +127,17 @@ def version_summary(compared: DataFrame) -> DataFrame:
     return sums.join(med, "session", "left")
 
 
-def presence(plan: DataFrame, sessions: DataFrame, trials: DataFrame) -> DataFrame:
-    """Status of every planned trial in every session: Yes, Miss, No-end, No-init, No or --.
+def plan_array(plan: DataFrame):
+    """The entries of one plan file (60 rows) as a literal array, so pairing them with sessions needs no join."""
+    rows = sorted((r.block, r.pos, r.trial, r.name) for r in plan.select("block", "pos", "trial", "name").collect())
+    return F.array(*[F.struct(F.lit(b).alias("block"), F.lit(p).alias("pos"), F.lit(t).alias("trial"), F.lit(n).alias("name"))
+                     for b, p, t, n in rows])
 
-    The plan is one short list (60 entries), repeated per session as an array.
-    """
-    entries = plan.agg(F.sort_array(F.collect_list(F.struct("block", "trial", F.col("name").alias("expected")))).alias("_e"))
-    wanted = (sessions.select("session").distinct().join(F.broadcast(entries))  # one row
-              .select("session", F.explode("_e").alias("e")).select("session", "e.*"))
+
+def presence(plan: DataFrame, sessions: DataFrame, trials: DataFrame) -> DataFrame:
+    """Status of every planned trial in every session: Yes, Miss, No-end, No-init, No or --."""
+    wanted = (sessions.select("session").distinct().select("session", F.explode(plan_array(plan)).alias("e"))
+              .select("session", "e.block", "e.trial", F.col("e.name").alias("expected")))
     got = trials.select("session", "block", "trial", F.col("name").alias("got"))
     j = wanted.join(got, ["session", "block", "trial"], "left")
     tagged = lambda tag: F.col("got") == F.concat(F.lit(tag), F.col("expected"))

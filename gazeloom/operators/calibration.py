@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from gazeloom import config as C
 from gazeloom.functions import scalar as S
 from gazeloom.operators.ordered import carry, chunk_by, exact_percentile, with_row_index
+from gazeloom.sources.writers import materialise
 
 DOT = ["session", "panel", "dot"]
 
@@ -54,8 +55,9 @@ def gate(errors: DataFrame, reps: int = C.BOOTSTRAP_REPS, min_base: float = C.GA
 
     Draws come from arithmetic on (repetition, position), so every run sees the same ones.
     """
-    e = with_row_index(errors.select("session", "panel", "dot", "base", "corr"), ["session"], ["panel", "dot"],
-                       chunk_by(F.col("panel"), 64.0), "i")
+    # Read three times below, once per repetition: stored, not recomputed.
+    e = materialise(with_row_index(errors.select("session", "panel", "dot", "base", "corr"), ["session"], ["panel", "dot"],
+                                   chunk_by(F.col("panel"), 64.0), "i"), "errors")
     # One row per recording: its number of dots and the plain medians.
     med = lambda c: F.percentile(c, F.lit(0.5))
     whole = e.groupBy("session").agg(F.count(F.lit(1)).alias("n_points"), med("base").alias("base_px"), med("corr").alias("corr_px"))
@@ -135,10 +137,10 @@ def artifacts(points: DataFrame, dots: DataFrame, min_samples: int = C.BIN_MIN_S
     panels = dots.groupBy("session").agg(F.count_distinct("panel").alias("panels"))
     enough = panels.where(F.col("panels") >= 3).select("session")
     used = dots.join(enough, "session", "left_semi")
-    errors = leave_one_out(used)
-    gates = gate(errors)
-    jit = jitter(points.join(enough, "session", "left_semi"))
-    pool = jitter_cov(jit)
+    errors = materialise(leave_one_out(used), "residuals")
+    gates = materialise(gate(errors), "gates")
+    jit = materialise(jitter(points.join(enough, "session", "left_semi")), "jitter")
+    pool = materialise(jitter_cov(jit), "pool")
     pairs = lambda df, key, order: df.groupBy("session").agg(  # at most five entries
         F.array_sort(F.collect_list(F.struct(order, key, "factor"))).alias("_l")).select(
         "session", F.col("_l").getField(key).alias(key), F.col("_l").getField("factor").alias("factor"))

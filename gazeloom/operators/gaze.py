@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from gazeloom import config as C
 from gazeloom.functions import scalar as S
 from gazeloom.operators.ordered import BLOCK, BLOCK_ROWS, carry, chunk_by, exact_percentile, in_blocks, with_row_index
-from gazeloom.operators.timejoins import CHUNK_S, exclude_blinks, interpolate_offsets, segment_of
+from gazeloom.operators.timejoins import CHUNK_S, exclude_blinks, interpolate_offsets
 
 
 def index_samples(df: DataFrame, order=("ts",), chunk_s: float = CHUNK_S, out: str = "n") -> DataFrame:
@@ -138,8 +138,7 @@ def drift_correct(gaze: DataFrame, artifacts: DataFrame, frames: DataFrame, chun
     marks = usable.select("session", F.posexplode("calib_segment_times").alias("mark", "t"))
     g = segment_like(gaze, start).withColumn("_rel", F.col("ts") - F.col("_t0"))
     lost = g.where(F.col("_rel").isNull()).withColumns({"off_x": S.lit(0), "off_y": S.lit(0)})
-    g = segment_of(g.where(F.col("_rel").isNotNull()), marks, "_rel", chunk_s)
-    g = interpolate_offsets(g, panels, "_rel", chunk_s).unionByName(lost, allowMissingColumns=True)
+    g = interpolate_offsets(g.where(F.col("_rel").isNotNull()), panels, marks, "_rel", chunk_s).unionByName(lost, allowMissingColumns=True)
     return (g.withColumns({"x": F.col("x") - F.col("off_x"), "y": F.col("y") + F.col("off_y")})
             .drop("off_x", "off_y", "seg", "_rel", "_t0"))
 

@@ -86,17 +86,21 @@ def in_panel_interval(gaze: DataFrame, panels: DataFrame, ts: str = "ts", chunk_
             .withColumn("panel", F.col("_panel.panel")).drop("_panel"))
 
 
-def interpolate_offsets(rows: DataFrame, panels: DataFrame, ts: str = "t", chunk_s: float = CHUNK_S) -> DataFrame:
+def interpolate_offsets(rows: DataFrame, panels: DataFrame, marks: DataFrame, ts: str = "t",
+                        chunk_s: float = CHUNK_S) -> DataFrame:
     """Offset at each row, linear between the panels around it in its own segment.
 
-    ``rows`` carry ``seg``; ``panels``: session, t, seg, off_x, off_y. Beyond the outer
-    panels of a segment the offset is constant; without a panel in the segment it is 0.
+    ``panels``: session, t, seg, off_x, off_y; ``marks``: session, t, mark as for :func:`segment_of`.
+    Beyond the outer panels of a segment the offset is constant; without a panel in the segment it is 0.
+    One pass over the rows finds the segment and both panels.
     """
     panel = F.struct(F.col("seg"), F.col("t"), F.col("off_x"), F.col("off_y"))
     s = _stream(rows, panels, ["session"], ts, "t", panel)
+    m = marks.select("session", F.col("t").alias("_ts"), F.lit(-1).alias("_side"), F.col("mark").alias("_mark"))
+    s = s.unionByName(m, allowMissingColumns=True)
     s = carry(s, ["session"], ["_ts", "_side"], chunk_by(F.col("_ts"), chunk_s),
-              last={"_p": F.col("_value")}, following={"_f": F.col("_value")})
-    s = _restore(s, ["session"], ["_p", "_f"])
+              last={"_p": F.col("_value"), "seg": F.col("_mark")}, following={"_f": F.col("_value")})
+    s = _restore(s, ["session"], ["_p", "_f", "seg"]).withColumn("seg", F.coalesce("seg", F.lit(0)).cast("int"))
     same = lambda c: F.when(F.col(f"{c}.seg") == F.col("seg"), F.col(c))
     s = s.withColumns({"_p": same("_p"), "_f": same("_f")})
 

@@ -104,7 +104,7 @@ def _(spark, sf):
     marks = V.marks(spark, sf)
     applied = F.col("session") % 3 != 0  # sessions whose calibration passed the gate
     panels = J.segment_of(V.panels(spark, sf).where(applied), marks)
-    g = J.interpolate_offsets(J.segment_of(V.gz(spark, sf), marks), panels)
+    g = J.interpolate_offsets(V.gz(spark, sf), panels, marks)
     return g.select("session", "n", r6(F.col("x") - F.col("off_x"), "x"), r6(F.col("y") + F.col("off_y"), "y"))
 
 

@@ -74,9 +74,8 @@ offs AS (SELECT b.session, b.n, b.x, b.y,
 SELECT session, n, round(off_x, 6) AS off_x, round(off_y, 6) AS off_y FROM offs"""))
 def _(spark, sf):
     marks = V.marks(spark, sf)
-    g = J.segment_of(V.gz(spark, sf), marks)
     p = J.segment_of(V.panels(spark, sf), marks)
-    return J.interpolate_offsets(g, p).select("session", "n", r6("off_x"), r6("off_y"))
+    return J.interpolate_offsets(V.gz(spark, sf), p, marks).select("session", "n", r6("off_x"), r6("off_y"))
 
 
 @query("j6_lookup_cell", V.with_(V.GZ, V.GC, V.LAYOUT, body="""

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from gazeloom import config as C
 from gazeloom import schemas
+from gazeloom.operators.aggregates import plan_array
 from gazeloom.operators.gaze import number_frames
 from gazeloom.functions import scalar as S
 
@@ -86,17 +87,13 @@ def read_trial_plans(spark: SparkSession, path: str) -> DataFrame:
 
 
 def resolve_plan(sessions: DataFrame, plans: DataFrame) -> DataFrame:
-    """Plan of every session: its own file where it has one, the default otherwise.
-
-    The default is one short list, so it travels as an array on each session row.
-    """
-    default = plans.where(F.col("session").isNull())
+    """Plan of every session: its own file where it has one, the default otherwise."""
     own = plans.where(F.col("session").isNotNull())
-    entries = default.agg(F.sort_array(F.collect_list(F.struct("block", "pos", "trial", "name"))).alias("_e"))
-    plain = (sessions.select("session").distinct().join(own.select("session").distinct(), "session", "left_anti")
-             .join(F.broadcast(entries))  # one row: the default plan
-             .select("session", F.explode("_e").alias("e")).select("session", "e.*"))
-    listed = own.join(sessions.select("session").distinct(), "session", "left_semi")
+    entries = plan_array(plans.where(F.col("session").isNull()))
+    wanted = sessions.select("session").distinct()
+    plain = (wanted.join(own.select("session").distinct(), "session", "left_anti")
+             .select("session", F.explode(entries).alias("e")).select("session", "e.*"))
+    listed = own.join(wanted, "session", "left_semi")
     return plain.unionByName(listed.select("session", "block", "pos", "trial", "name"))
 
 
