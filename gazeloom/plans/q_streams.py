@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 from gazeloom import config as C
 from gazeloom.functions import scalar as S
 from gazeloom.plans import views as V
+from gazeloom.plans.q_trials import DONE
 from gazeloom.plans.registry import query
 from gazeloom.sources.writers import scratch_dir
 from gazeloom.streaming import streams as T
@@ -35,7 +36,9 @@ def _(spark, sf):
     return out.select("session", us("ts", "ts_us"), "event_id")
 
 
-@query("t17_stream_alignment")
+@query("t17_stream_alignment", """
+SELECT g.user_id AS session, g.event_id, f.event_id AS frame FROM events g JOIN events f ON f.user_id = g.user_id AND f.event_type = 'view'
+  AND g.ts >= f.ts AND g.ts < f.ts + INTERVAL 12 HOUR WHERE g.event_type = 'click'""")
 def _(spark, sf):
     frames = event_stream(spark, sf).where("kind = 'view'").select(
         "session", "event_id", F.col("ts").alias("start"), (F.col("ts") + F.expr("INTERVAL 12 HOURS")).alias("next")
@@ -84,7 +87,8 @@ def _(spark, sf):
     return out.agg(F.sum("samples").alias("kept"), F.lit(T.late_rows(done)).alias("dropped"))
 
 
-@query("t20_stream_trials")
+@query("t20_stream_trials", V.with_(V.FS, V.PLAN, DONE, body="""
+SELECT session, block, trial, name, 'test_finish_execution' AS status, f0 + 14 AS init, f0 + 24 AS fin FROM done"""))
 def _(spark, sf):
     """Trials leave the stream when they close."""
     f = V.fs(spark, sf)
@@ -93,4 +97,4 @@ def _(spark, sf):
     s = spark.readStream.schema(f.schema).parquet(path)
     s = s.withColumn("ts", F.timestamp_micros((F.col("frame").cast("double") / S.lit(30) * S.lit(1e6)).cast("bigint")))
     out, _ = T.run_to_table(segment_stream(s, C.plan_rows()), "trials")
-    return out.select("session", "block", "trial", "name", "status", "init", "end")
+    return out.select("session", big("block"), big("trial"), "name", "status", big("init"), big("end", "fin"))

@@ -112,16 +112,22 @@ def _(spark, sf):
     return t.where(~F.col("name").startswith("end_of_video")).select("session", big("block"), big("trial"), "name")
 
 
-@query("t6_resync_on_unexpected_panel")
+@query("t6_resync_on_unexpected_panel", V.with_(V.FS, V.PLAN, """cy AS (SELECT session, cyc, count(*) AS c, 40 * cyc AS f0 FROM fs WHERE cyc < 58 GROUP BY session, cyc)""", body="""
+SELECT session, CAST(block AS BIGINT) AS block, CAST(trial AS BIGINT) AS trial, name, f0 + 14 AS init, f0 + 24 AS fin FROM cy JOIN plan ON block * 10 + pos = cyc WHERE cyc % 3 = 0 AND c >= 37
+UNION ALL SELECT session, block, trial, 'transition_error_no_init_' || name, NULL, f0 + 13 FROM cy JOIN plan ON block * 10 + pos = cyc WHERE cyc % 3 = 1 AND c >= 14
+UNION ALL SELECT session, block, trial, name, f0 + 18, f0 + 24 FROM cy JOIN plan ON block * 10 + pos = cyc + 1 WHERE cyc % 3 = 1 AND c >= 37"""))
 def _(spark, sf):
+    """Of three cycles the second shows the next panel before its board is clear, the third shows none."""
     f = V.fs(spark, sf)
-    # A panel comes back before the board is clear on every third cycle.
-    early = (F.floor(F.col("frame") / 40) % 3 == 1) & (F.col("frame") % 40).between(10, 17)
-    f = f.withColumns({"panel_color": F.when(early, "green").otherwise(F.col("panel_color")),
-                       "panel_shape": F.when(early, "hexagon").otherwise(F.col("panel_shape")),
-                       "contour_raw": F.col("contour_raw") & ~early})
+    cyc, p = F.floor(F.col("frame") / 40).cast("int"), F.col("frame") % 40
+    early = (cyc % 3 == 1) & p.between(10, 17)
+    upcoming = F.get(F.array(*[F.lit(n) for _, _, _, n in PLAN_ROWS]), cyc + 1)
+    shown = lambda c, part: F.when(early, F.split_part(upcoming, F.lit("_"), F.lit(part))).when(cyc % 3 != 2, F.col(c))
+    f = f.where(cyc < 58).withColumns({"panel_color": shown("panel_color", 1), "panel_shape": shown("panel_shape", 2),
+                                       "contour_raw": F.col("contour_raw") & ~early})
     t = G.segment_trials(f, PLAN_ROWS)
-    return t.select("session", "block", "trial", "name", "status", "init", "end")
+    ended = F.col("name").startswith("end_of_video") | F.coalesce(F.col("status") == "test_finish_by_end_of_video", F.lit(False))
+    return t.where(~ended).select("session", big("block"), big("trial"), "name", big("init"), big("end", "fin"))
 
 
 @query("t7_track_touch", V.with_(V.FS, RUNS.format(cond="p >= 22 AND ft > 0.2e0 AND ft - fc > 0.1e0"), body="""
@@ -147,11 +153,14 @@ def _(spark, sf):
     return ft.join(bo, list(TRIAL), "full").select("session", big("cyc"), big("ft_exit"), big("board_exit"))
 
 
-@query("t9_close_on_end_of_stream")
+@query("t9_close_on_end_of_stream", V.with_(V.FS, V.PLAN, body="""
+SELECT session, CAST(block AS BIGINT) AS block, CAST(trial AS BIGINT) AS trial, CASE WHEN c < 20 THEN 'end_of_video_error_' ELSE '' END || name AS name,
+  CASE WHEN c >= 20 THEN f0 + 14 END AS init, CASE WHEN c >= 20 THEN f0 + least(24, c - 1) ELSE f0 + c - 1 END AS fin
+FROM (SELECT session, cyc, 40 * cyc AS f0, count(*) AS c FROM fs GROUP BY session, cyc HAVING count(*) BETWEEN 4 AND 36) JOIN plan ON block * 10 + pos = cyc"""))
 def _(spark, sf):
     t = segmented(spark, sf)
-    return t.where((F.col("status") == "test_finish_by_end_of_video") | F.col("name").startswith("end_of_video")).select(
-        "session", "block", "trial", "name", "init", "end")
+    ended = F.col("name").startswith("end_of_video") | F.coalesce(F.col("status") == "test_finish_by_end_of_video", F.lit(False))
+    return t.where(ended).select("session", big("block"), big("trial"), "name", big("init"), big("end", "fin"))
 
 
 @query("t10_record_transitions", V.with_(V.FS, V.PLAN, DONE, body="""

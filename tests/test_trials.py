@@ -63,6 +63,28 @@ def test_idt_over_pieces_and_blocks(spark):
         assert got == sorted((s, a, b) for s, pts in tracks.items() for a, b in restart(pts, 0.05, 3))
 
 
+def test_centroid_fixations_against_brute_force(spark):
+    from statistics import median
+    rnd = random.Random(5)
+    data, t = [], 0.0
+    for i in range(200):
+        t += 0.4 if rnd.random() < 0.03 else 0.01
+        data.append((1, i, t, 100.0 * (i // 25 % 2) + rnd.random() * 12, rnd.random() * 12))
+    want, cur = [], []
+    for _, _, tt, x, y in [*data, (0, 0, 1e9, 0.0, 0.0)]:
+        near = cur and tt - cur[-1][0] < 0.25 and (
+            (x - median(p[1] for p in cur)) ** 2 + (y - median(p[2] for p in cur)) ** 2) ** 0.5 < 10.0
+        if not near:
+            if len(cur) >= 6:
+                want.append((median(p[0] for p in cur), len(cur)))
+            cur = []
+        cur.append((tt, x, y))
+    df = spark.createDataFrame(data, "session int, n int, t double, x double, y double").repartition(3)
+    for block in (16, 65536):
+        got = sorted((r.t, r.samples) for r in X.centroid_fixations(df, ["session"], radius=10.0, minimum=6, block=block).collect())
+        assert got == sorted(want) and got
+
+
 def frames(script):
     """(count, panel, contour, ft, bocc) pieces -> signal rows."""
     out = []
