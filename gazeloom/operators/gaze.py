@@ -67,11 +67,12 @@ def smooth(df: DataFrame, weight: Column | None = None, win: int = C.SMOOTH_WIND
         weight = S.lit(1) / F.col("factor") if model else F.col("confidence") * F.col("confidence")
     halo = 2 * win + 1
     b, w = neighbourhood(df.withColumn("_w", weight), idx, halo, block)
-    # Rows of the same session seen by this block: enough to tell a session shorter than the window.
-    b = b.withColumn("_rows", F.count(F.lit(1)).over(Window.partitionBy("session", BLOCK)))
     jump = (_step(w, width, height) > S.lit(jump_px)).cast("int")
     b = b.withColumn("_jump", jump)
     b = b.withColumn("_seg", F.sum("_jump").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    # Rows of the same session seen by this block: enough to tell a session shorter than the window.
+    # After the ordered windows, so it needs no sort of its own.
+    b = b.withColumn("_rows", F.count(F.lit(1)).over(Window.partitionBy("session", BLOCK)))
     near = Window.partitionBy("session", BLOCK, "_seg").orderBy(idx).rowsBetween(-win, win)
     sw = F.sum("_w").over(near)
     b = b.withColumns({"_sw": sw, "_mx": F.sum(F.col("_w") * F.col("x")).over(near),
