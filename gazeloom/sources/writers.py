@@ -1,7 +1,6 @@
 """Sinks: partitioned tables, exact CSV projections, provenance."""
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -24,21 +23,21 @@ SEQUENCE_COLUMNS = [
 TIMELINE_COLUMNS = ["block_index", "trial_index", "trial_name", "frame", "time_s", "event", "from_state", "to_state"]
 
 
-_own_root: str | None = None
-
-
 def scratch_dir(spark: SparkSession, purpose: str) -> str:
-    """A new folder below the shared folder named by ``spark.checkpoint.dir``.
+    """A new folder that driver and executors share; the file system removes it when the application ends.
 
-    Only where that setting is absent, as in local tests, a temporary folder of this process serves.
+    It lies below ``spark.checkpoint.dir``, else the context's checkpoint folder, else the warehouse.
     """
-    global _own_root
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not root:
-        if _own_root is None:
-            _own_root = tempfile.mkdtemp(prefix="gazeloom-")
-        root = _own_root
-    return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+    sc = spark.sparkContext
+    root = (spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+            or sc.getCheckpointDir() or spark.conf.get("spark.sql.warehouse.dir"))
+    path = f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+    place = sc._jvm.org.apache.hadoop.fs.Path(path)
+    files = place.getFileSystem(sc._jsc.hadoopConfiguration())
+    files.mkdirs(place.getParent())
+    files.mkdirs(place)
+    files.deleteOnExit(place)
+    return f"{path}/data"
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
