@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gazeloom.llm import line_dedup, media_ts, token_counts
+from gazeloom.llm import line_dedup, media_ts, packing, simhash, token_counts, url_filter
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -36,3 +36,18 @@ def op2_token_counts(spark, sf_dir):
 def op10_media_ts(spark, sf_dir):
     return media_ts.to_transport_stream(table(spark, sf_dir, "documents"), keep_media=False).select(
         "doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+
+
+@query("op4_best_fit_packing")
+def op4_best_fit_packing(spark, sf_dir):
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
+@query("op7_url_filter", url_filter.ORACLE)
+def op7_url_filter(spark, sf_dir):
+    return url_filter.judge(table(spark, sf_dir, "pages"), url_filter.rule_table(spark)).select("page_id", "host", "path", "rule", "verdict")
+
+
+@query("op9_simhash_near_dedup")
+def op9_simhash_near_dedup(spark, sf_dir):
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
