@@ -2,8 +2,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from gazeloom.llm import line_dedup, media_ts, packing, simhash, token_counts, url_filter
+from gazeloom.llm import language_id, line_dedup, media_ts, packing, quality, simhash, token_counts, url_filter
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -51,3 +52,17 @@ def op7_url_filter(spark, sf_dir):
 @query("op9_simhash_near_dedup")
 def op9_simhash_near_dedup(spark, sf_dir):
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query("op3_quality_classifier")
+def op3_quality_classifier(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+
+
+@query("op8_language_id")
+def op8_language_id(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = language_id.is_held_out(F.col("doc_id"), 4, 2)
+    model = language_id.fit(docs.where(~held_out))
+    return language_id.identify(docs.drop("lang"), model, keep_text=False).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
