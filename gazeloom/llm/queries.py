@@ -4,7 +4,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gazeloom.llm import language_id, line_dedup, media_ts, packing, quality, simhash, token_counts, url_filter
+import corpus_pipeline
+from gazeloom.llm import decontaminate, language_id, line_dedup, media_ts, packing, quality, simhash, token_counts, url_filter
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -66,3 +67,11 @@ def op8_language_id(spark, sf_dir):
     held_out = language_id.is_held_out(F.col("doc_id"), 4, 2)
     model = language_id.fit(docs.where(~held_out))
     return language_id.identify(docs.drop("lang"), model, keep_text=False).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+@query("op5_benchmark_decontamination")
+def op5_benchmark_decontamination(spark, sf_dir):
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+query("pipeline", corpus_pipeline.ORACLE_SQL)(corpus_pipeline.run)
