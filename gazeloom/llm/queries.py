@@ -5,7 +5,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from gazeloom.llm import decontaminate, language_id, line_dedup, media_ts, packing, quality, simhash, token_counts, url_filter
+from gazeloom.llm import decontaminate, language_id, line_dedup, media_ts, packing, quality, simhash, suffix_dedup, token_counts, url_filter
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -75,3 +75,8 @@ def op5_benchmark_decontamination(spark, sf_dir):
 
 
 query("pipeline", corpus_pipeline.ORACLE_SQL)(corpus_pipeline.run)
+
+
+@query("op6_suffix_dedup")
+def op6_suffix_dedup(spark, sf_dir):
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
