@@ -23,7 +23,7 @@ def packed(df: DataFrame, *keep: str) -> DataFrame:
 def unpacked(df: DataFrame, like: DataFrame, *replaced: str) -> DataFrame:
     """Undoes ``packed``: the columns of ``like`` in its order, then ``replaced``, which win where names are equal."""
     lower = {c.lower() for c in replaced}
-    own = set(df.columns)
+    own = set(df.columns) - {REST}
     cols = [F.col(f"`{c}`") if c in own else F.col(f"`{REST}`.`{c}`").alias(c) for c in like.columns if c.lower() not in lower]
     return df.select(*cols, *replaced)
 

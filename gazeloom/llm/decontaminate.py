@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 from gazeloom.llm.common import materialise, slices, strings
 
 WINDOW = 8
-#: Literal tokens that a window needs; items with fewer are not searched.
-LITERALS = 5
+#: Literal tokens that a window needs, and tokens that an item needs to be searched for.
+LITERALS, ITEM_WORDS = 3, 5
 #: A document holds an item if it covers so many tokens of it in a row, or this share of it.
 RUN = 13
 SHARE = 0.8
@@ -97,8 +97,8 @@ def _window_rows(known, sizes):
                 for doc, text in zip(part.column("id").to_pylist(), strings(part)):
                     tokens = TOKEN.findall(text)
                     ids = np.fromiter(map(table.__getitem__, tokens), np.uint64, len(tokens))
-                    for size in sizes or [min(WINDOW, len(tokens))]:
-                        at, h = windows(ids, size) if size else windows(ids, 1)
+                    for size in sizes or [min(WINDOW, len(tokens))] * (len(tokens) >= ITEM_WORDS):
+                        at, h = windows(ids, size)
                         if hashes is not None and len(at):
                             k = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
                             hit = hashes[k] == h
