@@ -25,23 +25,23 @@ COLORS = ("red", "green", "blue", "yellow")
 SHAPES = ("circle", "square", "triangle", "hexagon", "trapezoid")
 
 # Cells in row-major order: colour, shape, and whether the cell carries a piece.
-LAYOUT = """
-yellow square 0 | green hexagon 0 | yellow circle 1 | blue trapezoid 1 | green triangle 0 | red hexagon 1 | blue square 1 | red circle 0
-green circle 1 | blue hexagon 1 | red triangle 0 | yellow hexagon 1 | red square 1 | yellow circle 0 | green trapezoid 0 | yellow triangle 0
-red trapezoid 1 | yellow triangle 1 | green square 1 | blue hexagon 0 | green triangle 1 | blue trapezoid 1 | red hexagon 0 | blue square 1
-yellow hexagon 0 | green square 0 | blue circle 1 | red square 1 | yellow trapezoid 0 | green hexagon 1 | yellow square 1 | green trapezoid 1
-blue triangle 1 | red circle 1 | yellow trapezoid 1 | green circle 0 | blue triangle 0 | red trapezoid 1 | blue circle 0 | red triangle 1
-"""
+LAYOUT = (
+    (("yellow", "square", False), ("green", "hexagon", False), ("yellow", "circle", True), ("blue", "trapezoid", True), ("green", "triangle", False), ("red", "hexagon", True), ("blue", "square", True), ("red", "circle", False)),
+    (("green", "circle", True), ("blue", "hexagon", True), ("red", "triangle", False), ("yellow", "hexagon", True), ("red", "square", True), ("yellow", "circle", False), ("green", "trapezoid", False), ("yellow", "triangle", False)),
+    (("red", "trapezoid", True), ("yellow", "triangle", True), ("green", "square", True), ("blue", "hexagon", False), ("green", "triangle", True), ("blue", "trapezoid", True), ("red", "hexagon", False), ("blue", "square", True)),
+    (("yellow", "hexagon", False), ("green", "square", False), ("blue", "circle", True), ("red", "square", True), ("yellow", "trapezoid", False), ("green", "hexagon", True), ("yellow", "square", True), ("green", "trapezoid", True)),
+    (("blue", "triangle", True), ("red", "circle", True), ("yellow", "trapezoid", True), ("green", "circle", False), ("blue", "triangle", False), ("red", "trapezoid", True), ("blue", "circle", False), ("red", "triangle", True)),
+)
 
 # Default presentation order: one line per block, ten trials each.
-PLAN = """
-yellow_circle red_hexagon green_triangle blue_circle red_triangle yellow_hexagon blue_triangle green_hexagon yellow_triangle red_circle
-red_hexagon yellow_triangle blue_circle green_triangle yellow_circle blue_triangle red_circle yellow_hexagon red_triangle green_hexagon
-red_circle yellow_triangle green_hexagon blue_triangle yellow_hexagon red_triangle blue_circle green_triangle red_hexagon yellow_circle
-yellow_hexagon red_triangle yellow_circle blue_triangle red_hexagon green_triangle blue_circle green_hexagon yellow_triangle red_circle
-red_circle blue_triangle yellow_circle green_triangle red_hexagon yellow_triangle blue_circle green_hexagon red_triangle yellow_hexagon
-green_hexagon red_triangle yellow_hexagon red_circle blue_triangle yellow_circle green_triangle blue_circle yellow_triangle red_hexagon
-"""
+PLAN = (
+    ("yellow_circle", "red_hexagon", "green_triangle", "blue_circle", "red_triangle", "yellow_hexagon", "blue_triangle", "green_hexagon", "yellow_triangle", "red_circle"),
+    ("red_hexagon", "yellow_triangle", "blue_circle", "green_triangle", "yellow_circle", "blue_triangle", "red_circle", "yellow_hexagon", "red_triangle", "green_hexagon"),
+    ("red_circle", "yellow_triangle", "green_hexagon", "blue_triangle", "yellow_hexagon", "red_triangle", "blue_circle", "green_triangle", "red_hexagon", "yellow_circle"),
+    ("yellow_hexagon", "red_triangle", "yellow_circle", "blue_triangle", "red_hexagon", "green_triangle", "blue_circle", "green_hexagon", "yellow_triangle", "red_circle"),
+    ("red_circle", "blue_triangle", "yellow_circle", "green_triangle", "red_hexagon", "yellow_triangle", "blue_circle", "green_hexagon", "red_triangle", "yellow_hexagon"),
+    ("green_hexagon", "red_triangle", "yellow_hexagon", "red_circle", "blue_triangle", "yellow_circle", "green_triangle", "blue_circle", "yellow_triangle", "red_hexagon"),
+)
 
 # Board markers: identifiers, upper-left corner on the sheet in cm, side length.
 MARKERS = {
@@ -88,18 +88,9 @@ BIN_MIN_SAMPLES = 30
 
 def layout_rows():
     """(col, row, color, shape, is_piece) for the 40 cells."""
-    out = []
-    for row, line in enumerate(LAYOUT.strip().splitlines()):
-        for col, cell in enumerate(line.split("|")):
-            color, shape, piece = cell.split()
-            out.append((col, row, color, shape, piece == "1"))
-    return out
+    return [(col, row, *cell) for row, cells in enumerate(LAYOUT) for col, cell in enumerate(cells)]
 
 
 def plan_rows():
     """(block, pos, trial, name) for the default plan."""
-    return [
-        (block, pos, pos, name)
-        for block, line in enumerate(PLAN.strip().splitlines())
-        for pos, name in enumerate(line.split())
-    ]
+    return [(block, pos, pos, name) for block, names in enumerate(PLAN) for pos, name in enumerate(names)]

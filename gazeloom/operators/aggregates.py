@@ -123,13 +123,19 @@ def version_summary(compared: DataFrame) -> DataFrame:
         count_if(o & ~n).alias("lost"),
         count_if(n & (F.col("new_status") == "test_finish_by_next_panel")).alias("closed_by_panel"),
         count_if(F.abs("_diff") > 1).alias("big_changes"))
-    med = exact_percentile(c, ["session"], "_diff", {"median_diff": 0.5}, 0.05)
+    med = exact_percentile(c, ["session"], "_diff", {"median_diff": 0.5})
     return sums.join(med, "session", "left")
 
 
+PLAN_MOST = 10_000
+
+
 def plan_array(plan: DataFrame):
     """The entries of one plan file (60 rows) as a literal array, so pairing them with sessions needs no join."""
-    rows = sorted((r.block, r.pos, r.trial, r.name) for r in plan.select("block", "pos", "trial", "name").collect())
+    found = plan.select("block", "pos", "trial", "name").limit(PLAN_MOST + 1).collect()
+    if len(found) > PLAN_MOST:
+        raise ValueError(f"a plan has at most {PLAN_MOST} entries")
+    rows = sorted((r.block, r.pos, r.trial, r.name) for r in found)
     return F.array(*[F.struct(F.lit(b).alias("block"), F.lit(p).alias("pos"), F.lit(t).alias("trial"), F.lit(n).alias("name"))
                      for b, p, t, n in rows])
 
@@ -156,7 +162,7 @@ def config_diff(default: DataFrame, exceptions: DataFrame) -> DataFrame:
         name_set(F.col("trial") >= 0).alias("e_real"), name_set(F.col("trial") == -1).alias("e_minus1"),
         F.sort_array(F.collect_list(F.struct("pos", "trial", "name"))).alias("e_list"),
         F.max(F.col("note").isNotNull()).alias("documented"))
-    j = e.join(F.broadcast(d), "block", "full_outer")
+    j = e.join(d, "block", "full_outer")
     lost = F.array_sort(F.array_intersect(F.array_except(F.coalesce("d_real", F.array()), "e_real"), "e_minus1"))
     return j.select("session", "block", F.coalesce(lost, F.array().cast("array<string>")).alias("suspicious"),
                     "documented", F.col("d_list").eqNullSafe(F.col("e_list")).alias("identical"))
@@ -207,7 +213,7 @@ def confidence_tiers(trials: DataFrame, threshold: float = C.TARGET_MASS, keys=(
     g = t.groupBy(*keys).agg(
         n_rows().alias("n"), count_if(c >= S.lit(threshold)).alias("found"), count_if(c >= S.lit(0.5)).alias("high"),
         count_if((c >= S.lit(0.2)) & (c < S.lit(0.5))).alias("near"), count_if(c < S.lit(0.2)).alias("low"))
-    return g.join(exact_percentile(t, list(keys), "confidence", {"median": 0.5}, 0.01), list(keys))
+    return g.join(exact_percentile(t, list(keys), "confidence", {"median": 0.5}), list(keys))
 
 
 def confusion(seq: DataFrame, target: str, looked: str, allowed) -> DataFrame:
@@ -247,14 +253,14 @@ def touch_fraction(trials: DataFrame, keys=("version",)) -> DataFrame:
     frac = (F.col("touch") - F.col("end")).cast("double") / (F.col("hand_exit") - F.col("end"))
     t = t.withColumn("_frac", frac)
     g = t.groupBy(*keys).agg(F.count("_frac").alias("n"), count_if(F.col("touch").isNull()).alias("interpolable"))
-    return g.join(exact_percentile(t, list(keys), "_frac", {"median_fraction": 0.5}, 0.01), list(keys), "left")
+    return g.join(exact_percentile(t, list(keys), "_frac", {"median_fraction": 0.5}), list(keys), "left")
 
 
 def touch_noise(trace: DataFrame, keys=("color",), value: str = "ft") -> DataFrame:
     """Box statistics of a signal per key."""
     probs = {"q1": 0.25, "median": 0.5, "q3": 0.75}
     ends = trace.groupBy(*keys).agg(F.count(value).alias("n"), F.min(value).alias("lo"), F.max(value).alias("hi"))
-    return ends.join(exact_percentile(trace, list(keys), value, probs, 0.001), list(keys), "left")
+    return ends.join(exact_percentile(trace, list(keys), value, probs), list(keys), "left")
 
 
 def acquisition_quality(sessions: DataFrame) -> DataFrame:

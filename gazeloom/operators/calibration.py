@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from gazeloom import config as C
 from gazeloom.functions import scalar as S
-from gazeloom.operators.ordered import carry, chunk_by, exact_percentile, with_row_index
+from gazeloom.operators.ordered import carry, chunk_by, exact_percentile, spread
 from gazeloom.sources.writers import materialise
 
 DOT = ["session", "panel", "dot"]
@@ -50,31 +50,42 @@ def leave_one_out(dots: DataFrame, chunk_s: float = 60.0) -> DataFrame:
     return d.withColumns({"base": S.hyp(F.col("rx"), F.col("ry")), "corr": S.hyp(F.col("cx"), F.col("cy"))})
 
 
+def _quantile(values, p: float):
+    """Interpolated quantile of a sorted array."""
+    def at(v):
+        pos = S.lit(float(p)) * (F.size(v) - 1)
+        lo, hi = (F.get(v, f(pos).cast("int")) for f in (F.floor, F.ceil))
+        return lo + (hi - lo) * (pos - F.floor(pos))
+    return F.get(F.transform(F.array(values), at), F.lit(0))  # ``values`` is evaluated once
+
+
+def draw(session, rep, i, n):
+    """The dot drawn at place ``i`` of a repetition: 32 bits of an MD5, which every engine has, modulo the number of dots."""
+    bits = F.substring(F.md5(F.concat_ws(",", session.cast("string"), rep.cast("string"), i.cast("string"))), 1, 8)
+    return (F.conv(bits, 16, 10).cast("bigint") % n).cast("int")
+
+
 def gate(errors: DataFrame, reps: int = C.BOOTSTRAP_REPS, min_base: float = C.GATE_MIN_BASE_PX) -> DataFrame:
     """Adopts the correction when its bootstrapped gain is reliably positive and worth having.
 
-    Draws come from arithmetic on (repetition, position), so every run sees the same ones.
+    The dots of a recording (some dozens) travel as one array and all repetitions are drawn inside its row: one shuffle, by
+    session. A recording with fewer than six points gets no statistics.
     """
-    # Read three times below, once per repetition: stored, not recomputed.
-    e = materialise(with_row_index(errors.select("session", "panel", "dot", "base", "corr"), ["session"], ["panel", "dot"],
-                                   chunk_by(F.col("panel"), 64.0), "i"), "errors")
-    # One row per recording: its number of dots and the plain medians.
-    med = lambda c: F.percentile(c, F.lit(0.5))
-    whole = e.groupBy("session").agg(F.count(F.lit(1)).alias("n_points"), med("base").alias("base_px"), med("corr").alias("corr_px"))
-    draws = (e.join(whole.select("session", "n_points"), "session")
-             .select("session", "i", "n_points", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))).alias("rep")))
-    seed = (F.col("rep").cast("bigint") * 7919 + F.col("i") * 104729 + 1) * 48271
-    draws = draws.select("session", "rep", (seed % 2147483647 % F.col("n_points")).alias("i"))
-    sampled = draws.join(e.select("session", "i", "base", "corr"), ["session", "i"])
-    gains = sampled.groupBy("session", "rep").agg(med("base").alias("_b"), med("corr").alias("_c")).select(
-        "session", F.when(F.col("_b") > 0, S.lit(1) - F.col("_c") / F.col("_b")).otherwise(S.lit(0)).alias("_g"))
-    spread = gains.groupBy("session").agg(F.percentile("_g", F.lit(0.05)).alias("gain_lo"),  # one row per repetition
-                                          F.percentile("_g", F.lit(0.95)).alias("gain_hi"))
-    g = whole.join(spread, "session")
+    dot = F.struct("panel", "dot", "base", "corr")
+    e = spread(errors, "session").groupBy("session").agg(F.array_sort(F.collect_list(dot)).alias("_e")).withColumn("n_points", F.size("_e").cast("bigint"))
     enough = F.col("n_points") >= 6
+    places = F.sequence(F.lit(0), F.size("_e") - 1)
+    median = lambda points, name: _quantile(F.array_sort(F.transform(points, lambda x: x[name])), 0.5)
+    samples = F.transform(F.sequence(F.lit(0), F.lit(reps - 1)), lambda rep: F.transform(
+        places, lambda i: F.get("_e", draw(F.col("session"), rep, i, F.col("n_points")))))
+    relative = lambda base, corr: F.when(base > 0, S.lit(1) - corr / base).otherwise(S.lit(0))
+    g = e.withColumn("_m", F.when(enough, F.transform(samples, lambda s: F.struct(median(s, "base").alias("b"), median(s, "corr").alias("c")))))
+    g = g.withColumn("_g", F.array_sort(F.transform("_m", lambda m: relative(m["b"], m["c"]))))
+    g = g.select("session", "n_points", F.when(enough, median("_e", "base")).alias("base_px"), F.when(enough, median("_e", "corr")).alias("corr_px"),
+                 _quantile(F.col("_g"), 0.05).alias("gain_lo"), _quantile(F.col("_g"), 0.95).alias("gain_hi"))
     return g.withColumns({
-        "gain": F.when(F.col("base_px") > 0, S.lit(1) - F.col("corr_px") / F.col("base_px")).otherwise(S.lit(0)),
-        "apply": enough & (F.col("gain_lo") > 0) & (F.col("base_px") >= S.lit(min_base))})
+        "gain": F.when(enough, relative(F.col("base_px"), F.col("corr_px"))),
+        "apply": F.coalesce(enough & (F.col("gain_lo") > 0) & (F.col("base_px") >= S.lit(min_base)), F.lit(False))})
 
 
 def jitter(points: DataFrame) -> DataFrame:
@@ -86,7 +97,6 @@ def jitter(points: DataFrame) -> DataFrame:
 
 
 
-
 def jitter_cov(jit: DataFrame) -> DataFrame:
     """Axes of the jitter ellipse (px, degrees), pooled variance and number of samples."""
     g = jit.groupBy("session").agg(
@@ -111,7 +121,7 @@ def conf_var_factor(jit: DataFrame, pool: DataFrame, min_samples: int = C.BIN_MI
 
 def spatial_var_factor(jit: DataFrame, pool: DataFrame, min_samples: int = C.BIN_MIN_SAMPLES) -> DataFrame:
     """Variance in three eccentricity bands, closed on both ends: a sample on a boundary counts in both."""
-    q = exact_percentile(jit, ["session"], "ecc", {"q0": 0.0, "q1": 0.33, "q2": 0.66, "q3": 1.0}, 10.0)
+    q = exact_percentile(jit, ["session"], "ecc", {"q0": 0.0, "q1": 0.33, "q2": 0.66, "q3": 1.0})
     bands = F.array(*[F.struct(F.lit(i).alias("band"), F.col(f"q{i}").alias("lo"), F.col(f"q{i + 1}").alias("hi")) for i in range(3)])
     # Dots sit at a few distances: samples collapse to one row per distance before they meet the bands.
     per = jit.groupBy("session", "ecc").agg(

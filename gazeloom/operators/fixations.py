@@ -147,11 +147,12 @@ def predominant_cell(members: DataFrame, keys: list[str], idx: str = "n") -> Dat
         *keys, "start_n", "start_frame", "_b.col", "_b.row")
 
 
-def target_found(members: DataFrame, keys: list[str], threshold: float = C.TARGET_MASS) -> DataFrame:
+def target_found(members: DataFrame, keys: list[str], threshold: float = C.TARGET_MASS, samples: DataFrame | None = None) -> DataFrame:
     """First fixation whose mean ellipse mass on the target reaches ``threshold``, and the largest mean.
 
     ``members``: samples in fixations with x, y, cov_xx, cov_xy, cov_yy, col, row, target_col, target_row.
-    A fixation without any covariance counts when half of its samples sit on the target cell.
+    A fixation without any covariance counts when half of its samples sit on the target cell. With ``samples`` (all samples of the trials)
+    every trial has its row: one without a fixation has found nothing, with confidence 0 if its samples have covariances.
     """
     mass = cell_mass_udf("x", "y", "cov_xx", "cov_xy", "cov_yy", "target_col", "target_row")
     m = members.withColumn("_m", F.when(F.col("cov_xx").isNotNull(), mass))
@@ -159,8 +160,14 @@ def target_found(members: DataFrame, keys: list[str], threshold: float = C.TARGE
     per = m.groupBy(*keys, "start_n", "start_frame").agg(
         F.avg("_m").alias("mean_mass"), F.avg(F.coalesce(on, F.lit(False)).cast("double")).alias("_on"))
     found = F.when(F.col("mean_mass").isNotNull(), F.col("mean_mass") >= S.lit(threshold)).otherwise(F.col("_on") >= S.lit(0.5))
-    return per.groupBy(*keys).agg(F.min(F.when(found, F.col("start_frame"))).alias("target_found"),
-                                  F.bround(F.max("mean_mass"), 3).alias("confidence"))
+    per = per.groupBy(*keys).agg(F.min(F.when(found, F.col("start_frame"))).alias("target_found"),
+                                 F.bround(F.max("mean_mass"), 3).alias("confidence"), F.lit(True).alias("_fixated"))
+    if samples is None:
+        return per.drop("_fixated")
+    trials = samples.groupBy(*keys).agg(F.max(F.col("cov_xx").isNotNull()).alias("_cov"))
+    none = F.col("_fixated").isNull() & F.col("_cov")
+    return (trials.join(per, keys, "left").withColumn("confidence", F.when(none, S.lit(0.0)).otherwise(F.col("confidence")))
+            .drop("_fixated", "_cov"))
 
 
 def centroid_fixations(df: DataFrame, keys: list[str], idx: str = "n", ts: str = "t", radius: float = C.PANEL_FIX_PX,

@@ -343,21 +343,28 @@ def intervals(gaze: DataFrame, ts: str = "ts", chunk_s: float = CHUNK_S) -> Data
 
 
 def sampling(gaze: DataFrame, ts: str = "ts", digits: int = 9, chunk_s: float = CHUNK_S) -> DataFrame:
-    """Rate from the median step and share of steps within 20 % of it, over all samples of a session."""
-    n = gaze.groupBy("session").agg(F.count(F.lit(1)).alias("n"))
-    # Steps with equal times count once in the median: they are not positive.
-    dt = intervals(gaze, ts, chunk_s).withColumn("dt", F.round("dt", digits))
-    med = exact_percentile(dt, ["session"], "dt", {"median_dt": 0.5}, 1e-4)
-    # One row per distinct step length, so the join below never sees the samples themselves.
-    steps = dt.groupBy("session", "dt").agg(F.count(F.lit(1)).alias("c"))
+    """Rate from the median step and share of steps within 20 % of it, over all samples of a session.
+
+    One pass over the distinct times gives a histogram of step lengths; all else is windows over that.
+    """
+    t = gaze.groupBy("session", ts).agg(F.count(F.lit(1)).alias("_at"))  # steps of zero do not count
+    t = carry(t, ["session"], [ts], chunk_by(F.col(ts), chunk_s), prev={"_p": F.col(ts)})
+    steps = (t.groupBy("session", F.round(F.col(ts) - F.col("_p"), digits).alias("dt"))
+             .agg(F.sum("_at").alias("_at"), F.count(F.col(ts) - F.col("_p")).alias("c")))
+    whole = Window.partitionBy("session")
+    upto = whole.orderBy("dt").rowsBetween(Window.unboundedPreceding, 0)
+    steps = steps.withColumns({"_end": F.sum("c").over(upto), "_all": F.sum("c").over(whole)})
+    half = (F.col("_all") - 1) / S.lit(2)
+    at = lambda rank: F.max(F.when((rank >= F.col("_end") - F.col("c")) & (rank < F.col("_end")), F.col("dt"))).over(whole)
+    steps = steps.withColumns({"_lo": at(F.floor(half)), "_hi": at(F.ceil(half))})
+    steps = steps.withColumn("median_dt", F.when(F.col("_lo") == F.col("_hi"), F.col("_lo")).otherwise((F.col("_lo") + F.col("_hi")) / S.lit(2)))
     near = F.abs(F.col("dt") - F.col("median_dt")) <= S.lit(0.2) * F.col("median_dt")
-    cont = (steps.join(med, "session").groupBy("session")
-            .agg(F.first("median_dt").alias("median_dt"),
-                 (F.sum(F.when(near, F.col("c")).otherwise(0)) / F.sum("c")).alias("continuity")))
-    usable = F.col("n") > 2
-    return n.join(cont, "session", "left").select(
-        "session", "n", F.when(usable, S.lit(1) / F.col("median_dt")).alias("rate_hz"),
-        F.when(usable, F.col("continuity")).alias("continuity"))
+    out = steps.groupBy("session").agg(
+        F.sum("_at").alias("n"), F.first("median_dt").alias("median_dt"),
+        (F.sum(F.when(near, F.col("c")).otherwise(0)) / F.nullif(F.sum("c"), F.lit(0))).alias("continuity"))
+    usable = (F.col("n") > 2) & (F.col("median_dt") > 0)
+    return out.select("session", "n", F.when(usable, S.lit(1) / F.col("median_dt")).alias("rate_hz"),
+                      F.when(F.col("n") > 2, F.col("continuity")).alias("continuity"))
 
 
 def duplicate_timestamps(gaze: DataFrame, ts: str = "ts") -> DataFrame:

@@ -22,14 +22,16 @@ BLOCK_ROWS = 65536
 
 
 def chunk_by(value: Column, width: float) -> Column:
-    return F.floor(value / F.lit(float(width))).cast("bigint")
+    """Slice of ``value``; NULL where it is NULL, NaN or infinite."""
+    slice_ = value.cast("double") / F.lit(float(width))
+    return F.when(F.abs(slice_) < 9e18, F.floor(slice_)).cast("bigint")
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Hash-partitions by ``keys`` into the session's number of shuffle partitions.
 
-    Ahead of Python work: adaptive execution sizes partitions by bytes and would put little data
-    with much work per row into one task.
+    Ahead of work that is heavy per row (Python scans, bootstraps): adaptive execution sizes partitions by bytes and
+    would put little data with much work into one task.
     """
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return df.repartition(n, *keys)
@@ -41,17 +43,9 @@ def _order_key(order: list[str]) -> Column:
 
 def with_row_index(df: DataFrame, keys: list[str], order: list[str], chunk: Column,
                    out: str = "n", start: int = 0) -> DataFrame:
-    """Row number per key. ``chunk`` must not decrease along ``order``."""
-    tagged = df.withColumn(CHUNK, chunk)
-    local = tagged.withColumn(
-        "_rn", F.row_number().over(Window.partitionBy(*keys, CHUNK).orderBy(*order)))
-    before = Window.partitionBy(*keys).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (tagged.groupBy(*keys, CHUNK).agg(F.count(F.lit(1)).alias("_cnt"))
-               .withColumn("_off", F.coalesce(F.sum("_cnt").over(before), F.lit(0)))
-               .drop("_cnt"))
-    return (local.join(offsets, [*keys, CHUNK])
-            .withColumn(out, (F.col("_rn") + F.col("_off") + F.lit(start - 1)).cast("bigint"))
-            .drop("_rn", "_off", CHUNK))
+    """Row number per key. ``chunk`` must not decrease along ``order``; rows without a chunk get NULL."""
+    numbered = carry(df, keys, order, chunk, running_sum={"_rn": F.lit(1)})
+    return numbered.withColumn(out, (F.col("_rn") + F.lit(start - 1)).cast("bigint")).drop("_rn")
 
 
 def carry(df: DataFrame, keys: list[str], order: list[str], chunk: Column | str,
@@ -62,81 +56,77 @@ def carry(df: DataFrame, keys: list[str], order: list[str], chunk: Column | str,
           running_sum: dict[str, Column] | None = None) -> DataFrame:
     """Running values per key along ``order`` (which must identify rows), chunk by chunk.
 
-    ``chunk`` is an expression, or the name of a column that already holds it: several
-    calls on the same column then share one shuffle.
+    ``chunk`` is an expression, or the name of a column that already holds it.
 
     last: last non-null value up to and with the row; prev: the same without the row;
     following: next non-null value from the row on; after: the same without the row; running_max / running_sum: up to the row.
+
+    A summary per chunk, pre-aggregated, carries the state past it; it joins the stream as a row in front of
+    each chunk and one behind it, so the rows themselves are shuffled once and joined with nothing. NULL keys are a
+    key like any other. A row whose chunk is NULL (no known place in the order) stays, has NULL
+    results, and counts for no other row.
     """
     groups = {"last": last or {}, "prev": prev or {}, "next": following or {}, "after": after or {},
               "max": running_max or {}, "sum": running_sum or {}}
     own = not isinstance(chunk, str)
     name = CHUNK if own else chunk
     tagged = df.withColumn(name, chunk) if own else df
-    for kind, exprs in groups.items():
-        for out, expr in exprs.items():
-            tagged = tagged.withColumn(f"_v_{out}", expr)
-
-    asc = Window.partitionBy(*keys, name).orderBy(*order)
-    upto = asc.rowsBetween(Window.unboundedPreceding, 0)
-    desc = (Window.partitionBy(*keys, name).orderBy(*[F.col(o).desc() for o in order])
-            .rowsBetween(Window.unboundedPreceding, 0))
-    local, aggs, carried = tagged, [], []
+    known = F.col(name).isNotNull()
+    tagged = tagged.withColumns({
+        "_key": F.struct(*keys) if keys else F.struct(F.lit(0)),  # never null itself, so null keys meet each other
+        "_slice": F.coalesce(name, F.lit(-(1 << 63))),
+        **{f"_v_{out}": F.when(known, expr) for exprs in groups.values() for out, expr in exprs.items()}})
+
+    before = Window.partitionBy("_key").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    behind = Window.partitionBy("_key").orderBy(F.col("_slice").desc()).rowsBetween(Window.unboundedPreceding, -1)
     key = _order_key(order)
-    sum_before = Window.partitionBy(*keys).orderBy(name).rowsBetween(Window.unboundedPreceding, -1)
-    sum_after = (Window.partitionBy(*keys).orderBy(F.col(name).desc())
-                 .rowsBetween(Window.unboundedPreceding, -1))
+    aggs, in_front, at_end = [], {}, {}
     for kind, exprs in groups.items():
         for out in exprs:
-            v = F.col(f"_v_{out}")
+            v, s = F.col(f"_v_{out}"), f"_s_{out}"
             present = F.when(v.isNotNull(), key)
-            if kind == "last":
-                local = local.withColumn(f"_l_{out}", F.last(v, ignorenulls=True).over(upto))
-                aggs.append(F.max_by(v, present).alias(f"_s_{out}"))
-                carried.append((out, F.last(f"_s_{out}", ignorenulls=True).over(sum_before)))
-            elif kind == "prev":
-                before = asc.rowsBetween(Window.unboundedPreceding, -1)
-                local = local.withColumn(f"_l_{out}", F.last(v, ignorenulls=True).over(before))
-                aggs.append(F.max_by(v, present).alias(f"_s_{out}"))
-                carried.append((out, F.last(f"_s_{out}", ignorenulls=True).over(sum_before)))
+            if kind in ("last", "prev"):
+                aggs.append(F.max_by(v, present).alias(s))
+                in_front[out] = F.last(s, ignorenulls=True).over(before)
             elif kind in ("next", "after"):
-                ahead = desc if kind == "next" else desc.rowsBetween(Window.unboundedPreceding, -1)
-                local = local.withColumn(f"_l_{out}", F.last(v, ignorenulls=True).over(ahead))
-                aggs.append(F.min_by(v, present).alias(f"_s_{out}"))
-                carried.append((out, F.last(f"_s_{out}", ignorenulls=True).over(sum_after)))
-            elif kind == "max":
-                local = local.withColumn(f"_l_{out}", F.max(v).over(upto))
-                aggs.append(F.max(v).alias(f"_s_{out}"))
-                carried.append((out, F.max(f"_s_{out}").over(sum_before)))
+                aggs.append(F.min_by(v, present).alias(s))
+                at_end[out] = F.last(s, ignorenulls=True).over(behind)
             else:
-                local = local.withColumn(f"_l_{out}", F.sum(v).over(upto))
-                aggs.append(F.sum(v).alias(f"_s_{out}"))
-                carried.append((out, F.sum(f"_s_{out}").over(sum_before)))
-
-    summary = tagged.groupBy(*keys, name).agg(*aggs)
-    for out, expr in carried:
-        summary = summary.withColumn(f"_c_{out}", expr)
-    summary = summary.select(*keys, name, *[f"_c_{out}" for out, _ in carried])
-
-    joined = local.join(summary, [*keys, name])
+                how = F.max if kind == "max" else F.sum
+                aggs.append(how(v).alias(s))
+                in_front[out] = how(s).over(before)
+    summary = tagged.where(known).groupBy("_key", "_slice").agg(*aggs)
+    edges = None
+    for place, values in ((-1, in_front), (1, at_end)):
+        if values:
+            edge = summary.select("_key", "_slice", F.lit(place).alias("_edge"), *[v.alias(f"_v_{out}") for out, v in values.items()])
+            edges = edge if edges is None else edges.unionByName(edge, allowMissingColumns=True)
+    stream = tagged.withColumn("_edge", F.lit(0)).unionByName(edges, allowMissingColumns=True)
+
+    asc = Window.partitionBy("_key", "_slice").orderBy("_edge", *order)
+    upto = asc.rowsBetween(Window.unboundedPreceding, 0)
+    desc = Window.partitionBy("_key", "_slice").orderBy(F.col("_edge").desc(), *[F.col(o).desc() for o in order])
+    result = {}
     for kind, exprs in groups.items():
         for out in exprs:
-            l, c = F.col(f"_l_{out}"), F.col(f"_c_{out}")
-            if kind == "max":
-                value = F.greatest(l, c)
-            elif kind == "sum":
-                value = F.when(l.isNotNull() | c.isNotNull(), F.coalesce(l, F.lit(0)) + F.coalesce(c, F.lit(0)))
+            v = F.col(f"_v_{out}")
+            if kind in ("last", "next"):
+                frame = upto if kind == "last" else desc.rowsBetween(Window.unboundedPreceding, 0)
+                value = F.last(v, ignorenulls=True).over(frame)
+            elif kind in ("prev", "after"):
+                value = F.last(v, ignorenulls=True).over((asc if kind == "prev" else desc).rowsBetween(Window.unboundedPreceding, -1))
             else:
-                value = F.coalesce(l, c)
-            joined = joined.withColumn(out, value)
-    temp = [f"{p}{out}" for exprs in groups.values() for out in exprs for p in ("_v_", "_l_", "_c_")]
-    return joined.drop(*temp, *([name] if own else []))
+                value = (F.max if kind == "max" else F.sum)(v).over(upto)
+            result[out] = F.when(known, value)
+    temp = [f"_v_{out}" for exprs in groups.values() for out in exprs]
+    return (stream.withColumns(result).where("_edge = 0")
+            .drop(*temp, "_key", "_slice", "_edge", *([name] if own else [])))
 
 
 def in_blocks(df: DataFrame, idx: str, halo: int = 0, size: int = BLOCK_ROWS) -> DataFrame:
     """Adds ``_block`` and ``_home``; boundary rows are copied to the neighbouring block.
 
-    ``idx`` is a zero-based row index without gaps. Keep ``_home`` rows after the window.
+    ``idx`` is a zero-based row index without gaps; rows without one form a block of their own. Keep ``_home`` rows after the window.
     """
     if halo > size:
         raise ValueError("halo must not exceed the block size")
@@ -150,26 +140,30 @@ def in_blocks(df: DataFrame, idx: str, halo: int = 0, size: int = BLOCK_ROWS) ->
         F.when(pos >= size - halo, home + 1),
     )
     return (df.withColumn("_h", home)
-            .withColumn(BLOCK, F.explode(F.filter(blocks, lambda b: b.isNotNull())))
-            .withColumn("_home", F.col(BLOCK) == F.col("_h"))
+            .withColumn(BLOCK, F.explode_outer(F.filter(blocks, lambda b: b.isNotNull())))
+            .withColumn("_home", F.col(BLOCK).eqNullSafe(F.col("_h")))
             .drop("_h"))
 
 
 def exact_percentile(df: DataFrame, keys: list[str], value: str, probs: dict[str, float],
-                     width: float) -> DataFrame:
-    """Exact interpolated percentiles for groups of any size.
+                     buckets: int = 64) -> DataFrame:
+    """Exact interpolated percentiles for groups of any size; NULL and NaN values do not count.
 
-    Equal values collapse before the shuffle; counts per value bucket locate the
-    buckets that hold the wanted ranks, and only those buckets are ordered.
+    Equal values collapse before the shuffle. Approximate quantiles of a key's distinct values bound its buckets, so
+    they fill evenly whatever the distribution; exact counts per bucket locate those that hold the wanted ranks,
+    and only these are ordered.
     """
-    counts = (df.where(F.col(value).isNotNull())
-              .groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_cnt"))
-              .withColumn("_bucket", chunk_by(F.col(value), width)))
-    ordered = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy(*keys)
-    buckets = (counts.groupBy(*keys, "_bucket").agg(F.sum("_cnt").alias("_bc"))
-               .withColumn("_before", F.coalesce(F.sum("_bc").over(ordered), F.lit(0)))
-               .withColumn("_n", F.sum("_bc").over(whole)))
+    v = F.col(value)
+    counts = (df.where(v.isNotNull() & ~F.isnan(v.cast("double")))
+              .groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_cnt")).withColumn("_key", F.struct(F.lit(0), *keys)))
+    steps = F.array(*[F.lit(k / buckets) for k in range(1, buckets)])
+    bounds = counts.groupBy("_key").agg(F.percentile_approx(v.cast("double"), steps, 4 * buckets).alias("_bounds"))
+    counts = counts.join(bounds, "_key").withColumn(
+        "_bucket", F.size(F.filter("_bounds", lambda b: b < v.cast("double")))).drop("_bounds")
+    ordered = Window.partitionBy("_key").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = (counts.groupBy("_key", "_bucket").agg(F.sum("_cnt").alias("_bc"))
+             .withColumn("_before", F.coalesce(F.sum("_bc").over(ordered), F.lit(0)))
+             .withColumn("_n", F.sum("_bc").over(Window.partitionBy("_key"))))
 
     def rank(p, up):
         pos = F.lit(float(p)) * (F.col("_n") - 1)
@@ -180,9 +174,9 @@ def exact_percentile(df: DataFrame, keys: list[str], value: str, probs: dict[str
     def holds(start, size):
         return reduce(lambda a, b: a | b, [(r >= start) & (r < start + size) for r in ranks])
 
-    wanted = buckets.where(holds(F.col("_before"), F.col("_bc"))).drop("_bc")
-    inside = Window.partitionBy(*keys, "_bucket").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    located = (counts.join(wanted, [*keys, "_bucket"])
+    wanted = sizes.where(holds(F.col("_before"), F.col("_bc"))).drop("_bc")
+    inside = Window.partitionBy("_key", "_bucket").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    located = (counts.join(wanted, ["_key", "_bucket"])
                .withColumn("_start", F.col("_before") + F.coalesce(F.sum("_cnt").over(inside), F.lit(0))))
     picked = located.where(holds(F.col("_start"), F.col("_cnt")))
 
@@ -191,12 +185,12 @@ def exact_percentile(df: DataFrame, keys: list[str], value: str, probs: dict[str
         for up in (False, True):
             r = rank(p, up)
             hit = (r >= F.col("_start")) & (r < F.col("_start") + F.col("_cnt"))
-            aggs.append(F.max(F.when(hit, F.col(value).cast("double"))).alias(f"_{out}_{int(up)}"))
-    found = picked.groupBy(*keys).agg(*aggs)
+            aggs.append(F.max(F.when(hit, v.cast("double"))).alias(f"_{out}_{int(up)}"))
+    found = picked.groupBy("_key").agg(*aggs)
     result = []
     for out, p in probs.items():
         pos = F.lit(float(p)) * (F.col("_n") - 1)
         frac = pos - F.floor(pos)
         lo, hi = F.col(f"_{out}_0"), F.col(f"_{out}_1")
         result.append(F.when(lo == hi, lo).otherwise((F.lit(1.0) - frac) * lo + frac * hi).alias(out))
-    return found.select(*keys, *result)
+    return found.select(*[F.col(f"_key.{k}").alias(k) for k in keys], *result)

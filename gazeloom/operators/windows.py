@@ -6,6 +6,8 @@ sorted in one task.
 """
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -105,10 +107,15 @@ def ema(df: DataFrame, value: str, keep: float, out: str, idx: str, keys=("sessi
     Inside a block of rows it is a scaled running sum; a block reaches later ones through
     ``keep ** rows``, so the blocks before the last few no longer matter in double precision.
     """
-    size = 128 if keep <= 0.9 else 32
-    reach = 1
-    while keep ** (size * reach) > 1e-18:
-        reach += 1
+    if keep <= 0:
+        return df.withColumn(out, F.col(value).cast("double"))
+    if keep > 0.9999:
+        raise ValueError("keep must be at most 0.9999")
+    # Rows until a weight is below 1e-18: a block has a quarter of that at least, so it is handed on to few others,
+    # and weights inside a block stay within double precision's range.
+    fade = math.ceil(18 * math.log(10) / -math.log(keep))
+    size = min(max(8, fade if fade < 128 else max(128, fade // 4)), 65536)
+    reach = -(-fade // size)
     gain = F.when(F.col(idx) == 0, F.lit(1.0)).otherwise(F.lit(1.0 - keep))
     pos = (F.col(idx) % size).cast("double")
     b = in_blocks(df, idx, size=size).withColumn(

@@ -6,7 +6,7 @@ from gazeloom.functions import scalar as S
 from gazeloom.operators import aggregates as A
 from gazeloom.operators import gaze as G
 from gazeloom.plans import views as V
-from gazeloom.plans.q_columns import r6
+from gazeloom.plans.q_columns import r6, r9
 from gazeloom.plans.q_joins import PRESENCE, versions
 from gazeloom.plans.q_sources import DWELL_SQL, dwell_by_piece
 from gazeloom.plans.q_windows import cycles
@@ -154,7 +154,7 @@ def _(spark, sf):
 def _(spark, sf):
     t = versions(spark, sf).where(F.col("init").isNotNull())
     from gazeloom.operators.ordered import exact_percentile
-    return exact_percentile(t, ["version"], "duration", {"m": 0.5}, 0.01).select("version", r6("m", "median_s"))
+    return exact_percentile(t, ["version"], "duration", {"m": 0.5}).select("version", r6("m", "median_s"))
 
 
 @query("a18_outcome_summary", V.with_(*TV, body="""
@@ -195,10 +195,10 @@ TTL = """ll AS (SELECT measure, block, trial, split_part(name, '_', 1) AS color,
 
 
 @query("a22_time_to_landmark", V.with_(*TV, TTL, body="""
-SELECT CASE measure WHEN 'validation' THEN 'valid' WHEN 'target_found' THEN 'found' WHEN 'motor_onset' THEN 'motor' ELSE measure END AS measure, block, trial, color, count(*) AS n, round(avg(s), 6) AS mean_s
+SELECT CASE measure WHEN 'validation' THEN 'valid' WHEN 'target_found' THEN 'found' WHEN 'motor_onset' THEN 'motor' ELSE measure END AS measure, block, trial, color, count(*) AS n, round(avg(s), 9) AS mean_s
 FROM ll GROUP BY GROUPING SETS ((measure, block, trial), (measure, color, block))"""))
 def _(spark, sf):
-    return A.time_to_landmark(with_start(V.trials(spark, sf))).withColumn("mean_s", F.round("mean_s", 6))
+    return A.time_to_landmark(with_start(V.trials(spark, sf))).withColumn("mean_s", F.round("mean_s", 9))
 
 
 @query("a23_touch_fraction", V.with_(*TV, body="""
@@ -213,7 +213,7 @@ SELECT split_part(name, '_', 1) AS color, count(*) AS n, round(min(ft), 6) AS lo
   round(quantile_cont(ft, 0.75), 6) AS q3 FROM (SELECT name, round(ft, 9) AS ft FROM fs JOIN plan ON block * 10 + pos = cyc WHERE p BETWEEN 19 AND 24) GROUP BY 1"""))
 def _(spark, sf):
     names = F.array(*[F.lit(n) for _, _, _, n in C.plan_rows()])
-    c = cycles(spark, sf).where((F.col("frame") % 40).between(19, 24) & (F.col("cyc") < 60))
+    c = cycles(spark, sf).where((F.col("frame") % 40).between(19, 24))
     c = c.select(S.trial_color(F.get(names, F.col("cyc"))).alias("color"), F.round("ft", 9).alias("ft"))
     return A.touch_noise(c).select("color", "n", *[r6(k) for k in ("lo", "hi", "q1", "median", "q3")])
 
@@ -238,10 +238,10 @@ def _(spark, sf):
 
 
 @query("a36_mean_norm_on_cell", V.with_(V.GZ, V.GC, body="""
-SELECT session, CAST(c AS BIGINT) AS c, CAST(r AS BIGINT) AS r, round(avg(x), 6) AS mx, round(avg(y), 6) AS my, count(*) AS n FROM gc WHERE c IS NOT NULL GROUP BY session, c, r"""))
+SELECT session, CAST(c AS BIGINT) AS c, CAST(r AS BIGINT) AS r, round(avg(x), 9) AS mx, round(avg(y), 9) AS my, count(*) AS n FROM gc WHERE c IS NOT NULL GROUP BY session, c, r"""))
 def _(spark, sf):
     m = A.mean_norm_on_cell(V.gaze_cells(spark, sf))
-    return m.select("session", big("col", "c"), big("row", "r"), r6("mx"), r6("my"), "n")
+    return m.select("session", big("col", "c"), big("row", "r"), r9("mx"), r9("my"), "n")
 
 
 @query("a36_fit_cell_to_norm", V.with_(V.GZ, V.GC, body="""

@@ -46,10 +46,11 @@ ho AS (SELECT session, panel, CASE WHEN ta IS NULL OR tb IS NULL THEN coalesce(x
 er AS (SELECT dt.*, rx - ox AS cx, ry - oy AS cy, sqrt(rx * rx + ry * ry) AS base, sqrt((rx - ox) * (rx - ox) + (ry - oy) * (ry - oy)) AS corr
   FROM dt JOIN ho USING (session, panel))"""
 GATE = """ix AS (SELECT session, base, corr, row_number() OVER (PARTITION BY session ORDER BY panel, dot) - 1 AS i, count(*) OVER (PARTITION BY session) AS n FROM er),
-dr AS (SELECT a.session, rep, ((rep * 7919 + a.i * 104729 + 1) * 48271 % 2147483647) % a.n AS i FROM ix a, range(500) t(rep)),
+dr AS (SELECT a.session, rep, CAST('0x' || substr(md5(concat_ws(',', a.session, rep, a.i)), 1, 8) AS BIGINT) % a.n AS i FROM ix a, range(500) t(rep) WHERE a.n >= 6),
 gn AS (SELECT dr.session, rep, 1 - median(corr) / nullif(median(base), 0) AS g FROM dr JOIN ix ON ix.session = dr.session AND ix.i = dr.i GROUP BY dr.session, rep),
-gt AS (SELECT w.*, lo, hi, n >= 6 AND lo > 0 AND bpx >= 12 AS adopt FROM (SELECT session, count(*) AS n, median(base) AS bpx, median(corr) AS cpx FROM ix GROUP BY session) w
-  JOIN (SELECT session, quantile_cont(coalesce(g, 0), 0.05) AS lo, quantile_cont(coalesce(g, 0), 0.95) AS hi FROM gn GROUP BY session) USING (session))"""
+gt AS (SELECT session, n, CASE WHEN n >= 6 THEN bpx END AS bpx, CASE WHEN n >= 6 THEN cpx END AS cpx, lo, hi, coalesce(n >= 6 AND lo > 0 AND bpx >= 12, false) AS adopt
+  FROM (SELECT session, count(*) AS n, median(base) AS bpx, median(corr) AS cpx FROM ix GROUP BY session) w
+  LEFT JOIN (SELECT session, quantile_cont(coalesce(g, 0), 0.05) AS lo, quantile_cont(coalesce(g, 0), 0.95) AS hi FROM gn GROUP BY session) USING (session))"""
 JIT = """jt AS (SELECT pts.*, rx - mx AS jx, ry - my AS jy, sqrt((dot_x - 640) * (dot_x - 640) + (dot_y - 360) * (dot_y - 360)) AS ecc FROM pts
   JOIN (SELECT session, panel, dot, avg(rx) AS mx, avg(ry) AS my FROM pts GROUP BY session, panel, dot) USING (session, panel, dot)),
 jc AS (SELECT session, covar_samp(jx, jx) AS xx, covar_samp(jx, jy) AS xy, covar_samp(jy, jy) AS yy, avg(jx * jx + jy * jy) AS pool, count(*) AS n FROM jt GROUP BY session)"""

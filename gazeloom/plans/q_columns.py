@@ -8,6 +8,7 @@ from gazeloom.plans.registry import query
 
 lit = S.lit
 r6 = lambda c, name=None: F.round(F.col(c) if isinstance(c, str) else c, 6).alias(name or c)
+r9 = lambda c, name=None: F.round(F.col(c) if isinstance(c, str) else c, 9).alias(name or c)
 big = lambda c, name=None: (F.col(c) if isinstance(c, str) else c).cast("bigint").alias(name or c)
 
 
@@ -17,19 +18,19 @@ def _(spark, sf):
 
 
 @query("p2_flip_y", V.with_(V.GZ, body="""
-SELECT session, n, round(x, 6) AS x, round(1.0e0 - y, 6) AS y, round(-(x * y) / 100.0e0, 6) AS cov_xy FROM gz"""))
+SELECT session, n, round(x, 9) AS x, round(1.0e0 - y, 9) AS y, round(-(x * y) / 100.0e0, 9) AS cov_xy FROM gz"""))
 def _(spark, sf):
-    return V.gz(spark, sf).select("session", "n", r6("x"), r6(S.flip_y(F.col("y")), "y"),
-                                  r6(-(F.col("x") * F.col("y")) / lit(100), "cov_xy"))
+    return V.gz(spark, sf).select("session", "n", r9("x"), r9(S.flip_y(F.col("y")), "y"),
+                                  r9(-(F.col("x") * F.col("y")) / lit(100), "cov_xy"))
 
 
 @query("p3_denormalise", V.with_(V.GZ, body="""
 SELECT session, n, CAST(trunc(x * 1280.0e0) AS BIGINT) AS px, CAST(trunc(y * 720.0e0) AS BIGINT) AS py,
-  round(trunc(x * 1280.0e0) / 1280.0e0, 6) AS nx FROM gz"""))
+  round(trunc(x * 1280.0e0) / 1280.0e0, 9) AS nx FROM gz"""))
 def _(spark, sf):
     px = S.to_pixel(F.col("x"), C.WORLD_W)
     return V.gz(spark, sf).select("session", "n", big(px, "px"), big(S.to_pixel(F.col("y"), C.WORLD_H), "py"),
-                                  r6(S.to_norm(px, C.WORLD_W), "nx"))
+                                  r9(S.to_norm(px, C.WORLD_W), "nx"))
 
 
 def undistort_ctes(source, out, px="x * 1280.0e0", py="y * 720.0e0", keep="session, n"):
@@ -129,13 +130,13 @@ def _(spark, sf):
 
 @query("p9_rotate180", V.with_(V.GZ, V.GC, body="""
 SELECT session, n, CAST(7 - c AS BIGINT) AS c, CAST(4 - r AS BIGINT) AS r,
-  round(CASE WHEN session % 6 = 3 THEN 1.0e0 - x ELSE x END, 6) AS x, round(CASE WHEN session % 6 = 3 THEN 1.0e0 - y ELSE y END, 6) AS y
+  round(CASE WHEN session % 6 = 3 THEN 1.0e0 - x ELSE x END, 9) AS x, round(CASE WHEN session % 6 = 3 THEN 1.0e0 - y ELSE y END, 9) AS y
 FROM gc WHERE c IS NOT NULL"""))
 def _(spark, sf):
     g = V.gaze_cells(spark, sf).where(F.col("col").isNotNull())
     col, row = S.rotate180(F.col("col"), F.col("row"))
     x, y = S.rotate_norm(F.col("x"), F.col("y"), F.col("session") % 6 == 3)
-    return g.select("session", "n", big(col, "c"), big(row, "r"), r6(x, "x"), r6(y, "y"))
+    return g.select("session", "n", big(col, "c"), big(row, "r"), r9(x, "x"), r9(y, "y"))
 
 
 # Diamond around the board centre; inside iff |x - .5| / .45 + |y - .5| / .45 <= 1.

@@ -14,6 +14,7 @@ from gazeloom.plans.registry import query
 
 lit = S.lit
 r6 = lambda c, name=None: F.round(F.col(c) if isinstance(c, str) else c, 6).alias(name or c)
+r9 = lambda c, name=None: F.round(F.col(c) if isinstance(c, str) else c, 9).alias(name or c)
 big = lambda c, name=None: (F.col(c) if isinstance(c, str) else c).cast("bigint").alias(name or c)
 JUMP = 40.0
 
@@ -99,13 +100,13 @@ def _(spark, sf):
 
 
 @query("g6_drift_correct", V.with_(V.GZ, V.MK, V.PO, SEG_SQL, INTERP_SQL, body="""
-SELECT session, n, round(CASE WHEN session % 3 <> 0 THEN x - off_x ELSE x END, 6) AS x, round(CASE WHEN session % 3 <> 0 THEN y + off_y ELSE y END, 6) AS y FROM offs"""))
+SELECT session, n, round(CASE WHEN session % 3 <> 0 THEN x - off_x ELSE x END, 9) AS x, round(CASE WHEN session % 3 <> 0 THEN y + off_y ELSE y END, 9) AS y FROM offs"""))
 def _(spark, sf):
     marks = V.marks(spark, sf)
     applied = F.col("session") % 3 != 0  # sessions whose calibration passed the gate
     panels = J.segment_of(V.panels(spark, sf).where(applied), marks)
     g = J.interpolate_offsets(V.gz(spark, sf), panels, marks)
-    return g.select("session", "n", r6(F.col("x") - F.col("off_x"), "x"), r6(F.col("y") + F.col("off_y"), "y"))
+    return g.select("session", "n", r9(F.col("x") - F.col("off_x"), "x"), r9(F.col("y") + F.col("off_y"), "y"))
 
 
 @query("g7_expand_duration", V.with_(V.GZ, body="""
@@ -204,14 +205,14 @@ def _(spark, sf):
 
 
 @query("g11_order_corners", V.with_(V.GZ, body="""
-SELECT session, n, round(x - 0.1e0, 6) AS tl_x, round(y - 0.1e0, 6) AS tl_y, round(x + 0.2e0, 6) AS tr_x, round(x + 0.21e0, 6) AS br_x, round(x - 0.11e0, 6) AS bl_x FROM gz"""))
+SELECT session, n, round(x - 0.1e0, 9) AS tl_x, round(y - 0.1e0, 9) AS tl_y, round(x + 0.2e0, 9) AS tr_x, round(x + 0.21e0, 9) AS br_x, round(x - 0.11e0, 9) AS bl_x FROM gz"""))
 def _(spark, sf):
     x, y = F.col("x"), F.col("y")
     p = lambda dx, dy: F.struct((x + lit(dx)).alias("x"), (y + lit(dy)).alias("y"))
     tl, tr, br, bl = p(-0.1, -0.1), p(0.2, -0.12), p(0.21, 0.15), p(-0.11, 0.14)
     mixed = F.when(F.col("n") % 2 == 0, F.array(br, tl, bl, tr)).otherwise(F.array(tr, bl, tl, br))
     g = V.gz(spark, sf).select("session", "n", S.order_corners(mixed).alias("o"))
-    at = lambda i, k, name: F.round(F.col("o")[i][k], 6).alias(name)
+    at = lambda i, k, name: F.round(F.col("o")[i][k], 9).alias(name)
     return g.select("session", "n", at(0, "x", "tl_x"), at(0, "y", "tl_y"), at(1, "x", "tr_x"), at(2, "x", "br_x"), at(3, "x", "bl_x"))
 
 

@@ -13,6 +13,7 @@ from gazeloom.sources.readers import with_rotated
 
 lit = S.lit
 r6 = lambda c, name=None: F.round(F.col(c) if isinstance(c, str) else c, 6).alias(name or c)
+r9 = lambda c, name=None: F.round(F.col(c) if isinstance(c, str) else c, 9).alias(name or c)
 big = lambda c, name=None: (F.col(c) if isinstance(c, str) else c).cast("bigint").alias(name or c)
 
 
@@ -32,22 +33,21 @@ def _(spark, sf):
     return J.exclude_blinks(g, b).select("session", "n")
 
 
-# Exported fixations: each sixth line of lineitem's frame series lasts a few frames.
+# Exported fixations: one starts at every frame of lineitem's series and lasts a few frames.
 def fixation_export(spark, sf):
-    f = V.fs(spark, sf).where(F.col("frame") % 6 == 0)
-    return f.select("session", F.col("frame").alias("id"), F.col("frame").alias("start_frame_index"),
-                    (F.col("frame") + F.col("frame") % 9).alias("end_frame_index"),
-                    F.col("ft").alias("norm_pos_x"), F.col("bocc").alias("norm_pos_y"))
+    return V.fs(spark, sf).select("session", F.col("frame").alias("id"), F.col("frame").alias("start_frame_index"),
+                                  (F.col("frame") + F.col("frame") % 9).alias("end_frame_index"),
+                                  F.col("ft").alias("norm_pos_x"), F.col("bocc").alias("norm_pos_y"))
 
 
 @query("j3_fixations_in_frame", V.with_(V.FS, body="""
-SELECT b.session, b.frame, a.frame AS id, round(a.ft, 6) AS x, round(1.0e0 - a.bocc, 6) AS y
-FROM fs a JOIN fs b ON a.session = b.session AND b.frame BETWEEN a.frame AND a.frame + a.frame % 9 WHERE a.frame % 6 = 0"""))
+SELECT a.session, t.frame, a.frame AS id, round(a.ft, 9) AS x, round(1.0e0 - a.bocc, 9) AS y
+FROM (SELECT *, max(frame) OVER (PARTITION BY session) AS final FROM fs) a, unnest(generate_series(a.frame, least(a.frame + a.frame % 9, final))) t(frame)"""))
 def _(spark, sf):
     f = J.fixations_in_frame(fixation_export(spark, sf))
     frames = V.fs(spark, sf).select("session", "frame")
     return (f.join(frames, ["session", "frame"], "left_semi")
-            .select("session", big("frame"), big("id"), r6("x"), r6("y")))
+            .select("session", big("frame"), big("id"), F.round("x", 9).alias("x"), F.round("y", 9).alias("y")))
 
 
 SEG_SQL = """sg AS (SELECT gz.*, coalesce(mk.mark, 0) AS seg FROM gz ASOF LEFT JOIN mk ON gz.session = mk.session AND gz.t >= mk.t)"""
@@ -71,11 +71,11 @@ offs AS (SELECT b.session, b.n, b.x, b.y,
 
 
 @query("j5_interp_join", V.with_(V.GZ, V.MK, V.PO, SEG_SQL, INTERP_SQL, body="""
-SELECT session, n, round(off_x, 6) AS off_x, round(off_y, 6) AS off_y FROM offs"""))
+SELECT session, n, round(off_x, 9) AS off_x, round(off_y, 9) AS off_y FROM offs"""))
 def _(spark, sf):
     marks = V.marks(spark, sf)
     p = J.segment_of(V.panels(spark, sf), marks)
-    return J.interpolate_offsets(V.gz(spark, sf), p, marks).select("session", "n", r6("off_x"), r6("off_y"))
+    return J.interpolate_offsets(V.gz(spark, sf), p, marks).select("session", "n", r9("off_x"), r9("off_y"))
 
 
 @query("j6_lookup_cell", V.with_(V.GZ, V.GC, V.LAYOUT, body="""

@@ -51,10 +51,20 @@ COV = """cv AS (SELECT *, cxy / (sx * sy) AS rho FROM (SELECT *, sqrt(cxx) AS sx
 # Distribution function at the 54 corners, then the 40 cells.
 CORNERS = f"""co AS MATERIALIZED (SELECT session, n, i, j, {phi2_sql('zh', 'zk', 'rho')} AS f FROM (
   SELECT session, n, i, j, rho, (i / 8.0e0 - x) / sx AS zh, (j / 5.0e0 - y) / sy AS zk FROM cv, range(9) a(i), range(6) b(j)))"""
-CELLS = """cm AS (SELECT a.session, a.n, a.i AS c, a.j AS r, greatest(0.0e0, d.f - b.f - e.f + a.f) AS mass FROM co a
-  JOIN co b ON a.session = b.session AND a.n = b.n AND b.i = a.i AND b.j = a.j + 1
-  JOIN co d ON a.session = d.session AND a.n = d.n AND d.i = a.i + 1 AND d.j = a.j + 1
-  JOIN co e ON a.session = e.session AND a.n = e.n AND e.i = a.i + 1 AND e.j = a.j)"""
+CELLS = """cm AS (SELECT session, n, i AS c, j AS r, greatest(0.0e0, d - b - e + f) AS mass FROM (
+  SELECT session, n, i, j, f, lead(f, 1) OVER w AS b, lead(f, 6) OVER w AS e, lead(f, 7) OVER w AS d FROM co WINDOW w AS (PARTITION BY session, n ORDER BY i, j))
+  WHERE i < 8 AND j < 5)"""
+
+
+def one_cell(col, row):
+    """CTE om: the mass of one cell per sample, from its four corners."""
+    return f"""om AS (SELECT session, n, greatest(0.0e0, max(CASE WHEN di = 1 AND dj = 1 THEN f END) - max(CASE WHEN di = 0 AND dj = 1 THEN f END)
+    - max(CASE WHEN di = 1 AND dj = 0 THEN f END) + max(CASE WHEN di = 0 AND dj = 0 THEN f END)) AS mass FROM (
+  SELECT session, n, di, dj, {phi2_sql('zh', 'zk', 'rho')} AS f FROM (
+    SELECT session, n, di, dj, rho, ((({col}) + di) / 8.0e0 - x) / sx AS zh, ((({row}) + dj) / 5.0e0 - y) / sy AS zk
+    FROM cv, range(2) a(di), range(2) b(dj))) GROUP BY session, n)"""
+
+
 CM_SQL = V.with_(V.GZ, COV, CORNERS, CELLS, body="")
 
 
@@ -79,8 +89,7 @@ def _(spark, sf):
     return V.gz(spark, sf).select("session", "n", r6(v, "v"))
 
 
-@query("m4_cell_mass", V.with_(V.GZ, COV, CORNERS, CELLS, body="""
-SELECT cm.session, cm.n, round(mass, 5) AS mass FROM cm JOIN gz USING (session, n) WHERE c = k % 8 AND r = k % 5"""))
+@query("m4_cell_mass", V.with_(V.GZ, COV, one_cell("k % 8", "k % 5"), body="SELECT session, n, round(mass, 5) AS mass FROM om"))
 def _(spark, sf):
     g = with_cov(V.gz(spark, sf))
     m = gauss.cell_mass(F.col("x"), F.col("y"), F.col("cxx"), F.col("cxy"), F.col("cyy"), F.col("k") % 8, F.col("k") % 5)
@@ -194,8 +203,7 @@ def _(spark, sf):
     return g.select("session", "n", F.round(lit(1e2) * sx, 5).alias("sx"), r6(F.col("cxy") / (sx * sy), "rho"))
 
 
-@query("u2_arrow_cell_mass", V.with_(V.GZ, COV, CORNERS, CELLS, body="""
-SELECT cm.session, cm.n, round(mass, 4) AS mass FROM cm JOIN gz USING (session, n) WHERE c = k % 8 AND r = k % 5"""))
+@query("u2_arrow_cell_mass", V.with_(V.GZ, COV, one_cell("k % 8", "k % 5"), body="SELECT session, n, round(mass, 4) AS mass FROM om"))
 def _(spark, sf):
     g = with_cov(V.gz(spark, sf))
     m = cell_mass_udf(F.col("x"), F.col("y"), F.col("cxx"), F.col("cxy"), F.col("cyy"), F.col("k") % 8, F.col("k") % 5)

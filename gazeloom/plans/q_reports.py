@@ -27,24 +27,44 @@ def _(spark, sf):
         F.round(F.avg(F.when(valid, F.col("duration"))), 6).alias("mean_s"))
 
 
+@query("r2_session_matrix", V.with_(*TV, body="""
+SELECT version, session, block, trial, round(max(CASE WHEN init IS NOT NULL THEN duration END), 9) AS duration_s,
+  max(CASE WHEN init IS NULL THEN 'lost' WHEN status = 'test_finish_execution' THEN 'border' ELSE 'next_panel' END) AS finish FROM tv GROUP BY version, session, block, trial"""))
+def _(spark, sf):
+    """Duration and finish of every trial of every session."""
+    valid = S.is_valid_trial(F.col("name"))
+    finish = F.when(~valid, "lost").when(F.col("status") == "test_finish_execution", "border").otherwise("next_panel")
+    return versions(spark, sf).groupBy("version", "session", "block", "trial").agg(
+        F.round(F.max(F.when(valid, F.col("duration"))), 9).alias("duration_s"), F.max(finish).alias("finish"))
+
+
 @query("r3_mark_coverage", V.with_(*TV, body=" UNION ALL ".join(
-    f"SELECT version, '{m}' AS mark, round(100.0e0 * count({m}) / count(*), 6) AS pct FROM va GROUP BY version"
-    for m in ("target_found", "motor_onset", "touch", "hand_exit"))))
+    f"SELECT version, session, '{m}' AS mark, round(CASE WHEN max(CASE WHEN motor_onset IS NOT NULL OR touch IS NOT NULL THEN 1 ELSE 0 END) = 1 THEN 100.0e0 * count({m}) / count(*) END, 6) AS pct, count(*) AS n "
+    "FROM va GROUP BY GROUPING SETS ((version), (version, session))" for m in ("target_found", "motor_onset", "touch", "hand_exit"))))
 def _(spark, sf):
-    m = A.mark_coverage(versions(spark, sf)).where("session IS NULL")
-    return m.unpivot("version", ["target_found", "motor_onset", "touch", "hand_exit"], "mark", "v").select("version", "mark", r6("v", "pct"))
+    """Per version, and per session of it (session NULL: the version)."""
+    m = A.mark_coverage(versions(spark, sf))
+    return m.unpivot(["version", "session", "n"], ["target_found", "motor_onset", "touch", "hand_exit"], "mark", "v").select(
+        "version", "session", "mark", r6("v", "pct"), "n")
 
 
 @query("r4_outcome_and_confidence", V.with_(*TV, body="""
-SELECT version, coalesce(error_type, '') AS outcome, count(*) AS n, round(100.0e0 * count(*) / sum(count(*)) OVER (PARTITION BY version), 6) AS pct, round(median(confidence), 6) AS median_conf FROM va GROUP BY 1, 2"""))
+SELECT version, session, coalesce(error_type, '') AS outcome, count(*) AS n, round(100.0e0 * count(*) / sum(count(*)) OVER (PARTITION BY version, session, GROUPING(session)), 6) AS pct,
+  round(median(confidence), 6) AS median_conf FROM va GROUP BY GROUPING SETS ((version, 3), (version, session, 3))""".replace("GROUPING SETS ((version, 3), (version, session, 3))",
+    "GROUPING SETS ((version, coalesce(error_type, '')), (version, session, coalesce(error_type, '')))")))
 def _(spark, sf):
+    """Per version, and per session of it (session NULL: the version)."""
     t = versions(spark, sf).withColumn("outcome", F.coalesce("error_type", F.lit("")))
-    o = A.outcome_summary(t).where("session IS NULL")
-    totals = o.where("outcome IS NULL").select("version", F.col("n").alias("total"))
-    o = o.where("outcome IS NOT NULL").select("version", "outcome", "n").join(totals, "version")
-    med = A.confidence_tiers(t, keys=("version", "outcome")).select("version", "outcome", r6("median", "median_conf"))
-    return o.join(med, ["version", "outcome"], "left").select(
-        "version", "outcome", "n", r6(F.lit(100.0) * F.col("n") / F.col("total"), "pct"), "median_conf")
+    o = A.outcome_summary(t)
+    med = lambda *keys: A.confidence_tiers(t, keys=keys).select(*keys, r6("median", "median_conf"))
+    out = None
+    for keys, counts in ((("version",), o.where("session IS NULL AND outcome IS NOT NULL").drop("session")), (("version", "session"), o.where("session IS NOT NULL"))):
+        totals = counts.groupBy(*keys).agg(F.sum("n").alias("total"))
+        part = counts.join(totals, list(keys)).join(med(*keys, "outcome"), [*keys, "outcome"], "left")
+        part = part.withColumn("session", F.col("session") if "session" in keys else F.lit(None).cast("bigint")).select(
+            "version", "session", "outcome", "n", r6(F.lit(100.0) * F.col("n") / F.col("total"), "pct"), "median_conf")
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 @query("r5_touch_table", V.with_(*TV, body="""
@@ -59,30 +79,49 @@ def _(spark, sf):
         of("v1.4", F.round(touch, 9)).alias("touch_s"))
 
 
-@query("r6_frequencies", V.with_(V.GZ, UNEVEN, body="SELECT count(*) AS sessions, round(avg(rate), 4) AS mean_rate, round(min(cont), 6) AS worst FROM sr"))
+@query("r6_frequencies", V.with_(V.GZ, UNEVEN, body="""
+SELECT session, round(rate, 4) AS rate_hz, round(cont, 6) AS continuity, 1 AS sessions FROM sr
+UNION ALL SELECT NULL, round(avg(rate), 4), round(min(cont), 6), count(*) FROM sr"""))
 def _(spark, sf):
-    return G.sampling(uneven(spark, sf)).agg(F.count(F.lit(1)).alias("sessions"), F.round(F.avg("rate_hz"), 4).alias("mean_rate"),
-                                             F.round(F.min("continuity"), 6).alias("worst"))
+    """Every session, and the cohort's mean rate and worst continuity (session NULL)."""
+    s = G.sampling(uneven(spark, sf)).select("session", "rate_hz", "continuity")
+    total = s.agg(F.avg("rate_hz").alias("rate_hz"), F.min("continuity").alias("continuity"), F.count(F.lit(1)).alias("sessions"))
+    both = s.withColumn("sessions", F.lit(1).cast("bigint")).unionByName(total.withColumn("session", F.lit(None).cast("bigint")))
+    return both.select("session", F.round("rate_hz", 4).alias("rate_hz"), r6("continuity"), "sessions")
 
 
 @query("r7_behaviour", V.with_(*TV, TTL, body="""
-SELECT CASE measure WHEN 'validation' THEN 'valid' WHEN 'target_found' THEN 'found' WHEN 'motor_onset' THEN 'motor' ELSE measure END AS measure, color, block, round(avg(s), 6) AS mean_s,
-  round(avg(avg(s)) OVER (PARTITION BY measure, color), 6) AS color_mean FROM ll GROUP BY measure, color, block"""))
+SELECT CASE measure WHEN 'validation' THEN 'valid' WHEN 'target_found' THEN 'found' WHEN 'motor_onset' THEN 'motor' ELSE measure END AS measure, color, block, round(avg(s), 9) AS mean_s,
+  round(avg(avg(s)) OVER (PARTITION BY measure, color), 9) AS color_mean FROM ll GROUP BY measure, color, block"""))
 def _(spark, sf):
     from pyspark.sql import Window
     t = A.time_to_landmark(with_start(V.trials(spark, sf))).where("color IS NOT NULL")
-    return t.select("measure", "color", "block", r6("mean_s"),
-                    r6(F.avg("mean_s").over(Window.partitionBy("measure", "color")), "color_mean"))  # six blocks
+    return t.select("measure", "color", "block", F.round("mean_s", 9).alias("mean_s"),
+                    F.round(F.avg("mean_s").over(Window.partitionBy("measure", "color")), 9).alias("color_mean"))  # six blocks
 
 
 @query("r8_version_comparison", V.with_(V.TR_OLD, V.TR_NEW, CMP, body="""
-SELECT count(*) AS sessions, CAST(sum(valid_old) AS BIGINT) AS valid_old, CAST(sum(valid_new) AS BIGINT) AS valid_new, CAST(sum(rescued) AS BIGINT) AS rescued,
-  CAST(sum(lost) AS BIGINT) AS lost, round(avg(median_diff), 5) AS mean_shift FROM vs"""))
+SELECT session, valid_old, valid_new, rescued, lost, closed_by_panel, median_diff, big_changes FROM vs
+UNION ALL SELECT NULL, CAST(sum(valid_old) AS BIGINT), CAST(sum(valid_new) AS BIGINT), CAST(sum(rescued) AS BIGINT), CAST(sum(lost) AS BIGINT),
+  CAST(sum(closed_by_panel) AS BIGINT), round(avg(median_diff), 5), CAST(sum(big_changes) AS BIGINT) FROM vs"""))
+def _(spark, sf):
+    """Every session, and the cohort (session NULL)."""
+    s = A.version_summary(A.compare_versions(V.trials(spark, sf, "old"), V.trials(spark, sf))).withColumn("median_diff", F.round("median_diff", 6))
+    counts = ("valid_old", "valid_new", "rescued", "lost", "closed_by_panel", "big_changes")
+    total = s.agg(F.lit(None).cast("bigint").alias("session"), *[F.sum(c).alias(c) for c in counts], F.round(F.avg("median_diff"), 5).alias("median_diff"))
+    return s.select(total.columns).unionByName(total).select("session", "valid_old", "valid_new", "rescued", "lost", "closed_by_panel", "median_diff", "big_changes")
+
+
+@query("r8_version_detail", V.with_(V.TR_OLD, V.TR_NEW, body="""
+SELECT session, block, trial, coalesce(n.name, o.name) AS name, coalesce(NOT regexp_matches(o.name, '_error'), false) AS valid_old, coalesce(NOT regexp_matches(n.name, '_error'), false) AS valid_new,
+  round(CASE WHEN coalesce(NOT regexp_matches(o.name, '_error'), false) AND coalesce(NOT regexp_matches(n.name, '_error'), false) THEN n.duration - o.duration END, 6) AS diff_s,
+  o.status AS old_status, n.status AS new_status FROM tr_old o FULL JOIN tr_new n USING (session, block, trial)"""))
 def _(spark, sf):
-    s = A.version_summary(A.compare_versions(V.trials(spark, sf, "old"), V.trials(spark, sf)))
-    s = s.withColumn("median_diff", F.round("median_diff", 6))
-    return s.agg(F.count(F.lit(1)).alias("sessions"), *[F.sum(c).alias(c) for c in ("valid_old", "valid_new", "rescued", "lost")],
-                 F.round(F.avg("median_diff"), 5).alias("mean_shift"))
+    """One row per trial of either version."""
+    c = A.compare_versions(V.trials(spark, sf, "old"), V.trials(spark, sf))
+    both = F.col("valid_old") & F.col("valid_new")
+    return c.select("session", "block", "trial", F.coalesce("new_name", "old_name").alias("name"), "valid_old", "valid_new",
+                    r6(F.when(both, F.col("new_duration") - F.col("old_duration")), "diff_s"), "old_status", "new_status")
 
 
 @query("r9_presence_and_config", V.with_(V.PLAN, V.TR_NEW, PRESENCE, body="""
@@ -120,22 +159,31 @@ def _(spark, sf):
     return t.select("session", "block", "trial", "error_type", r6(x, "target_x"), r6(y, "target_y"))
 
 
-@query("r12_trajectories", V.with_(V.GZ, body="""
-SELECT session, n, round(sqrt((nx - x) * (nx - x) + (ny - y) * (ny - y)), 6) AS step, round((n - 1) / CAST(nullif(total - 1, 0) AS DOUBLE), 6) AS progress FROM (
-  SELECT *, lead(x) OVER (PARTITION BY session ORDER BY n) AS nx, lead(y) OVER (PARTITION BY session ORDER BY n) AS ny, count(*) OVER (PARTITION BY session) AS total FROM gz)"""))
+# Exercise trials of a session: forty samples each, ten to a block.
+@query("r12_trajectories", V.with_(V.GZ, V.PLAN, body=f"""
+SELECT session, block, trial, name, n, round(CAST({C.CANVAS_FRAC[0]} AS DOUBLE) * 1000.0e0 + x * ((CAST({C.CANVAS_FRAC[2]} AS DOUBLE) - CAST({C.CANVAS_FRAC[0]} AS DOUBLE)) * 1000.0e0), 9) AS cx,
+  round(CAST({C.CANVAS_FRAC[1]} AS DOUBLE) * 625.0e0 + y * ((CAST({C.CANVAS_FRAC[3]} AS DOUBLE) - CAST({C.CANVAS_FRAC[1]} AS DOUBLE)) * 625.0e0), 9) AS cy,
+  round(sqrt((nx - x) * (nx - x) + (ny - y) * (ny - y)), 9) AS step, round(n / CAST(nullif(total - 1, 0) AS DOUBLE), 9) AS progress FROM (
+  SELECT session, g.block, g.trial, name, n, x, y, lead(x) OVER w AS nx, lead(y) OVER w AS ny, count(*) OVER (PARTITION BY session, g.block, g.trial) AS total FROM (
+    SELECT session, x, y, (n - 1) // 400 AS block, (n - 1) // 40 % 10 AS trial, (n - 1) % 40 AS n FROM gz) g LEFT JOIN plan ON plan.block = g.block % 6 AND plan.pos = g.trial
+  WINDOW w AS (PARTITION BY session, g.block, g.trial ORDER BY n))"""))
 def _(spark, sf):
-    g = V.gz(spark, sf).select("session", (F.col("n") - 1).alias("n"), "x", "y")
-    g = trajectory(g)
-    return g.select("session", (F.col("n") + 1).alias("n"), r6("step"), r6("progress"))
+    m = F.col("n") - 1
+    g = V.gz(spark, sf).select("session", F.floor(m / 400).alias("block"), (F.floor(m / 40) % 10).alias("trial"), (m % 40).alias("n"), "x", "y")
+    names = F.array(*[F.lit(name) for _, _, _, name in C.plan_rows()])
+    g = g.withColumn("name", F.get(names, (F.col("block") % 6 * 10 + F.col("trial")).cast("int")))
+    keys = ["session", "block", "trial", "name"]
+    cx, cy = S.to_canvas(F.col("x"), F.col("y"), 1000.0, 625.0)
+    return trajectory(g, keys).select(*keys, "n", F.round(cx, 9).alias("cx"), F.round(cy, 9).alias("cy"), F.round("step", 9).alias("step"), F.round("progress", 9).alias("progress"))
 
 
-def trajectory(points):
+def trajectory(points, keys=("session",)):
     """Segment to the next point and progress from 0 to 1 along a numbered track."""
     from pyspark.sql import Window
+    keys = list(keys)
     b = in_blocks(points, "n", halo=1)
-    w = Window.partitionBy("session", BLOCK).orderBy("n")
+    w = Window.partitionBy(*keys, BLOCK).orderBy("n")
     b = b.withColumns({"_nx": F.lead("x").over(w), "_ny": F.lead("y").over(w)}).where("_home").drop("_home", BLOCK)
-    b = carry(b, ["session"], ["n"], chunk_by(F.col("n"), 65536), running_max={"_m": F.col("n")},
-              following={"_z": F.when(F.col("_nx").isNull(), F.col("n"))})
+    b = carry(b, keys, ["n"], chunk_by(F.col("n"), 65536), following={"_z": F.when(F.col("_nx").isNull(), F.col("n"))})
     return b.withColumns({"step": S.hyp(F.col("_nx") - F.col("x"), F.col("_ny") - F.col("y")),
-                          "progress": F.when(F.col("_z") > 0, F.col("n").cast("double") / F.col("_z"))}).drop("_nx", "_ny", "_m", "_z")
+                          "progress": F.when(F.col("_z") > 0, F.col("n").cast("double") / F.col("_z"))}).drop("_nx", "_ny", "_z")

@@ -12,6 +12,7 @@ from gazeloom.sources import readers, writers
 
 lit = S.lit
 r6 = lambda c, name=None: F.round(F.col(c) if isinstance(c, str) else c, 6).alias(name or c)
+r9 = lambda c, name=None: F.round(F.col(c) if isinstance(c, str) else c, 9).alias(name or c)
 
 
 def dwell_by_piece(spark, sf_dir):
@@ -55,11 +56,11 @@ def stored(spark, df, name, fmt="parquet", **options):
 
 
 @query("s1_read_gaze", V.with_(V.GZ, body="""
-SELECT CAST(session AS VARCHAR) AS session, round(t, 6) AS ts, round(x, 6) AS x, round(y, 6) AS y, round(conf, 6) AS confidence
+SELECT CAST(session AS VARCHAR) AS session, round(t, 9) AS ts, round(x, 9) AS x, round(y, 9) AS y, round(conf, 9) AS confidence
 FROM gz WHERE kind <> 'click'"""))
 def _(spark, sf_dir):
     g = readers.read_gaze(spark, stored(spark, gaze_samples(spark, sf_dir), "gaze"), "gaze")
-    return g.select("session", r6("ts"), r6("x"), r6("y"), r6("confidence"))
+    return g.select("session", r9("ts"), r9("x"), r9("y"), r9("confidence"))
 
 
 @query("s2_read_fixation_csv", """
@@ -161,19 +162,23 @@ def _(spark, sf_dir):
 
 
 @query("s10_write_outputs", V.with_(V.TR_OLD, V.TR_NEW, body="""
-SELECT '1.3' AS sw_version, session % 8 AS part, count(*) AS n FROM tr_old GROUP BY 2
-UNION ALL SELECT '1.4', session % 8, count(*) FROM tr_new GROUP BY 2"""))
+SELECT '1.3' AS sw_version, session, count(*) AS n FROM tr_old GROUP BY 2
+UNION ALL SELECT '1.4', session, count(*) FROM tr_new GROUP BY 2"""))
 def _(spark, sf_dir):
-    root = writers.scratch_dir(spark, "outputs")
-    for version, which in (("1.3", "old"), ("1.4", "new"), ("1.4", "new")):
-        t = V.trials(spark, sf_dir, which).withColumns(
-            {"sw_version": F.lit(version), "topic": F.lit("gaze"), "part": F.col("session") % 8})
-        writers.write_outputs(t, root, "trials", ("sw_version", "topic", "part"))
-    return (readers.read_outputs(spark, root, "trials").groupBy(F.col("sw_version").cast("string").alias("sw_version"),
-                                                                F.col("part").cast("bigint").alias("part"))
+    root = stored_versions(spark, sf_dir, ("1.4", "new"))
+    return (readers.read_outputs(spark, root, "trials").groupBy(F.col("sw_version").cast("string").alias("sw_version"), "session")
             .agg(F.count(F.lit(1)).alias("n")))
 
 
+def stored_versions(spark, sf_dir, *again):
+    """Both trial tables written as outputs; ``again``: versions written a second time."""
+    root = writers.scratch_dir(spark, "outputs")
+    for version, which in (("1.3", "old"), ("1.4", "new"), *again):
+        t = V.trials(spark, sf_dir, which).withColumns({"sw_version": F.lit(version), "topic": F.lit("gaze")})
+        writers.write_outputs(t.drop("congruent") if which == "old" else t, root, "trials")
+    return root
+
+
 TL_MARKS = [("search_start", "init"), ("target_found", "target_found"), ("validation", "validation"),
             ("motor_onset", "motor_onset"), ("target_touch", "touch"), ("hand_exit", "hand_exit"),
             ("trial_end", "end")]
@@ -205,11 +210,12 @@ def _(spark, sf_dir):
 
 
 @query("s12_combine", V.with_(V.TR_OLD, V.TR_NEW, body="""
-SELECT 'v1.3' AS participant, count(*) AS n, count(touch) AS touched FROM tr_old
-UNION ALL SELECT 'v1.4', count(*), count(touch) FROM tr_new"""))
+SELECT session AS participant, '1.3' AS sw_version, count(*) AS n, count(touch) AS touched, 0 AS congruent FROM tr_old GROUP BY 1
+UNION ALL SELECT session, '1.4', count(*), count(touch), count(congruent) FROM tr_new GROUP BY 1"""))
 def _(spark, sf_dir):
-    both = writers.combine({"v1.3": V.trials(spark, sf_dir, "old").drop("congruent"), "v1.4": V.trials(spark, sf_dir)})
-    return both.groupBy("participant").agg(F.count(F.lit(1)).alias("n"), F.count("touch").alias("touched"))
+    both = writers.combine(spark, stored_versions(spark, sf_dir), "trials")
+    return both.groupBy("participant", F.col("sw_version").cast("string").alias("sw_version")).agg(
+        F.count(F.lit(1)).alias("n"), F.count("touch").alias("touched"), F.count("congruent").alias("congruent"))
 
 
 @query("s13_provenance", """

@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from gazeloom import config as C
 from gazeloom.functions import scalar as S
+from gazeloom.operators.ordered import carry, chunk_by
 from gazeloom.plans import views as V
 from gazeloom.plans.q_trials import DONE
 from gazeloom.plans.registry import query
@@ -27,24 +28,36 @@ WINDOW_SQL = """
 SELECT epoch_us(w) AS start_us, session, count(*) AS samples{extra} FROM ({src}) GROUP BY w, session HAVING w + INTERVAL {width} <= (SELECT max(ts) FROM events)"""
 
 
-@query("t16_stream_cleaning")
+# Unmatched rows leave the join once both sides' watermarks have passed them.
+@query("t16_stream_cleaning", """
+WITH e AS (SELECT user_id AS session, ts, event_id, event_type AS kind, least(1.0e0, 0.5e0 + CAST(regexp_extract(props, '([0-9]+)', 1) AS DOUBLE) / 160.0e0) AS conf FROM events),
+b AS (SELECT session, ts AS t0, ts + INTERVAL 150 SECOND AS t1 FROM e WHERE kind = 'error')
+SELECT session, epoch_us(ts) AS ts_us, min(event_id) AS event_id FROM e WHERE kind <> 'error' AND conf > 0.6e0
+  AND NOT EXISTS (SELECT 1 FROM b WHERE b.session = e.session AND e.ts BETWEEN b.t0 AND b.t1)
+  AND ts < (SELECT least(max(CASE WHEN kind <> 'error' AND conf > 0.6e0 THEN ts END), max(CASE WHEN kind = 'error' THEN ts + INTERVAL 120 SECOND END)) - INTERVAL 10 SECOND FROM e)
+GROUP BY session, ts""")
 def _(spark, sf):
+    """Blinks of 150 s: longer than the join looks back."""
     e = event_stream(spark, sf)
     blinks = event_stream(spark, sf).where("kind = 'error'").select(
-        "session", F.col("ts").alias("start"), (F.col("ts") + F.expr("INTERVAL 50 SECONDS")).alias("end"))
+        "session", F.col("ts").alias("start"), (F.col("ts") + F.expr("INTERVAL 150 SECONDS")).alias("end"))
     out, _ = T.run_to_table(T.clean(e.where("kind <> 'error'"), blinks), "clean")
-    return out.select("session", us("ts", "ts_us"), "event_id")
+    return out.groupBy("session", us("ts", "ts_us")).agg(F.min("event_id").alias("event_id"))
 
 
 @query("t17_stream_alignment", """
-SELECT g.user_id AS session, g.event_id, f.event_id AS frame FROM events g JOIN events f ON f.user_id = g.user_id AND f.event_type = 'view'
-  AND g.ts >= f.ts AND g.ts < f.ts + INTERVAL 12 HOUR WHERE g.event_type = 'click'""")
+WITH f AS (SELECT user_id AS session, event_id AS frame, ts AS t0, coalesce(lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id), ts + INTERVAL 12 HOUR) AS t1 FROM events WHERE event_type = 'view')
+SELECT g.user_id AS session, g.event_id, f.frame FROM events g JOIN f ON f.session = g.user_id AND g.ts >= f.t0 AND g.ts < f.t1 WHERE g.event_type = 'click'""")
 def _(spark, sf):
-    frames = event_stream(spark, sf).where("kind = 'view'").select(
-        "session", "event_id", F.col("ts").alias("start"), (F.col("ts") + F.expr("INTERVAL 12 HOURS")).alias("next")
-    ).withColumnRenamed("event_id", "frame")
+    """A view is on screen until the session's next one; the last one stays for twelve hours."""
+    e = V.table(spark, sf, "events").where("event_type = 'view'").select(F.col("user_id").alias("session"), F.col("event_id").alias("frame"), S.as_instant(F.col("ts")).alias("start"))
+    e = carry(e, ["session"], ["start", "frame"], chunk_by(F.unix_micros("start"), 86_400e6), after={"next": F.col("start")})
+    e = e.withColumn("next", F.coalesce("next", F.col("start") + F.expr("INTERVAL 12 HOURS")))
+    path = scratch_dir(spark, "frames")
+    e.write.parquet(path)
+    frames = spark.readStream.schema(e.schema).parquet(path)
     g = event_stream(spark, sf).where("kind = 'click'").select("session", "ts", "event_id")
-    out, _ = T.run_to_table(T.align(g, frames, longest="12 HOURS"), "align")
+    out, _ = T.run_to_table(T.align(g, frames, longest="1 DAY"), "align")
     return out.select("session", "event_id", "frame")
 
 
@@ -74,17 +87,21 @@ def _(spark, sf):
     return out.select(us("start", "start_us"), "session", "samples")
 
 
-@query("t19_stream_late_data")
+@query("t19_stream_late_data", """
+WITH late AS (SELECT count(*) AS n FROM (SELECT DISTINCT user_id, date_trunc('day', ts) FROM events WHERE event_id % 5 = 0
+  AND date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT max(ts) FROM events)))
+SELECT CAST(sum(c) AS BIGINT) AS kept, any_value(n) AS dropped FROM (SELECT date_trunc('day', ts) AS w, count(*) AS c FROM events GROUP BY 1), late
+WHERE w + INTERVAL 1 DAY <= (SELECT max(ts) FROM events)""")
 def _(spark, sf):
-    """Two deliveries; the second repeats the first week, which the watermark has passed."""
-    e = V.table(spark, sf, "events").select(F.col("user_id").alias("session"), S.as_instant(F.col("ts")).alias("ts"))
-    root = scratch_dir(spark, "late")
-    e.coalesce(1).write.parquet(f"{root}/first")
-    e.where(F.unix_micros("ts") < 1704672000000000).coalesce(1).write.parquet(f"{root}/second")
-    stream = (spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True)
-              .parquet(root))
-    out, done = T.run_to_table(T.tumbling(stream, "1 day"), "late-out")
-    return out.agg(F.sum("samples").alias("kept"), F.lit(T.late_rows(done)).alias("dropped"))
+    """Two deliveries and two starts on one checkpoint: the second delivery repeats every fifth event, which the watermark has passed."""
+    e = V.table(spark, sf, "events").select(F.col("user_id").alias("session"), S.as_instant(F.col("ts")).alias("ts"), "event_id")
+    root, out, state = (scratch_dir(spark, x) for x in ("late", "late-out", "late-state"))
+    e.drop("event_id").write.parquet(f"{root}/first")
+    stream = spark.readStream.schema(e.drop("event_id").schema).option("recursiveFileLookup", True).parquet(root)
+    T.run_to_table(T.tumbling(stream, "1 day"), "late", out, state)
+    e.where(F.col("event_id") % 5 == 0).drop("event_id").write.parquet(f"{root}/second")
+    table, done = T.run_to_table(T.tumbling(stream, "1 day"), "late", out, state)
+    return table.agg(F.sum("samples").alias("kept"), F.lit(T.late_rows(done)).alias("dropped"))
 
 
 @query("t20_stream_trials", V.with_(V.FS, V.PLAN, DONE, body="""
@@ -92,8 +109,7 @@ SELECT session, block, trial, name, 'test_finish_execution' AS status, f0 + 14 A
 def _(spark, sf):
     """Trials leave the stream when they close."""
     f = V.fs(spark, sf)
-    path = scratch_dir(spark, "signals")
-    f.write.parquet(path)
+    path = V.fs.path(spark, sf)
     s = spark.readStream.schema(f.schema).parquet(path)
     s = s.withColumn("ts", F.timestamp_micros((F.col("frame").cast("double") / S.lit(30) * S.lit(1e6)).cast("bigint")))
     out, _ = T.run_to_table(segment_stream(s, C.plan_rows()), "trials")

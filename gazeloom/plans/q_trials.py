@@ -11,7 +11,7 @@ from gazeloom.operators import windows as W
 from gazeloom.plans import views as V
 from gazeloom.plans.q_columns import r6
 from gazeloom.plans.q_joins import FOC, OCC, occlusion
-from gazeloom.plans.q_math import CELLS, CORNERS, COV, with_cov
+from gazeloom.plans.q_math import CELLS, CORNERS, COV, one_cell, with_cov
 from gazeloom.plans.q_sources import trial_marks
 from gazeloom.plans.q_windows import BUMP, RUNS, TRIAL, cycles
 from gazeloom.plans.registry import query
@@ -46,26 +46,38 @@ def _(spark, sf):
     return f.select("session", "start_n", "end_n", big("start_frame"), big("end_frame"), "samples")
 
 
-@query("t2_centroid_fixations")
+# The open run of every session, sample by sample: its times and places as lists.
+CENTROID = """px AS (SELECT session, n, CAST(n AS DOUBLE) * 0.008e0 AS t, x * 1280.0e0 AS x, y * 720.0e0 AS y FROM gz),
+op(session, n, run, ts, xs, ys) AS (SELECT session, n, n, [t], [x], [y] FROM px WHERE n = 1 UNION ALL
+  SELECT p.session, p.n, CASE WHEN p.stays THEN p.run ELSE p.n END, CASE WHEN p.stays THEN list_append(ts, t) ELSE [t] END,
+    CASE WHEN p.stays THEN list_append(xs, x) ELSE [x] END, CASE WHEN p.stays THEN list_append(ys, y) ELSE [y] END FROM (
+    SELECT px.*, op.run, op.ts, op.xs, op.ys, px.t - op.ts[-1] < {gap}e0 AND sqrt((px.x - list_aggregate(op.xs, 'median')) ** 2
+      + (px.y - list_aggregate(op.ys, 'median')) ** 2) < 60.0e0 AS stays FROM op JOIN px ON px.session = op.session AND px.n = op.n + 1) p)""".replace("{gap}", repr(float(C.PANEL_FIX_GAP_S)))
+
+
+@query("t2_centroid_fixations", rec(V.GZ, CENTROID, body="""
+SELECT session, round(list_aggregate(ts, 'median'), 9) AS t, round(list_aggregate(xs, 'median'), 6) AS x, round(list_aggregate(ys, 'median'), 6) AS y, len(ts) AS samples
+FROM op WHERE len(ts) >= 5 AND n = (SELECT max(n) FROM op o WHERE o.session = op.session AND o.run = op.run)"""))
 def _(spark, sf):
     p = track(spark, sf).withColumns({"x": F.col("x") * lit(C.WORLD_W), "y": F.col("y") * lit(C.WORLD_H)})
     f = X.centroid_fixations(p, ["session"], radius=60.0, minimum=5)
-    return f.select("session", r6("t"), r6("x"), r6("y"), "samples")
+    return f.select("session", F.round("t", 9).alias("t"), r6("x"), r6("y"), "samples")
 
 
 MEMBERS = """me AS (SELECT fx.session, fx.start_n, sp.n, sp.n + 1 AS m FROM fx JOIN sp ON sp.session = fx.session AND sp.n BETWEEN fx.start_n AND fx.end_n)"""
 
 
-@query("t3_target_found", rec(V.GZ, V.GC, COV, CORNERS, CELLS, IDT, MEMBERS, body="""
-SELECT session, min(CASE WHEN m >= 0.34e0 THEN start_n // 4 END) AS found, round(max(m), 3) AS confidence FROM (
-  SELECT me.session, start_n, avg(mass) AS m FROM me JOIN cm ON cm.session = me.session AND cm.n = me.m AND cm.c = me.session % 8 AND cm.r = me.session % 5
-  GROUP BY me.session, start_n) GROUP BY session"""))
+@query("t3_target_found", rec(V.GZ, V.GC, COV, one_cell("session % 8", "session % 5"), IDT, MEMBERS, body="""
+SELECT g.session, found, coalesce(confidence, 0.0e0) AS confidence FROM (SELECT DISTINCT session FROM gz) g LEFT JOIN (
+  SELECT session, min(CASE WHEN m >= 0.34e0 THEN start_n // 4 END) AS found, round(max(m), 3) AS confidence FROM (
+  SELECT me.session, start_n, avg(mass) AS m FROM me JOIN om ON om.session = me.session AND om.n = me.m
+  GROUP BY me.session, start_n) GROUP BY session) f ON f.session = g.session"""))
 def _(spark, sf):
     t = track(spark, sf)
     f = X.idt_fixations(t, ["session"], dispersion=SPREAD)
     s = t.withColumnsRenamed({"cxx": "cov_xx", "cxy": "cov_xy", "cyy": "cov_yy"}).withColumns(
         {"target_col": F.col("session") % 8, "target_row": F.col("session") % 5})
-    found = X.target_found(X.in_fixations(s, f, ["session"]), ["session"])
+    found = X.target_found(X.in_fixations(s, f, ["session"]), ["session"], samples=s)
     return found.select("session", big("target_found", "found"), F.round("confidence", 3).alias("confidence"))
 
 
@@ -103,7 +115,7 @@ def with_gaps(spark, sf):
 
 
 @query("t5_match_sequence", V.with_(V.FS, V.PLAN, """done AS (SELECT session, cyc, max(frame) AS last_frame, count(*) AS frames FROM fs GROUP BY session, cyc)""",
-       """ok AS (SELECT session, cyc, frames FROM done WHERE frames >= 4 AND cyc < 60 AND cyc % 7 <> 3 AND cyc % 5 <> 4)""",
+       """ok AS (SELECT session, cyc, frames FROM done WHERE frames >= 4 AND cyc % 7 <> 3 AND cyc % 5 <> 4)""",
        """top AS (SELECT session, max(cyc) AS top FROM ok GROUP BY session)""", body="""
 SELECT top.session, CAST(block AS BIGINT) AS block, CAST(trial AS BIGINT) AS trial, CASE WHEN ok.cyc IS NULL THEN 'missing_trial_error_' ELSE '' END || name AS name
 FROM top JOIN plan ON block * 10 + pos <= top LEFT JOIN ok ON ok.session = top.session AND ok.cyc = block * 10 + pos WHERE ok.cyc IS NULL OR ok.frames >= 20"""))
@@ -112,7 +124,7 @@ def _(spark, sf):
     return t.where(~F.col("name").startswith("end_of_video")).select("session", big("block"), big("trial"), "name")
 
 
-@query("t6_resync_on_unexpected_panel", V.with_(V.FS, V.PLAN, """cy AS (SELECT session, cyc, count(*) AS c, 40 * cyc AS f0 FROM fs WHERE cyc < 58 GROUP BY session, cyc)""", body="""
+@query("t6_resync_on_unexpected_panel", V.with_(V.FS, V.PLAN, """cy AS (SELECT session, cyc, count(*) AS c, 40 * cyc AS f0 FROM fs GROUP BY session, cyc)""", body="""
 SELECT session, CAST(block AS BIGINT) AS block, CAST(trial AS BIGINT) AS trial, name, f0 + 14 AS init, f0 + 24 AS fin FROM cy JOIN plan ON block * 10 + pos = cyc WHERE cyc % 3 = 0 AND c >= 37
 UNION ALL SELECT session, block, trial, 'transition_error_no_init_' || name, NULL, f0 + 13 FROM cy JOIN plan ON block * 10 + pos = cyc WHERE cyc % 3 = 1 AND c >= 14
 UNION ALL SELECT session, block, trial, name, f0 + 18, f0 + 24 FROM cy JOIN plan ON block * 10 + pos = cyc + 1 WHERE cyc % 3 = 1 AND c >= 37"""))
@@ -123,7 +135,7 @@ def _(spark, sf):
     early = (cyc % 3 == 1) & p.between(10, 17)
     upcoming = F.get(F.array(*[F.lit(n) for _, _, _, n in PLAN_ROWS]), cyc + 1)
     shown = lambda c, part: F.when(early, F.split_part(upcoming, F.lit("_"), F.lit(part))).when(cyc % 3 != 2, F.col(c))
-    f = f.where(cyc < 58).withColumns({"panel_color": shown("panel_color", 1), "panel_shape": shown("panel_shape", 2),
+    f = f.withColumns({"panel_color": shown("panel_color", 1), "panel_shape": shown("panel_shape", 2),
                                        "contour_raw": F.col("contour_raw") & ~early})
     t = G.segment_trials(f, PLAN_ROWS)
     ended = F.col("name").startswith("end_of_video") | F.coalesce(F.col("status") == "test_finish_by_end_of_video", F.lit(False))
@@ -168,20 +180,24 @@ SELECT session, block, trial, f0 + o AS frame, a AS from_state, b AS to_state FR
   (19, 'test_start_execution', 'test_execution'), (31, 'test_execution', 'test_motor_recovery'), (36, 'test_motor_recovery', 'test_finish_execution'),
   (36, 'test_finish_execution', 'init')) s(o, a, b)"""))
 def _(spark, sf):
-    t = G.transitions(segmented(spark, sf).where("status = 'test_finish_execution'"))
+    t = G.transitions(stored_trials(spark, sf))
     return t.select("session", big("block"), big("trial"), big("frame"), "from_state", "to_state")
 
 
-def traced(spark, sf):
-    """Finished trials and their trace, both stored once: several steps read them again."""
-    t = segmented(spark, sf).where("status = 'test_finish_execution'")
-    t = writers.materialise(t, "trials")
-    return t, writers.materialise(G.trace(t, V.fs(spark, sf)), "trace")
+# Written once per version of the signals; the post-hoc steps read them back and segment nothing.
+@V.stored_view("lineitem", "session", "block", "trial")
+def stored_trials(spark, sf):
+    return segmented(spark, sf).where("status = 'test_finish_execution'")
+
+
+@V.stored_view("lineitem", "session", "frame")
+def stored_trace(spark, sf):
+    return G.trace(stored_trials(spark, sf), V.fs(spark, sf))
 
 
 @query("s14_read_signal_trace", V.with_(V.FS, V.PLAN, DONE, body="SELECT session, block, trial, 18 AS n, f0 + 19 AS first_frame, f0 + 35 AS last_frame FROM done"))
 def _(spark, sf):
-    _, trace = traced(spark, sf)
+    trace = stored_trace(spark, sf)
     return trace.groupBy("session", big("block"), big("trial")).agg(
         F.count(F.lit(1)).cast("int").alias("n"), big(F.min("frame"), "first_frame"), big(F.max("frame"), "last_frame"))
 
@@ -190,7 +206,7 @@ def _(spark, sf):
 SELECT session, block, trial, f0 + 29 AS touch, f0 + 34 AS hand_exit, 'curve_board' AS source, f0 + 24 AS motor_onset, f0 + 26 AS target_rise, f0 + 33 AS target_valley,
   f0 + 27 AS board_rise, f0 + 30 AS board_peak, true AS congruent, 'finger_led' AS reach_style FROM done"""))
 def _(spark, sf):
-    t, trace = traced(spark, sf)
+    t, trace = stored_trials(spark, sf), stored_trace(spark, sf)
     p = L.posthoc(t, trace)
     return p.select("session", big("block"), big("trial"), big("touch"), big("hand_exit"), F.col("hand_exit_source").alias("source"),
                     big("motor_onset"), big("target_rise"), big("target_valley"), big("board_rise"), big("board_peak"),
@@ -201,14 +217,14 @@ def _(spark, sf):
 SELECT session, start_n // 4 AS validation, CAST(c AS BIGINT) AS c, CAST(r AS BIGINT) AS r FROM (
   SELECT me.session, start_n, c, r, count(*) AS cnt, min(me.n) AS first_n FROM me JOIN gc ON gc.session = me.session AND gc.n = me.m WHERE c IS NOT NULL GROUP BY me.session, start_n, c, r
   QUALIFY row_number() OVER (PARTITION BY me.session, start_n ORDER BY count(*) DESC, min(me.n)) = 1)
-WHERE start_n // 4 <= 10 QUALIFY row_number() OVER (PARTITION BY session ORDER BY start_n DESC) = 1"""))
+JOIN (SELECT session, (count(*) // 4) // 2 AS half FROM gz GROUP BY session) USING (session) WHERE start_n // 4 <= half QUALIFY row_number() OVER (PARTITION BY session ORDER BY start_n DESC) = 1"""))
 def _(spark, sf):
     t = track(spark, sf).withColumns({"block": F.lit(0), "trial": F.lit(0)})
     f = X.idt_fixations(t, ["session"], dispersion=SPREAD)
     cells = X.predominant_cell(X.in_fixations(t, f, ["session"]), ["session"])
     cells = cells.withColumns({"block": F.lit(0), "trial": F.lit(0)})
-    trials = cells.select("session", "block", "trial").distinct().withColumns(
-        {"touch": F.lit(None).cast("int"), "end": F.lit(10)})
+    half = F.floor(F.floor(F.count(F.lit(1)) / 4) / 2).cast("int")  # trials end halfway through their session
+    trials = t.groupBy("session", "block", "trial").agg(half.alias("end")).withColumn("touch", F.lit(None).cast("int"))
     v = L.validation(cells, trials)
     return v.select("session", big("validation"), big("gaze_col", "c"), big("gaze_row", "r"))
 
@@ -328,7 +344,7 @@ def _(spark, sf):
 @query("r13_reprocess", V.with_(V.FS, V.PLAN, DONE, body="""
 SELECT session, count(*) AS trials, CAST(count(*) AS BIGINT) AS touch, CAST(0 AS BIGINT) AS motor_onset, CAST(0 AS BIGINT) AS hand_exit FROM done GROUP BY session"""))
 def _(spark, sf):
-    t, trace = traced(spark, sf)
+    t, trace = stored_trials(spark, sf), stored_trace(spark, sf)
     before = t.select(*L.KEYS, F.col("touch_live").alias("touch"), F.col("motor_onset_live").alias("motor_onset"),
                       F.col("hand_exit_live").alias("hand_exit"))
     return A.reprocess_diff(before, L.posthoc(t, trace))
@@ -341,8 +357,7 @@ SELECT session, block, trial, name AS trial_name, f0 + o AS frame, round_even((f
   (31, 'state_change', 'test_execution', 'test_motor_recovery'), (36, 'state_change', 'test_motor_recovery', 'test_finish_execution'),
   (36, 'state_change', 'test_finish_execution', 'init')) s(o, e, a, b)"""))
 def _(spark, sf):
-    t = segmented(spark, sf).where("status = 'test_finish_execution'")
-    t = writers.materialise(t, "trials")
+    t = stored_trials(spark, sf)
     marks = trial_marks(t.select("session", "block", "trial", "name", "init", "end", F.col("touch_live").alias("touch"),
                                  F.col("hand_exit_live").alias("hand_exit"), F.col("motor_onset_live").alias("motor_onset"),
                                  F.lit(None).cast("int").alias("target_found"), F.lit(None).cast("int").alias("validation")))

@@ -80,9 +80,9 @@ def _(spark, sf):
 @query("w7_ema", V.with_(V.FS, body="""
 , e(session, frame, v) AS (SELECT session, frame, ft FROM fs WHERE frame = 0
   UNION ALL SELECT f.session, f.frame, 0.85e0 * e.v + 0.15e0 * f.ft FROM e JOIN fs f ON f.session = e.session AND f.frame = e.frame + 1)
-SELECT session, frame, round(v, 9) AS v FROM e""").replace("WITH fs", "WITH RECURSIVE fs").replace("\n, e(", ",\ne("))
+SELECT session, frame, round(v, 13) AS v FROM e""").replace("WITH fs", "WITH RECURSIVE fs").replace("\n, e(", ",\ne("))
 def _(spark, sf):
-    return W.ema(V.fs(spark, sf), "ft", 0.85, "v", "frame").select("session", big("frame"), F.round("v", 9).alias("v"))
+    return W.ema(V.fs(spark, sf), "ft", 0.85, "v", "frame").select("session", big("frame"), F.round("v", 13).alias("v"))
 
 
 @query("w8_running_occlusion", V.with_(V.FS, OCC, body="""

@@ -25,8 +25,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 _stored: dict = {}
 
 
-def stored_view(*order):
-    """Derives a view once per application and scale, as a table in the shared folder, in ``order``.
+def _state(spark: SparkSession, path: str) -> tuple:
+    """Size, number of files and time of the last change of a table."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    content = files.getContentSummary(place)
+    return content.getLength(), content.getFileCount(), files.getFileStatus(place).getModificationTime()
+
+
+def stored_view(source: str, *order):
+    """Derives a view once per application and state of its source, as a table in the shared folder, in ``order``.
 
     Numbering the rows of every session takes two passes over the source; the queries then
     scan the numbered table like any recording, with column pruning and filter pushdown.
@@ -34,21 +42,25 @@ def stored_view(*order):
     def wrap(build):
         @functools.wraps(build)
         def view(spark, sf_dir, *args):
+            return spark.read.parquet(place(spark, sf_dir, *args))
+
+        def place(spark, sf_dir, *args):
             key = (spark.sparkContext.applicationId, str(sf_dir), build.__name__, args)
-            if key not in _stored:
+            state = _state(spark, f"{sf_dir}/{source}.parquet")
+            if _stored.get(key, (None, None))[0] != state:
                 path = scratch_dir(spark, build.__name__)
-                n = int(spark.conf.get("spark.sql.shuffle.partitions"))
                 # Ranges of (session, position): files hold neighbouring rows, a long session spans many files.
-                build(spark, sf_dir, *args).repartitionByRange(n, *order).write.parquet(path)
-                _stored[key] = path
-            return spark.read.parquet(_stored[key])
+                build(spark, sf_dir, *args).repartitionByRange(*order).write.parquet(path)
+                _stored[key] = state, path
+            return _stored[key][1]
+        view.path = place
         return view
     return wrap
 
 
 # ---- gaze samples from events --------------------------------------------------
 
-@stored_view("session", "n")
+@stored_view("events", "session", "n")
 def gz(spark, sf_dir) -> DataFrame:
     """session, n, t, conf, x, y, kind, k."""
     e = table(spark, sf_dir, "events").select(
@@ -151,18 +163,22 @@ GC = """gc AS (SELECT *, CASE WHEN floor(x * 8.0e0) BETWEEN 0 AND 7 AND floor(y
 # ---- frame signals from lineitem ----------------------------------------------------
 
 CYCLE = 40
+RECORDING = 60 * CYCLE
+NEXT = 10 ** 12  # between the session numbers of one supplier's recordings
 FS_ORDER = ["l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice"]
 
 
-@stored_view("session", "frame")
+@stored_view("lineitem", "session", "frame")
 def fs(spark, sf_dir) -> DataFrame:
     """One synthetic trial per 40 frames; see the README for its shape."""
     li = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("session"), *FS_ORDER, "l_discount")
     li = with_row_index(li, ["session"], FS_ORDER, chunk_by(F.col("l_orderkey"), 65536), "frame")
     names = F.array(*[F.lit(name) for _, _, _, name in C.plan_rows()])
+    # A supplier with more lines than one plan has frames has further recordings.
+    li = li.withColumns({"session": F.col("session") + F.floor(F.col("frame") / RECORDING) * NEXT, "frame": F.col("frame") % RECORDING})
     frame = F.col("frame")
     cycle, p = F.floor(frame / CYCLE).cast("int"), (frame % CYCLE).cast("int")
-    name = F.when((p < 8) & (cycle < 60), F.get(names, cycle))
+    name = F.when(p < 8, F.get(names, cycle))
     d = F.col("l_discount")
     return li.select(
         "session", frame.cast("int").alias("frame"),
@@ -179,14 +195,14 @@ def fs(spark, sf_dir) -> DataFrame:
 FS = """fs AS (SELECT session, frame, p, cyc, p BETWEEN 10 AND 24 AND p <> 13 AS contour,
     greatest(0.0e0, 0.9e0 - CAST(abs(p - 29) AS DOUBLE) * 0.2e0) + disc * 0.1e0 AS ft, 0.02e0 AS fc,
     greatest(0.0e0, 0.6e0 - CAST(abs(p - 30) AS DOUBLE) * 0.12e0) AS bocc
-  FROM (SELECT session, frame, frame % 40 AS p, frame // 40 AS cyc, disc FROM (
+  FROM (SELECT session + frame // 2400 * 1000000000000 AS session, frame % 2400 AS frame, frame % 40 AS p, frame % 2400 // 40 AS cyc, disc FROM (
     SELECT l_suppkey AS session, l_discount AS disc, row_number() OVER (PARTITION BY l_suppkey
       ORDER BY l_orderkey, l_linenumber, l_partkey, l_extendedprice) - 1 AS frame FROM lineitem)))"""
 
 
 # ---- trial tables from orders ---------------------------------------------------------
 
-@stored_view("session", "block", "trial")
+@stored_view("orders", "session", "block", "trial")
 def trials(spark, sf_dir, version: str = "new") -> DataFrame:
     """A trial table per software version, keyed by (session, block, trial)."""
     o = table(spark, sf_dir, "orders")

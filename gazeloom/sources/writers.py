@@ -47,14 +47,16 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def write_outputs(df: DataFrame, root: str, table: str, partitions=("sw_version", "topic", "session")) -> str:
-    """Replaces only the partitions present in ``df``. Rows of one session are spread over
-    several files by trial, so a long session is not written by one task."""
-    spread = [c for c in ("block", "trial") if c in df.columns]
+def write_outputs(df: DataFrame, root: str, table: str, partitions=("sw_version", "topic"), buckets: int = 16) -> str:
+    """Replaces only the partitions present in ``df``.
+
+    Folders are few: version, topic and a hash bucket of the session. Rebalancing sizes the files: a large bucket is split, small
+    ones share a task.
+    """
     path = f"{root}/{table}"
-    (df.repartition(*[F.col(c) for c in (*partitions, *spread)])
-     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .partitionBy(*partitions).parquet(path))
+    df = df.withColumn("bucket", F.pmod(F.xxhash64("session"), F.lit(buckets)).cast("int"))
+    (df.hint("rebalance", *partitions, "bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy(*partitions, "bucket").parquet(path))
     return path
 
 
@@ -67,13 +69,12 @@ def export_csv(df: DataFrame, columns: list[str], path: str) -> None:
     csv_rows(df, columns).write.mode("overwrite").option("header", True).option("emptyValue", "").csv(path)
 
 
-def combine(tables: dict[str, DataFrame]) -> DataFrame:
-    """Stacks per-session outputs, with the participant in front."""
-    out = None
-    for participant, df in tables.items():
-        part = df.select(F.lit(participant).alias("participant"), *df.columns)
-        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
-    return out
+def combine(spark: SparkSession, root: str, table: str, version: str | None = None) -> DataFrame:
+    """Stacks the stored outputs of a cohort in one scan, with the participant in front; files may have fewer columns than others."""
+    df = spark.read.option("mergeSchema", True).parquet(f"{root}/{table}").drop("bucket")
+    if version is not None:
+        df = df.where(F.col("sw_version").cast("string") == version)
+    return df.select(F.col("session").alias("participant"), *[c for c in df.columns if c != "session"])
 
 
 def params_hash(config: dict) -> str:

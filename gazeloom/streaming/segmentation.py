@@ -62,9 +62,11 @@ class Recording:
 
 def segment_stream(signals: DataFrame, plan: list[tuple], ts: str = "ts", delay: str = "10 seconds",
                    idle_ms: int = 60_000) -> DataFrame:
-    """Trials as they close. A session silent for ``idle_ms`` of event time is closed as ended.
+    """Trials as they close. A session silent for ``idle_ms`` of event time has its open trial closed as ended.
 
-    ``signals`` as for the batch job, plus the event time ``ts``. State per session is one open trial.
+    ``signals`` as for the batch job, plus the event time ``ts``. State per session is one open trial and the place in the
+    plan, which outlives pauses: a recording that goes on is matched from where it was. Frames are put in order
+    within a trigger; triggers must bring a session's frames in order.
     """
     order = [(b, t, name) for b, _, t, name in sorted(plan)]
     shown = F.when(F.col("panel_color").isNotNull(), S.trial_name(F.col("panel_color"), F.col("panel_shape")))
@@ -77,15 +79,17 @@ def segment_stream(signals: DataFrame, plan: list[tuple], ts: str = "ts", delay:
         rows = []
         if state.hasTimedOut:
             rows = rec.finish()
-            state.remove()
+            state.update((pickle.dumps(rec),))
         else:
             # The rows of one session in one trigger; the trigger size bounds them.
-            pdf = pd.concat(list(batches)).sort_values("frame")
-            values = [[None if v != v else v for v in pdf[c].tolist()] for c in SIGNALS]
-            for frame, shown_, *vals in zip(pdf["frame"].tolist(), pdf["shown"].tolist(), *values):
+            frames, newest = [], 0
+            for pdf in batches:
+                values = [[None if v != v else v for v in pdf[c].tolist()] for c in SIGNALS]
+                frames += zip(pdf["frame"].tolist(), pdf["shown"].tolist(), zip(*values))
+                newest = max(newest, int(pdf[ts].max().timestamp() * 1000))
+            for frame, shown_, vals in sorted(frames, key=lambda x: x[0]):
                 rows += rec.feed(frame, shown_, dict(zip(SIGNALS, vals)), order)
             state.update((pickle.dumps(rec),))
-            newest = int(pdf[ts].max().timestamp() * 1000)
             state.setTimeoutTimestamp(max(newest, state.getCurrentWatermarkMs()) + idle_ms)
         if rows:
             yield pd.DataFrame([(key[0], *[r[c] for c in RESULT_FIELDS], b, t) for r, b, t in rows], columns=columns)

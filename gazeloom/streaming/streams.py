@@ -19,29 +19,41 @@ def read_stream(spark: SparkSession, folder: str, table: str, **options) -> Data
             .parquet(folder))
 
 
+def _in_pieces(intervals: DataFrame, start: str, end: str, longest: str) -> DataFrame:
+    """Intervals cut into pieces no longer than ``longest``, so that a join that looks back no further misses none of them."""
+    micros = lambda c: F.unix_micros(F.col(c))
+    step = F.unix_micros(F.expr(f"timestamp_micros(0) + INTERVAL {longest}"))
+    count = F.greatest(F.lit(0), F.floor((micros(end) - micros(start)) / step)).cast("int")
+    i = intervals.withColumn("_k", F.explode(F.sequence(F.lit(0), count)))
+    at = lambda k: F.timestamp_micros(micros(start) + k * step)
+    return i.withColumns({"_from": at(F.col("_k")), "_to": F.when(F.col("_k") < count, at(F.col("_k") + 1)).otherwise(F.col(end))}).drop("_k")
+
+
 def clean(gaze: DataFrame, blinks: DataFrame, threshold: float = C.CONFIDENCE_THRESHOLD, delay: str = "10 seconds",
-          keys=("session",)) -> DataFrame:
+          keys=("session",), longest: str = "60 seconds") -> DataFrame:
     """Confidence filter, one row per (session, ts), and no row inside a blink interval (``start``, ``end``).
 
-    A left outer interval join whose unmatched rows are kept; both sides carry watermarks, so the
-    state is as long as the longest blink plus the delay.
+    A left outer interval join whose unmatched rows are kept; both sides carry watermarks, and intervals travel in
+    pieces of ``longest``, so the state is as long as one piece plus the delay, whatever a blink's length.
     """
     g = (gaze.where(F.col("confidence") > F.lit(float(threshold))).withWatermark("ts", delay)
          .dropDuplicatesWithinWatermark([*keys, "ts"]))
-    b = blinks.withWatermark("start", delay).select(*[F.col(k).alias(f"_b_{k}") for k in keys], "start", "end")
-    cond = (F.col("ts") >= F.col("start")) & (F.col("ts") <= F.col("end")) & (
-        F.col("start") >= F.col("ts") - F.expr("INTERVAL 60 SECONDS"))
+    b = _in_pieces(blinks, "start", "end", longest).withWatermark("_from", delay).select(*[F.col(k).alias(f"_b_{k}") for k in keys], "_from", "_to")
+    cond = (F.col("ts") >= F.col("_from")) & (F.col("ts") <= F.col("_to")) & (F.col("_from") >= F.col("ts") - F.expr(f"INTERVAL {longest}"))
     for k in keys:
         cond = cond & (F.col(k) == F.col(f"_b_{k}"))
-    return g.join(b, cond, "left_outer").where(F.col("start").isNull()).drop("start", "end", *[f"_b_{k}" for k in keys])
+    return g.join(b, cond, "left_outer").where(F.col("_from").isNull()).drop("_from", "_to", *[f"_b_{k}" for k in keys])
 
 
 def align(gaze: DataFrame, frames: DataFrame, delay: str = "10 seconds", longest: str = "1 minute") -> DataFrame:
-    """Frame on screen at each sample: ``frames`` say when a frame begins (``start``) and the next one does (``next``)."""
+    """Frame on screen at each sample: ``frames`` say when a frame begins (``start``) and the next one does (``next``).
+
+    A frame that stays longer than ``longest`` travels in pieces; a sample meets one of them.
+    """
     g = gaze.withWatermark("ts", delay)
-    f = frames.withWatermark("start", delay).withColumnRenamed("session", "_s")
-    return g.join(f, (F.col("session") == F.col("_s")) & (F.col("ts") >= F.col("start")) & (F.col("ts") < F.col("next"))
-                  & (F.col("start") >= F.col("ts") - F.expr(f"INTERVAL {longest}")), "inner").drop("_s")
+    f = _in_pieces(frames, "start", "next", longest).withWatermark("_from", delay).withColumnRenamed("session", "_s")
+    return g.join(f, (F.col("session") == F.col("_s")) & (F.col("ts") >= F.col("_from")) & (F.col("ts") < F.col("_to"))
+                  & (F.col("_from") >= F.col("ts") - F.expr(f"INTERVAL {longest}")), "inner").drop("_s", "_from", "_to")
 
 
 def tumbling(df: DataFrame, width: str, delay: str = "0 seconds", keys=("session",), valid=None) -> DataFrame:
@@ -64,13 +76,24 @@ def bouts(df: DataFrame, gap: str, delay: str = "0 seconds", keys=("session",))
     return w.select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), *keys, "samples")
 
 
-def run_to_table(df: DataFrame, name: str, timeout_s: int = 900, partitions: int | None = None) -> tuple[DataFrame, object]:
-    """Processes everything available in append mode into a Parquet table; returns it and the finished query."""
+def run_to_table(df: DataFrame, name: str, path: str | None = None, state: str | None = None, timeout_s: int | None = None) -> tuple[DataFrame, object]:
+    """Processes everything available in append mode into a Parquet table; returns it and the finished query.
+
+    ``path`` and ``state`` (checkpoint) of an earlier start go on where that one ended. No time limit unless one is given.
+    """
     spark = df.sparkSession
-    path = scratch_dir(spark, name)
-    query = (df.writeStream.format("parquet").outputMode("append").option("path", path)
-             .option("checkpointLocation", scratch_dir(spark, f"{name}-state")).trigger(availableNow=True).start())
-    if not query.awaitTermination(timeout_s):
+    path, state = path or scratch_dir(spark, name), state or scratch_dir(spark, f"{name}-state")
+    kept = "spark.sql.streaming.numRecentProgressUpdates"
+    before = spark.conf.get(kept)
+    spark.conf.set(kept, 1_000_000)  # all progress entries, so that counts over them are whole
+    try:
+        query = (df.writeStream.format("parquet").outputMode("append").option("path", path)
+                 .option("checkpointLocation", state).trigger(availableNow=True).start())
+    finally:
+        spark.conf.set(kept, before)
+    if timeout_s is None:
+        query.awaitTermination()
+    elif not query.awaitTermination(timeout_s):
         query.stop()
         raise TimeoutError(f"stream {name} did not finish in {timeout_s} s")
     return spark.read.schema(df.schema).parquet(path), query

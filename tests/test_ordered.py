@@ -42,7 +42,7 @@ def test_row_index_and_percentile(rows):
     assert all(r.n == r.t for r in got)
     probs = {"lo": 0.05, "mid": 0.5, "hi": 0.95}
     want = rows.groupBy("session").agg(*[F.percentile("v", F.lit(p)).alias(k) for k, p in probs.items()]).collect()
-    have = exact_percentile(rows, ["session"], "v", probs, 7.0).collect()
+    have = exact_percentile(rows, ["session"], "v", probs, 3).collect()
     for a, b in zip(sorted(want), sorted(have)):
         assert all(math.isclose(a[k], b[k]) for k in probs)
 
@@ -118,3 +118,50 @@ def test_streak_forgives_short_misses(spark):
     df = spark.createDataFrame([(1, i, bool(f)) for i, f in enumerate(flags)], "session int, frame int, f boolean")
     got = W.streak_with_tolerance(df, F.col("f"), 3, 2, chunk=2).collect()
     assert [(r.start, r.confirmed) for r in got] == [(7, 10)]
+
+
+def test_unknown_keys_and_times_stay_and_count_for_nobody(spark):
+    nan, inf = float("nan"), float("inf")
+    data = [(None, 1.0, 10), (None, 2.0, None), (None, 70.0, 5), (1, None, 90), (1, nan, 91), (1, inf, 92), (1, 3.0, 7), (1, 200.0, None)]
+    df = spark.createDataFrame(data, "session int, t double, v int")
+    v = F.col("v")
+    got = {(r.session, str(r.t)): r for r in carry(df, ["session"], ["t"], chunk_by(F.col("t"), 60.0), last={"a": v}, prev={"b": v}, following={"c": v},
+                                                    after={"d": v}, running_max={"e": v}, running_sum={"f": v}).collect()}
+    assert len(got) == len(data)
+    assert [got[None, "70.0"][k] for k in "abcdef"] == [5, 10, 5, None, 10, 15]
+    assert [got[None, "2.0"][k] for k in "abcdef"] == [10, 10, 5, 5, 10, 10]
+    assert [got[1, "200.0"][k] for k in "abcdef"] == [7, 7, None, None, 7, 7]
+    assert all(got[1, t][k] is None for t in ("None", "nan", "inf") for k in "abcdef")
+    n = {(r.session, str(r.t)): r.n for r in with_row_index(df, ["session"], ["t"], chunk_by(F.col("t"), 60.0)).collect()}
+    assert n == {(None, "1.0"): 0, (None, "2.0"): 1, (None, "70.0"): 2, (1, "3.0"): 0, (1, "200.0"): 1, (1, "None"): None, (1, "nan"): None, (1, "inf"): None}
+
+
+def test_joins_keep_samples_without_time_or_session(spark):
+    g = spark.createDataFrame([(1, 0.5), (1, None), (None, 0.5), (1, 5.0)], "session int, ts double")
+    frames = spark.createDataFrame([(1, 0.0, 0), (1, 1.0, 1), (None, 0.4, 7)], "session int, ts double, frame int")
+    got = sorted(((r.session, r.ts, r.frame) for r in J.align_to_frames(g, frames).collect()), key=str)
+    assert got == sorted([(1, 0.5, 0), (1, None, None), (None, 0.5, 7), (1, 5.0, 1)], key=str)
+    blinks = spark.createDataFrame([(1, 0.0, 1.0), (1, 0.1, None), (None, None, 2.0)], "session int, start double, end double")
+    kept = sorted(((r.session, r.ts) for r in J.exclude_blinks(g, blinks).collect()), key=str)
+    assert kept == sorted([(1, None), (None, 0.5), (1, 5.0)], key=str)
+
+
+def test_percentiles_of_odd_values_and_concentrated_ones(spark):
+    data = [(None, float(k % 3)) for k in range(30)] + [(1, 1.0)] * 50 + [(1, 1.0 + k * 1e-9) for k in range(500)] + [(1, None), (1, float("nan"))]
+    df = spark.createDataFrame(data, "session int, v double")
+    got = {r.session: (r.q, r.m) for r in exact_percentile(df, ["session"], "v", {"q": 0.25, "m": 0.5}, 4).collect()}
+    import numpy as np
+    for s in (None, 1):
+        vals = [x for k, x in data if k == s and x is not None and x == x]
+        assert np.allclose(got[s], np.percentile(vals, [25, 50]), rtol=0, atol=1e-15)
+
+
+@pytest.mark.parametrize("keep", [0.0, 0.001, 0.5, 0.9, 0.99, 0.9995])
+def test_running_average_for_any_factor(spark, keep):
+    data = [(s, n, rnd.random()) for s in (1, 2) for n in range(700 if s == 1 else 3)]
+    got = {(r.session, r.n): r.e for r in W.ema(spark.createDataFrame(data, "session int, n int, v double"), "v", keep, "e", "n").collect()}
+    assert len(got) == len(data)
+    state = {}
+    for s, n, v in data:
+        state[s] = v if n == 0 else keep * state[s] + (1 - keep) * v
+        assert math.isclose(got[s, n], state[s], rel_tol=1e-9, abs_tol=1e-15)

@@ -99,3 +99,24 @@ def test_mass_of_all_cells_and_independent_axes(spark):
     want = (cdf(0) - cdf(-0.125 / 0.1)) * (cdf(0.1 / math.sqrt(0.02)) - cdf(-0.1 / math.sqrt(0.02)))
     assert abs(m[0].m[2 * 8 + 3] - want) < 1e-6 and abs(m[0].one - want) < 1e-6
     assert sum(m[1].m) <= 1 + 1e-9 and m[2].m is None
+
+
+def test_scratch_is_shared_and_views_follow_their_source(spark, tmp_path):
+    from gazeloom.plans import views as V
+    root = spark.conf.get("spark.checkpoint.dir")
+    assert writers.scratch_dir(spark, "x").startswith(root)
+    source = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    source.limit(50).write.parquet(str(tmp_path / "events.parquet"))
+    assert V.gz(spark, str(tmp_path)).count() == 50 == V.gz(spark, str(tmp_path)).count()
+    source.limit(80).write.mode("overwrite").parquet(str(tmp_path / "events.parquet"))
+    assert V.gz(spark, str(tmp_path)).count() == 80
+
+
+def test_cohort_in_one_scan(spark, tmp_path):
+    t = spark.createDataFrame([("s", 1), ("r", 2)], "session string, v int")
+    stamp = lambda df, version: df.withColumns({"sw_version": F.lit(version), "topic": F.lit("gaze")})
+    writers.write_outputs(stamp(t, "1.3"), str(tmp_path), "trials")
+    writers.write_outputs(stamp(t.withColumn("extra", F.lit(True)), "1.4"), str(tmp_path), "trials")
+    both = writers.combine(spark, str(tmp_path), "trials")
+    assert both.columns[0] == "participant" and both.count() == 4 and both.where("extra").count() == 2
+    assert writers.combine(spark, str(tmp_path), "trials", "1.3").count() == 2
