@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from gazeloom.sources.writers import materialise
 
 REST = "_rest"
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
 
 
 def packed(df: DataFrame, *keep: str) -> DataFrame:
@@ -28,10 +28,10 @@ def unpacked(df: DataFrame, like: DataFrame, *replaced: str) -> DataFrame:
     return df.select(*cols, *replaced)
 
 
-def slices(batch: pa.RecordBatch, column: str = "text") -> Iterator[pa.RecordBatch]:
-    """Row ranges of a batch with about ``SLICE_BYTES`` of text each (one row at least)."""
+def slices(batch: pa.RecordBatch, column: str = "text", size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Row ranges of a batch with about ``size`` bytes of text each (one row at least)."""
     total = max(1, batch.column(column).nbytes)
-    step = max(1, int(batch.num_rows * SLICE_BYTES / total))
+    step = max(1, int(batch.num_rows * size / total))
     for at in range(0, batch.num_rows, step):
         yield batch.slice(at, step)
 

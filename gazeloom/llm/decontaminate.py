@@ -25,7 +25,7 @@ RUN = 13
 SHARE = 0.8
 #: Window hashes of the benchmark that are broadcast as a filter (8 MB); with more, all windows are shuffled to the join.
 BROADCAST_HASHES = 1 << 20
-WORD_CACHE = 400_000
+WORD_CACHE = 150_000
 LITERAL, NUMBER, NAME, UNIT = range(4)
 
 TOKEN = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?|\d+(?:[.,:]\d+)*|[%$€£¥°]")

@@ -29,7 +29,9 @@ SWITCH = 7.0
 #: Share of a language's words that a script needs to count as the language's.
 SCRIPT_SHARE = 0.001
 MOST_LANGUAGES = 256
-WORD_CACHE = 400_000
+WORD_CACHE = 150_000
+#: Text labelled at once.
+TOGETHER = 2 << 20
 UNDETERMINED = "und"
 WORD = re.compile(r"[^\W\d_]+")
 
@@ -201,7 +203,7 @@ def identify(docs: DataFrame, model: tuple, keep_text: bool = True, keep_spans:
         langs, scores, candidates = spread.value
         table = WordScores(scores, candidates)
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, size=TOGETHER):
                 texts = strings(part)
                 words = [words_of(x) if langs else [] for x in texts]
                 lengths = np.array([len(w) for w in words], np.int64)

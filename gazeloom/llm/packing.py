@@ -206,11 +206,12 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     end = SEPARATOR.to_bytes(4, "little")
 
     def cut(batches):
+        table = tokens.WordIds()
         for batch in batches:
             for part in slices(batch):
                 out = []
                 for doc, text in zip(part.column("doc_id").to_pylist(), strings(part)):
-                    ids = memoryview(tokens.text_ids(text) + end)
+                    ids = memoryview(tokens.text_ids(text, table) + end)
                     at, n = 0, len(ids) // 4
                     size = n % capacity or capacity
                     for k in range(-(-n // capacity)):

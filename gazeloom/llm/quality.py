@@ -25,7 +25,7 @@ EPOCHS, UPDATES = 4, 8_000
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.02, 0.02
 #: Weights above this are scored as label 1.
 THRESHOLD = 0.3
-WORD_CACHE = 400_000
+WORD_CACHE = 150_000
 TOKEN = re.compile(r"\w+|[^\w\s]+|\n")
 BIAS = 0
 _MIX1, _MIX2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)

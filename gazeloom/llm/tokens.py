@@ -20,8 +20,8 @@ PRE_TOKEN = re.compile(rf" ?[{LETTER}]+|'s|'t|'re|'ve|'m|'ll|'d| ?[{NUMBER}]+| ?
 FOREIGN = re.compile(rf"[^\t-\r -~{LETTER}{NUMBER}]")
 #: Where cutting in front of single spaces would part a run of white space.
 UNCUTTABLE = re.compile(rf"[^\n -~{LETTER}{NUMBER}]|[\n ] |\s\Z")
-#: Entries of a worker's cache: it starts afresh when full.
-CACHE_ENTRIES = 600_000
+#: Entries of a task's cache (some 30 MB): it starts afresh when full.
+CACHE_ENTRIES = 150_000
 
 
 @cache
@@ -72,21 +72,15 @@ class WordIds(dict):
         return ids
 
 
-@cache
-def words() -> WordIds:
-    return WordIds()
-
-
-def text_ids(text: str) -> bytes:
+def text_ids(text: str, table: WordIds) -> bytes:
     """The ids of a text as the library gives them, as little-endian 32-bit integers."""
     if END_OF_TEXT in text or not UNCUTTABLE.search(text):
         if END_OF_TEXT in text:
             return array("I", library().encode(text, add_special_tokens=False).ids).tobytes()
-        table = words()
         first, *more = text.split(" ")
         start = b"".join(map(table.pieces.__getitem__, PRE_TOKEN.findall(first)))
         return start + b"".join(map(table.__getitem__, more))
     found = pre_tokens(text)
     if found is None:
         return array("I", library().encode(text, add_special_tokens=False).ids).tobytes()
-    return b"".join(map(words().pieces.__getitem__, found))
+    return b"".join(map(table.pieces.__getitem__, found))
