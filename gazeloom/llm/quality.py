@@ -103,6 +103,7 @@ def ftrl(examples: list[tuple[int, np.ndarray, np.ndarray]]) -> np.ndarray:
     for epoch in range(epochs):
         for k in np.random.default_rng(epoch).permutation(len(examples)):
             y, at, x = examples[k]
+            x = x.astype(float)
             w = weights(z[at], n[at])
             g = mass[y] * (logistic(w @ x) - y) * x
             sigma = (np.sqrt(n[at] + g * g) - np.sqrt(n[at])) / ALPHA
@@ -135,8 +136,11 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> np.ndarray:
     weight = pa.schema([("at", pa.int32()), ("w", pa.float64())])
 
     def train(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("id", "ascending"), ("y", "ascending")])
-        w = ftrl([(y, np.array(a), np.array(x, float)) for y, a, x in zip(table["y"].to_pylist(), table["at"].to_pylist(), table["x"].to_pylist())])
+        table = table.sort_by([("id", "ascending"), ("y", "ascending")]).combine_chunks()
+        lists = [table[c].chunk(0) for c in ("at", "x")]
+        ends = lists[0].offsets.to_numpy()
+        at, x = (v.values.to_numpy() for v in lists)  # views: a shard's features are held once
+        w = ftrl([(y, at[a:b], x[a:b]) for y, a, b in zip(table["y"].to_pylist(), ends, ends[1:])])
         at = np.flatnonzero(w)
         return pa.table({"at": at.astype(np.int32), "w": w[at]}, schema=weight)
 
