@@ -12,6 +12,7 @@ Texts are shuffled compressed, once; then only those with a candidate are touche
 """
 from __future__ import annotations
 
+import contextlib
 import hashlib
 import tempfile
 
@@ -29,8 +30,10 @@ CORE = 200
 #: Windows that are cut into runs at once.
 CHUNK = 1 << 19
 #: Strings of a collection; a group with more of them is settled by hashes of its windows instead.
-COLLECTION = 2_048
-LARGE_GROUP = 2_048
+COLLECTION = 1_024
+LARGE_GROUP = 1_024
+#: Bytes up to which a column file is kept in memory.
+MEMORY = 16 << 20
 
 _rng = np.random.default_rng(400)
 _BYTE = _rng.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -80,18 +83,28 @@ def runs(data: bytes, length: int = LENGTH, core: int = CORE) -> list[np.ndarray
 
 
 class Sequential:
-    """Arrays kept in files, read and written as a whole from front to back."""
+    """Arrays in temporary files that are read and written from front to back; short files stay in memory."""
 
-    def __init__(self, folder: str, **kinds):
-        self.folder, self.kinds, self.round = folder, kinds, 0
+    def __init__(self, **kinds):
+        self.kinds, self.files = kinds, {}
 
     def write(self, **arrays):
-        self.round += 1
         for name, a in arrays.items():
-            a.astype(self.kinds[name], copy=False).tofile(f"{self.folder}/{name}.{self.round % 2}")
+            if name in self.files:
+                self.files[name].close()
+            self.files[name] = f = tempfile.SpooledTemporaryFile(MEMORY)
+            f.write(a.astype(self.kinds[name], copy=False).tobytes())
 
     def read(self) -> list[np.ndarray]:
-        return [np.fromfile(f"{self.folder}/{name}.{self.round % 2}", kind) for name, kind in self.kinds.items()]
+        out = []
+        for name, kind in self.kinds.items():
+            self.files[name].seek(0)
+            out.append(np.frombuffer(self.files[name].read(), kind))
+        return out
+
+    def close(self):
+        for f in self.files.values():
+            f.close()
 
 
 class RangeMinima:
@@ -128,8 +141,7 @@ def repeated_windows(strings: list[bytes], places: list[int], length: int = LENG
     base = np.r_[0, np.cumsum(lengths)[:-1]]
     flat = np.concatenate(symbols)
 
-    with tempfile.TemporaryDirectory(prefix="columns-") as folder:
-        files = Sequential(folder, before=np.uint16, common=np.uint16, owner=np.int32, start=np.uint16)
+    with contextlib.closing(Sequential(before=np.uint16, common=np.uint16, owner=np.int32, start=np.uint16)) as files:
         files.write(before=flat[base + lengths - 1], common=np.zeros(m), owner=np.arange(m), start=lengths)
         live, at, left = np.arange(m), np.arange(m), lengths.copy()  # strings with symbols to insert, the place of their last suffix, symbols left
         while len(live):
