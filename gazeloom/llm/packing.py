@@ -2,13 +2,14 @@
 
 Lengths are whole numbers up to the capacity, so what the search needs is one count per length: it packs all pieces
 of any corpus from at most 1024 numbers. Each step takes the largest remaining piece, enumerates the undominated
-fillings of the room it leaves, and repeats the chosen sequence as often as the counts allow. Branches whose waste
-exceeds what the incumbent leaves to gain are cut; the first incumbent is best-fit decreasing. The outcome
-is a table of ranges: which ranks of a length go to which sequences at which offset. Ranking the pieces of a length
+fillings of the room it leaves, and repeats the chosen sequence as often as the counts allow, half as often, or once. Branches whose waste
+exceeds what the incumbent leaves to gain are cut; the first incumbent is best-fit decreasing. Branches that depart least from the
+first choices are searched first. The outcome is a table of ranges: which ranks of a length go to which sequences at which offset. Ranking the pieces of a length
 is Spark's work, over hash buckets, so no length is ever sorted as a whole.
 """
 from __future__ import annotations
 
+import heapq
 import zlib
 from dataclasses import dataclass
 
@@ -23,7 +24,7 @@ from gazeloom.llm.common import materialise, rows, slices, strings
 CAPACITY = 1024
 SEPARATOR = 2
 BUCKETS = 1024
-#: Effort of the search; the incumbent stands when it is spent.
+#: Effort of the search; the incumbent stands when it is spent. One node per length comes on top of NODES.
 NODES = 2_000
 BRANCHES = 3
 TRIPLES = 512
@@ -138,6 +139,7 @@ def fillings(counts: np.ndarray, room: int, keep: int = BRANCHES) -> list[tuple[
 
 def complete_bins(counts: np.ndarray, capacity: int = CAPACITY, nodes: int = NODES) -> list[tuple[tuple[int, ...], int]]:
     """Packs ``counts[length]`` pieces: (lengths of one bin, number of such bins)."""
+    nodes += np.count_nonzero(counts)
     total = int((counts * np.arange(len(counts))).sum())
     best = best_fit_decreasing(counts, capacity)
     bins = sum(n for _, n in best)
@@ -148,40 +150,45 @@ def complete_bins(counts: np.ndarray, capacity: int = CAPACITY, nodes: int = NOD
         counts: np.ndarray
         waste: int
         bins: int
+        depth: int
         chosen: tuple | None  # linked list of (filling, times, previous)
-        options: list | None = None
-
-    stack = [Node(counts.astype(np.int64).copy(), 0, 0, None)]
-    while stack and bins > least and nodes > 0:
-        node = stack[-1]
-        if node.options is None:
-            nodes -= 1
-            have = np.flatnonzero(node.counts)
-            if not len(have):
-                if node.bins < bins:
-                    bins, best, link = node.bins, [], node.chosen
-                    while link:
-                        best.append((link[0], link[1]))
-                        link = link[2]
-                stack.pop()
-                continue
-            size = int(have[-1])
-            left = node.counts.copy()
-            left[size] -= 1
-            node.options = [(size, *f) for f in fillings(left, capacity - size)][::-1]
-        if not node.options:
-            stack.pop()
-            continue
-        content = node.options.pop()
-        kinds, need = np.unique(content, return_counts=True)
-        times = int((node.counts[kinds] // need).min())
+
+    def expand(node: Node, strays: int) -> None:
+        nonlocal opened
+        size = int(np.flatnonzero(node.counts)[-1])
+        left = node.counts.copy()
+        left[size] -= 1
+        found = fillings(left, capacity - size)
+        # One piece that fills the room, or none that fits, dominates: repeated as often as can be. Other fillings may do better mixed.
+        alone = found in ([()], [(capacity - size,)])
+        for k, f in enumerate(found):
+            kinds, need = np.unique((size, *f), return_counts=True)
+            most = int((node.counts[kinds] // need).min())
+            for j, times in enumerate([most] if alone else [most, *sorted({most // 2, 1} - {0, most}, reverse=True)]):
+                opened += 1
+                heapq.heappush(branches, (strays + k + j, -node.depth, opened, node, (size, *f), kinds, need, times))
+
+    # The branch with the fewest departures from the first choice comes first, the deepest among equals.
+    branches: list[tuple] = []
+    opened = 0
+    if bins > least:
+        expand(Node(counts.astype(np.int64).copy(), 0, 0, 0, None), 0)
+    while branches and bins > least and nodes > 0:
+        strays, _, _, node, content, kinds, need, times = heapq.heappop(branches)
         waste = node.waste + times * (capacity - sum(content))
         if waste > (bins - 1) * capacity - total:
-            # The whole run would waste too much to beat the incumbent, and so would any part of it that leads as far.
-            continue
+            continue  # so many would waste too much to beat the incumbent; fewer are branches of their own
+        nodes -= 1
         left = node.counts.copy()
         left[kinds] -= times * need
-        stack.append(Node(left, waste, node.bins + times, (content, times, node.chosen)))
+        child = Node(left, waste, node.bins + times, node.depth + 1, (content, times, node.chosen))
+        if left.any():
+            expand(child, strays)
+        elif child.bins < bins:
+            bins, best, link = child.bins, [], child.chosen
+            while link:
+                best.append((link[0], link[1]))
+                link = link[2]
     return best
 
 

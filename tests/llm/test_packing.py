@@ -46,6 +46,14 @@ def test_bin_completion_beats_the_first_incumbent():
     assert check_plan(counts, 60) == optimum(sizes, 60) <= sum(n for _, n in P.best_fit_decreasing(counts, 60))
 
 
+@pytest.mark.parametrize("copies", [1, 3, 50, 1000])
+def test_fillings_are_mixed(copies):
+    counts = np.zeros(1025, np.int64)
+    for size, n in {612: 2, 561: 3, 306: 1, 255: 3, 204: 4, 153: 2}.items():
+        counts[size] = n * copies
+    assert P.lower_bound(counts, 1024) <= 5 * copies == check_plan(counts, 1024) < sum(n for _, n in P.best_fit_decreasing(counts, 1024))
+
+
 def test_bounds_and_dominance():
     assert P.lower_bound(np.bincount([6, 6, 6], minlength=11), 10) == 3
     assert P.fillings(np.bincount([4, 3, 1], minlength=11), 4) == [(4,)]
