@@ -47,6 +47,18 @@ def test_short_items_and_empty_tables(spark, make):
     assert not run(make([(1, ITEM)]).where("false"), bench(spark, [(7, ITEM)]))
 
 
+def test_exact_copies_of_short_number_and_name_items(spark, make):
+    names = "which of these children was not at school on the day: Anna Bela Carl Dora Emil Fred Gina Hugo"
+    items = ["What is 25% of 360 dollars?", "What is 12 + 15 * 7?", "Natalia has 5 apples, Tom 3, Ann 7, Bob 9, Eve 11.", "Capital of Burkina Faso: Ouagadougou",
+             "中华人民共和国的首都是哪里", "日本で一番高い山は何ですか", "ประเทศไทย", "Why", names]
+    rows = [(10 + k, f"{prose(k, 30)}. {t} {prose(50 + k, 30)}") for k, t in enumerate(items)]
+    rows += [(30 + k, f"{prose(k, 30)}. {t.upper()} {prose(50 + k, 30)}") for k, t in enumerate(items)]
+    rows += [(40, "一段话里写着中华人民共和国的首都是哪里这样的问题"), (41, "What is 25% of 361 dollars?"), (42, "中华人民共和国的人口"), (43, prose(3, 90)),
+             (44, "Natalia has 6 apples, Tom 3, Ann 7, Bob 9, Eve 12."), (45, names.replace("Fred Gina Hugo", "Finn Gwen Hans").replace("Anna Bela Carl Dora Emil", "Alma Bert Cleo Dirk Elsa"))]
+    got = set(run(make(rows), bench(spark, list(enumerate(items)))))
+    assert got == {(10 + k, k) for k in range(9)} | {(30 + k, k) for k in range(9)} | {(40, 4), (45, 8)}
+
+
 def test_given_benchmark(spark):
     """The documents that hold an item word by word are found, and no others."""
     sf = "/root/testdata/sf0.01"
