@@ -5,7 +5,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from gazeloom.llm import decontaminate, language_id, line_dedup, media_ts, packing, quality, simhash, suffix_dedup, token_alignment, token_counts, url_filter
+from gazeloom.llm import conversation_repair, decontaminate, language_id, line_dedup, media_ts, packing, quality, simhash, suffix_dedup, token_alignment, token_counts, url_filter
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -87,3 +87,8 @@ def op13_token_alignment(spark, sf_dir):
     import public_tokenizers as P
     return token_alignment.align(table(spark, sf_dir, "documents"), P.path("byte_bpe_50k.json"), P.path("piece_bpe_32k.model")).select(
         "doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
+@query("op12_conversation_repair")
+def op12_conversation_repair(spark, sf_dir):
+    return conversation_repair.repair_damaged(table(spark, sf_dir, "conversations"))
