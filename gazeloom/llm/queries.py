@@ -5,7 +5,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from gazeloom.llm import conversation_repair, decontaminate, language_id, line_dedup, media_ts, packing, quality, simhash, suffix_dedup, token_alignment, token_counts, url_filter
+from gazeloom.llm import conversation_repair, decontaminate, language_id, line_dedup, media_ts, packing, quality, simhash, suffix_dedup, token_alignment, token_counts, url_filter, warc
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -92,3 +92,8 @@ def op13_token_alignment(spark, sf_dir):
 @query("op12_conversation_repair")
 def op12_conversation_repair(spark, sf_dir):
     return conversation_repair.repair_damaged(table(spark, sf_dir, "conversations"))
+
+
+@query("op11_warc", warc.ORACLE)
+def op11_warc(spark, sf_dir):
+    return warc.round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
