@@ -51,24 +51,48 @@ def rows(schema: pa.Schema, *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
 
+#: Rows of one key that a task may get in ``join_hot``.
+HOT = 1 << 16
+
+
+def join_hot(many: DataFrame, one: DataFrame, key: str, hot: int | None = None, counts: DataFrame | None = None) -> DataFrame:
+    """Inner join on ``key``, which ``one`` has at most once and ``many`` any number of times.
+
+    A key with more than ``hot`` rows (HOT) in ``many`` is dealt among as many copies of its row in ``one`` as it takes. ``counts`` (key, n) may bring the numbers of
+    rows; else ``many`` should be a stored table, as it is read twice. Counting is pre-aggregated, and leaves at most one row per ``hot`` rows.
+    """
+    hot = hot or HOT
+    counts = many.groupBy(key).agg(F.count(F.lit(1)).alias("n")) if counts is None else counts
+    copies = materialise(counts.where(F.col("n") > hot).select(key, F.ceil(F.col("n") / hot).cast("int").alias("_n")), "hot")
+    if copies.isEmpty():
+        return many.join(one, key)
+    dealt = many.join(copies, key, "left").withColumn("_part", F.coalesce(F.pmod(F.monotonically_increasing_id(), F.col("_n")), F.lit(0)).cast("int")).drop("_n")
+    copied = one.join(copies, key, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), F.coalesce("_n", F.lit(1)) - 1))).drop("_n")
+    return dealt.join(copied, [key, "_part"]).drop("_part")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of ``edges(a, b)`` (long, no nulls): (node, component), the smallest node of each.
 
     Every node takes the smallest label among its neighbours and then its label's label, until nothing
-    changes. Each round is a written table; the driver sees one count per round.
+    changes. Each round is a written table; the driver sees one count per round. Neighbours of a node and holders of a
+    label may be a large share of all nodes: both joins deal them out.
     """
     both = materialise(edges.where("a <> b").select("a", "b")
                        .unionByName(edges.where("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
     labels = materialise(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m"))
                          .select("node", F.least("node", "m").alias("label")), "labels")
+    large = both.count() > HOT  # with fewer links no key is hot
+    meet = join_hot if large else lambda many, one, key: many.join(one, key)
     while True:
         # The neighbours' smallest label; the group is pre-aggregated where the join made its rows.
-        near = (both.join(labels.withColumnRenamed("node", "b"), "b")
+        near = (meet(both, labels.withColumnRenamed("node", "b"), "b")
                 .groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near")))
         moved = (labels.join(near, "node")
                  .select("node", F.col("label").alias("old"), F.least("label", "near").alias("label")))
         up = labels.select(F.col("node").alias("label"), F.col("label").alias("above"))
-        stepped = materialise(moved.join(up, "label").select("node", "old", F.least("label", "above").alias("label")), "labels")
+        moved = materialise(moved, "moved") if large else moved
+        stepped = materialise(meet(moved, up, "label").select("node", "old", F.least("label", "above").alias("label")), "labels")
         done = stepped.where("old <> label").limit(1).count() == 0
         labels = stepped.select("node", "label")
         if done:

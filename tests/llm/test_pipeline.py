@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline as C
 from gazeloom.llm import tokens
-from tests.llm import test_line_dedup, test_simhash
+from tests.llm import test_line_dedup
 from tests.llm.conftest import prose
+from tests.llm.similarity import brute_pairs, groups
 
 SF = "/root/testdata/sf0.001"
 
@@ -17,8 +18,8 @@ def brute(rows, items):
     """doc_id -> text before packing. The language stage keeps what has letters: the given texts are of one language each."""
     rows = [(i, t) for i, t in rows if any(c.isalpha() for c in t or "")]
     rows = [(i, t) for i, t, _, n, _ in test_line_dedup.brute(rows) if n == 0 or t.strip(" ")]
-    first = {i: c for i, _, c in test_simhash.brute(rows)}
-    rows = [(i, t) for i, t in rows if first[i] == i]
+    top = groups(len(rows), brute_pairs([t for _, t in rows]))
+    rows = [rows[k] for k in range(len(rows)) if rows[k][0] == min(i for n, (i, _) in enumerate(rows) if top[n] == top[k])]
     grams = {tuple(w[k: k + 10]) for w in (t.lower().split() for t in items) for k in range(len(w) - 9)}
     return {i: t for i, t in rows if not any(tuple(w[k: k + 10]) in grams for w in [t.lower().split()] for k in range(len(w) - 9))}
 
@@ -62,5 +63,5 @@ def test_stages_on_an_empty_table(spark, make):
 def test_registered_queries():
     import __spark_entry__ as e
     names = [n for n in e.queries() if n.startswith("op") and n[2].isdigit()]
-    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11)) and "pipeline" in e.queries()
+    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14)) and "pipeline" in e.queries()
     assert [n for n, _ in C.STAGES] == ["language_id", "line_dedup", "near_duplicates", "benchmark", "packing"]
