@@ -4,8 +4,9 @@ from pyspark.sql import functions as F
 from gazeloom import config as C
 from gazeloom.functions import scalar as S
 from gazeloom.operators.ordered import carry, chunk_by
+from gazeloom.plans import signals as Z
 from gazeloom.plans import views as V
-from gazeloom.plans.q_trials import DONE
+from gazeloom.plans.q_trials import SEG
 from gazeloom.plans.registry import query
 from gazeloom.sources.writers import scratch_dir
 from gazeloom.streaming import streams as T
@@ -104,13 +105,14 @@ def _(spark, sf):
     return table.agg(F.sum("samples").alias("kept"), F.lit(T.late_rows(done)).alias("dropped"))
 
 
-@query("t20_stream_trials", V.with_(V.FS, V.PLAN, DONE, body="""
-SELECT session, block, trial, name, 'test_finish_execution' AS status, f0 + 14 AS init, f0 + 24 AS fin FROM done"""))
+@query("t20_stream_trials", Z.with_(*SEG, body="""
+SELECT session, block, trial, name, status, init, fin, touch FROM tr WHERE close IS NOT NULL AND status NOT IN ('test_finish_by_end_of_video') AND name NOT LIKE 'end_of_video%'
+UNION ALL SELECT session, block, trial, name, NULL, init, fin, NULL FROM tr WHERE name LIKE 'missing%'"""))
 def _(spark, sf):
     """Trials leave the stream when they close."""
-    f = V.fs(spark, sf)
-    path = V.fs.path(spark, sf)
+    f = Z.varied(spark, sf)
+    path = Z.varied.path(spark, sf)
     s = spark.readStream.schema(f.schema).parquet(path)
     s = s.withColumn("ts", F.timestamp_micros((F.col("frame").cast("double") / S.lit(30) * S.lit(1e6)).cast("bigint")))
     out, _ = T.run_to_table(segment_stream(s, C.plan_rows()), "trials")
-    return out.select("session", big("block"), big("trial"), "name", "status", big("init"), big("end", "fin"))
+    return out.select("session", big("block"), big("trial"), "name", "status", big("init"), big("end", "fin"), big("touch_live", "touch"))

@@ -8,6 +8,7 @@ from gazeloom.operators import fixations as X
 from gazeloom.operators import landmarks as L
 from gazeloom.operators import segmentation as G
 from gazeloom.operators import windows as W
+from gazeloom.plans import signals as Z
 from gazeloom.plans import views as V
 from gazeloom.plans.q_columns import r6
 from gazeloom.plans.q_joins import FOC, OCC, occlusion
@@ -85,7 +86,40 @@ PLAN_ROWS = C.plan_rows()
 
 
 def segmented(spark, sf):
-    return G.segment_trials(V.fs(spark, sf), PLAN_ROWS)
+    return G.segment_trials(Z.varied(spark, sf), PLAN_ROWS)
+
+
+# Segmentation of the varied signals, and the trace of every trial in it; all statuses.
+SEG = (Z.VS, Z.segmentation())
+TRACE = """tc AS MATERIALIZED (SELECT t.session, block, trial, t.touch AS anchor, frame, unnest(CASE WHEN frame = recovery THEN [0, 1] ELSE [0] END) AS pass,
+    CASE WHEN frame >= active_from THEN round_even(ft, 3) END AS ft, round_even(bocc, 3) AS bocc, homography, source
+  FROM tr t JOIN vs ON vs.session = t.session AND frame BETWEEN trace_from AND trace_last)"""
+
+
+def _bump(out, value, enter):
+    """Rise, peak and valley of the bump in every touched trial."""
+    k = "PARTITION BY session, block, trial"
+    return f"""{out} AS (SELECT session, block, trial, min(CASE WHEN i = rs THEN frame END) AS rise, min(CASE WHEN i = pki THEN frame END) AS peak,
+    min(CASE WHEN i > pki AND v <= 0.3e0 * top THEN frame END) AS valley
+  FROM (SELECT *, coalesce(max(CASE WHEN i < pki AND v <= 0.3e0 * top THEN i END) OVER ({k}), 0) + 1 AS rs
+    FROM (SELECT *, min(CASE WHEN i < hi + 8 AND v = top THEN i END) OVER ({k}) AS pki
+      FROM (SELECT *, max(CASE WHEN i < hi + 8 THEN v END) OVER ({k}) AS top
+        FROM (SELECT *, coalesce(min(CASE WHEN frame >= anchor THEN i END) OVER ({k}), cnt) AS hi
+          FROM (SELECT *, {value} AS v, row_number() OVER ({k} ORDER BY frame, pass) AS i, count(*) OVER ({k}) AS cnt
+            FROM tc WHERE anchor IS NOT NULL AND {value} IS NOT NULL)))))
+  WHERE cnt >= 6 AND top >= {enter!r}e0 GROUP BY session, block, trial)"""
+
+
+POSTHOC = ",\n".join((_bump("bt", "ft", C.FT_ENTER), _bump("bb", "bocc", C.BOARD_ENTER), f"""j0 AS (SELECT t.*, bt.rise AS t_rise, bt.peak AS t_peak, bt.valley AS t_valley, bb.rise AS b_rise, bb.peak AS b_peak, bb.valley AS b_valley,
+    least(bt.rise, bb.rise) AS rise, coalesce(least(bt.rise, bb.rise) - onset > {C.ONSET_GAP}, false) AS moved, coalesce(bb.valley, bt.valley) AS valley
+  FROM tr t LEFT JOIN bt USING (session, block, trial) LEFT JOIN bb USING (session, block, trial))""", """ph AS (SELECT j0.* EXCLUDE (touch, leave, onset), j0.touch AS touch_live, j0.leave AS leave_live, j0.onset AS onset_live,
+    coalesce(t_peak, j0.touch) AS touch, coalesce(valley, j0.leave) AS leave, CASE WHEN moved THEN rise ELSE onset END AS onset,
+    CASE WHEN valley IS NULL THEN how WHEN b_valley IS NOT NULL THEN 'curve_board' ELSE 'curve_target' END AS leave_source,
+    CASE WHEN moved AND (SELECT avg(CASE WHEN NOT homography OR source = 'ref' THEN 1e0 ELSE 0e0 END) FROM tc WHERE tc.session = j0.session AND tc.block = j0.block AND tc.trial = j0.trial
+        AND frame >= onset AND frame < rise) >= 0.5e0 THEN 'curve_rise_homography' WHEN moved THEN 'curve_rise_edge' END AS onset_source,
+    CASE WHEN j0.touch IS NOT NULL THEN t_peak IS NULL OR (coalesce(b_rise <= t_peak + 3, true) AND coalesce(t_rise <= t_peak + 3, true)
+        AND coalesce(t_peak <= t_valley + 3, true) AND coalesce(t_peak <= valley + 3, true)) END AS congruent,
+    CASE WHEN t_rise < b_rise THEN 'finger_led' WHEN t_rise IS NOT NULL AND b_rise IS NOT NULL THEN 'arm_led' END AS reach_style FROM j0)"""))
 
 
 # Closed form of a complete 40-frame cycle of the exercise signals.
@@ -93,14 +127,19 @@ DONE = """done AS (SELECT session, cyc, CAST(block AS BIGINT) AS block, CAST(tri
   JOIN plan ON block * 10 + pos = cyc)"""
 
 
-@query("t4_segment_trials", V.with_(V.FS, V.PLAN, DONE, body="""
-SELECT session, block, trial, name, 'test_finish_execution' AS status, f0 + 14 AS init, f0 + 24 AS fin, f0 + 24 AS motor_onset, f0 + 26 AS touch_live,
-  f0 + 34 AS hand_exit_live, 'ft_return' AS source, f0 + 36 AS close_frame FROM done"""))
+@query("t4_segment_trials", Z.with_(*SEG, body=f"""
+SELECT session, block, trial, name, status, init, fin, exec, onset AS motor_onset, touch AS touch_live, leave AS hand_exit_live, how AS source, pf AS panel_frame, close AS close_frame,
+  round(max_ft, 6) AS max_ft, round(max_sep, 6) AS max_sep, n_active, n_watched, n_no_grid, CASE WHEN n_watched IS NULL THEN NULL WHEN touch IS NOT NULL THEN 'confirmed'
+    WHEN n_active = 0 AND n_watched > 0 AND n_no_grid > 0.5e0 * n_watched THEN 'few_arucos' WHEN n_active = 0 THEN 'never_activated'
+    WHEN max_ft <= CASE split_part(replace(replace(name, 'transition_error_no_init_', ''), 'end_of_video_error_', ''), '_', 1) {" ".join(f"WHEN '{c}' THEN {t!r}e0" for c, t in C.TOUCH_THRESHOLD.items())} END THEN 'fT_below'
+    WHEN max_sep <= {C.TOUCH_SEPARATION!r}e0 THEN 'control_ge' ELSE 'unconfirmed' END AS reason FROM tr"""))
 def _(spark, sf):
-    t = segmented(spark, sf).where("status = 'test_finish_execution'")
-    return t.select("session", big("block"), big("trial"), "name", "status", big("init"), big("end", "fin"),
+    """Trials of every status: all four sources of a hand exit, no touch, early closings, the end of the recording, missing entries."""
+    t = segmented(spark, sf)
+    return t.select("session", big("block"), big("trial"), "name", "status", big("init"), big("end", "fin"), big("exec_frame", "exec"),
                     big("motor_onset_live", "motor_onset"), big("touch_live"), big("hand_exit_live"),
-                    F.col("hand_exit_live_source").alias("source"), big("close_frame"))
+                    F.col("hand_exit_live_source").alias("source"), big("panel_frame"), big("close_frame"), r6("max_ft"), r6("max_sep"),
+                    big("n_active"), big("n_watched"), big("n_no_grid"), "reason")
 
 
 def with_gaps(spark, sf):
@@ -165,51 +204,60 @@ def _(spark, sf):
     return ft.join(bo, list(TRIAL), "full").select("session", big("cyc"), big("ft_exit"), big("board_exit"))
 
 
-@query("t9_close_on_end_of_stream", V.with_(V.FS, V.PLAN, body="""
-SELECT session, CAST(block AS BIGINT) AS block, CAST(trial AS BIGINT) AS trial, CASE WHEN c < 20 THEN 'end_of_video_error_' ELSE '' END || name AS name,
-  CASE WHEN c >= 20 THEN f0 + 14 END AS init, CASE WHEN c >= 20 THEN f0 + least(24, c - 1) ELSE f0 + c - 1 END AS fin
-FROM (SELECT session, cyc, 40 * cyc AS f0, count(*) AS c FROM fs GROUP BY session, cyc HAVING count(*) BETWEEN 4 AND 36) JOIN plan ON block * 10 + pos = cyc"""))
+@query("t8_exit_sources", Z.with_(*SEG, body="""
+SELECT how AS source, count(*) AS trials, count(touch) AS touched, round(avg(leave - onset), 6) AS mean_frames FROM tr WHERE how IS NOT NULL GROUP BY how"""))
+def _(spark, sf):
+    """How reaches end, by what showed it: target, board, contour or the deadline."""
+    t = segmented(spark, sf).where("hand_exit_live_source IS NOT NULL")
+    return t.groupBy(F.col("hand_exit_live_source").alias("source")).agg(
+        F.count(F.lit(1)).alias("trials"), F.count("touch_live").alias("touched"), r6(F.avg(F.col("hand_exit_live") - F.col("motor_onset_live")), "mean_frames"))
+
+
+@query("t9_close_on_end_of_stream", Z.with_(*SEG, body="""
+SELECT session, block, trial, name, init, fin FROM tr WHERE name LIKE 'end_of_video%' OR status = 'test_finish_by_end_of_video'"""))
 def _(spark, sf):
     t = segmented(spark, sf)
     ended = F.col("name").startswith("end_of_video") | F.coalesce(F.col("status") == "test_finish_by_end_of_video", F.lit(False))
     return t.where(ended).select("session", big("block"), big("trial"), "name", big("init"), big("end", "fin"))
 
 
-@query("t10_record_transitions", V.with_(V.FS, V.PLAN, DONE, body="""
-SELECT session, block, trial, f0 + o AS frame, a AS from_state, b AS to_state FROM done, (VALUES (3, 'init', 'get_test_name'), (8, 'get_test_name', 'test_start_execution'),
-  (19, 'test_start_execution', 'test_execution'), (31, 'test_execution', 'test_motor_recovery'), (36, 'test_motor_recovery', 'test_finish_execution'),
-  (36, 'test_finish_execution', 'init')) s(o, a, b)"""))
+@query("t10_record_transitions", Z.with_(*SEG, body="""
+SELECT session, block, trial, ord, m.frame AS frame, m.a AS from_state, m.b AS to_state
+FROM (SELECT session, block, trial, unnest(moves) AS m, unnest(range(len(moves))) AS ord FROM tr)"""))
 def _(spark, sf):
     t = G.transitions(stored_trials(spark, sf))
-    return t.select("session", big("block"), big("trial"), big("frame"), "from_state", "to_state")
+    return t.select("session", big("block"), big("trial"), big("ord"), big("frame"), "from_state", "to_state")
 
 
 # Written once per version of the signals; the post-hoc steps read them back and segment nothing.
 @V.stored_view("lineitem", "session", "block", "trial")
 def stored_trials(spark, sf):
-    return segmented(spark, sf).where("status = 'test_finish_execution'")
+    return segmented(spark, sf)
 
 
 @V.stored_view("lineitem", "session", "frame")
 def stored_trace(spark, sf):
-    return G.trace(stored_trials(spark, sf), V.fs(spark, sf))
+    return G.trace(stored_trials(spark, sf), Z.varied(spark, sf))
 
 
-@query("s14_read_signal_trace", V.with_(V.FS, V.PLAN, DONE, body="SELECT session, block, trial, 18 AS n, f0 + 19 AS first_frame, f0 + 35 AS last_frame FROM done"))
+@query("s14_read_signal_trace", Z.with_(*SEG, TRACE, body="""
+SELECT session, block, trial, CAST(count(*) AS INTEGER) AS n, min(frame) AS first_frame, max(frame) AS last_frame, count(ft) AS measured, round(max(bocc), 3) AS board
+FROM tc GROUP BY session, block, trial"""))
 def _(spark, sf):
     trace = stored_trace(spark, sf)
     return trace.groupBy("session", big("block"), big("trial")).agg(
-        F.count(F.lit(1)).cast("int").alias("n"), big(F.min("frame"), "first_frame"), big(F.max("frame"), "last_frame"))
+        F.count(F.lit(1)).cast("int").alias("n"), big(F.min("frame"), "first_frame"), big(F.max("frame"), "last_frame"),
+        F.count("ft").alias("measured"), F.round(F.max("bocc"), 3).alias("board"))
 
 
-@query("t11_posthoc_landmarks", V.with_(V.FS, V.PLAN, DONE, body="""
-SELECT session, block, trial, f0 + 29 AS touch, f0 + 34 AS hand_exit, 'curve_board' AS source, f0 + 24 AS motor_onset, f0 + 26 AS target_rise, f0 + 33 AS target_valley,
-  f0 + 27 AS board_rise, f0 + 30 AS board_peak, true AS congruent, 'finger_led' AS reach_style FROM done"""))
+@query("t11_posthoc_landmarks", Z.with_(*SEG, TRACE, POSTHOC, body="""
+SELECT session, block, trial, touch, leave AS hand_exit, leave_source AS source, onset AS motor_onset, onset_source, t_rise AS target_rise, t_valley AS target_valley,
+  b_rise AS board_rise, b_peak AS board_peak, congruent, reach_style FROM ph"""))
 def _(spark, sf):
     t, trace = stored_trials(spark, sf), stored_trace(spark, sf)
     p = L.posthoc(t, trace)
     return p.select("session", big("block"), big("trial"), big("touch"), big("hand_exit"), F.col("hand_exit_source").alias("source"),
-                    big("motor_onset"), big("target_rise"), big("target_valley"), big("board_rise"), big("board_peak"),
+                    big("motor_onset"), F.col("motor_onset_source").alias("onset_source"), big("target_rise"), big("target_valley"), big("board_rise"), big("board_peak"),
                     "congruent", "reach_style")
 
 
@@ -341,8 +389,9 @@ def _(spark, sf):
     return t.select("session", big("cyc"), big("col", "c"), big("row", "r"), r6(F.col("score") / 4, "score"))
 
 
-@query("r13_reprocess", V.with_(V.FS, V.PLAN, DONE, body="""
-SELECT session, count(*) AS trials, CAST(count(*) AS BIGINT) AS touch, CAST(0 AS BIGINT) AS motor_onset, CAST(0 AS BIGINT) AS hand_exit FROM done GROUP BY session"""))
+@query("r13_reprocess", Z.with_(*SEG, TRACE, POSTHOC, body="""
+SELECT session, count(*) AS trials, count(CASE WHEN touch IS DISTINCT FROM touch_live THEN 1 END) AS touch, count(CASE WHEN onset IS DISTINCT FROM onset_live THEN 1 END) AS motor_onset,
+  count(CASE WHEN leave IS DISTINCT FROM leave_live THEN 1 END) AS hand_exit FROM ph GROUP BY session"""))
 def _(spark, sf):
     t, trace = stored_trials(spark, sf), stored_trace(spark, sf)
     before = t.select(*L.KEYS, F.col("touch_live").alias("touch"), F.col("motor_onset_live").alias("motor_onset"),
@@ -350,17 +399,18 @@ def _(spark, sf):
     return A.reprocess_diff(before, L.posthoc(t, trace))
 
 
-@query("r1_timeline", V.with_(V.FS, V.PLAN, DONE, body="""
-SELECT session, block, trial, name AS trial_name, f0 + o AS frame, round_even((f0 + o) / 30.0e0, 3) AS time_s, e AS event, a AS from_state, b AS to_state FROM done, (VALUES
-  (14, 'search_start', '', ''), (24, 'motor_onset', '', ''), (26, 'target_touch', '', ''), (34, 'hand_exit', '', ''), (24, 'trial_end', '', ''),
-  (3, 'state_change', 'init', 'get_test_name'), (8, 'state_change', 'get_test_name', 'test_start_execution'), (19, 'state_change', 'test_start_execution', 'test_execution'),
-  (31, 'state_change', 'test_execution', 'test_motor_recovery'), (36, 'state_change', 'test_motor_recovery', 'test_finish_execution'),
-  (36, 'state_change', 'test_finish_execution', 'init')) s(o, e, a, b)"""))
+@query("r1_timeline", Z.with_(*SEG, body="""
+SELECT session, block, trial, name AS trial_name, frame, round_even(frame / 30.0e0, 3) AS time_s, event, from_state, to_state FROM (
+  SELECT session, block, trial, name, unnest(['search_start', 'motor_onset', 'target_touch', 'hand_exit', 'trial_end']) AS event, unnest([init, onset, touch, leave, fin]) AS frame, '' AS from_state, '' AS to_state
+  FROM tr WHERE status LIKE 'test_finish%' UNION ALL
+  SELECT session, block, trial, name, 'state_change', m.frame, m.a, m.b FROM (SELECT *, unnest(moves) AS m FROM tr)) WHERE frame IS NOT NULL"""))
 def _(spark, sf):
+    """Marks of valid trials and the state changes of all, from the stored trials."""
     t = stored_trials(spark, sf)
-    marks = trial_marks(t.select("session", "block", "trial", "name", "init", "end", F.col("touch_live").alias("touch"),
-                                 F.col("hand_exit_live").alias("hand_exit"), F.col("motor_onset_live").alias("motor_onset"),
-                                 F.lit(None).cast("int").alias("target_found"), F.lit(None).cast("int").alias("validation")))
+    valid = t.where(S.is_valid_trial(F.col("name")) & F.col("init").isNotNull())
+    marks = trial_marks(valid.select("session", "block", "trial", "name", "init", "end", F.col("touch_live").alias("touch"),
+                                     F.col("hand_exit_live").alias("hand_exit"), F.col("motor_onset_live").alias("motor_onset"),
+                                     F.lit(None).cast("int").alias("target_found"), F.lit(None).cast("int").alias("validation")))
     names = t.select("session", "block", "trial", F.col("name").alias("trial_name"))
     tl = writers.timeline(marks, G.transitions(t), names, 30.0)
     return writers.timeline_order(tl).select("session", big("block"), big("trial"), "trial_name", big("frame"), "time_s",

@@ -11,7 +11,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from gazeloom import config as C
 from gazeloom.functions import scalar as S
-from gazeloom.operators.segmentation import RESULT, RESULT_FIELDS, SIGNALS, Trial
+from gazeloom.operators.segmentation import RESULT, RESULT_FIELDS, Span, Trial, flags, predicate_code
 
 
 class Recording:
@@ -21,8 +21,9 @@ class Recording:
         self.trial, self.pos, self.place, self.last = None, 0, None, None
         self.panel, self.seen = None, 0
 
-    def feed(self, frame, shown, signals, plan):
+    def feed(self, frame, shown, code, ft, gap, plan):
         """Rows finished by this frame."""
+        span = Span(frame, 1, flags(code), [(frame, ft, gap)] if ft is not None else [])
         self.seen = self.seen + 1 if shown is not None and shown == self.panel else int(shown is not None)
         self.panel, self.last = shown, frame
         confirmed = shown if self.seen >= C.PANEL_CONFIRM else None
@@ -33,7 +34,7 @@ class Recording:
                     return rows
                 self.trial = Trial(confirmed, frame)
             panel = None if confirmed is None else ("same" if confirmed == self.trial.name else "other")
-            if not self.trial.step(frame, panel, signals):
+            if not self.trial.step(frame, panel, span):
                 return rows
             rows.append(self.done())
 
@@ -70,7 +71,7 @@ def segment_stream(signals: DataFrame, plan: list[tuple], ts: str = "ts", delay:
     """
     order = [(b, t, name) for b, _, t, name in sorted(plan)]
     shown = F.when(F.col("panel_color").isNotNull(), S.trial_name(F.col("panel_color"), F.col("panel_shape")))
-    s = signals.withWatermark(ts, delay).select("session", "frame", ts, shown.alias("shown"), *SIGNALS)
+    s = signals.withWatermark(ts, delay).select("session", "frame", ts, shown.alias("shown"), predicate_code().alias("code"), "ft", (F.col("ft") - F.col("fc")).alias("gap"))
     key_type = dict(s.dtypes)["session"]
     columns = ["session", *RESULT_FIELDS, "block", "trial"]
 
@@ -84,11 +85,11 @@ def segment_stream(signals: DataFrame, plan: list[tuple], ts: str = "ts", delay:
             # The rows of one session in one trigger; the trigger size bounds them.
             frames, newest = [], 0
             for pdf in batches:
-                values = [[None if v != v else v for v in pdf[c].tolist()] for c in SIGNALS]
-                frames += zip(pdf["frame"].tolist(), pdf["shown"].tolist(), zip(*values))
+                number = lambda c: [None if v != v else v for v in pdf[c].tolist()]  # noqa: E731, B023
+                frames += zip(pdf["frame"].tolist(), pdf["shown"].tolist(), pdf["code"].tolist(), number("ft"), number("gap"))
                 newest = max(newest, int(pdf[ts].max().timestamp() * 1000))
-            for frame, shown_, vals in sorted(frames, key=lambda x: x[0]):
-                rows += rec.feed(frame, shown_, dict(zip(SIGNALS, vals)), order)
+            for row in sorted(frames, key=lambda x: x[0]):
+                rows += rec.feed(*row, order)
             state.update((pickle.dumps(rec),))
             state.setTimeoutTimestamp(max(newest, state.getCurrentWatermarkMs()) + idle_ms)
         if rows:
