@@ -1,6 +1,7 @@
 """Fixations, segmentation, landmarks: hand-made cases, brute force and batch = stream."""
 import random
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -63,6 +64,39 @@ def test_idt_over_pieces_and_blocks(spark):
         assert got == sorted((s, a, b) for s, pts in tracks.items() for a, b in restart(pts, 0.05, 3))
 
 
+@pytest.mark.parametrize("block", [7, 16, 65536])
+def test_jump_pointers_equal_restart_on_random_tracks(spark, block):
+    """Steady, jumping and drifting tracks of every length, with runs over many blocks."""
+    rnd = random.Random(block)
+    tracks = {}
+    for s in range(40):
+        x = y = 0.0
+        pts = []
+        for _ in range(rnd.choice([1, 5, 30, 90, 200])):
+            step = rnd.choice([0.0, 0.0, 0.0, 0.001, 0.01, 0.06]) if s % 4 else 0.0
+            x, y = x + step * rnd.uniform(-1, 1), y + step * rnd.uniform(-1, 1)
+            pts.append((x, y))
+        tracks[s] = pts
+    data = [(s, s % 3, i, i // 3, x, y) for s, pts in tracks.items() for i, (x, y) in enumerate(pts)]
+    rnd.shuffle(data)
+    df = spark.createDataFrame(data, "session int, block int, n int, frame int, x double, y double")
+    got = sorted((r.session, r.start_n, r.end_n, r.start_frame, r.end_frame, r.samples) for r in X.idt_fixations(df, ["session", "block"], dispersion=0.05, minimum=3, block=block).collect())
+    assert got == sorted((s, a, b, a // 3, b // 3, b - a + 1) for s, pts in tracks.items() for a, b in restart(pts, 0.05, 3))
+
+
+def test_reach_equals_brute_force():
+    rnd = random.Random(9)
+    for _ in range(60):
+        n = rnd.randrange(1, 70)
+        x, y = np.cumsum([rnd.uniform(-1, 1) for _ in range(n)]), np.array([rnd.uniform(0, 1) for _ in range(n)])
+        to, _ = X.reach(X.boxes(x, y), np.arange(n), np.full(n, n), 2.5)
+        for i in range(n):
+            j = i
+            while j < n and np.ptp(x[i:j + 1]) + np.ptp(y[i:j + 1]) <= 2.5:
+                j += 1
+            assert to[i] == j
+
+
 def test_centroid_fixations_against_brute_force(spark):
     from statistics import median
     rnd = random.Random(5)
