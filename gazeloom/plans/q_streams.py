@@ -6,12 +6,14 @@ from gazeloom.functions import scalar as S
 from gazeloom.operators.ordered import carry, chunk_by
 from gazeloom.plans import signals as Z
 from gazeloom.plans import views as V
-from gazeloom.plans.q_trials import SEG
+from gazeloom.plans.q_trials import IDT, SEG, SPREAD, rec, track
 from gazeloom.plans.registry import query
 from gazeloom.sources.writers import scratch_dir
 from gazeloom.streaming import streams as T
+from gazeloom.streaming.fixations import fixation_stream
 from gazeloom.streaming.segmentation import segment_stream
 
+lit = S.lit
 big = lambda c, name=None: (F.col(c) if isinstance(c, str) else c).cast("bigint").alias(name or c)
 
 
@@ -105,14 +107,41 @@ def _(spark, sf):
     return table.agg(F.sum("samples").alias("kept"), F.lit(T.late_rows(done)).alias("dropped"))
 
 
+DELIVERIES, FILES = 6, 4
+
+
+def delivered(spark, df, seconds, name):
+    """``df`` with an event time as a stream of six deliveries and more, and the delay that covers their disorder.
+
+    A row comes with its sixth of the time or one or two deliveries later, by its hash, so each trigger mixes three sixths in any order. A last delivery
+    of one row, of a session -1 long after all others, moves the watermark past them.
+    """
+    df = df.withColumn("ts", F.timestamp_micros((seconds * lit(1e6)).cast("bigint")))
+    end = df.agg(F.max(seconds)).first()[0] or 0.0
+    width = end / DELIVERIES + 0.001
+    late = F.pmod(F.xxhash64("session", "frame", "ts"), F.lit(3))
+    df = df.withColumn("_delivery", F.floor(seconds / lit(width)) + late)
+    root = scratch_dir(spark, name)
+    for k in range(DELIVERIES + 2):
+        df.where(F.col("_delivery") == k).drop("_delivery").repartition(FILES).write.mode("append").parquet(root)
+    last = df.drop("_delivery").limit(1).withColumns({"session": F.lit(-1).cast(df.schema["session"].dataType), "ts": F.timestamp_micros(F.lit(int((end + 3600) * 1e6)))})
+    last.write.mode("append").parquet(root)
+    return spark.readStream.schema(df.drop("_delivery").schema).option("maxFilesPerTrigger", FILES).parquet(root), f"{int(3 * width) + 1} seconds"
+
+
 @query("t20_stream_trials", Z.with_(*SEG, body="""
-SELECT session, block, trial, name, status, init, fin, touch FROM tr WHERE close IS NOT NULL AND status NOT IN ('test_finish_by_end_of_video') AND name NOT LIKE 'end_of_video%'
-UNION ALL SELECT session, block, trial, name, NULL, init, fin, NULL FROM tr WHERE name LIKE 'missing%'"""))
+SELECT session, block, trial, name, status, init, fin, touch FROM tr"""))
+def _(spark, sf):
+    """Trials leave the stream when they close; frames come out of order over many triggers."""
+    s, delay = delivered(spark, Z.varied(spark, sf), F.col("frame").cast("double") / lit(30), "frames")
+    out, _ = T.run_to_table(segment_stream(s, C.plan_rows(), delay=delay), "trials")
+    return out.where("session <> -1").select("session", big("block"), big("trial"), "name", "status", big("init"), big("end", "fin"), big("touch_live", "touch"))
+
+
+@query("t1_stream_fixations", rec(V.GZ, IDT, body="""
+SELECT session, start_n, end_n, start_n // 4 AS start_frame, end_n // 4 AS end_frame, samples FROM fx"""))
 def _(spark, sf):
-    """Trials leave the stream when they close."""
-    f = Z.varied(spark, sf)
-    path = Z.varied.path(spark, sf)
-    s = spark.readStream.schema(f.schema).parquet(path)
-    s = s.withColumn("ts", F.timestamp_micros((F.col("frame").cast("double") / S.lit(30) * S.lit(1e6)).cast("bigint")))
-    out, _ = T.run_to_table(segment_stream(s, C.plan_rows()), "trials")
-    return out.select("session", big("block"), big("trial"), "name", "status", big("init"), big("end", "fin"), big("touch_live", "touch"))
+    """The batch query's fixations from samples that come out of order over many triggers."""
+    s, delay = delivered(spark, track(spark, sf).select("session", "n", "frame", "t", "x", "y"), F.col("t"), "samples")
+    out, _ = T.run_to_table(fixation_stream(s, delay=delay, dispersion=SPREAD), "fixations")
+    return out.where("session <> -1")

@@ -15,11 +15,26 @@ from gazeloom.operators.segmentation import RESULT, RESULT_FIELDS, Span, Trial,
 
 
 class Recording:
-    """Everything remembered about a session: at most one open trial and a place in the plan."""
+    """Everything remembered about a session: frames that wait for earlier ones, at most one open trial and a place in the plan."""
 
     def __init__(self):
         self.trial, self.pos, self.place, self.last = None, 0, None, None
         self.panel, self.seen = None, 0
+        self.waiting, self.newest = {}, 0
+
+    def hold(self, frames):
+        """Keeps frames (ts, frame, ...) by their number, a repeated one once."""
+        for row in frames:
+            self.newest = max(self.newest, row[0])
+            if self.last is None or row[1] > self.last:
+                self.waiting[row[1]] = row
+
+    def passed(self, watermark, plan):
+        """Rows finished by the frames that no earlier one can precede any more, in order."""
+        rows = []
+        for frame in sorted(f for f, row in self.waiting.items() if row[0] <= watermark):
+            rows += self.feed(*self.waiting.pop(frame)[1:], plan)
+        return rows
 
     def feed(self, frame, shown, code, ft, gap, plan):
         """Rows finished by this frame."""
@@ -65,33 +80,34 @@ def segment_stream(signals: DataFrame, plan: list[tuple], ts: str = "ts", delay:
                    idle_ms: int = 60_000) -> DataFrame:
     """Trials as they close. A session silent for ``idle_ms`` of event time has its open trial closed as ended.
 
-    ``signals`` as for the batch job, plus the event time ``ts``. State per session is one open trial and the place in the
-    plan, which outlives pauses: a recording that goes on is matched from where it was. Frames are put in order
-    within a trigger; triggers must bring a session's frames in order.
+    ``signals`` as for the batch job, plus the event time ``ts``, which must grow with the frame. Frames may come in any order, up to ``delay`` late, over
+    any number of triggers: each waits in the state until the watermark has passed it. State per session is the waiting frames, one open trial and the place in the
+    plan, which outlives pauses: a recording that goes on is matched from where it was.
     """
     order = [(b, t, name) for b, _, t, name in sorted(plan)]
     shown = F.when(F.col("panel_color").isNotNull(), S.trial_name(F.col("panel_color"), F.col("panel_shape")))
-    s = signals.withWatermark(ts, delay).select("session", "frame", ts, shown.alias("shown"), predicate_code().alias("code"), "ft", (F.col("ft") - F.col("fc")).alias("gap"))
+    s = signals.withWatermark(ts, delay).select("session", "frame", ts, F.unix_millis(ts).alias("_at"), shown.alias("shown"), predicate_code().alias("code"), "ft", (F.col("ft") - F.col("fc")).alias("gap"))
     key_type = dict(s.dtypes)["session"]
     columns = ["session", *RESULT_FIELDS, "block", "trial"]
 
     def advance(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         rec = pickle.loads(state.get[0]) if state.exists else Recording()
-        rows = []
-        if state.hasTimedOut:
-            rows = rec.finish()
-            state.update((pickle.dumps(rec),))
-        else:
-            # The rows of one session in one trigger; the trigger size bounds them.
-            frames, newest = [], 0
+        if not state.hasTimedOut:
             for pdf in batches:
                 number = lambda c: [None if v != v else v for v in pdf[c].tolist()]  # noqa: E731, B023
-                frames += zip(pdf["frame"].tolist(), pdf["shown"].tolist(), pdf["code"].tolist(), number("ft"), number("gap"))
-                newest = max(newest, int(pdf[ts].max().timestamp() * 1000))
-            for row in sorted(frames, key=lambda x: x[0]):
-                rows += rec.feed(*row, order)
-            state.update((pickle.dumps(rec),))
-            state.setTimeoutTimestamp(max(newest, state.getCurrentWatermarkMs()) + idle_ms)
+                rec.hold(zip(pdf["_at"].tolist(), pdf["frame"].tolist(), pdf["shown"].tolist(), pdf["code"].tolist(), number("ft"), number("gap")))
+        now = state.getCurrentWatermarkMs()
+        rows = rec.passed(now, order)
+        if rec.waiting:
+            wake = min(row[0] for row in rec.waiting.values())
+        else:
+            wake = rec.newest + idle_ms
+            if wake <= now:
+                rows += rec.finish()
+                wake = None
+        state.update((pickle.dumps(rec),))
+        if wake is not None:
+            state.setTimeoutTimestamp(max(wake, now + 1))
         if rows:
             yield pd.DataFrame([(key[0], *[r[c] for c in RESULT_FIELDS], b, t) for r, b, t in rows], columns=columns)
 
