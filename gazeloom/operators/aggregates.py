@@ -1,6 +1,8 @@
 """Counts, dwell, health and comparison tables over samples and trials."""
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -303,26 +305,63 @@ def reprocess_diff(before: DataFrame, after: DataFrame,
         n_rows().alias("trials"), *[count_if(~F.col(m).eqNullSafe(F.col(f"_b_{m}"))).alias(m) for m in marks])
 
 
+CELLS = C.BOARD_COLS * C.BOARD_ROWS
+
+
+def _neighbours() -> list[list[int]]:
+    """For each cell in row-major order, the cells around it."""
+    at = lambda c, r: r * C.BOARD_COLS + c
+    return [[at(c + dc, r + dr) for dr in (-1, 0, 1) for dc in (-1, 0, 1) if (dc or dr) and 0 <= c + dc < C.BOARD_COLS and 0 <= r + dr < C.BOARD_ROWS]
+            for r in range(C.BOARD_ROWS) for c in range(C.BOARD_COLS)]
+
+
+def board_matrix(cells: DataFrame, keys=("session", "frame"), value: str = "occ") -> DataFrame:
+    """One row per board: ``value`` of its cells (col, row) as an array in row-major order, null where a cell has none. A cell occurs once."""
+    entry = F.struct((F.col("row") * C.BOARD_COLS + F.col("col")).cast("int").alias("k"), F.col(value).alias("v"))
+    known = cells.where(F.col("col").between(0, C.BOARD_COLS - 1) & F.col("row").between(0, C.BOARD_ROWS - 1))
+    m = known.groupBy(*keys).agg(F.map_from_entries(F.collect_list(entry)).alias("_m"))  # forty entries at most
+    return m.withColumn(value, F.transform(F.sequence(F.lit(0), F.lit(CELLS - 1)), lambda k: F.try_element_at("_m", k))).drop("_m")
+
+
+def around(occ, combine):
+    """Array over the cells: ``combine`` of a cell's value and the values of its neighbours that have one."""
+    places = F.array(*[F.struct(F.lit(k).alias("k"), F.array(*map(F.lit, near)).alias("near")) for k, near in enumerate(_neighbours())])
+    return F.transform(places, lambda p: combine(F.get(occ, p["k"]), F.filter(F.transform(p["near"], lambda j: F.get(occ, j)), lambda v: v.isNotNull())))
+
+
+def focality_matrix(occ):
+    """How much more each cell of a board is covered than the median of its neighbours; 0 below the occlusion floor, null without a value."""
+    def one(own, near):
+        ordered = F.array_sort(near)
+        half = lambda up: F.get(ordered, F.floor((F.size(near) - (0 if up else 1)) / 2).cast("int"))
+        raised = F.greatest(S.lit(0), own - (half(False) + half(True)) / 2)
+        return F.when(own.isNull(), None).when((own < S.lit(C.FOCAL_MIN_OCC)) | (F.size(near) == 0), S.lit(0)).otherwise(raised)
+    return around(occ, one)
+
+
+def by_cell(boards: DataFrame, *values: str) -> DataFrame:
+    """Boards with arrays over the cells -> a row per cell (col, row) that has all values."""
+    entries = F.filter(F.arrays_zip(F.sequence(F.lit(0), F.lit(CELLS - 1)).alias("k"), *values), lambda e: reduce(lambda a, b: a & b, [e[v].isNotNull() for v in values]))
+    rest = [c for c in boards.columns if c not in values]
+    cell = boards.select(*rest, F.explode(entries).alias("_e"))
+    return cell.select(*rest, (F.col("_e.k") % C.BOARD_COLS).alias("col"), F.floor(F.col("_e.k") / C.BOARD_COLS).cast("int").alias("row"), *[F.col(f"_e.{v}").alias(v) for v in values])
+
+
 def focality(cells: DataFrame, keys=("session", "frame")) -> DataFrame:
-    """How much more a cell is covered than the median of its neighbours; 0 below the occlusion floor.
+    """Cells (keys, col, row, occ) with their focality ``foc``; a board is one array of forty, its cells are not copied."""
+    boards = board_matrix(cells, keys)
+    return by_cell(boards.withColumn("foc", focality_matrix(F.col("occ"))), "occ", "foc")
 
-    Each cell offers its value to its (at most eight) neighbours: an equi-join on the cell, no theta join.
-    """
-    offsets = F.array(*[F.struct(F.lit(dc).alias("dc"), F.lit(dr).alias("dr"))
-                        for dc in (-1, 0, 1) for dr in (-1, 0, 1) if dc or dr])
-    near = (cells.select(*keys, "col", "row", "occ", F.explode(offsets).alias("o"))
-            .select(*keys, (F.col("col") + F.col("o.dc")).alias("col"),
-                    (F.col("row") + F.col("o.dr")).alias("row"), F.col("occ").alias("_n")))
-    med = near.groupBy(*keys, "col", "row").agg(F.percentile("_n", F.lit(0.5)).alias("_m"))  # eight values
-    j = cells.join(med, [*keys, "col", "row"], "left")
-    raised = F.greatest(S.lit(0), F.col("occ") - F.col("_m"))
-    return j.withColumn("foc", F.when((F.col("occ") < S.lit(C.FOCAL_MIN_OCC)) | F.col("_m").isNull(), S.lit(0))
-                        .otherwise(raised)).drop("_m")
-
-
-def touched_cell(foc: DataFrame, keys=("session", "block", "trial")) -> DataFrame:
-    """Cell with the largest summed focality, at least 1.0; the first in row-major order wins ties."""
-    total = foc.groupBy(*keys, "col", "row").agg(F.sum("foc").alias("score"))
-    best = total.groupBy(*keys).agg(F.max_by(F.struct("col", "row", "score"), F.struct(
-        F.col("score"), -F.col("row"), -F.col("col"))).alias("b"))
-    return best.select(*keys, "b.col", "b.row", "b.score").where(F.col("score") >= S.lit(C.FOCAL_MIN_SCORE))
+
+def array_total(boards: DataFrame, keys, value: str) -> DataFrame:
+    """Element-wise sum of arrays over the cells per key; a cell without any value has null. Sums are pre-aggregated."""
+    sums = boards.groupBy(*keys).agg(*[F.sum(F.get(value, F.lit(k))).alias(f"_{k}") for k in range(CELLS)])
+    return sums.select(*keys, F.array(*[F.col(f"_{k}") for k in range(CELLS)]).alias(value))
+
+
+def touched_cell(boards: DataFrame, keys=("session", "block", "trial")) -> DataFrame:
+    """Cell with the largest summed focality ``foc`` (an array per board), at least 1.0; the first in row-major order wins ties."""
+    total = array_total(boards, keys, "foc")
+    best = F.array_max(F.transform("foc", lambda v, k: F.when(v.isNotNull(), F.struct(v.alias("score"), (-k).alias("k")))))
+    return (total.withColumn("_b", best).where(F.col("_b.score") >= S.lit(C.FOCAL_MIN_SCORE))
+            .select(*keys, ((-F.col("_b.k")) % C.BOARD_COLS).alias("col"), F.floor(-F.col("_b.k") / C.BOARD_COLS).cast("int").alias("row"), F.col("_b.score").alias("score")))

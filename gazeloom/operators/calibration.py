@@ -10,10 +10,12 @@ from pyspark.sql import functions as F
 
 from gazeloom import config as C
 from gazeloom.functions import scalar as S
-from gazeloom.operators.ordered import carry, chunk_by, exact_percentile, spread
+from gazeloom.operators.ordered import carry, chunk_by, exact_percentile, with_row_index
 from gazeloom.sources.writers import materialise
 
 DOT = ["session", "panel", "dot"]
+#: Dots of a recording up to which one task takes the median of a repetition.
+GROUP_DOTS = 1 << 16
 
 
 def residuals(points: DataFrame) -> DataFrame:
@@ -50,41 +52,49 @@ def leave_one_out(dots: DataFrame, chunk_s: float = 60.0) -> DataFrame:
     return d.withColumns({"base": S.hyp(F.col("rx"), F.col("ry")), "corr": S.hyp(F.col("cx"), F.col("cy"))})
 
 
-def _quantile(values, p: float):
-    """Interpolated quantile of a sorted array."""
-    def at(v):
-        pos = S.lit(float(p)) * (F.size(v) - 1)
-        lo, hi = (F.get(v, f(pos).cast("int")) for f in (F.floor, F.ceil))
-        return lo + (hi - lo) * (pos - F.floor(pos))
-    return F.get(F.transform(F.array(values), at), F.lit(0))  # ``values`` is evaluated once
-
-
 def draw(session, rep, i, n):
     """The dot drawn at place ``i`` of a repetition: 32 bits of an MD5, which every engine has, modulo the number of dots."""
     bits = F.substring(F.md5(F.concat_ws(",", session.cast("string"), rep.cast("string"), i.cast("string"))), 1, 8)
     return (F.conv(bits, 16, 10).cast("bigint") % n).cast("int")
 
 
+def resamples(errors: DataFrame, reps: int = C.BOOTSTRAP_REPS, chunk: int = 64) -> DataFrame:
+    """(session, rep, base, corr, times, n): how often each repetition of the bootstrap draws a dot; dots it does not draw have no row.
+
+    Dots are numbered by panel and dot, in slices of ``chunk`` panels. Every dot is a place that all repetitions draw for, so the draws of one recording come from as many tasks as its
+    dots are in, and are counted before they are shuffled. A recording with fewer than six dots is not drawn from.
+    """
+    e = errors.select("session", "panel", "dot", "base", "corr")
+    e = with_row_index(e, ["session"], ["panel", "dot", "base", "corr"], chunk_by(F.col("panel"), chunk), "_i", start=0)
+    e = materialise(e.join(e.groupBy("session").agg(F.count(F.lit(1)).alias("_n")), "session").where("_n >= 6"), "dots")
+    drawn = e.select("session", "_i", "_n", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))).alias("rep"))
+    drawn = drawn.select("session", "rep", draw(F.col("session"), F.col("rep"), F.col("_i"), F.col("_n")).cast("bigint").alias("_i"))
+    counts = drawn.groupBy("session", "rep", "_i").agg(F.count(F.lit(1)).alias("times"))
+    return counts.join(e.select("session", "_i", "base", "corr", F.col("_n").alias("n")), ["session", "_i"]).drop("_i")
+
+
 def gate(errors: DataFrame, reps: int = C.BOOTSTRAP_REPS, min_base: float = C.GATE_MIN_BASE_PX) -> DataFrame:
     """Adopts the correction when its bootstrapped gain is reliably positive and worth having.
 
-    The dots of a recording (some dozens) travel as one array and all repetitions are drawn inside its row: one shuffle, by
-    session. A recording with fewer than six points gets no statistics.
+    Medians of a repetition are percentiles of the dots' values, weighted by how often each was drawn; no recording is gathered. One with fewer than six points gets no statistics.
     """
-    dot = F.struct("panel", "dot", "base", "corr")
-    e = spread(errors, "session").groupBy("session").agg(F.array_sort(F.collect_list(dot)).alias("_e")).withColumn("n_points", F.size("_e").cast("bigint"))
+    relative = lambda base, corr: F.when(F.col(base) > 0, S.lit(1) - F.col(corr) / F.col(base)).otherwise(S.lit(0))
+    sizes = errors.groupBy("session").agg(F.count(F.lit(1)).alias("n_points"))
+    own = exact_percentile(errors, ["session"], "base", {"base_px": 0.5}).join(exact_percentile(errors, ["session"], "corr", {"corr_px": 0.5}), "session", "full")
+    times = materialise(resamples(errors, reps), "resamples")
+    each = ["session", "rep"]
+    median = lambda c: F.percentile(c, F.lit(0.5), F.col("times"))
+    medians = times.where(F.col("n") <= GROUP_DOTS).groupBy(*each).agg(median("base").alias("b"), median("corr").alias("c"))
+    large = times.where(F.col("n") > GROUP_DOTS)
+    if not large.isEmpty():  # too many for the buffer of one group: buckets of equal weight
+        medians = medians.unionByName(exact_percentile(large, each, "base", {"b": 0.5}, weight="times").join(exact_percentile(large, each, "corr", {"c": 0.5}, weight="times"), each))
+    gains = (medians.groupBy("session").agg(F.percentile(relative("b", "c"), F.array(F.lit(0.05), F.lit(0.95))).alias("_g")))  # ``reps`` values
     enough = F.col("n_points") >= 6
-    places = F.sequence(F.lit(0), F.size("_e") - 1)
-    median = lambda points, name: _quantile(F.array_sort(F.transform(points, lambda x: x[name])), 0.5)
-    samples = F.transform(F.sequence(F.lit(0), F.lit(reps - 1)), lambda rep: F.transform(
-        places, lambda i: F.get("_e", draw(F.col("session"), rep, i, F.col("n_points")))))
-    relative = lambda base, corr: F.when(base > 0, S.lit(1) - corr / base).otherwise(S.lit(0))
-    g = e.withColumn("_m", F.when(enough, F.transform(samples, lambda s: F.struct(median(s, "base").alias("b"), median(s, "corr").alias("c")))))
-    g = g.withColumn("_g", F.array_sort(F.transform("_m", lambda m: relative(m["b"], m["c"]))))
-    g = g.select("session", "n_points", F.when(enough, median("_e", "base")).alias("base_px"), F.when(enough, median("_e", "corr")).alias("corr_px"),
-                 _quantile(F.col("_g"), 0.05).alias("gain_lo"), _quantile(F.col("_g"), 0.95).alias("gain_hi"))
+    g = sizes.join(own, "session", "left").join(gains, "session", "left").select(
+        "session", "n_points", F.when(enough, F.col("base_px")).alias("base_px"), F.when(enough, F.col("corr_px")).alias("corr_px"),
+        F.get("_g", F.lit(0)).alias("gain_lo"), F.get("_g", F.lit(1)).alias("gain_hi"))
     return g.withColumns({
-        "gain": F.when(enough, relative(F.col("base_px"), F.col("corr_px"))),
+        "gain": F.when(enough, relative("base_px", "corr_px")),
         "apply": F.coalesce(enough & (F.col("gain_lo") > 0) & (F.col("base_px") >= S.lit(min_base)), F.lit(False))})
 
 

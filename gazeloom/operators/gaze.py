@@ -7,6 +7,7 @@ from gazeloom import config as C
 from gazeloom.functions import scalar as S
 from gazeloom.operators.ordered import BLOCK, BLOCK_ROWS, carry, chunk_by, exact_percentile, in_blocks, with_row_index
 from gazeloom.operators.timejoins import CHUNK_S, exclude_blinks, interpolate_offsets
+from gazeloom.sources.writers import materialise
 
 
 def index_samples(df: DataFrame, order=("ts",), chunk_s: float = CHUNK_S, out: str = "n") -> DataFrame:
@@ -345,21 +346,15 @@ def intervals(gaze: DataFrame, ts: str = "ts", chunk_s: float = CHUNK_S) -> Data
 def sampling(gaze: DataFrame, ts: str = "ts", digits: int = 9, chunk_s: float = CHUNK_S) -> DataFrame:
     """Rate from the median step and share of steps within 20 % of it, over all samples of a session.
 
-    One pass over the distinct times gives a histogram of step lengths; all else is windows over that.
+    Steps are stored once; their exact median comes from buckets of equal weight, so no session is sorted in one task, whatever its clock does.
     """
     t = gaze.groupBy("session", ts).agg(F.count(F.lit(1)).alias("_at"))  # steps of zero do not count
     t = carry(t, ["session"], [ts], chunk_by(F.col(ts), chunk_s), prev={"_p": F.col(ts)})
-    steps = (t.groupBy("session", F.round(F.col(ts) - F.col("_p"), digits).alias("dt"))
-             .agg(F.sum("_at").alias("_at"), F.count(F.col(ts) - F.col("_p")).alias("c")))
-    whole = Window.partitionBy("session")
-    upto = whole.orderBy("dt").rowsBetween(Window.unboundedPreceding, 0)
-    steps = steps.withColumns({"_end": F.sum("c").over(upto), "_all": F.sum("c").over(whole)})
-    half = (F.col("_all") - 1) / S.lit(2)
-    at = lambda rank: F.max(F.when((rank >= F.col("_end") - F.col("c")) & (rank < F.col("_end")), F.col("dt"))).over(whole)
-    steps = steps.withColumns({"_lo": at(F.floor(half)), "_hi": at(F.ceil(half))})
-    steps = steps.withColumn("median_dt", F.when(F.col("_lo") == F.col("_hi"), F.col("_lo")).otherwise((F.col("_lo") + F.col("_hi")) / S.lit(2)))
+    steps = materialise(t.groupBy("session", F.round(F.col(ts) - F.col("_p"), digits).alias("dt"))
+                        .agg(F.sum("_at").alias("_at"), F.count(F.col(ts) - F.col("_p")).alias("c")), "steps")
+    median = exact_percentile(steps.where("c > 0"), ["session"], "dt", {"median_dt": 0.5}, weight="c")
     near = F.abs(F.col("dt") - F.col("median_dt")) <= S.lit(0.2) * F.col("median_dt")
-    out = steps.groupBy("session").agg(
+    out = steps.join(median, "session", "left").groupBy("session").agg(
         F.sum("_at").alias("n"), F.first("median_dt").alias("median_dt"),
         (F.sum(F.when(near, F.col("c")).otherwise(0)) / F.nullif(F.sum("c"), F.lit(0))).alias("continuity"))
     usable = (F.col("n") > 2) & (F.col("median_dt") > 0)

@@ -146,16 +146,18 @@ def in_blocks(df: DataFrame, idx: str, halo: int = 0, size: int = BLOCK_ROWS) ->
 
 
 def exact_percentile(df: DataFrame, keys: list[str], value: str, probs: dict[str, float],
-                     buckets: int = 64) -> DataFrame:
+                     buckets: int = 64, weight: str | None = None) -> DataFrame:
     """Exact interpolated percentiles for groups of any size; NULL and NaN values do not count.
 
+    ``weight``: a column with how often a row counts.
+
     Equal values collapse before the shuffle. Approximate quantiles of a key's distinct values bound its buckets, so
     they fill evenly whatever the distribution; exact counts per bucket locate those that hold the wanted ranks,
     and only these are ordered.
     """
     v = F.col(value)
     counts = (df.where(v.isNotNull() & ~F.isnan(v.cast("double")))
-              .groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_cnt")).withColumn("_key", F.struct(F.lit(0), *keys)))
+              .groupBy(*keys, value).agg((F.count(F.lit(1)) if weight is None else F.sum(weight)).alias("_cnt")).withColumn("_key", F.struct(F.lit(0), *keys)))
     steps = F.array(*[F.lit(k / buckets) for k in range(1, buckets)])
     bounds = counts.groupBy("_key").agg(F.percentile_approx(v.cast("double"), steps, 4 * buckets).alias("_bounds"))
     counts = counts.join(bounds, "_key").withColumn(

@@ -229,14 +229,9 @@ SELECT a.session, a.frame, a.c, a.r, count(b.occ) AS neighbours, round(coalesce(
 FROM occ a LEFT JOIN occ b ON a.session = b.session AND a.frame = b.frame AND abs(a.c - b.c) <= 1 AND abs(a.r - b.r) <= 1
   AND NOT (a.c = b.c AND a.r = b.r) GROUP BY a.session, a.frame, a.c, a.r"""))
 def _(spark, sf):
-    cells = occlusion(spark, sf)
-    offsets = F.array(*[F.struct(F.lit(dc).alias("dc"), F.lit(dr).alias("dr"))
-                        for dc in (-1, 0, 1) for dr in (-1, 0, 1) if dc or dr])
-    near = (cells.select("session", "frame", "col", "row", "occ", F.explode(offsets).alias("o"))
-            .select("session", "frame", (F.col("col") + F.col("o.dc")).alias("col"),
-                    (F.col("row") + F.col("o.dr")).alias("row"), "occ")
-            .groupBy("session", "frame", "col", "row").agg(F.count("occ").alias("neighbours"), F.sum("occ").alias("around")))
-    j = cells.join(near, ["session", "frame", "col", "row"], "left")
+    boards = A.board_matrix(occlusion(spark, sf))
+    j = A.by_cell(boards.withColumns({"neighbours": A.around(F.col("occ"), lambda own, near: F.when(own.isNotNull(), F.size(near).cast("bigint"))),
+                                      "around": A.around(F.col("occ"), lambda own, near: F.when(own.isNotNull(), F.aggregate(near, lit(0), lambda a, v: a + v)))}), "neighbours", "around")
     return j.select("session", big("frame"), big("col", "c"), big("row", "r"),
                     F.coalesce("neighbours", F.lit(0)).alias("neighbours"),
                     F.round(F.coalesce("around", lit(0)), 6).alias("around"))

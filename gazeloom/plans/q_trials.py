@@ -384,8 +384,9 @@ def _(spark, sf):
 SELECT session, cyc, c, r, round(score, 6) AS score FROM (SELECT session, cyc, c, r, sum(foc) AS score FROM foc GROUP BY session, cyc, c, r
   QUALIFY row_number() OVER (PARTITION BY session, cyc ORDER BY round(sum(foc), 9) DESC, r, c) = 1) WHERE score >= 0.25e0"""))
 def _(spark, sf):
-    f = A.focality(occlusion(spark, sf)).withColumn("foc", F.round(F.col("foc") * 4, 9))
-    t = A.touched_cell(f, ("session", "cyc"))
+    boards = A.board_matrix(occlusion(spark, sf), ("session", "frame", "cyc"))
+    scaled = F.transform(A.focality_matrix(F.col("occ")), lambda v: F.round(v * 4, 9))
+    t = A.touched_cell(boards.withColumn("foc", scaled), ("session", "cyc"))
     return t.select("session", big("cyc"), big("col", "c"), big("row", "r"), r6(F.col("score") / 4, "score"))
 
 

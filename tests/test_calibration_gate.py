@@ -40,3 +40,24 @@ def test_decisions_agree_with_a_seeded_generator(spark):
         assert abs(g.base_px - np.median(base)) < 1e-9
         agree += g["apply"] == (lo > 0 and np.median(base) >= 12)
     assert agree >= 58 and np.mean(off) < 0.03 and np.quantile(off, 0.9) < 0.08
+
+
+def test_large_recordings_take_buckets_with_the_same_result(spark, monkeypatch):
+    r = np.random.default_rng(5)
+    rows = [(s, i // 9, i % 9, float(b), float(b * c)) for s, n in ((1, 40), (2, 300), (3, 5)) for i, (b, c) in enumerate(zip(r.gamma(4, 5, n).round(1), r.normal(0.8, 0.2, n).clip(0.05)))]
+    errors = spark.createDataFrame(rows, "session int, panel int, dot int, base double, corr double")
+    one = {g.session: g for g in K.gate(errors, reps=40).collect()}
+    monkeypatch.setattr(K, "GROUP_DOTS", 100)
+    two = {g.session: g for g in K.gate(errors, reps=40).collect()}
+    assert set(one) == set(two) == {1, 2, 3} and one[3] == two[3] and one[3].gain_lo is None
+    for s in (1, 2):
+        assert one[s]["apply"] == two[s]["apply"] and all(abs(one[s][c] - two[s][c]) < 1e-9 for c in ("base_px", "corr_px", "gain", "gain_lo", "gain_hi"))
+
+
+def test_draws_by_counts_are_the_draws_one_by_one(spark):
+    errors = spark.createDataFrame([(7, i // 9, i % 9, float(i), float(2 * i)) for i in range(20)], "session int, panel int, dot int, base double, corr double")
+    got = {(x.rep, int(x.base)): x.times for x in K.resamples(errors, reps=5).collect()}
+    import hashlib
+    from collections import Counter
+    want = Counter((rep, int(hashlib.md5(f"7,{rep},{i}".encode()).hexdigest()[:8], 16) % 20) for rep in range(5) for i in range(20))
+    assert got == dict(want)
