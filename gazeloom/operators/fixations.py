@@ -9,9 +9,10 @@ Stream: a run is extended sample by sample; see ``streaming.fixations``.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from heapq import heappush, heappushpop
+from math import hypot
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -434,47 +435,75 @@ def target_found(members: DataFrame, keys: list[str], threshold: float = C.TARGE
             .drop("_fixated", "_cov"))
 
 
+class RunningMedian:
+    """Median of values that only come in: the lower half as a heap from the top, the upper half as one from the bottom."""
+
+    def __init__(self):
+        self.low, self.high = [], []
+
+    def __len__(self):
+        return len(self.low) + len(self.high)
+
+    def add(self, value: float) -> None:
+        if len(self.low) > len(self.high):
+            heappush(self.high, -heappushpop(self.low, -value))
+        else:
+            heappush(self.low, -heappushpop(self.high, value))
+
+    def value(self) -> float:
+        return -self.low[0] if len(self.low) > len(self.high) else (self.high[0] - self.low[0]) / 2.0
+
+
+#: Samples of one run of :func:`centroid_fixations`; a longer one is an error, as its medians would not fit a task.
+LONGEST_RUN = 1 << 22
+
+
 def centroid_fixations(df: DataFrame, keys: list[str], idx: str = "n", ts: str = "t", radius: float = C.PANEL_FIX_PX,
                        gap: float = C.PANEL_FIX_GAP_S, minimum: int = C.PANEL_FIX_MIN,
-                       block: int = BLOCK_ROWS) -> DataFrame:
+                       block: int = BLOCK_ROWS, longest: int | None = None) -> DataFrame:
     """Runs that stay within ``radius`` of the running median of the run; a gap in time ends a run.
 
     Returns keys, t, x, y (medians) and samples. The open run is what the calibration panel
-    holds a gaze on; it is the only thing kept.
+    holds a gaze on; it is the only thing kept, and each sample costs the logarithm of its length. A run of more than ``longest`` samples (LONGEST_RUN, nine hours at
+    124 a second) is an error.
     """
+    limit = longest or LONGEST_RUN
     apart = lambda w: F.col(ts) - F.lag(ts).over(w) >= S.lit(gap)
-    p = pieces(df.select(*keys, idx, ts, "x", "y"), keys, idx, apart, block)
+    p = pieces(df.select(*keys, idx, F.col(ts).cast("double").alias("_t"), F.col(ts).alias(ts), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")), keys, idx, apart, block).drop(ts)
     p = spread(p, *keys, PIECE).sortWithinPartitions(*keys, PIECE, idx)
-    types = dict(p.dtypes)
-    schema = ", ".join(f"{k} {types[k]}" for k in keys) + ", t double, x double, y double, samples bigint"
+    kind = lambda k: p.schema[k].dataType.simpleString()
+    schema = ", ".join(f"{k} {kind(k)}" for k in keys) + ", t double, x double, y double, samples bigint"
 
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from bisect import insort
-        current, out = None, []
-        ts_, xs, ys = [], [], []
-        mid = lambda v: (v[len(v) // 2] + v[(len(v) - 1) // 2]) / 2.0
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, out, types = None, [], None
+        times = xs = ys = None
 
         def finish():
             if len(xs) >= minimum:
-                out.append((*current[:-1], mid(ts_), mid(xs), mid(ys), len(xs)))
+                out.append((*current[:-1], times.value(), xs.value(), ys.value(), len(xs)))
 
-        for pdf in batches:
-            groups = zip(*[pdf[c].tolist() for c in (*keys, PIECE)])
-            for key, t, x, y in zip(groups, pdf[ts].tolist(), pdf["x"].tolist(), pdf["y"].tolist()):
-                if key != current or np.hypot(x - mid(xs), y - mid(ys)) >= radius:
+        def made():
+            return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out), types)], [*keys, "t", "x", "y", "samples"])
+
+        for batch in batches:
+            types = [*(batch.schema.field(k).type for k in keys), pa.float64(), pa.float64(), pa.float64(), pa.int64()]
+            groups = zip(*[batch.column(c).to_pylist() for c in (*keys, PIECE)])
+            for key, t, x, y in zip(groups, *(batch.column(c).to_pylist() for c in ("_t", "x", "y"))):
+                if key != current or hypot(x - xs.value(), y - ys.value()) >= radius:
                     if current is not None:
                         finish()
-                    ts_, xs, ys = [], [], []
-                    current = key
-                ts_.append(t)
-                insort(xs, x)
-                insort(ys, y)
+                    current, times, xs, ys = key, RunningMedian(), RunningMedian(), RunningMedian()
+                elif len(xs) >= limit:
+                    raise ValueError(f"a run of more than {limit} samples in {key[:-1]}")
+                times.add(t)
+                xs.add(x)
+                ys.add(y)
             if out:
-                yield pd.DataFrame(out, columns=[*keys, "t", "x", "y", "samples"])
-                out = []
+                yield made()
+                out.clear()
         if current is not None:
             finish()
         if out:
-            yield pd.DataFrame(out, columns=[*keys, "t", "x", "y", "samples"])
+            yield made()
 
-    return p.mapInPandas(scan, schema)
+    return p.mapInArrow(scan, schema)

@@ -161,6 +161,18 @@ def _(spark, sf_dir):
     return readers.discover_sessions([V.gz(spark, sf_dir), bk, mk])
 
 
+@query("s9_listed_sessions", V.with_(V.GZ, V.BK, V.MK, body="""
+SELECT DISTINCT CAST(session AS VARCHAR) AS session FROM gz WHERE session IN (SELECT session FROM bk) AND session IN (SELECT session FROM mk)"""))
+def _(spark, sf_dir):
+    """The same from the files of written tables, without opening one."""
+    root = writers.scratch_dir(spark, "recordings")
+    bk = G.blink_intervals(V.blink_events(spark, sf_dir), V.BLINK_MARGIN)
+    mk = V.gz(spark, sf_dir).where((F.col("kind") == "view") & (F.col("k") < 10))
+    for name, t in (("gaze", V.gz(spark, sf_dir)), ("blinks", bk), ("marks", mk)):
+        t.hint("rebalance", "session").write.partitionBy("session").parquet(f"{root}/{name}")
+    return readers.listed_sessions(spark, root, ["gaze", "blinks", "marks"])
+
+
 @query("s10_write_outputs", V.with_(V.TR_OLD, V.TR_NEW, body="""
 SELECT '1.3' AS sw_version, session, count(*) AS n FROM tr_old GROUP BY 2
 UNION ALL SELECT '1.4', session, count(*) FROM tr_new GROUP BY 2"""))

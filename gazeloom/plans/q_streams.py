@@ -116,7 +116,7 @@ def delivered(spark, df, seconds, name):
     A row comes with its sixth of the time or one or two deliveries later, by its hash, so each trigger mixes three sixths in any order. A last delivery
     of one row, of a session -1 long after all others, moves the watermark past them.
     """
-    df = df.withColumn("ts", F.timestamp_micros((seconds * lit(1e6)).cast("bigint")))
+    df = df.withColumn("ts", F.timestamp_micros(((seconds + lit(1)) * lit(1e6)).cast("bigint")))  # the watermark starts at zero
     end = df.agg(F.max(seconds)).first()[0] or 0.0
     width = end / DELIVERIES + 0.001
     late = F.pmod(F.xxhash64("session", "frame", "ts"), F.lit(3))

@@ -109,6 +109,28 @@ def discover_sessions(required: list[DataFrame]) -> DataFrame:
     return found
 
 
+def listed_sessions(spark: SparkSession, root: str, tables: list[str]) -> DataFrame:
+    """Sessions with finished files in every table of ``root``, from names and sizes alone: ``root/table/session=.../*.parquet``.
+
+    Empty files do not count, and a folder that also holds other than Parquet files (copies still under way) is half written: its session is left out. A table that is not
+    there has no sessions. No file is opened: names and sizes come from the listing that Spark makes of the folders.
+    """
+    place = spark._jvm.org.apache.hadoop.fs.Path(root)
+    files = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    folder = r"/session=([^/]+)/"
+    found = None
+    for table in tables:
+        at = f"{root.rstrip('/')}/{table}"
+        if not files.exists(spark._jvm.org.apache.hadoop.fs.Path(at)):
+            return spark.createDataFrame([], "session string")
+        listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(at).select("path", "length")
+        name = F.url_decode(F.regexp_extract("path", folder, 1))
+        whole = F.min((F.col("length") > 0) & F.col("path").endswith(".parquet"))
+        one = listed.where(F.col("path").rlike(folder)).groupBy(name.alias("session")).agg(whole.alias("_whole")).where("_whole").select("session")
+        found = one if found is None else found.join(one, "session", "left_semi")
+    return found
+
+
 def read_outputs(spark: SparkSession, root: str, table: str, version: str | None = None) -> DataFrame:
     df = spark.read.parquet(f"{root}/{table}")
     return df if version is None else df.where(F.col("sw_version") == version)

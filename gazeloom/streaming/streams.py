@@ -19,41 +19,49 @@ def read_stream(spark: SparkSession, folder: str, table: str, **options) -> Data
             .parquet(folder))
 
 
-def _in_pieces(intervals: DataFrame, start: str, end: str, longest: str) -> DataFrame:
-    """Intervals cut into pieces no longer than ``longest``, so that a join that looks back no further misses none of them."""
-    micros = lambda c: F.unix_micros(F.col(c))
-    step = F.unix_micros(F.expr(f"timestamp_micros(0) + INTERVAL {longest}"))
-    count = F.greatest(F.lit(0), F.floor((micros(end) - micros(start)) / step)).cast("int")
-    i = intervals.withColumn("_k", F.explode(F.sequence(F.lit(0), count)))
-    at = lambda k: F.timestamp_micros(micros(start) + k * step)
-    return i.withColumns({"_from": at(F.col("_k")), "_to": F.when(F.col("_k") < count, at(F.col("_k") + 1)).otherwise(F.col(end))}).drop("_k")
+def _micros(c: str):
+    return F.unix_micros(F.col(c))
+
+
+def _bucket(micros, width: str):
+    """Number of the time bucket of ``width`` that an instant lies in."""
+    return F.floor(micros / F.unix_micros(F.expr(f"timestamp_micros(0) + INTERVAL {width}")))
+
+
+def _in_buckets(intervals: DataFrame, start: str, end: str, width: str) -> DataFrame:
+    """Intervals cut where a time bucket ends: a piece (``_from``, ``_to``, ``_bucket``) for every bucket they touch."""
+    step = F.unix_micros(F.expr(f"timestamp_micros(0) + INTERVAL {width}"))
+    i = intervals.where(F.col(end) >= F.col(start)).withColumn("_bucket", F.explode(F.sequence(_bucket(_micros(start), width), _bucket(_micros(end), width))))
+    edge = lambda k: F.timestamp_micros(k * step)
+    return i.withColumns({"_from": F.greatest(F.col(start), edge(F.col("_bucket"))), "_to": F.least(F.col(end), edge(F.col("_bucket") + 1))})
 
 
 def clean(gaze: DataFrame, blinks: DataFrame, threshold: float = C.CONFIDENCE_THRESHOLD, delay: str = "10 seconds",
           keys=("session",), longest: str = "60 seconds") -> DataFrame:
     """Confidence filter, one row per (session, ts), and no row inside a blink interval (``start``, ``end``).
 
-    A left outer interval join whose unmatched rows are kept; both sides carry watermarks, and intervals travel in
-    pieces of ``longest``, so the state is as long as one piece plus the delay, whatever a blink's length.
+    A left outer interval join whose unmatched rows are kept; both sides carry watermarks. Intervals travel in pieces, one per time bucket of
+    ``longest``, and meet the samples of the same session and bucket only, so the state is as long as one bucket plus the delay, whatever a blink's length.
     """
     g = (gaze.where(F.col("confidence") > F.lit(float(threshold))).withWatermark("ts", delay)
-         .dropDuplicatesWithinWatermark([*keys, "ts"]))
-    b = _in_pieces(blinks, "start", "end", longest).withWatermark("_from", delay).select(*[F.col(k).alias(f"_b_{k}") for k in keys], "_from", "_to")
-    cond = (F.col("ts") >= F.col("_from")) & (F.col("ts") <= F.col("_to")) & (F.col("_from") >= F.col("ts") - F.expr(f"INTERVAL {longest}"))
+         .dropDuplicatesWithinWatermark([*keys, "ts"]).withColumn("_slot", _bucket(_micros("ts"), longest)))
+    b = _in_buckets(blinks, "start", "end", longest).withWatermark("_from", delay).select(*[F.col(k).alias(f"_b_{k}") for k in keys], "_bucket", "_from", "_to")
+    cond = ((F.col("_slot") == F.col("_bucket")) & (F.col("ts") >= F.col("_from")) & (F.col("ts") <= F.col("_to"))
+            & (F.col("_from") >= F.col("ts") - F.expr(f"INTERVAL {longest}")))
     for k in keys:
         cond = cond & (F.col(k) == F.col(f"_b_{k}"))
-    return g.join(b, cond, "left_outer").where(F.col("_from").isNull()).drop("_from", "_to", *[f"_b_{k}" for k in keys])
+    return g.join(b, cond, "left_outer").where(F.col("_from").isNull()).drop("_slot", "_bucket", "_from", "_to", *[f"_b_{k}" for k in keys])
 
 
 def align(gaze: DataFrame, frames: DataFrame, delay: str = "10 seconds", longest: str = "1 minute") -> DataFrame:
     """Frame on screen at each sample: ``frames`` say when a frame begins (``start``) and the next one does (``next``).
 
-    A frame that stays longer than ``longest`` travels in pieces; a sample meets one of them.
+    Frames travel in pieces, one per time bucket of ``longest``; the join's keys are session and bucket, so a sample is held against the frames of its own bucket only.
     """
-    g = gaze.withWatermark("ts", delay)
-    f = _in_pieces(frames, "start", "next", longest).withWatermark("_from", delay).withColumnRenamed("session", "_s")
-    return g.join(f, (F.col("session") == F.col("_s")) & (F.col("ts") >= F.col("_from")) & (F.col("ts") < F.col("_to"))
-                  & (F.col("_from") >= F.col("ts") - F.expr(f"INTERVAL {longest}")), "inner").drop("_s", "_from", "_to")
+    g = gaze.withWatermark("ts", delay).withColumn("_slot", _bucket(_micros("ts"), longest))
+    f = _in_buckets(frames, "start", "next", longest).withWatermark("_from", delay).withColumnRenamed("session", "_s")
+    return g.join(f, (F.col("session") == F.col("_s")) & (F.col("_slot") == F.col("_bucket")) & (F.col("ts") >= F.col("_from")) & (F.col("ts") < F.col("_to"))
+                  & (F.col("_from") >= F.col("ts") - F.expr(f"INTERVAL {longest}")), "inner").drop("_s", "_slot", "_bucket", "_from", "_to")
 
 
 def tumbling(df: DataFrame, width: str, delay: str = "0 seconds", keys=("session",), valid=None) -> DataFrame:

@@ -260,3 +260,80 @@ def test_late_onset_moves_to_the_rise(spark):
     r = L.posthoc(t, trace).first()
     assert (r.motor_onset, r.motor_onset_source) == (60, "curve_rise_homography")
     assert (r.touch, r.hand_exit, r.hand_exit_source) == (60, 70, "curve_target")
+
+
+def random_frames(r, n):
+    """Signals that change now and then, for one panel."""
+    choices = {"panel": ["same"] + [None] * 6, "contour": [True, True, False], "grid": [True] * 3 + [False], "clear": [True] * 3 + [False], "template": [True, False],
+               "ft": [0.0, 0.03, 0.1, 0.14, 0.18, 0.3, 0.6, None], "fc": [0.0, 0.02, 0.15], "board": [0.0, 0.04, 0.1, 0.3, None]}
+    mean, now, out = r.choice([2, 6, 15, 40]), {}, []
+    for f in range(n):
+        for k, values in choices.items():
+            if k not in now or r.random() < 1 / mean:
+                now[k] = r.choice(values)
+        out.append((f, "same" if f < 4 else now["panel"], dict(now)))
+    return out
+
+
+def test_spans_equal_frame_by_frame():
+    """Counters advanced by whole spans give what single frames give, with every way a trial can end."""
+    def code(s):
+        ft, fc, b = s["ft"], s["fc"], s["board"]
+        conditions = [s["contour"], s["grid"], s["clear"], s["template"], ft is not None, ft is not None and ft >= C.FT_ENTER, ft is not None and ft <= C.FT_EXIT,
+                      b is not None, b is not None and b >= C.BOARD_ENTER, b is not None and b <= C.BOARD_EXIT,
+                      *[ft is not None and ft > t and ft - fc > C.TOUCH_SEPARATION for t in G.THRESHOLDS]]
+        return sum(1 << k for k, c in enumerate(conditions) if c)
+
+    def scan(spans):
+        trial, out, last = None, [], 0
+        for start, n, panel, c, peaks in spans:
+            span, f, last = G.Span(start, n, G.flags(c), peaks), start, start + n - 1
+            if trial is None and panel == "same":
+                trial = G.Trial("red_circle", f)
+            while trial is not None and (f := trial.take(span, panel, f)) is not None:
+                out.append(trial.result(0, len(out)))
+                trial = G.Trial("red_circle", f) if panel == "same" else None
+        if trial is not None:
+            trial.end_of_stream(last)
+            out.append(trial.result(0, len(out)))
+        return out
+
+    ends = set()
+    for seed in range(1500):
+        r = random.Random(seed)
+        frames = random_frames(r, r.choice([60, 150, 400]))
+        if r.random() < 0.5:
+            frames.append((len(frames), "other", frames[-1][2]))
+        single = [(f, 1, p, code(s), [(f, s["ft"], s["ft"] - s["fc"])] if s["ft"] is not None else []) for f, p, s in frames]
+        runs = []
+        for f, n, p, c, peaks in single:
+            if runs and runs[-1][2:4] == [p, c]:
+                runs[-1][1] += 1
+                runs[-1][4].extend(peaks)
+            else:
+                runs.append([f, n, p, c, list(peaks)])
+        want = scan(single)
+        assert scan(runs) == want
+        ends |= {(x["status"], x["hand_exit_live_source"]) for x in want}
+    assert {e for _, e in ends} == {None, "ft_return", "board_occ", "contour", "deadline"} and len({s for s, _ in ends}) == 5
+
+
+def test_spans_hold_every_frame_once(spark):
+    f = spark.createDataFrame([(s, *row) for s in (1, 2) for row in frames(TRIAL("red_circle") * 3)], f"session int, {COLUMNS}")
+    for chunk in (7, 65536):
+        got = G.spans(f, chunk).collect()
+        seen = sorted((r.session, x) for r in got for x in range(r.frame, r.frame + r.n))
+        assert seen == sorted((r.session, r.frame) for r in f.collect())
+    assert len(got) < 0.4 * len(seen)
+
+
+def test_running_median_and_longest_run(spark):
+    r, m, seen = random.Random(2), X.RunningMedian(), []
+    for _ in range(500):
+        seen.append(r.choice([r.random(), 0.5]))
+        m.add(seen[-1])
+        assert m.value() == float(np.median(seen)) and len(m) == len(seen)
+    df = spark.createDataFrame([(1, i, i * 0.01, 5.0, 5.0) for i in range(300)], "session int, n int, t double, x double, y double")
+    assert [r.samples for r in X.centroid_fixations(df, ["session"]).collect()] == [300]
+    with pytest.raises(Exception, match="a run of more than 100 samples"):
+        X.centroid_fixations(df, ["session"], longest=100).collect()
