@@ -57,11 +57,24 @@ def _with_target(trials: DataFrame, layout: DataFrame) -> DataFrame:
     return t.withColumns({"target_col": F.when(turned, col).otherwise(F.col("_tc")), "target_row": F.when(turned, row).otherwise(F.col("_tr"))}).drop("_tc", "_tr", "target_name")
 
 
+def pressed_cells(trace: DataFrame, boards: DataFrame) -> DataFrame:
+    """Per trial the cell a fingertip rested on, and the frame where most of the board was covered: KEYS, press_col, press_row, press_frame.
+
+    ``boards``: session, frame, occ (occlusion of the cells, an array in row-major order). Focality adds up over the watched frames of a trial.
+    """
+    seen = trace.where(F.col("bocc").isNotNull())
+    b = seen.select(*KEYS, "frame").join(boards.select("session", "frame", A.focality_matrix(F.col("occ")).alias("foc")), ["session", "frame"])
+    frame = seen.groupBy(*KEYS).agg(F.min_by("frame", F.struct(-F.col("bocc"), F.col("frame"))).alias("press_frame"))
+    cell = A.touched_cell(b, KEYS).select(*KEYS, F.col("col").alias("press_col"), F.col("row").alias("press_row"))
+    return cell.join(frame, KEYS)
+
+
 def process_session(samples: DataFrame, signals: DataFrame, plan: list[tuple], layout: DataFrame, fps: float = 30.0,
-                    overrides: DataFrame | None = None) -> dict[str, DataFrame]:
+                    overrides: DataFrame | None = None, boards: DataFrame | None = None) -> dict[str, DataFrame]:
     """``sequence``, ``trials``, ``trial_counts`` and ``timeline`` of all sessions.
 
-    ``samples`` as from :func:`board_samples`; ``signals`` and ``plan`` as for the segmentation; ``layout`` with its rotated twin.
+    ``samples`` as from :func:`board_samples`; ``signals`` and ``plan`` as for the segmentation; ``layout`` with its rotated twin; ``boards`` as for
+    :func:`pressed_cells`: with them, a reach that does not touch its target has the cell and piece it pressed instead, and ``wrong_touch_frame``.
     """
     trials = _with_target(materialise(segmentation.segment_trials(signals, plan, overrides), "trials"), layout)
     trace = materialise(segmentation.trace(trials, signals), "trace")
@@ -92,10 +105,19 @@ def process_session(samples: DataFrame, signals: DataFrame, plan: list[tuple], l
     t = L.outcome(t.join(L.validation(looked, t), KEYS, "left")).withColumn("early_motor", F.col("motor_onset"))
     pieces = cells.withColumn("_piece", S.trial_name(F.col("color"), F.col("shape"))).select(F.col("col").alias("gaze_col"), F.col("row").alias("gaze_row"), "rotated", "_piece")
     t = t.withColumn("rotated", F.col("block") == ROTATED_BLOCK).join(F.broadcast(pieces), ["gaze_col", "gaze_row", "rotated"], "left")
-    hit = F.col("touch").isNotNull()
-    t = t.withColumnRenamed("_piece", "gaze_validated_piece").withColumns({
-        "gaze_validated_cell": S.cell_str(F.col("gaze_col"), F.col("gaze_row")), "touched_piece": F.when(hit, F.col("name")),
-        "touched_cell": F.when(hit, S.cell_str(F.col("target_col"), F.col("target_row")))}).drop("early_motor", "rotated")
+    t = t.withColumnRenamed("_piece", "gaze_validated_piece")
+    if boards is None:
+        t = t.withColumns({c: F.lit(None).cast("int") for c in ("press_col", "press_row", "press_frame")})
+    else:
+        t = t.join(pressed_cells(trace, boards), KEYS, "left")
+    named = pieces.withColumnsRenamed({"gaze_col": "press_col", "gaze_row": "press_row"})
+    t = t.join(F.broadcast(named), ["press_col", "press_row", "rotated"], "left")
+    hit = F.col("touch").isNotNull() & F.col("target_col").isNotNull()
+    missed = ~hit & F.col("motor_onset").isNotNull() & F.col("press_col").isNotNull()
+    t = t.withColumns({
+        "gaze_validated_cell": S.cell_str(F.col("gaze_col"), F.col("gaze_row")), "touched_piece": F.when(hit, F.col("name")).when(missed, F.col("_piece")),
+        "touched_cell": F.when(hit, S.cell_str(F.col("target_col"), F.col("target_row"))).when(missed, S.cell_str(F.col("press_col"), F.col("press_row"))),
+        "wrong_touch_frame": F.when(missed, F.col("press_frame"))}).drop("early_motor", "rotated", "_piece", "press_col", "press_row", "press_frame")
 
     times = t.select(*KEYS, "target_found", "validation", "motor_onset", "touch")
     seq = s.join(times, KEYS).withColumn("phase", S.phase_of(F.col("frame"), F.col("base"), F.col("target_found"), F.col("validation"), F.col("motor_onset"), F.col("touch")))
@@ -128,6 +150,17 @@ def sequence_csv(tables: dict[str, DataFrame]) -> DataFrame:
     return s.select(*[named[c].alias(c) for c in writers.SEQUENCE_COLUMNS])
 
 
+def trials_csv(tables: dict[str, DataFrame]) -> DataFrame:
+    """The counts of every trial, colour and shape with the trial's marks, in the column names and order of their file."""
+    t = tables["trial_counts"].join(tables["trials"], KEYS)
+    r3 = lambda c: F.bround(c, 3)
+    named = {"block_index": F.col("block"), "trial_index": F.col("trial"), "trial_name": F.col("name"), "Color": F.col("color"), "Shape": F.col("shape"), "Piece Fixations": F.col("piece_n"),
+             "Slot only Fixations": F.col("slot_n"), **{c: r3(c) for c in ("trial_duration_s", "time_to_target_s", "search_duration_s", "reach_duration_s", "withdraw_duration_s", "anticipation_lead_s")},
+             "target_found_confidence": F.col("confidence"), "frame_search_start": F.col("search_start"), "frame_target_touch": F.col("touch"), "Finish Status": F.col("status"),
+             **{f"frame_{c}": F.col(c) for c in ("init", "target_found", "validation", "motor_onset", "hand_exit", "end")}}
+    return t.select(*[named[c].alias(c) if c in named else F.col(c) for c in writers.TRIAL_COUNT_COLUMNS])
+
+
 def timeline_csv(tables: dict[str, DataFrame]) -> DataFrame:
     named = {"block_index": "block", "trial_index": "trial"}
     return tables["timeline"].select(*[F.col(named.get(c, c)).alias(c) for c in writers.TIMELINE_COLUMNS])
