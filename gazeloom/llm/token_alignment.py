@@ -16,6 +16,7 @@ import hashlib
 import re
 from collections.abc import Iterator
 from functools import cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +29,7 @@ from gazeloom.llm.common import materialise, packed, slices, strings, unpacked
 
 #: Pairs in the broadcast table: 17 bytes each, 18 MB at most.
 TABLE = 1 << 20
-#: Words and characters in a task's cache: it starts afresh beyond either.
+#: Words and characters in a worker's cache: beyond either, it keeps what was met again, half of it at most.
 CACHE_WORDS = 400_000
 CACHE_CHARS = 8 << 20
 #: Characters encoded in one call.
@@ -37,8 +38,8 @@ CALL_CHARS = 1 << 16
 HELD_PAIRS = 1 << 20
 
 CUT = re.compile(r"(?<=\S) (?=\S)")
-#: A space beside other white space, at the start or at the end: such a text needs the slower cut.
-LOOSE = re.compile(r" \s|\s |\A\s|\s\Z")
+#: A text with a space beside other white space, or at an end, needs the slower cut; this finds all of these and some more.
+LOOSE = re.compile(r"\s\s")
 COUNTS = ("n_a", "n_b", "n_groups", "n_links")
 RESULTS = (*COUNTS, "n_best", "count_sum", "groups_sha256")
 PAIR_COUNTS = pa.list_(pa.struct([("pair", pa.int64()), ("n", pa.int64())]))
@@ -66,6 +67,7 @@ class Pair:
             self.a_bytes[i] = bytes(of[c] for c in entry) if all(c in of for c in entry) else entry.encode()
         pieces = [self.b.id_to_piece(i) for i in range(self.b.vocab_size())]
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
+        self.names = list(map(str, range(max(len(self.a_bytes), len(self.b_bytes)))))
         self.a_len, self.b_len = (np.array([len(x) for x in t], np.int64) for t in (self.a_bytes, self.b_bytes))
         if any(CUT.search(x.decode(errors="replace")) for x in (*self.a_bytes, *self.b_bytes)):
             raise ValueError("an entry that holds a space between two other characters: words cannot be aligned apart")
@@ -75,11 +77,11 @@ class Pair:
         whole = (" " + text).encode()
         encoded = self.a.encode(" " + text, add_special_tokens=False)
         a = np.array(encoded.ids, np.int64)
-        b, begins, ends = np.array([(p.id, p.begin, p.end) for p in self.b.encode(text, return_type="proto").pieces], np.int64).reshape(-1, 3).T
+        b, begins, ends = flat([(p.id, p.begin, p.end) for p in self.b.encode(text, return_type="proto").pieces]).reshape(-1, 3).T
         if b"".join(map(self.a_bytes.__getitem__, a.tolist())) != whole or b"".join(map(self.b_bytes.__getitem__, b.tolist())) != whole:
             return None
         # A: a token ends at a character's end unless the next one begins inside that character.
-        offsets = np.array(encoded.offsets, np.int64).reshape(-1, 2)
+        offsets = flat(encoded.offsets).reshape(-1, 2)
         at = np.concatenate([[0], np.cumsum(utf8_lengths(" " + text))])
         coarse = np.append(offsets[:-1, 1] <= offsets[1:, 0], True)
         a_ends = refined(at[offsets[:, 1]], coarse, self.a_len[a])
@@ -88,6 +90,10 @@ class Pair:
         return a, b, a_ends, b_ends
 
 
+def flat(tuples: list[tuple[int, ...]]) -> np.ndarray:
+    return np.fromiter(chain.from_iterable(tuples), np.int64)
+
+
 def utf8_lengths(text: str) -> np.ndarray:
     code = np.frombuffer(text.encode("utf-32-le"), "<u4")
     return 1 + (code > 0x7F).astype(np.int64) + (code > 0x7FF) + (code > 0xFFFF)
@@ -112,7 +118,7 @@ def loaded(a_file: str, b_file: str) -> Pair:
 
 def cut(text: str) -> list[str]:
     """The words of a text; each stands behind a space."""
-    return CUT.split(text) if LOOSE.search(text) else text.split(" ")
+    return CUT.split(text) if text[0].isspace() or text[-1].isspace() or LOOSE.search(text) else text.split(" ")
 
 
 class Words:
@@ -128,17 +134,34 @@ class Words:
         self.text: list[str] = []
         self.parts = {k: [] for k in ("ok", "n_a", "n_b", "n_groups", "n_links", "pairs")}
         self.table: dict[str, np.ndarray] = {}
+        self.hits = np.zeros(0, np.int64)
 
     def full(self) -> bool:
         return len(self.index) > CACHE_WORDS or self.chars > CACHE_CHARS
 
+    def prune(self):
+        """Keeps the words that were met most often, more than once, up to half of the cache; numbers change."""
+        least = 2
+        words = list(self.index)
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        while (kept := np.flatnonzero(self.hits >= least)).size > CACHE_WORDS // 2 or sizes[kept].sum() > CACHE_CHARS // 2:
+            least *= 2
+        index, text, hits, table = {words[k]: n for n, k in enumerate(kept.tolist())}, [self.text[k] for k in kept.tolist()], self.hits[kept], self.table
+        links = links_of(self, kept)
+        self.clear()
+        self.index, self.text, self.hits, self.chars = index, text, hits // 2, int(sizes[kept].sum())
+        self.parts = {k: [links if k == "pairs" else table[k][kept]] for k in self.parts}
+        self.tabulate()
+
     def numbers(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Word numbers of all texts in a row, and where each text starts."""
         lists = [cut(t) if t else [] for t in texts]
         starts = np.cumsum([0, *map(len, lists)])
-        flat = [w for words in lists for w in words]
-        self.learn([w for w in dict.fromkeys(flat) if w not in self.index])
-        return np.fromiter(map(self.index.__getitem__, flat), np.int64, len(flat)), starts
+        every = list(chain.from_iterable(lists))
+        self.learn(list(set(every).difference(self.index)))
+        numbers = np.fromiter(map(self.index.__getitem__, every), np.int64, len(every))
+        self.hits = summed(self.hits, np.bincount(numbers, minlength=len(self.index)))
+        return numbers, starts
 
     def learn(self, words: list[str]):
         call, size = [], 0
@@ -154,9 +177,12 @@ class Words:
         if call:
             self.add(call)
         if words:
-            self.table = {k: np.concatenate(v) if v else np.zeros(0, np.int64) for k, v in self.parts.items()}
-            self.parts = {k: [v] for k, v in self.table.items()}
-            self.table["first"] = np.concatenate([[0], np.cumsum(self.table["n_links"])])
+            self.tabulate()
+
+    def tabulate(self):
+        self.table = {k: np.concatenate(v) if v else np.zeros(0, np.int64) for k, v in self.parts.items()}
+        self.parts = {k: [v] for k, v in self.table.items()}
+        self.table["first"] = np.concatenate([[0], np.cumsum(self.table["n_links"])])
 
     def add(self, words: list[str]):
         found = self.pair.spans(" ".join(words))
@@ -164,10 +190,9 @@ class Words:
             for w in words:
                 self.add([w])
             return
-        for w in words:
-            self.index[w] = len(self.index)
-            self.chars += len(w)
-        n = len(words)
+        n, known = len(words), len(self.index)
+        self.index.update(zip(words, range(known, known + n)))
+        self.chars += sum(map(len, words))
         if found is None:
             for k in ("ok", "n_a", "n_b", "n_groups", "n_links"):
                 self.parts[k].append(np.zeros(n, np.int64))
@@ -183,7 +208,7 @@ class Words:
             raise ValueError("a word ends inside a token")
         for k, v in zip(("ok", "n_a", "n_b", "n_groups", "n_links", "pairs"), (np.ones(n, np.int64), per_word(a_ends), per_word(b_ends), per_word(common), per_word(ends), links)):
             self.parts[k].append(v)
-        sa, sb = list(map(str, a.tolist())), list(map(str, b.tolist()))
+        sa, sb = (list(map(self.pair.names.__getitem__, x.tolist())) for x in (a, b))
         to_a, to_b = np.searchsorted(a_ends, common, "right").tolist(), np.searchsorted(b_ends, common, "right").tolist()
         text = [f"{sa[i]}|{sb[j]}" if i2 - i == 1 and j2 - j == 1 else f"{','.join(sa[i:i2])}|{','.join(sb[j:j2])}"
                 for i, i2, j, j2 in zip([0, *to_a], to_a, [0, *to_b], to_b)]
@@ -191,6 +216,12 @@ class Words:
         self.text += [";".join(text[g:g2]) for g, g2 in zip([0, *to], to)]
 
 
+def summed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Sums of two arrays, ``b`` as long as ``a`` or longer."""
+    b[: len(a)] += a
+    return b
+
+
 def by_text(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """Sums of the values of each text."""
     total = np.concatenate([[0], np.cumsum(values)])
@@ -203,6 +234,10 @@ def whole(words: Words, numbers: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return (n > 0) & (by_text(words.table["ok"][numbers], starts) == n) if len(numbers) else np.zeros(len(n), bool)
 
 
+#: Aligned words of a worker between its tasks.
+_kept: dict[tuple[str, str], Words] = {}
+
+
 def links_of(words: Words, numbers: np.ndarray) -> np.ndarray:
     """The links of words in a row."""
     first, n = words.table["first"][numbers], words.table["n_links"][numbers]
@@ -243,7 +278,8 @@ def scan(docs: DataFrame, a_file: str, b_file: str) -> DataFrame:
     """A row per document with its counts, digest and packed links, and rows with ``pairs``, which only hold counts of id pairs."""
 
     def read(batches):
-        words, counts, seen = Words(loaded(a_file, b_file)), PairCounts(), np.zeros(0, np.int64)
+        words = _kept.pop((a_file, b_file), None) or Words(loaded(a_file, b_file))  # from the last task that this worker finished
+        counts, seen = PairCounts(), np.zeros(0, np.int64)
         task, row, like = TaskContext.get().partitionId(), 0, None
 
         def counted(least):
@@ -257,9 +293,7 @@ def scan(docs: DataFrame, a_file: str, b_file: str) -> DataFrame:
                 n_docs = part.num_rows
                 valid = whole(words, numbers, starts)
                 if len(numbers):
-                    more = np.bincount(numbers[np.repeat(valid, np.diff(starts))], minlength=len(words.index))
-                    more[: len(seen)] += seen
-                    seen = more
+                    seen = summed(seen, np.bincount(numbers[np.repeat(valid, np.diff(starts))], minlength=len(words.index)))
                 of = {k: np.where(valid, by_text(words.table[k][numbers], starts), 0) if len(numbers) else np.zeros(n_docs, np.int64) for k in COUNTS}
                 digests, links, text = [""] * n_docs, [None] * n_docs, words.text
                 for d in np.flatnonzero(valid).tolist():
@@ -274,12 +308,13 @@ def scan(docs: DataFrame, a_file: str, b_file: str) -> DataFrame:
                 row += n_docs
                 if words.full():
                     counts.add(words, seen)
-                    words.clear()
+                    words.prune()
                     seen = np.zeros(0, np.int64)
                     yield from counted(HELD_PAIRS)
         if seen.any():
             counts.add(words, seen)
         yield from counted(1)
+        _kept[a_file, b_file] = words
 
     none = F.lit(None).cast("long")
     shape = docs.select("doc_id", "_rest", *[none.alias(c) for c in COUNTS], F.lit(None).cast("string").alias("groups_sha256"), none.alias("_row"), F.lit(None).cast("binary").alias("_links"),
