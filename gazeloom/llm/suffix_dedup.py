@@ -32,8 +32,6 @@ CHUNK = 1 << 19
 #: Strings of a collection; a group with more of them is settled by hashes of its windows instead.
 COLLECTION = 1_024
 LARGE_GROUP = 1_024
-#: Bytes up to which a column file is kept in memory.
-MEMORY = 16 << 20
 
 _rng = np.random.default_rng(400)
 _BYTE = _rng.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -83,52 +81,53 @@ def runs(data: bytes, length: int = LENGTH, core: int = CORE) -> list[np.ndarray
 
 
 class Sequential:
-    """Arrays in temporary files that are read and written from front to back; short files stay in memory."""
-
-    def __init__(self, **kinds):
-        self.kinds, self.files = kinds, {}
-
-    def write(self, **arrays):
-        for name, a in arrays.items():
-            if name in self.files:
-                self.files[name].close()
-            self.files[name] = f = tempfile.SpooledTemporaryFile(MEMORY)
-            f.write(a.astype(self.kinds[name], copy=False).tobytes())
-
-    def read(self) -> list[np.ndarray]:
-        out = []
-        for name, kind in self.kinds.items():
-            self.files[name].seek(0)
-            out.append(np.frombuffer(self.files[name].read(), kind))
+    """A file of suffixes that is read and written from front to back, each time anew.
+
+    A suffix takes four 16-bit numbers: the symbol in front of it (0: none), bytes it shares with the suffix above, its string, its first symbol.
+    """
+
+    def __init__(self):
+        self.files = [tempfile.TemporaryFile(), tempfile.TemporaryFile()]  # without a name: gone with the task, however it ends
+        self.size = 0
+
+    def write(self, suffixes: np.ndarray):
+        self.files.reverse()
+        self.files[0].seek(0)
+        self.files[0].write(suffixes.data)
+        self.size = len(suffixes)
+
+    def read(self) -> np.ndarray:
+        self.files[0].seek(0)
+        out = np.empty(self.size, "<u8")
+        self.files[0].readinto(out.data.cast("B"))
         return out
 
     def close(self):
-        for f in self.files.values():
+        for f in self.files:
             f.close()
 
 
-class RangeMinima:
-    def __init__(self, values: np.ndarray):
-        self.levels = [values]
-        while 2 << len(self.levels) - 1 <= len(values):
-            last, step = self.levels[-1], 1 << len(self.levels) - 1
-            self.levels.append(np.minimum(last[:-step], last[step:]))
-
-    def of(self, first: np.ndarray, last: np.ndarray) -> np.ndarray:
-        """Smallest value from ``first`` to ``last``, both included."""
-        out = np.empty(len(first), self.levels[0].dtype)
-        level = np.frexp((last - first + 1).astype(np.float64))[1] - 1
-        for k in np.unique(level):
-            mine = level == k
-            out[mine] = np.minimum(self.levels[k][first[mine]], self.levels[k][last[mine] - (1 << int(k)) + 1])
-        return out
+def packed_suffixes(before, common, owner, start) -> np.ndarray:
+    return np.stack([np.broadcast_to(x, np.shape(owner)).astype("<u2") for x in (before, common, owner, start)], axis=1).view("<u8").ravel()
+
+
+def column(suffixes: np.ndarray, k: int) -> np.ndarray:
+    return np.ascontiguousarray(suffixes.view("<u2")[k::4])
+
+
+def range_minima(values: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Smallest value from ``first`` to ``last``, both included, in one pass over the values."""
+    order = np.argsort(first, kind="stable")
+    edges = np.stack([first[order], last[order] + 1], axis=1).ravel()
+    out = np.empty(len(first), values.dtype)
+    out[order] = np.minimum.reduceat(np.append(values, values.dtype.type(0)), edges)[::2] if len(first) else 0
+    return out
 
 
 def repeated_windows(strings: list[bytes], places: list[int], length: int = LENGTH, core: int = CORE) -> list[np.ndarray]:
     """For distinct strings with their core at ``places``: which window starts have an equal window in another string.
 
-    Inserts one symbol per string and round into the collection's transform. ``before``: the symbol in front of each
-    suffix (0: none); ``common``: bytes it shares with the suffix above; ``owner``, ``start``: its string and first symbol.
+    Inserts one symbol per string and round into the collection's transform, and mends the common prefixes around it.
     """
     cores: dict[bytes, int] = {}
     symbols = []
@@ -141,46 +140,40 @@ def repeated_windows(strings: list[bytes], places: list[int], length: int = LENG
     base = np.r_[0, np.cumsum(lengths)[:-1]]
     flat = np.concatenate(symbols)
 
-    with contextlib.closing(Sequential(before=np.uint16, common=np.uint16, owner=np.int32, start=np.uint16)) as files:
-        files.write(before=flat[base + lengths - 1], common=np.zeros(m), owner=np.arange(m), start=lengths)
+    with contextlib.closing(Sequential()) as file:
+        file.write(packed_suffixes(flat[base + lengths - 1], 0, np.arange(m), lengths))
         live, at, left = np.arange(m), np.arange(m), lengths.copy()  # strings with symbols to insert, the place of their last suffix, symbols left
         while len(live):
-            before, common, owner, start = files.read()
+            old = file.read()
+            before, common = column(old, 0), column(old, 1)
             order = np.argsort(before, kind="stable")
-            rank = np.empty(len(order), np.int64)
-            rank[order] = np.arange(len(order))
-            ends = int((before == 0).sum())
-            r = rank[at]
-            new = m + r - ends  # the end markers come first, then the suffixes by first symbol
+            rank = np.empty(len(order), np.int32)
+            rank[order] = np.arange(len(order), dtype=np.int32)
+            ends = int(np.count_nonzero(before == 0))
+            r = rank[at].astype(np.int64)
             symbol = before[at]
             weight = np.where(symbol > 256, core, 1)
-            minima = RangeMinima(common)
-            above = order[np.maximum(r - 1, 0)]
-            same = (r > 0) & (before[above] == symbol)
+            above, below = order[np.maximum(r - 1, 0)], order[np.minimum(r + 1, len(order) - 1)]
+            up, down = (r > 0) & (before[above] == symbol), (r + 1 < len(order)) & (before[below] == symbol)
+            least = range_minima(common, np.r_[above[up] + 1, at[down] + 1], np.r_[at[up], below[down]])
             own = np.zeros(len(live), np.int64)
-            own[same] = weight[same] + minima.of(above[same] + 1, at[same])
-            below = order[np.minimum(r + 1, len(order) - 1)]
-            same = (r + 1 < len(order)) & (before[below] == symbol)
-            next_common = weight[same] + minima.of(at[same] + 1, below[same])
+            own[up] = weight[up] + least[: up.sum()]
 
-            inserted = np.zeros(len(before) + len(live), bool)
-            inserted[new] = True
+            # The end markers come first, then the suffixes by first symbol; new ones go between the old.
+            new = m + r - ends
             first = left[live] - 1
-
-            def merged(old, values, kind):
-                out = np.empty(len(inserted), kind)
-                out[~inserted] = old
-                out[new] = values
-                return out
-
-            common = merged(common, own, np.uint16)
-            common[new[same] + 1] = next_common
-            files.write(before=merged(before, np.where(first > 0, flat[base[live] + np.maximum(first - 1, 0)], 0), np.uint16), common=common,
-                        owner=merged(owner, live, np.int32), start=merged(start, first, np.uint16))
+            added = packed_suffixes(np.where(first > 0, flat[base[live] + np.maximum(first - 1, 0)], 0), own, live, first)
+            kept = np.ones(len(old) + len(live), bool)
+            kept[new] = False
+            suffixes = np.empty(len(kept), "<u8")
+            suffixes[kept] = old
+            suffixes[new] = added
+            suffixes.view("<u2")[4 * (new[down] + 1) + 1] = weight[down] + least[up.sum():]
+            file.write(suffixes)
             left[live] = first
             on = first > 0
             live, at = live[on], new[on]
-        _, common, owner, start = files.read()
+        _, common, owner, start = (column(file.read(), k) for k in range(4))
 
     out = [np.zeros(len(s) - length + 1, bool) for s in strings]
     near = np.maximum(common, np.r_[common[1:], 0]) >= length
@@ -231,13 +224,11 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, core: int = CORE) -> D
     where nothing was removed. Null or empty text: 0 bytes. Repeated rows repeat each other. Null doc_ids are documents like any other. Other columns are not carried.
     """
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    key = F.coalesce("doc_id", F.lit(-(1 << 63)))
-    doc_schema = pa.schema([("doc", pa.int64()), ("th", pa.int32()), ("n_bytes", pa.int64()), ("sha", pa.string()), ("run", pa.list_(pa.struct([
+    # Id, null or not, and text, in 128 bits: rows equal in both are interchangeable.
+    key = F.unhex(F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.lit(":"), F.coalesce("text", F.lit("")))))
+    doc_schema = pa.schema([("doc_id", pa.int64()), ("key", pa.binary()), ("n_bytes", pa.int64()), ("sha", pa.string()), ("run", pa.list_(pa.struct([
         ("at", pa.int64()), ("n", pa.int32()), ("place", pa.int32()), ("core", pa.int64()), ("whole", pa.int64())])))])
 
-    def text_hash(text: bytes) -> int:
-        return xxhash.xxh32_intdigest(text) - (1 << 31)
-
     def describe(batches):
         for batch in batches:
             for part in slices(batch):
@@ -247,32 +238,31 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, core: int = CORE) -> D
                 fields = [np.concatenate([f[k] for f in found]) for k in range(5)]
                 kinds = doc_schema.field("run").type.value_type
                 inner = pa.StructArray.from_arrays([pa.array(f.astype(kinds[k].type.to_pandas_dtype())) for k, f in enumerate(fields)], fields=list(kinds))
-                yield pa.RecordBatch.from_arrays([part.column("doc").cast(pa.int64()), pa.array([text_hash(t) for t in texts], pa.int32()), pa.array([len(t) for t in texts], pa.int64()),
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("key").cast(pa.binary()), pa.array([len(t) for t in texts], pa.int64()),
                                                   pa.array([hashlib.sha256(t).hexdigest() for t in texts]), pa.ListArray.from_arrays(pa.array(offsets), inner)], schema=doc_schema)
 
-    described = materialise(own.select(key.alias("doc"), "text").mapInArrow(
-        describe, "doc long, th int, n_bytes long, sha string, run array<struct<at:long,n:int,place:int,core:long,whole:long>>"), "described")
-    all_runs = described.select("doc", "th", F.explode("run").alias("r")).select("doc", "th", "r.*")
+    described = materialise(own.select("doc_id", key.alias("key"), "text").mapInArrow(
+        describe, "doc_id long, key binary, n_bytes long, sha string, run array<struct<at:long,n:int,place:int,core:long,whole:long>>"), "described")
+    all_runs = described.select("key", F.explode("run").alias("r")).select("key", "r.*")
 
     groups = all_runs.groupBy("core").agg(F.count(F.lit(1)).alias("size"), (F.min("whole") != F.max("whole")).alias("mixed")).where("size > 1").select("core", "mixed")
     hits = materialise(all_runs.join(materialise(groups, "cores"), "core"), "hits")
-    settled = hits.where("NOT mixed").select("doc", "th", F.col("at").alias("a"), (F.col("at") + F.col("n")).alias("b"))
+    settled = hits.where("NOT mixed").select("key", F.col("at").alias("a"), (F.col("at") + F.col("n")).alias("b"))
 
     # One run stands for all equal ones.
-    kinds = materialise(hits.where("mixed").groupBy("core", "whole").agg(F.count(F.lit(1)).alias("times"), F.min(F.struct("doc", "th", "at", "n", "place")).alias("r")), "kinds")
+    kinds = materialise(hits.where("mixed").groupBy("core", "whole").agg(F.count(F.lit(1)).alias("times"), F.min(F.struct("key", "at", "n", "place")).alias("r")), "kinds")
     sizes = materialise(kinds.groupBy("core").count().where(F.col("count") > LARGE_GROUP).select("core"), "large")
-    wanted = kinds.groupBy("r.doc", "r.th").agg(F.collect_list(F.struct("r.at", "r.n", "r.place", "core", "whole")).alias("cut"))
-    touched = hits.select("doc", "th").distinct().join(wanted, ["doc", "th"], "left")
+    wanted = kinds.groupBy("r.key").agg(F.collect_list(F.struct("r.at", "r.n", "r.place", "core", "whole")).alias("cut"))
+    touched = hits.select("key").distinct().join(wanted, "key", "left")
 
     def compress(batches):
         z = zstandard.ZstdCompressor(3)
         for batch in batches:
             for part in slices(batch):
-                texts = utf8(part)
-                yield pa.RecordBatch.from_pydict({"doc": part.column("doc"), "th": pa.array([text_hash(t) for t in texts], pa.int32()), "z": [z.compress(t) for t in texts]})
+                yield pa.RecordBatch.from_pydict({"key": part.column("key"), "z": [z.compress(t) for t in utf8(part)]})
 
-    small = own.where(F.octet_length("text") >= length).select(key.alias("doc"), "text").mapInArrow(compress, "doc long, th int, z binary")
-    held = materialise(small.join(touched, ["doc", "th"]).select("doc", "th", "z", "cut"), "held")
+    small = own.where(F.octet_length("text") >= length).select(key.alias("key"), "text").mapInArrow(compress, "key binary, z binary")
+    held = materialise(small.join(touched, "key").dropDuplicates(["key"]).select("key", "z", "cut"), "held")
 
     string_schema = pa.schema([("core", pa.int64()), ("whole", pa.int64()), ("place", pa.int32()), ("s", pa.binary())])
 
@@ -311,24 +301,22 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, core: int = CORE) -> D
     verdicts = materialise(kinds.join(compared, ["core", "whole"], "left").select(
         "core", "whole", F.when(F.col("times") > 1, F.array(F.lit(0), F.col("r.n"))).otherwise(F.col("ranges")).alias("ranges")).where(F.size("ranges") > 0), "verdicts")
     pairs = F.transform(F.sequence(F.lit(0), F.size("ranges") - 2, F.lit(2)), lambda k: F.struct((F.col("at") + F.get("ranges", k)).alias("a"), (F.col("at") + F.get("ranges", k + 1)).alias("b")))
-    mixed = hits.where("mixed").join(verdicts, ["core", "whole"]).select("doc", "th", F.explode(pairs).alias("p")).select("doc", "th", "p.a", "p.b")
-    gone = settled.unionByName(mixed).groupBy("doc", "th").agg(F.collect_set(F.struct("a", "b")).alias("windows"))
+    mixed = hits.where("mixed").join(verdicts, ["core", "whole"]).select("key", F.explode(pairs).alias("p")).select("key", "p.a", "p.b")
+    gone = settled.unionByName(mixed).groupBy("key").agg(F.collect_set(F.struct("a", "b")).alias("windows"))
 
-    final = pa.schema([("doc", pa.int64()), ("th", pa.int32()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept", pa.binary()), ("kept_sha", pa.string())])
+    final = pa.schema([("key", pa.binary()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept", pa.binary()), ("kept_sha", pa.string())])
 
     def remove(batches):
         unzip = zstandard.ZstdDecompressor()
         for batch in batches:
             out = []
-            for doc, th, z, w in zip(*(batch.column(k).to_pylist() for k in ("doc", "th", "z", "windows"))):
+            for k, z, w in zip(*(batch.column(c).to_pylist() for c in ("key", "z", "windows"))):
                 kept, n, spans = _remove(unzip.decompress(z), [(x["a"], x["b"]) for x in w], length)
-                out.append((doc, th, n, spans, kept, hashlib.sha256(kept).hexdigest()))
+                out.append((k, n, spans, kept, hashlib.sha256(kept).hexdigest()))
             if out:
                 yield rows(final, *zip(*out))
 
-    removed = (held.select("doc", "th", "z").dropDuplicates(["doc", "th"]).join(gone, ["doc", "th"])
-               .mapInArrow(remove, "doc long, th int, n_removed long, n_spans long, kept binary, kept_sha string"))
-    back = F.when(F.col("doc") != -(1 << 63), F.col("doc"))
-    return (described.select("doc", "th", "n_bytes", "sha").join(removed, ["doc", "th"], "left")
-            .select(back.alias("doc_id"), "n_bytes", F.coalesce("n_removed", F.lit(0)).alias("n_removed"), F.coalesce("n_spans", F.lit(0)).alias("n_spans"), "kept",
+    removed = held.select("key", "z").join(gone, "key").mapInArrow(remove, "key binary, n_removed long, n_spans long, kept binary, kept_sha string")
+    return (described.select("doc_id", "key", "n_bytes", "sha").join(removed, "key", "left")
+            .select("doc_id", "n_bytes", F.coalesce("n_removed", F.lit(0)).alias("n_removed"), F.coalesce("n_spans", F.lit(0)).alias("n_spans"), "kept",
                     F.coalesce("kept_sha", "sha").alias("kept_sha256")))

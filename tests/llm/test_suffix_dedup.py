@@ -52,9 +52,8 @@ def test_against_brute_force(make, odd, monkeypatch, large):
 
 
 @pytest.mark.parametrize("seed", range(8))
-def test_collections_against_brute_force(seed, monkeypatch):
+def test_collections_against_brute_force(seed):
     """Small strings over few letters around equal cores."""
-    monkeypatch.setattr(X, "MEMORY", 64 if seed % 2 else X.MEMORY)
     r = random.Random(seed)
     core = "".join(r.choice("ab") for _ in range(6)).encode()
     other = core[::-1] + b"c"
@@ -91,3 +90,21 @@ def test_runs_tile_the_windows_alike_everywhere(monkeypatch):
 def test_empty_table_and_short_texts(make):
     assert X.remove_repeats(make([(1, "a")]).where("false")).count() == 0
     assert run(make([(1, "a" * 399), (2, "a" * 399)])) == brute([(1, "a" * 399), (2, "a" * 399)], 400)
+
+
+def test_null_and_shared_ids(make):
+    """Texts under one id, or under none, are told apart by all of their bytes."""
+    passage = prose(50, 100)
+    rows = [(i, f"{prose(60 + k, 80)} {passage if k % 3 == 0 else ''} {prose(90 + k, 30)}") for k, i in enumerate([None] * 12 + [7] * 12)]
+    rows += [rows[1], rows[13], (-(1 << 63), prose(99, 90)), (None, prose(98, 90))]
+    got = run(make(rows))
+    assert got == brute(rows, 400) and sum(r[2] == 0 for r in got) == 16
+
+
+def test_minima():
+    r = np.random.default_rng(1)
+    v = r.integers(0, 500, 2000).astype(np.uint16)
+    first = r.integers(0, 2000, 300)
+    last = np.minimum(first + r.integers(0, 400, 300), 1999)
+    assert X.range_minima(v, first, last).tolist() == [v[a: b + 1].min() for a, b in zip(first, last)]
+    assert X.range_minima(v, first[:0], last[:0]).tolist() == []
