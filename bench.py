@@ -18,7 +18,7 @@ HEADLINE = [
 
 
 def main():
-    from gazeloom.plans import QUERIES, views
+    from gazeloom.plans import QUERIES, signals, views
     from gazeloom.plans.q_trials import stored_trace, stored_trials
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
@@ -30,7 +30,7 @@ def main():
     spark.read.parquet(f"{sf_dir}/events.parquet").count()  # starts the session before the clock
     # Views are derived once per application; each has its own line, so no query pays for the first use.
     times, rows = {}, {}
-    for name, view in (("view_gaze", views.gz), ("view_signals", views.fs), ("view_trials_old", lambda s, d: views.trials(s, d, "old")), ("view_trials_new", views.trials),
+    for name, view in (("view_gaze", views.gz), ("view_signals", views.fs), ("view_varied", signals.varied), ("view_trials_old", lambda s, d: views.trials(s, d, "old")), ("view_trials_new", views.trials),
                        ("view_segmented", stored_trials), ("view_trace", stored_trace)):
         start = time.perf_counter()
         view(spark, sf_dir)

@@ -26,11 +26,14 @@ TIMELINE_COLUMNS = ["block_index", "trial_index", "trial_name", "frame", "time_s
 def scratch_dir(spark: SparkSession, purpose: str) -> str:
     """A new folder that driver and executors share; the file system removes it when the application ends.
 
-    It lies below ``spark.checkpoint.dir``, else the context's checkpoint folder, else the warehouse.
+    It lies below ``spark.checkpoint.dir``, else the context's checkpoint folder, else the warehouse. On a cluster a warehouse on the driver's own disk is refused.
     """
     sc = spark.sparkContext
-    root = (spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-            or sc.getCheckpointDir() or spark.conf.get("spark.sql.warehouse.dir"))
+    root = (spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir())
+    if not root:
+        root = spark.conf.get("spark.sql.warehouse.dir")
+        if not sc.master.startswith("local") and (root.startswith("file:") or ":" not in root and sc._jsc.hadoopConfiguration().get("fs.defaultFS", "file:///").startswith("file:")):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     path = f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
     place = sc._jvm.org.apache.hadoop.fs.Path(path)
     files = place.getFileSystem(sc._jsc.hadoopConfiguration())
