@@ -71,18 +71,42 @@ def join_hot(many: DataFrame, one: DataFrame, key: str, hot: int | None = None,
     return dealt.join(copied, [key, "_part"]).drop("_part")
 
 
+#: Links that one task may connect by itself.
+SMALL = 1 << 14
+
+
+def _connect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Components of a small graph by union-find."""
+    up: dict[int, int] = {}
+
+    def top(x):
+        while (y := up.setdefault(x, x)) != x:
+            up[x] = up[y]
+            x = up[x]
+        return x
+
+    for batch in batches:
+        for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist()):
+            a, b = sorted((top(a), top(b)))
+            up[b] = a
+    yield rows(pa.schema([("node", pa.int64()), ("component", pa.int64())]), list(up), [top(x) for x in list(up)])
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of ``edges(a, b)`` (long, no nulls): (node, component), the smallest node of each.
 
     Every node takes the smallest label among its neighbours and then its label's label, until nothing
     changes. Each round is a written table; the driver sees one count per round. Neighbours of a node and holders of a
-    label may be a large share of all nodes: both joins deal them out.
+    label may be a large share of all nodes: both joins deal them out. At most SMALL links are connected in one task instead.
     """
-    both = materialise(edges.where("a <> b").select("a", "b")
-                       .unionByName(edges.where("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
+    edges = materialise(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links")
+    n = edges.count()
+    if n <= SMALL:
+        return materialise(edges.coalesce(1).mapInArrow(_connect, "node long, component long"), "labels")
+    both = materialise(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))), "links")
     labels = materialise(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m"))
                          .select("node", F.least("node", "m").alias("label")), "labels")
-    large = both.count() > HOT  # with fewer links no key is hot
+    large = 2 * n > HOT  # with fewer links no key is hot
     meet = join_hot if large else lambda many, one, key: many.join(one, key)
     while True:
         # The neighbours' smallest label; the group is pre-aggregated where the join made its rows.
