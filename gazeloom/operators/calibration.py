@@ -5,17 +5,26 @@ of *dots* are small; groups of *samples* are only ever aggregated.
 """
 from __future__ import annotations
 
+import math
+from itertools import groupby
+from operator import itemgetter
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gazeloom import config as C
 from gazeloom.functions import scalar as S
-from gazeloom.operators.ordered import carry, chunk_by, exact_percentile, with_row_index
+from gazeloom.functions.md5 import first_bits
+from gazeloom.operators.ordered import carry, chunk_by, exact_percentile, spread, with_row_index
 from gazeloom.sources.writers import materialise
 
 DOT = ["session", "panel", "dot"]
-#: Dots of a recording up to which one task takes the median of a repetition.
+#: Dots of a recording up to which one task draws all its repetitions; also the draws held at once.
 GROUP_DOTS = 1 << 16
+#: Dots that a recording needs for statistics.
+MIN_DOTS = 6
 
 
 def residuals(points: DataFrame) -> DataFrame:
@@ -73,28 +82,115 @@ def resamples(errors: DataFrame, reps: int = C.BOOTSTRAP_REPS, chunk: int = 64)
     return counts.join(e.select("session", "_i", "base", "corr", F.col("_n").alias("n")), ["session", "_i"]).drop("_i")
 
 
+def _percentile(ordered: np.ndarray, p: float) -> float | None:
+    """Interpolated percentile of sorted values, as Spark and SQL define it; None of nothing."""
+    if not len(ordered):
+        return None
+    at = (len(ordered) - 1) * p
+    lo, hi = math.floor(at), math.ceil(at)
+    low, high = float(ordered[lo]), float(ordered[hi])
+    return low if low == high else (hi - at) * low + (at - lo) * high
+
+
+def _drawn_medians(values: list, draws: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Median of the values that each row of ``draws`` picks, and whether there is one: null values do not count, NaN is the largest."""
+    known = np.array([k for k, x in enumerate(values) if x is not None], np.int64)
+    v = np.array([values[k] for k in known], float)
+    order = np.argsort(v, kind="stable")
+    rank = np.full(len(values), len(values), np.int32)
+    rank[known[order]] = np.arange(len(known))
+    picked = np.sort(rank[draws], 1)
+    n = (picked < len(values)).sum(1)
+    at = lambda k: np.append(v[order], np.nan)[np.minimum(picked[np.arange(len(draws)), k], len(known))]
+    low, high = at(np.maximum(n - 1, 0) // 2), at(np.minimum(n // 2, len(values) - 1))
+    return np.where(low == high, low, 0.5 * low + 0.5 * high), n > 0
+
+
+def _bootstrapped(session: str, base: list, corr: list, reps: int) -> tuple:
+    """(median of base, of corr, 5th and 95th percentile of the gain) of one recording, given in order."""
+    known = lambda values: np.sort([x for x in values if x is not None and x == x])
+    own = _percentile(known(base), 0.5), _percentile(known(corr), 0.5)
+    if len(base) < MIN_DOTS:
+        return *own, None, None
+    gains, some = [], max(1, GROUP_DOTS // len(base))
+    for first in range(0, reps, some):
+        draws = first_bits(f"{session},".encode(), np.arange(first, min(reps, first + some)), len(base)) % len(base)
+        (b, has_b), (c, has_c) = _drawn_medians(base, draws), _drawn_medians(corr, draws)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            rises = has_b & ~(b <= 0)  # NaN is above 0
+            gains.append(np.where(rises, 1.0 - c / b, 0.0)[~rises | has_c])
+    ordered = np.sort(np.concatenate(gains))
+    return *own, _percentile(ordered, 0.05), _percentile(ordered, 0.95)
+
+
+def _gains(reps: int):
+    """Statistics per recording from a stream of dots sorted by recording; one recording of at most GROUP_DOTS dots is held."""
+    def run(batches):
+        kind = None
+
+        def dots():
+            nonlocal kind
+            for batch in batches:
+                kind = batch.schema.field("session").type
+                yield from zip(*(batch.column(c).to_pylist() for c in ("session", "_text", "base", "corr")))
+
+        rows = []
+        for session, group in groupby(dots(), itemgetter(0)):
+            _, text, base, corr = zip(*group)
+            found = (None,) * 4 if session is None else _bootstrapped(text[0], base, corr, reps)
+            rows.append((session, len(base), *found))
+            if len(rows) >= 1024:
+                yield _stats(kind, rows)
+                rows = []
+        if rows:
+            yield _stats(kind, rows)
+    return run
+
+
+STATS = ["base_px", "corr_px", "gain_lo", "gain_hi"]
+
+
+def _stats(kind: pa.DataType, rows: list[tuple]) -> pa.RecordBatch:
+    types = [kind, pa.int64(), *[pa.float64()] * len(STATS)]
+    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), types)], ["session", "n_points", *STATS])
+
+
+def _large_gains(errors: DataFrame, sizes: DataFrame, reps: int) -> DataFrame:
+    """The same of recordings with more dots than one task holds: draws and medians spread over many tasks."""
+    own = exact_percentile(errors, ["session"], "base", {"base_px": 0.5}).join(exact_percentile(errors, ["session"], "corr", {"corr_px": 0.5}), "session", "full")
+    times, each = materialise(resamples(errors, reps), "resamples"), ["session", "rep"]
+    medians = exact_percentile(times, each, "base", {"b": 0.5}, weight="times").join(exact_percentile(times, each, "corr", {"c": 0.5}, weight="times"), each, "full")
+    relative = F.when(F.col("b") > 0, S.lit(1) - F.col("c") / F.col("b")).otherwise(S.lit(0))
+    gains = medians.groupBy("session").agg(F.percentile(relative, F.array(F.lit(0.05), F.lit(0.95))).alias("_g"))  # ``reps`` values
+    return sizes.join(own, "session", "left").join(gains, "session", "left").select(
+        "session", "n_points", "base_px", "corr_px", F.get("_g", F.lit(0)).alias("gain_lo"), F.get("_g", F.lit(1)).alias("gain_hi"))
+
+
 def gate(errors: DataFrame, reps: int = C.BOOTSTRAP_REPS, min_base: float = C.GATE_MIN_BASE_PX) -> DataFrame:
     """Adopts the correction when its bootstrapped gain is reliably positive and worth having.
 
-    Medians of a repetition are percentiles of the dots' values, weighted by how often each was drawn; no recording is gathered. One with fewer than six points gets no statistics.
+    A recording of at most GROUP_DOTS dots is drawn from in one place: only its dots are shuffled, never its draws. Of larger ones draws are counted per repetition and dot,
+    and medians are percentiles weighted by these counts. One with fewer than six points gets no statistics.
     """
-    relative = lambda base, corr: F.when(F.col(base) > 0, S.lit(1) - F.col(corr) / F.col(base)).otherwise(S.lit(0))
-    sizes = errors.groupBy("session").agg(F.count(F.lit(1)).alias("n_points"))
-    own = exact_percentile(errors, ["session"], "base", {"base_px": 0.5}).join(exact_percentile(errors, ["session"], "corr", {"corr_px": 0.5}), "session", "full")
-    times = materialise(resamples(errors, reps), "resamples")
-    each = ["session", "rep"]
-    median = lambda c: F.percentile(c, F.lit(0.5), F.col("times"))
-    medians = times.where(F.col("n") <= GROUP_DOTS).groupBy(*each).agg(median("base").alias("b"), median("corr").alias("c"))
-    large = times.where(F.col("n") > GROUP_DOTS)
-    if not large.isEmpty():  # too many for the buffer of one group: buckets of equal weight
-        medians = medians.unionByName(exact_percentile(large, each, "base", {"b": 0.5}, weight="times").join(exact_percentile(large, each, "corr", {"c": 0.5}, weight="times"), each))
-    gains = (medians.groupBy("session").agg(F.percentile(relative("b", "c"), F.array(F.lit(0.05), F.lit(0.95))).alias("_g")))  # ``reps`` values
-    enough = F.col("n_points") >= 6
-    g = sizes.join(own, "session", "left").join(gains, "session", "left").select(
-        "session", "n_points", F.when(enough, F.col("base_px")).alias("base_px"), F.when(enough, F.col("corr_px")).alias("corr_px"),
-        F.get("_g", F.lit(0)).alias("gain_lo"), F.get("_g", F.lit(1)).alias("gain_hi"))
+    e = materialise(errors.select("session", "panel", "dot", "base", "corr"), "errors")
+    sizes = e.groupBy("session").agg(F.count(F.lit(1)).alias("n_points"), F.count("panel").alias("_placed"))
+    large = materialise(sizes.where((F.col("n_points") > GROUP_DOTS) | (F.col("_placed") < F.col("n_points"))).drop("_placed"), "large")
+    any_large, small = not large.isEmpty(), e
+    same = F.col("session").eqNullSafe(F.col("_large"))
+    if any_large:
+        small = e.join(large.select(F.col("session").alias("_large")), same, "left_anti")
+    text = small.withColumn("_text", F.col("session").cast("string")).select("session", "_text", "panel", "dot", "base", "corr")
+    kind = e.schema["session"].dataType.simpleString()
+    s = spread(text, "session").sortWithinPartitions("session", "panel", "dot", "base", "corr").mapInArrow(
+        _gains(reps), f"session {kind}, n_points bigint, " + ", ".join(f"{c} double" for c in STATS))
+    if any_large:
+        members = e.join(large.select(F.col("session").alias("_large")), same, "left_semi")
+        s = s.unionByName(_large_gains(materialise(members, "members"), large, reps))
+    enough = F.col("n_points") >= MIN_DOTS
+    g = materialise(s, "gains").select("session", "n_points", *[F.when(enough, F.col(c)).alias(c) for c in STATS])
+    gain = F.when(F.col("base_px") > 0, S.lit(1) - F.col("corr_px") / F.col("base_px")).otherwise(S.lit(0))
     return g.withColumns({
-        "gain": F.when(enough, relative("base_px", "corr_px")),
+        "gain": F.when(enough, gain),
         "apply": F.coalesce(enough & (F.col("gain_lo") > 0) & (F.col("base_px") >= S.lit(min_base)), F.lit(False))})
 
 

@@ -8,6 +8,7 @@ from gazeloom.operators.timejoins import segment_of
 from gazeloom.plans import views as V
 from gazeloom.plans.q_columns import r6
 from gazeloom.plans.registry import query
+from gazeloom.sources.writers import materialise
 
 lit = S.lit
 big = lambda c, name=None: (F.col(c) if isinstance(c, str) else c).cast("bigint").alias(name or c)
@@ -112,7 +113,7 @@ def _(spark, sf):
 SELECT session, round(avg(CASE WHEN adopt THEN cx * cx ELSE rx * rx END), 5) AS bxx, round(avg(CASE WHEN adopt THEN cx * cy ELSE rx * ry END), 5) AS bxy,
   round(avg(CASE WHEN adopt THEN cy * cy ELSE ry * ry END), 5) AS byy FROM er JOIN gt USING (session) GROUP BY session"""))
 def _(spark, sf):
-    errors = K.leave_one_out(dots(spark, sf))
+    errors = materialise(K.leave_one_out(dots(spark, sf)), "residuals")
     b = K.bias_cov(errors, K.gate(errors))
     return b.select("session", *[F.round(c, 5).alias(c) for c in ("bxx", "bxy", "byy")])
 
