@@ -230,12 +230,12 @@ def _(spark, sf):
 
 
 # Written once per version of the signals; the post-hoc steps read them back and segment nothing.
-@V.stored_view("lineitem", "session", "block", "trial")
+@V.stored_view("lineitem")
 def stored_trials(spark, sf):
     return segmented(spark, sf)
 
 
-@V.stored_view("lineitem", "session", "frame")
+@V.stored_view("lineitem")
 def stored_trace(spark, sf):
     return G.trace(stored_trials(spark, sf), Z.varied(spark, sf))
 

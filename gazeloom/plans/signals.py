@@ -37,7 +37,7 @@ def _spark_sql(text: str) -> str:
     return text.replace("e0", "D")
 
 
-@stored_view("lineitem", "session", "frame")
+@stored_view("lineitem")
 def varied(spark, sf_dir) -> DataFrame:
     """session, frame, panel_color, panel_shape and the signals of a frame, up to 2,400 frames a recording."""
     li = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("session"), *FS_ORDER, "l_quantity", "l_tax", "l_discount")

@@ -33,11 +33,13 @@ def _state(spark: SparkSession, path: str) -> tuple:
     return content.getLength(), content.getFileCount(), files.getFileStatus(place).getModificationTime()
 
 
-def stored_view(source: str, *order):
-    """Derives a view once per application and state of its source, as a table in the shared folder, in ``order``.
+def stored_view(source: str):
+    """Derives a view once per application and state of its source, as a table in the shared folder.
 
     Numbering the rows of every session takes two passes over the source; the queries then
-    scan the numbered table like any recording, with column pruning and filter pushdown.
+    scan the numbered table like any recording, with column pruning and filter pushdown. Rows are written
+    where their last step leaves them, by slices of sessions: putting files in order would shuffle all columns once more
+    and run that last step twice, for the bounds of the ranges and for the rows.
     """
     def wrap(build):
         @functools.wraps(build)
@@ -49,8 +51,7 @@ def stored_view(source: str, *order):
             state = _state(spark, f"{sf_dir}/{source}.parquet")
             if _stored.get(key, (None, None))[0] != state:
                 path = scratch_dir(spark, build.__name__)
-                # Ranges of (session, position): files hold neighbouring rows, a long session spans many files.
-                build(spark, sf_dir, *args).repartitionByRange(*order).write.parquet(path)
+                build(spark, sf_dir, *args).write.parquet(path)
                 _stored[key] = state, path
             return _stored[key][1]
         view.path = place
@@ -60,7 +61,7 @@ def stored_view(source: str, *order):
 
 # ---- gaze samples from events --------------------------------------------------
 
-@stored_view("events", "session", "n")
+@stored_view("events")
 def gz(spark, sf_dir) -> DataFrame:
     """session, n, t, conf, x, y, kind, k."""
     e = table(spark, sf_dir, "events").select(
@@ -168,7 +169,7 @@ NEXT = 10 ** 12  # between the session numbers of one supplier's recordings
 FS_ORDER = ["l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice"]
 
 
-@stored_view("lineitem", "session", "frame")
+@stored_view("lineitem")
 def fs(spark, sf_dir) -> DataFrame:
     """One synthetic trial per 40 frames; see the README for its shape."""
     li = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("session"), *FS_ORDER, "l_discount")
@@ -202,7 +203,7 @@ FS = """fs AS (SELECT session, frame, p, cyc, p BETWEEN 10 AND 24 AND p <> 13 AS
 
 # ---- trial tables from orders ---------------------------------------------------------
 
-@stored_view("orders", "session", "block", "trial")
+@stored_view("orders")
 def trials(spark, sf_dir, version: str = "new") -> DataFrame:
     """A trial table per software version, keyed by (session, block, trial)."""
     o = table(spark, sf_dir, "orders")
