@@ -141,22 +141,25 @@ def to_canvas(nx: Column, ny: Column, width: float, height: float, frac=C.CANVAS
             lit(y0 * height) + ny * lit((y1 - y0) * height))
 
 
+def _bound(value: Column, body) -> Column:
+    """``body`` of a value that is computed once; a column used in a lambda is computed anew wherever it stands."""
+    return F.transform(F.array(value), body)[0]
+
+
 def scale_polygon(poly: Column, factor: float = 1.05) -> Column:
     """Grows a polygon around its vertex mean."""
-    n = F.size(poly).cast("double")
-    total = lambda k: F.aggregate(poly, lit(0), lambda a, p: a + p[k])
-    return F.transform(poly, lambda p: F.struct(
-        (total("x") / n + (p["x"] - total("x") / n) * lit(factor)).alias("x"),
-        (total("y") / n + (p["y"] - total("y") / n) * lit(factor)).alias("y")))
+    def grown(p):
+        mean = lambda k: F.try_divide(F.aggregate(p, lit(0), lambda a, v: a + v[k]), F.size(p).cast("double"))
+        return _bound(F.struct(mean("x").alias("x"), mean("y").alias("y")), lambda m: F.transform(p, lambda v: F.struct(
+            (m["x"] + (v["x"] - m["x"]) * lit(factor)).alias("x"), (m["y"] + (v["y"] - m["y"]) * lit(factor)).alias("y"))))
+    return _bound(poly, grown)
 
 
 def point_in_polygon(x: Column, y: Column, poly: Column) -> Column:
     """Even-odd rule over the polygon's edges; the boundary counts as inside."""
-    n = F.size(poly)
-    edges = F.transform(poly, lambda p, i: F.struct(
-        p["x"].alias("ax"), p["y"].alias("ay"),
-        F.element_at(poly, (i + 1) % n + 1)["x"].alias("bx"),
-        F.element_at(poly, (i + 1) % n + 1)["y"].alias("by_")))
+    def edges(p):
+        after = lambda i: F.element_at(p, (i + 1) % F.size(p) + 1)
+        return F.transform(p, lambda v, i: F.struct(v["x"].alias("ax"), v["y"].alias("ay"), after(i)["x"].alias("bx"), after(i)["y"].alias("by_")))
 
     def on_edge(e):
         cross = (e["bx"] - e["ax"]) * (y - e["ay"]) - (e["by_"] - e["ay"]) * (x - e["ax"])
@@ -168,8 +171,8 @@ def point_in_polygon(x: Column, y: Column, poly: Column) -> Column:
         return (((e["ay"] > y) != (e["by_"] > y))
                 & (x < (e["bx"] - e["ax"]) * (y - e["ay"]) / (e["by_"] - e["ay"]) + e["ax"]))
 
-    odd = F.size(F.filter(edges, crosses)) % 2 == 1
-    return F.when(poly.isNull(), F.lit(False)).otherwise(F.exists(edges, on_edge) | odd)
+    inside = lambda e: F.exists(e, on_edge) | (F.size(F.filter(e, crosses)) % 2 == 1)
+    return _bound(poly, lambda p: F.when(p.isNull(), F.lit(False)).otherwise(_bound(edges(p), inside)))
 
 
 def order_corners(pts: Column) -> Column:
