@@ -428,6 +428,27 @@ def stretches(signals: DataFrame, chunk: int = FRAME_CHUNK) -> DataFrame:
             .select("session", "_r.grp", "_r.target", "_r.panel", "frame", "_r.n", "code", "peaks"))
 
 
+def _values(column: pa.Array) -> list:
+    """A column as Python values, without a detour by one Arrow scalar per value: a dictionary's values for text, an array's for numbers."""
+    if pa.types.is_string(column.type) or pa.types.is_large_string(column.type):
+        column = column.dictionary_encode()
+        names = [*column.dictionary.to_pylist(), None]
+        return [names[k] for k in column.indices.fill_null(-1).to_numpy(zero_copy_only=False).tolist()]
+    if column.null_count or not pa.types.is_integer(column.type):
+        return column.to_pylist()
+    return column.to_numpy().tolist()
+
+
+def _peaks(column: pa.ListArray) -> Iterator[list[tuple]]:
+    """The (frame, ft, gap) tuples of each span; a gap that is missing is None."""
+    ends = (column.offsets.to_numpy() - column.offsets[0].as_py()).tolist()
+    inside = column.values.slice(column.offsets[0].as_py(), ends[-1])  # a batch may be part of a longer one
+    frame, ft, gap = (inside.field(k) for k in ("frame", "ft", "gap"))
+    gaps = [v if known else None for v, known in zip(gap.to_numpy(zero_copy_only=False).tolist(), gap.is_valid().to_numpy(zero_copy_only=False).tolist())]
+    rows = list(zip(frame.to_numpy(zero_copy_only=False).tolist(), ft.to_numpy(zero_copy_only=False).tolist(), gaps))
+    return (rows[a:b] for a, b in zip(ends, ends[1:]))
+
+
 def scan_stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Would-be trials of stretches, given as spans in order; one open trial is all that is held."""
     current = trial = schema = None
@@ -439,14 +460,14 @@ def scan_stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
     for batch in batches:
         schema = pa.schema([("session", batch.schema.field("session").type), *RESULT_ARROW])
-        out_of = [batch.column(c).to_pylist() for c in ("session", "grp", "target", "panel", "frame", "n", "code", "peaks")]
-        for session, grp, target, panel, frame, n, code, peaks in zip(*out_of):
+        out_of = [_values(batch.column(c)) for c in ("session", "grp", "target", "panel", "frame", "n", "code")]
+        for session, grp, target, panel, frame, n, code, peaks in zip(*out_of, _peaks(batch.column("peaks"))):
             if (session, grp) != current:
                 if trial is not None:
                     trial.end_of_stream(last)
                     emit()
                 current, trial, count = (session, grp), None, 0
-            span, f = Span(frame, n, flags(code), [tuple(p.values()) for p in peaks]), frame
+            span, f = Span(frame, n, flags(code), peaks), frame
             last = frame + n - 1
             if trial is None and panel == "same":
                 trial = Trial(target, f)
