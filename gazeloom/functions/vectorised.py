@@ -20,12 +20,14 @@ def _phi(z):
     return np.where(z >= 0, 1.0 - tail, tail)
 
 
-def _phi2(h, k, rho):
+def _phi2(h, k, rho, margins=None):
+    """``margins``: the product of both margins, where it is known already."""
     x, w = np.array(gauss.NODES), np.array(gauss.WEIGHTS)
     t = rho[:, None] * x
     d = 1.0 - t * t
     q = (h * h + k * k)[:, None] - 2.0 * t * (h * k)[:, None]
-    return _phi(h) * _phi(k) + rho * ((np.exp(-q / (2.0 * d)) / (2.0 * np.pi * np.sqrt(d))) @ w)
+    base = _phi(h) * _phi(k) if margins is None else margins
+    return base + rho * ((np.exp(-q / (2.0 * d)) / (2.0 * np.pi * np.sqrt(d))) @ w)
 
 
 @F.pandas_udf(T.DoubleType())
@@ -53,7 +55,8 @@ def board_masses_udf(mx: pd.Series, my: pd.Series, xx: pd.Series, xy: pd.Series,
         rho = np.clip(xy / (sx * sy), -0.999999, 0.999999)
         zx = (np.arange(C.BOARD_COLS + 1) / C.BOARD_COLS - mx[:, None]) / sx[:, None]
         zy = (np.arange(C.BOARD_ROWS + 1) / C.BOARD_ROWS - my[:, None]) / sy[:, None]
-        corners = np.stack([np.stack([_phi2(zx[:, c], zy[:, r], rho) for c in range(zx.shape[1])], axis=1)
+        px, py = _phi(zx), _phi(zy)
+        corners = np.stack([np.stack([_phi2(zx[:, c], zy[:, r], rho, px[:, c] * py[:, r]) for c in range(zx.shape[1])], axis=1)
                             for r in range(zy.shape[1])], axis=1)
         mass = corners[:, 1:, 1:] - corners[:, :-1, 1:] - corners[:, 1:, :-1] + corners[:, :-1, :-1]
         for i, row in zip(np.flatnonzero(known), np.maximum(mass, 0.0).reshape(len(mx), -1)):

@@ -18,7 +18,7 @@ from gazeloom.operators import gaze as G
 from gazeloom.operators import landmarks as L
 from gazeloom.operators import segmentation
 from gazeloom.operators import timejoins as J
-from gazeloom.operators.ordered import chunk_by, with_row_index
+from gazeloom.operators.ordered import chunk_by, spread, with_row_index
 from gazeloom.operators.windows import FRAME_CHUNK
 from gazeloom.sources import writers
 from gazeloom.sources.writers import materialise
@@ -96,7 +96,9 @@ def process_session(samples: DataFrame, signals: DataFrame, plan: list[tuple], l
     s = s.withColumn("base", F.when(early | F.col("col").isNull() | F.col("on_panel"), tag).otherwise("execution"))
     s = materialise(s, "samples")
 
-    on_board = with_row_index(s.where("col IS NOT NULL").withColumnRenamed("n", "sample"), KEYS, ["frame", "sample"], chunk_by(F.col("frame"), FRAME_CHUNK), "n")
+    # Numbered once: the fixations, their members and the trials with a covariance all read it.
+    on_board = s.where("col IS NOT NULL").select(*KEYS, "frame", F.col("n").alias("sample"), "x", "y", "cov_xx", "cov_xy", "cov_yy", "col", "row", "target_col", "target_row", "base")
+    on_board = materialise(with_row_index(on_board, KEYS, ["frame", "sample"], chunk_by(F.col("frame"), FRAME_CHUNK), "n").drop("sample"), "on_board")
     fixed = X.idt_fixations(on_board, KEYS)
     members = materialise(X.in_fixations(on_board, fixed, KEYS), "members")
     found = X.target_found(members, KEYS, samples=on_board)
@@ -118,12 +120,13 @@ def process_session(samples: DataFrame, signals: DataFrame, plan: list[tuple], l
         "gaze_validated_cell": S.cell_str(F.col("gaze_col"), F.col("gaze_row")), "touched_piece": F.when(hit, F.col("name")).when(missed, F.col("_piece")),
         "touched_cell": F.when(hit, S.cell_str(F.col("target_col"), F.col("target_row"))).when(missed, S.cell_str(F.col("press_col"), F.col("press_row"))),
         "wrong_touch_frame": F.when(missed, F.col("press_frame"))}).drop("early_motor", "rotated", "_piece", "press_col", "press_row", "press_frame")
+    t = materialise(t, "outcomes")  # the sequence and the durations read it
 
     times = t.select(*KEYS, "target_found", "validation", "motor_onset", "touch")
     seq = s.join(times, KEYS).withColumn("phase", S.phase_of(F.col("frame"), F.col("base"), F.col("target_found"), F.col("validation"), F.col("motor_onset"), F.col("touch")))
+    seq = materialise(seq.drop("target_found", "validation", "motor_onset", "touch", "init", "end", "close_frame", "base", "rotated"), "sequence")
     t = A.anticipation(seq, t, fps)
     t = materialise(A.durations(t, fps), "durations")
-    seq = materialise(seq.drop("target_found", "validation", "motor_onset", "touch", "init", "end", "close_frame", "base", "rotated"), "sequence")
     for_counts = seq.withColumn("slot", F.col("is_piece")).where("color IS NOT NULL")
     counts = A.trial_counts(for_counts.withColumn("phase", F.when(F.col("phase").isin(*C.EARLY_TAGS, "motor"), F.col("phase")).otherwise("execution")), t)
     return {"sequence": seq, "trials": t, "trial_counts": counts, "timeline": _timeline(t, fps)}
@@ -140,6 +143,7 @@ def sequence_csv(tables: dict[str, DataFrame]) -> DataFrame:
     """The sequence in the column names and order of its file."""
     s = tables["sequence"].join(tables["trials"].select(*KEYS, "status", "trial_duration_s"), KEYS)
     sure = F.col("cov_xx").isNotNull() & F.col("x").isNotNull()
+    s = spread(s, *KEYS, "frame")  # the masses are the work: a stored sequence is few bytes a row and would be read by few tasks
     s = s.withColumn("_masses", board_masses_udf("x", "y", "cov_xx", "cov_xy", "cov_yy"))
     cells = gauss.cells_of(F.col("_masses"))
     pair = lambda a, b: F.when(F.col(a).isNotNull(), F.concat(F.lit("["), F.col(a).cast("string"), F.lit(", "), F.col(b).cast("string"), F.lit("]")))
