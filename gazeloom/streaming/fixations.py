@@ -1,89 +1,37 @@
 """Dispersion fixations as a stateful stream, with the rules of the batch job."""
 from __future__ import annotations
 
-import pickle
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from gazeloom import config as C
 from gazeloom.operators.fixations import Run
+from gazeloom.streaming.tracks import BUCKETS, in_order
 
-PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-COLUMNS = ["start_n", "end_n", "start_frame", "end_frame", "samples"]
-
-
-class Fixations(StatefulProcessor):
-    """Per track: the open run as a value, and as a list the samples that wait until the watermark has passed them.
-
-    Samples are taken in order of ``n`` once no earlier one can come. A timer wakes the track when the watermark reaches its waiting samples, and once more
-    when it has been silent for ``idle_ms``; then the open run is closed and the track's state removed. The run itself holds a few extremes, and
-    points only while it is shorter than a fixation.
-    """
-
-    def __init__(self, key: str, key_type: str, dispersion: float, minimum: int, idle_ms: int):
-        self.key, self.dispersion, self.minimum, self.idle_ms = key, dispersion, minimum, idle_ms
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.open = handle.getValueState("open", "run binary, newest long")
-        self.waiting = handle.getListState("waiting", "n long, frame long, at long, x double, y double")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        newest, first = 0, None
-        for pdf in rows:
-            at = pdf["at_ms"].tolist()
-            self.waiting.appendList(list(zip(pdf["n"].tolist(), pdf["frame"].tolist(), at, pdf["x"].tolist(), pdf["y"].tolist())))
-            newest, first = max(newest, *at), min(at) if first is None else min(first, *at)
-        if self.open.exists():
-            blob, before = self.open.get()
-            self.open.update((blob, max(before, newest)))
-        else:
-            self.open.update((pickle.dumps(Run(self.dispersion, self.minimum)), newest))
-        self.handle.registerTimer(max(first, timerValues.getCurrentWatermarkInMs() + 1))
-        yield pd.DataFrame(columns=[self.key, *COLUMNS])
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        now = timerValues.getCurrentWatermarkInMs()
-        if not self.open.exists():
-            return
-        blob, newest = self.open.get()
-        run, waiting, out = pickle.loads(blob), list(self.waiting.get()), []
-        ready = sorted(r for r in waiting if r[2] <= now)
-        later = [r for r in waiting if r[2] > now]
-        for n, frame, _, x, y in ready:
-            out.append(run.add(x, y, (n, frame)))
-        if later:
-            self.waiting.put(later)
-            self.handle.registerTimer(min(r[2] for r in later))
-        elif newest + self.idle_ms <= now:
-            out.append(run.closing())
-            self.waiting.clear()
-            self.open.clear()
-        else:
-            self.waiting.clear()
-            self.handle.registerTimer(newest + self.idle_ms)
-        if self.open.exists():
-            self.open.update((pickle.dumps(run), newest))
-        found = [(key[0], a, b, fa, fb, count) for (a, fa), (b, fb), count in filter(None, out)]
-        yield pd.DataFrame(found, columns=[self.key, *COLUMNS])
 
-    def close(self) -> None:
-        pass
+def _row(done: tuple | None) -> list[tuple]:
+    if done is None:
+        return []
+    (start, start_frame), (end, end_frame), count = done
+    return [(start, end, start_frame, end_frame, count)]
 
 
 def fixation_stream(samples: DataFrame, key: str = "session", ts: str = "ts", delay: str = "10 seconds", dispersion: float = C.FIXATION_DISPERSION,
-                    minimum: int = C.FIXATION_MIN, idle_ms: int = 60_000) -> DataFrame:
+                    minimum: int = C.FIXATION_MIN, idle_ms: int = 60_000, buckets: int = BUCKETS) -> DataFrame:
     """Fixations as they end, from samples (key, n, frame, x, y and the event time ``ts``) that may come up to ``delay`` late and in any order.
 
-    Needs the RocksDB state store (``spark.sql.streaming.stateStore.providerClass``). Returns key, start_n, end_n, start_frame, end_frame, samples.
+    Samples are taken in order of ``n`` once no earlier one can come. A track that has been silent for ``idle_ms`` has its open run closed and is forgotten. The run
+    itself holds a few extremes, and points only while it is shorter than a fixation. Uses the RocksDB state store. Returns key, start_n, end_n, start_frame, end_frame, samples.
     """
-    samples.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)
-    kind = samples.schema[key].dataType.simpleString()
-    s = samples.withWatermark(ts, delay).select(key, F.col("n").cast("long").alias("n"), F.col("frame").cast("long").alias("frame"), ts,
-                                                F.unix_millis(ts).alias("at_ms"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
-    return s.groupBy(key).transformWithStateInPandas(
-        Fixations(key, kind, dispersion, minimum, idle_ms), f"{key} {kind}, start_n long, end_n long, start_frame long, end_frame long, samples long", "append", "eventTime")
+    s = samples.select(key, ts, F.col("n").cast("long").alias("n"), F.col("frame").cast("long").alias("frame"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
+
+    def feed(run: Run, n, frame, x, y):
+        out = []
+        for tag, a, b in zip(zip(n, frame), x, y):
+            done = run.add(a, b, tag)
+            if done is not None:
+                out += _row(done)
+        return out
+
+    return in_order(s, key, ts, delay, ["n", "frame", "x", "y"], ["n", "frame", "_at", "x", "y"], lambda: Run(dispersion, minimum), feed, lambda run: _row(run.closing()),
+                    False, "start_n long, end_n long, start_frame long, end_frame long, samples long", idle_ms, buckets)

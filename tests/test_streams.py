@@ -95,3 +95,19 @@ def test_listed_sessions(spark, tmp_path):
     assert names("gaze", "nothing") == []
     plan = readers.listed_sessions(spark, root, ["gaze"])._jdf.queryExecution().executedPlan().toString()
     assert "binaryFile" in plan and "content" not in plan.split("ReadSchema")[1][:60]
+
+
+@pytest.mark.parametrize("kind", ["int", "string"])
+def test_state_is_read_by_bucket_not_by_track(spark, tmp_path, kind):
+    """Many short tracks, one without a key: a trigger reads a few buckets, and each track still has its own fixations."""
+    r = random.Random(5)
+    rows = [(None if s == 0 else s, n, n // 3, r.choice([0.0, 0.0, 0.0, 0.3]), 0.0) for s in range(60) for n in range(24)]
+    df = spark.createDataFrame(rows, "session int, n int, frame int, x double, y double").withColumn("session", F.col("session").cast(kind))
+    df = df.withColumn("ts", F.timestamp_micros((F.col("n") * 20_000 + 1_000_000).cast("bigint")))
+    stream = deliver(spark, str(tmp_path / "in"), df, 3, 3600)
+    out, query = T.run_to_table(fixation_stream(stream, dispersion=0.05, minimum=4, idle_ms=5_000, buckets=8), "fixations")
+    cols = ["session", "start_n", "end_n", "start_frame", "end_frame", "samples"]
+    want = X.idt_fixations(df, ["session"], dispersion=0.05, minimum=4).select(cols)
+    assert out.schema["session"].dataType == df.schema["session"].dataType
+    assert sorted(map(str, out.where("NOT session <=> -1").select(cols).collect())) == sorted(map(str, want.collect()))
+    assert 0 < max(op.numRowsTotal for p in query.recentProgress for op in p.stateOperators) <= 8
