@@ -114,8 +114,9 @@ def delivered(spark, df, seconds, name):
     """``df`` with an event time as a stream of six deliveries and more, and the delay that covers their disorder.
 
     A row comes with its sixth of the time or one or two deliveries later, by its hash, so each trigger mixes three sixths in any order. A last delivery
-    of one row, of a session -1 long after all others, moves the watermark past them.
+    of one row, of a session -1 long after all others, moves the watermark past them. A delivery has a file for every task that can run at once.
     """
+    files = max(FILES, spark.sparkContext.defaultParallelism)
     df = df.withColumn("ts", F.timestamp_micros(((seconds + lit(1)) * lit(1e6)).cast("bigint")))  # the watermark starts at zero
     end = df.agg(F.max(seconds)).first()[0] or 0.0
     width = end / DELIVERIES + 0.001
@@ -123,10 +124,10 @@ def delivered(spark, df, seconds, name):
     df = df.withColumn("_delivery", F.floor(seconds / lit(width)) + late)
     root = scratch_dir(spark, name)
     for k in range(DELIVERIES + 2):
-        df.where(F.col("_delivery") == k).drop("_delivery").repartition(FILES).write.mode("append").parquet(root)
+        df.where(F.col("_delivery") == k).drop("_delivery").repartition(files).write.mode("append").parquet(root)
     last = df.drop("_delivery").limit(1).withColumns({"session": F.lit(-1).cast(df.schema["session"].dataType), "ts": F.timestamp_micros(F.lit(int((end + 3600) * 1e6)))})
     last.write.mode("append").parquet(root)
-    return spark.readStream.schema(df.drop("_delivery").schema).option("maxFilesPerTrigger", FILES).parquet(root), f"{int(3 * width) + 1} seconds"
+    return spark.readStream.schema(df.drop("_delivery").schema).option("maxFilesPerTrigger", files).parquet(root), f"{int(3 * width) + 1} seconds"
 
 
 @query("t20_stream_trials", Z.with_(*SEG, body="""

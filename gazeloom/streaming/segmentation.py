@@ -1,48 +1,31 @@
 """Trial segmentation as a stateful stream, with the trial rules of the batch job."""
 from __future__ import annotations
 
-import pickle
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from gazeloom import config as C
 from gazeloom.functions import scalar as S
 from gazeloom.operators.segmentation import RESULT, RESULT_FIELDS, Span, Trial, flags, predicate_code
+from gazeloom.streaming.tracks import BUCKETS, in_order
 
 
 class Recording:
-    """Everything remembered about a session: frames that wait for earlier ones, at most one open trial and a place in the plan."""
+    """Everything remembered about a session: at most one open trial and a place in the plan."""
 
     def __init__(self):
         self.trial, self.pos, self.place, self.last = None, 0, None, None
         self.panel, self.seen = None, 0
-        self.waiting, self.newest = {}, 0
-
-    def hold(self, frames):
-        """Keeps frames (ts, frame, ...) by their number, a repeated one once."""
-        for row in frames:
-            self.newest = max(self.newest, row[0])
-            if self.last is None or row[1] > self.last:
-                self.waiting[row[1]] = row
-
-    def passed(self, watermark, plan):
-        """Rows finished by the frames that no earlier one can precede any more, in order."""
-        rows = []
-        for frame in sorted(f for f, row in self.waiting.items() if row[0] <= watermark):
-            rows += self.feed(*self.waiting.pop(frame)[1:], plan)
-        return rows
 
     def feed(self, frame, shown, code, ft, gap, plan):
         """Rows finished by this frame."""
-        span = Span(frame, 1, flags(code), [(frame, ft, gap)] if ft is not None else [])
         self.seen = self.seen + 1 if shown is not None and shown == self.panel else int(shown is not None)
         self.panel, self.last = shown, frame
         confirmed = shown if self.seen >= C.PANEL_CONFIRM else None
         rows = []
+        if self.trial is None and confirmed is None:
+            return rows
+        span = Span(frame, 1, flags(code), [(frame, ft, gap)] if ft is not None else [])
         while True:
             if self.trial is None:
                 if confirmed is None or not self.expect(confirmed, plan, rows):
@@ -77,40 +60,26 @@ class Recording:
 
 
 def segment_stream(signals: DataFrame, plan: list[tuple], ts: str = "ts", delay: str = "10 seconds",
-                   idle_ms: int = 60_000) -> DataFrame:
+                   idle_ms: int = 60_000, buckets: int = BUCKETS) -> DataFrame:
     """Trials as they close. A session silent for ``idle_ms`` of event time has its open trial closed as ended.
 
     ``signals`` as for the batch job, plus the event time ``ts``, which must grow with the frame. Frames may come in any order, up to ``delay`` late, over
-    any number of triggers: each waits in the state until the watermark has passed it. State per session is the waiting frames, one open trial and the place in the
-    plan, which outlives pauses: a recording that goes on is matched from where it was.
+    any number of triggers: each waits in the state until the watermark has passed it, and one that comes again counts once. State per session is the waiting frames, one open trial and the
+    place in the plan, which outlives pauses: a recording that goes on is matched from where it was. Uses the RocksDB state store.
     """
     order = [(b, t, name) for b, _, t, name in sorted(plan)]
     shown = F.when(F.col("panel_color").isNotNull(), S.trial_name(F.col("panel_color"), F.col("panel_shape")))
-    s = signals.withWatermark(ts, delay).select("session", "frame", ts, F.unix_millis(ts).alias("_at"), shown.alias("shown"), predicate_code().alias("code"), "ft", (F.col("ft") - F.col("fc")).alias("gap"))
-    key_type = dict(s.dtypes)["session"]
-    columns = ["session", *RESULT_FIELDS, "block", "trial"]
+    s = signals.select("session", "frame", ts, shown.alias("shown"), predicate_code().alias("code"), "ft", (F.col("ft") - F.col("fc")).alias("gap"))
+
+    def feed(rec: Recording, frames, *signals):
+        rows = []
+        for frame, after, shown, code, ft, gap in zip(frames, [*frames[1:], None], *signals):
+            if frame != after and (rec.last is None or frame > rec.last):
+                rows += rec.feed(frame, shown, code, None if ft != ft else ft, None if gap != gap else gap, order)
+        return flat(rows)
 
-    def advance(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rec = pickle.loads(state.get[0]) if state.exists else Recording()
-        if not state.hasTimedOut:
-            for pdf in batches:
-                number = lambda c: [None if v != v else v for v in pdf[c].tolist()]  # noqa: E731, B023
-                rec.hold(zip(pdf["_at"].tolist(), pdf["frame"].tolist(), pdf["shown"].tolist(), pdf["code"].tolist(), number("ft"), number("gap")))
-        now = state.getCurrentWatermarkMs()
-        rows = rec.passed(now, order)
-        if rec.waiting:
-            wake = min(row[0] for row in rec.waiting.values())
-        else:
-            wake = rec.newest + idle_ms
-            if wake <= now:
-                rows += rec.finish()
-                wake = None
-        state.update((pickle.dumps(rec),))
-        if wake is not None:
-            state.setTimeoutTimestamp(max(wake, now + 1))
-        if rows:
-            yield pd.DataFrame([(key[0], *[r[c] for c in RESULT_FIELDS], b, t) for r, b, t in rows], columns=columns)
+    def flat(rows):
+        return [(*[r[c] for c in RESULT_FIELDS], b, t) for r, b, t in rows]
 
-    return s.groupBy("session").applyInPandasWithState(
-        advance, f"session {key_type}, {RESULT}, block int, trial int", "blob binary", "append",
-        GroupStateTimeout.EventTimeTimeout)
+    return in_order(s, "session", ts, delay, ["frame", "shown", "code", "ft", "gap"], ["frame"], Recording, feed, lambda rec: flat(rec.finish()),
+                    True, f"{RESULT}, block int, trial int", idle_ms, buckets)

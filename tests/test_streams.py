@@ -111,3 +111,13 @@ def test_state_is_read_by_bucket_not_by_track(spark, tmp_path, kind):
     assert out.schema["session"].dataType == df.schema["session"].dataType
     assert sorted(map(str, out.where("NOT session <=> -1").select(cols).collect())) == sorted(map(str, want.collect()))
     assert 0 < max(op.numRowsTotal for p in query.recentProgress for op in p.stateOperators) <= 8
+
+
+def test_trials_of_many_sessions_in_few_buckets(spark, tmp_path):
+    f = Z.varied(spark, SF)
+    df = f.withColumn("ts", F.timestamp_micros((F.col("frame") * 33_333 + 1_000_000).cast("bigint")))
+    twice = df.unionByName(df.where("frame % 7 = 0"))  # a frame that comes again counts once
+    out, query = T.run_to_table(segment_stream(deliver(spark, str(tmp_path / "in"), twice, 2, 7200), C.plan_rows(), delay="1 hour", buckets=3), "trials")
+    cols = ["session", "block", "trial", "name", "status", "init", "end", "touch_live", "hand_exit_live", "n_watched", "max_ft"]
+    assert sorted(map(str, out.where("session <> -1").select(cols).collect())) == sorted(map(str, G.segment_trials(f, C.plan_rows()).select(cols).collect()))
+    assert f.select("session").distinct().count() > 3 >= max(op.numRowsTotal for p in query.recentProgress for op in p.stateOperators)
