@@ -108,3 +108,18 @@ def test_minima():
     last = np.minimum(first + r.integers(0, 400, 300), 1999)
     assert X.range_minima(v, first, last).tolist() == [v[a: b + 1].min() for a, b in zip(first, last)]
     assert X.range_minima(v, first[:0], last[:0]).tolist() == []
+
+
+def test_rounds_write_two_short_transforms(monkeypatch):
+    """What stands behind a core does not pass through the rounds of what stands in front."""
+    written, real = [], X.Sequential.write
+    monkeypatch.setattr(X.Sequential, "write", lambda self, suffixes: written.append(len(suffixes)) or real(self, suffixes))
+    r = random.Random(5)
+    core = bytes(r.choice(b"abc") for _ in range(200))
+    front, rest = (bytes(r.choice(b"abc") for _ in range(200)) for _ in range(2))
+    strings = [front + core + rest[:199] + b"x", b"y" + front[1:] + core + rest, front[100:] + core + rest[:150], front + core + b"z" * 200]
+    places = [200, 200, 100, 200]
+    got = X.repeated_windows(strings, places)
+    assert [X._ranges(x) for x in got] == [[0, 200], [1, 200], [0, 51], [0, 1]]
+    # One transform of all 401 symbols would write about 401 * 402 / 2 suffixes a string.
+    assert sum(written) < 0.55 * len(strings) * 401 * 402 / 2
