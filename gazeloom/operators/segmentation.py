@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from gazeloom import config as C
 from gazeloom.functions import scalar as S
-from gazeloom.operators.ordered import BLOCK, carry, chunk_by, in_blocks, spread
+from gazeloom.operators.ordered import BLOCK, in_blocks, spread
 from gazeloom.operators.windows import FRAME_CHUNK
 from gazeloom.sources.writers import materialise
 
@@ -401,9 +401,29 @@ def spans(signals: DataFrame, chunk: int = FRAME_CHUNK) -> DataFrame:
     kind = F.struct("confirmed", "code")
     f = f.withColumn("_new", F.coalesce(F.lag(kind).over(w) != kind, F.lit(True)))
     f = f.withColumn("_run", F.sum(F.col("_new").cast("int")).over(w))
-    return f.groupBy("session", BLOCK, "_run").agg(
+    f = f.groupBy("session", BLOCK, "_run").agg(
         F.min("frame").alias("frame"), F.count(F.lit(1)).alias("n"), F.first("confirmed").alias("confirmed"), F.first("code").alias("code"),
-        F.collect_list("_peak").alias("peaks")).drop(BLOCK, "_run")
+        F.collect_list("_peak").alias("peaks"))
+    # Where a panel differs from the last one of the slice; rows lie where these windows need them, so nothing is shuffled.
+    w = Window.partitionBy("session", BLOCK).orderBy("_run")
+    upto, front = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(Window.unboundedPreceding, -1)
+    change = F.col("confirmed").isNotNull() & ~F.col("confirmed").eqNullSafe(F.last("confirmed", ignorenulls=True).over(front))
+    f = f.withColumn("_mark", F.when(change, F.struct(F.col("frame").alias("grp"), F.col("confirmed").alias("target"))))
+    return f.withColumns({"_own": F.last("_mark", ignorenulls=True).over(upto), "_last": F.last("_mark", ignorenulls=True).over(front)}).drop("_run")
+
+
+def carried_panels(f: DataFrame) -> DataFrame:
+    """What a slice of spans takes over from those in front of it: session, slice, the mark ``_in``, and in ``_drop`` the frame whose mark shows the same panel.
+
+    Only a slice behind another one has a row: fewer than two for every ``chunk`` frames.
+    """
+    per = f.groupBy("session", BLOCK).agg(F.min("_mark").alias("_first"), F.max("_mark").alias("_final"),
+                                          F.max_by("confirmed", F.when(F.col("confirmed").isNotNull(), F.col("frame"))).alias("_shown"))
+    before = Window.partitionBy("session").orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)  # one row per slice
+    per = per.withColumn("_drop", F.when(F.last("_shown", ignorenulls=True).over(before) == F.col("_first.target"), F.col("_first.grp")))
+    final = F.when(~F.col("_final.grp").eqNullSafe(F.col("_drop")), F.col("_final"))
+    per = per.withColumn("_in", F.last(final, ignorenulls=True).over(before))
+    return per.where(F.col("_in").isNotNull()).select(F.col("session").alias("_s"), F.col(BLOCK).alias("_b"), "_in", "_drop")
 
 
 def stretches(signals: DataFrame, chunk: int = FRAME_CHUNK) -> DataFrame:
@@ -412,12 +432,11 @@ def stretches(signals: DataFrame, chunk: int = FRAME_CHUNK) -> DataFrame:
     Adds ``grp`` (frame the stretch begins at), ``target`` and ``panel`` (same / other). The first
     frame of a stretch also closes the one before it.
     """
-    f = materialise(spans(signals, chunk), "spans")  # every running value below reads them twice
-    slices = chunk_by(F.col("frame"), chunk)
-    f = carry(f, ["session"], ["frame"], slices, prev={"_was": F.col("confirmed")})
-    change = F.col("confirmed").isNotNull() & ~F.col("confirmed").eqNullSafe(F.col("_was"))
-    mark = F.when(change, F.struct(F.col("frame").alias("grp"), F.col("confirmed").alias("target")))
-    f = carry(f.withColumn("_mark", mark), ["session"], ["frame"], slices, last={"_own": F.col("_mark")}, prev={"_last": F.col("_mark")})
+    f = materialise(spans(signals, chunk).where(F.col("frame").isNotNull()), "spans")
+    f = f.join(F.broadcast(carried_panels(f)), F.col("session").eqNullSafe(F.col("_s")) & (F.col(BLOCK) == F.col("_b")), "left")
+    mark = F.when(~F.col("_mark.grp").eqNullSafe(F.col("_drop")), F.col("_mark"))
+    carried = lambda c: F.when(F.col(c).isNull() | F.col(f"{c}.grp").eqNullSafe(F.col("_drop")), F.col("_in")).otherwise(F.col(c))
+    f = f.withColumns({"_mark": mark, "_own": carried("_own"), "_last": carried("_last")})
     own = F.struct(F.col("_own.grp").alias("grp"), F.col("_own.target").alias("target"),
                    F.when(F.col("confirmed").isNotNull(), "same").alias("panel"), F.col("n").alias("n"))
     closing = F.when(F.col("_mark").isNotNull() & F.col("_last").isNotNull(),
@@ -547,14 +566,20 @@ def transitions(trials: DataFrame) -> DataFrame:
     return t.select("session", "block", "trial", "ord", "m.*")
 
 
-def trace(trials: DataFrame, signals: DataFrame, chunk: int = FRAME_CHUNK) -> DataFrame:
+#: Frames in which frames and the watched stretches of trials meet.
+TRACE_SLICE = 64
+
+
+def trace(trials: DataFrame, signals: DataFrame) -> DataFrame:
     """Watched frames of every trial. The frame that ends the execution is watched twice."""
-    spans = (trials.where(F.col("trace_from").isNotNull())
-             .select("session", F.col("trace_from").alias("frame"), F.struct(
-                 "block", "trial", "trace_last", "recovery_frame", "active_from").alias("_t")))
-    s = signals.join(spans, ["session", "frame"], "left")
-    s = carry(s, ["session"], ["frame"], chunk_by(F.col("frame"), chunk), last={"_in": F.col("_t")})
-    s = s.where(F.col("frame") <= F.col("_in.trace_last"))
+    w = Window.partitionBy("session").orderBy("trace_from")  # one row per trial
+    last = F.least("trace_last", F.lead("trace_from").over(w) - 1)  # a later trial takes over
+    t = trials.where(F.col("trace_from").isNotNull()).select(
+        F.col("session").alias("_s"), "trace_from", last.alias("_until"), F.struct("block", "trial", "recovery_frame", "active_from").alias("_in"))
+    slices = F.sequence(F.floor(F.col("trace_from") / TRACE_SLICE), F.floor(F.col("_until") / TRACE_SLICE))
+    t = t.where("_until >= trace_from").withColumn("_k", F.explode(slices))
+    s = signals.select("session", "frame", "ft", "fc", "bocc", "contour_raw", "has_homography", "grid_source", F.floor(F.col("frame") / TRACE_SLICE).alias("_slice"))
+    s = s.join(t, (F.col("session") == F.col("_s")) & (F.col("_slice") == F.col("_k")) & F.col("frame").between(F.col("trace_from"), F.col("_until")))
     twice = F.when(F.col("frame") == F.col("_in.recovery_frame"), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
     return s.select("session", "_in.block", "_in.trial", "frame", F.explode(twice).alias("pass"),
                     F.when(F.col("frame") >= F.col("_in.active_from"), F.bround("ft", 3)).alias("ft"),

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from gazeloom import config as C
 from gazeloom.functions import scalar as S
-from gazeloom.operators.ordered import chunk_by, with_row_index
+from gazeloom.operators.ordered import BLOCK_ROWS, chunk_by, with_row_index
 from gazeloom.plans.views import CYCLE, FS_ORDER, NEXT, RECORDING, stored_view, table
 
 lit = S.lit
@@ -37,18 +37,30 @@ def _spark_sql(text: str) -> str:
     return text.replace("e0", "D")
 
 
+def recordings(li: DataFrame, *extra) -> DataFrame:
+    """Rows numbered by ``frame`` in recordings of at most 2,400 frames: session, frame, cyc, p, tax, disc and ``extra``."""
+    li = li.withColumns({"session": F.col("session") + F.floor(F.col("frame") / RECORDING) * NEXT, "frame": (F.col("frame") % RECORDING).cast("int")})
+    cents = lambda c: F.round(F.col(c) * 100).cast("int")
+    return li.select("session", "frame", F.floor(F.col("frame") / CYCLE).cast("int").alias("cyc"), (F.col("frame") % CYCLE).alias("p"),
+                     cents("l_tax").alias("tax"), cents("l_discount").alias("disc"), *extra)
+
+
 @stored_view("lineitem")
 def varied(spark, sf_dir) -> DataFrame:
     """session, frame, panel_color, panel_shape and the signals of a frame, up to 2,400 frames a recording."""
     li = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("session"), *FS_ORDER, "l_quantity", "l_tax", "l_discount")
-    li = with_row_index(li, ["session"], FS_ORDER, chunk_by(F.col("l_orderkey"), 65536), "frame")
-    li = li.withColumns({"session": F.col("session") + F.floor(F.col("frame") / RECORDING) * NEXT, "frame": (F.col("frame") % RECORDING).cast("int")})
-    cents = lambda c: F.round(F.col(c) * 100).cast("int")
-    li = li.select("session", "frame", F.floor(F.col("frame") / CYCLE).cast("int").alias("cyc"), (F.col("frame") % CYCLE).alias("p"),
-                   F.col("l_quantity").cast("bigint").alias("quantity"), cents("l_tax").alias("tax"), cents("l_discount").alias("disc"))
+    large = F.broadcast(li.groupBy("session").count().where(F.col("count") > BLOCK_ROWS).select(F.col("session").alias("_s"), F.lit(True).alias("_large")))  # one for a block of rows, at most
+    li = li.join(large, F.col("session") == F.col("_s"), "left")
+    short = F.col("session").isNotNull() & F.col("l_orderkey").isNotNull() & F.col("_large").isNull()
+    # A short session is numbered and summed where its rows meet, in one shuffle.
+    few, many = li.where(short).drop("_s", "_large"), li.where(~short).drop("_s", "_large")
+    few = few.withColumn("frame", F.row_number().over(Window.partitionBy("session").orderBy(*FS_ORDER)) - 1).withColumn("cycle", F.floor(F.col("frame") / CYCLE))
+    few = recordings(few.withColumn("q", F.sum(F.col("l_quantity").cast("bigint")).over(Window.partitionBy("session", "cycle"))), "q")  # a recording has whole cycles
+    many = recordings(with_row_index(many, ["session"], FS_ORDER, chunk_by(F.col("l_orderkey"), 65536), "frame"), F.col("l_quantity").cast("bigint").alias("quantity"))
+    many = many.withColumn("q", F.sum("quantity").over(Window.partitionBy("session", "cyc"))).drop("quantity")  # 40 rows
+    li = few.unionByName(many)
     names = F.array(*map(F.lit, NAMES))
-    li = li.withColumns({"q": F.sum("quantity").over(Window.partitionBy("session", "cyc")),  # 40 rows
-                         "name": F.get(names, F.col("cyc")), "next_name": F.get(names, F.col("cyc") + 1)})
+    li = li.withColumns({"name": F.get(names, F.col("cyc")), "next_name": F.get(names, F.col("cyc") + 1)})
     li = li.withColumns({"high": F.expr(_spark_sql(HIGH)), "top": F.expr(TOP)})
     v = li.select("session", "frame", *[F.expr(_spark_sql(text)).alias(c) for c, text in COLUMNS.items()])
     part = lambda k: F.split_part("shown", F.lit("_"), F.lit(k))
