@@ -19,6 +19,8 @@ WEIGHTS = [float(0.5 * w) for w in _W]
 ERF_P = 0.3275911
 ERF_A = (0.254829592, -0.284496736, 1.421413741, -1.453152027, 1.061405429)
 SQRT2 = 1.4142135623730951
+#: How many of the heaviest cells a distribution names, and the least mass of such a cell.
+TOP, LEAST_MASS = 3, 0.02
 
 
 def phi(z: Column) -> Column:
@@ -73,17 +75,26 @@ def cells_of(masses: Column) -> Column:
         m.alias("mass"), (i % C.BOARD_COLS).alias("col"), F.floor(i / C.BOARD_COLS).cast("int").alias("row")))
 
 
-def top_cells(cells: Column, k: int = 3, min_mass: float = 0.02) -> Column:
+def heaviest_cells(found: Column) -> Column:
+    """The cells of ``heaviest_cells_udf``, heaviest first, in the form of ``cells_of``."""
+    cell = lambda k: F.struct(found[f"mass_{k}"].alias("mass"), (found[f"cell_{k}"] % C.BOARD_COLS).alias("col"), F.floor(found[f"cell_{k}"] / C.BOARD_COLS).cast("int").alias("row"))
+    return F.when(found["kept"] >= 0, F.slice(F.array(*map(cell, range(TOP))), F.lit(1), found["kept"]))
+
+
+def top_cells(cells: Column, k: int = TOP, min_mass: float = LEAST_MASS) -> Column:
     kept = F.filter(cells, lambda c: c["mass"] >= lit(min_mass))
     return F.slice(F.reverse(F.array_sort(kept)), 1, k)
 
 
-def distribution_text(cells: Column, k: int = 3, min_mass: float = 0.02) -> Column:
+def distribution_text(cells: Column, k: int = TOP, min_mass: float = LEAST_MASS) -> Column:
     """``col,row:0.00`` of the heaviest cells, separated by ``|``."""
     return F.array_join(F.transform(top_cells(cells, k, min_mass), lambda c: F.format_string(
         "%d,%d:%.2f", c["col"], c["row"], c["mass"])), "|")
 
 
 def onboard_mass(cells: Column) -> Column:
-    total = F.aggregate(cells, lit(0), lambda a, c: a + c["mass"])
+    return onboard(F.aggregate(cells, lit(0), lambda a, c: a + c["mass"]))
+
+
+def onboard(total: Column) -> Column:
     return F.bround(F.least(total, lit(1)), 3)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from gazeloom import config as C
 from gazeloom.functions import gauss
 from gazeloom.functions import scalar as S
-from gazeloom.functions.vectorised import board_masses_udf
+from gazeloom.functions.vectorised import heaviest_cells_udf
 from gazeloom.operators import aggregates as A
 from gazeloom.operators import fixations as X
 from gazeloom.operators import gaze as G
@@ -144,12 +144,11 @@ def sequence_csv(tables: dict[str, DataFrame]) -> DataFrame:
     s = tables["sequence"].join(tables["trials"].select(*KEYS, "status", "trial_duration_s"), KEYS)
     sure = F.col("cov_xx").isNotNull() & F.col("x").isNotNull()
     s = spread(s, *KEYS, "frame")  # the masses are the work: a stored sequence is few bytes a row and would be read by few tasks
-    s = s.withColumn("_masses", board_masses_udf("x", "y", "cov_xx", "cov_xy", "cov_yy"))
-    cells = gauss.cells_of(F.col("_masses"))
+    s = s.withColumn("_cells", heaviest_cells_udf("x", "y", "cov_xx", "cov_xy", "cov_yy"))  # the heaviest and the sum: forty masses a row cost more on their way than in the making
     pair = lambda a, b: F.when(F.col(a).isNotNull(), F.concat(F.lit("["), F.col(a).cast("string"), F.lit(", "), F.col(b).cast("string"), F.lit("]")))
     named = {"block_index": F.col("block"), "trial_index": F.col("trial"), "trial_name": F.col("name"), "Color": F.coalesce("color", F.lit("not_board")), "Shape": F.col("shape"),
              "Piece=1/Slot=0": F.col("is_piece").cast("int"), "Phase": F.col("phase"), "Frame_N": F.col("frame"), "trial_duration_s": F.bround("trial_duration_s", 3),
-             "Board Coord": pair("col", "row"), "Board norm Coord": pair("x", "y"), "Cell Dist": F.when(sure, gauss.distribution_text(cells)), "Onboard Mass": F.when(sure, gauss.onboard_mass(cells)),
+             "Board Coord": pair("col", "row"), "Board norm Coord": pair("x", "y"), "Cell Dist": F.when(sure, gauss.distribution_text(gauss.heaviest_cells(F.col("_cells")))), "Onboard Mass": F.when(sure, gauss.onboard(F.col("_cells.total"))),
              "Finish Status": F.col("status")}
     return s.select(*[named[c].alias(c) for c in writers.SEQUENCE_COLUMNS])
 
